@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, packing, quality_rules, shards, token_counts
+from graphloom.llm import chat, near_dup, packing, quality_rules, shards, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +33,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(_table(spark, sf_dir, "documents"), "web", 1)
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_token_counts, op5_chat_formatting, op6_quality_rules, op9_byte_shards)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_token_counts, op5_chat_formatting, op6_quality_rules, op7_near_duplicates, op9_byte_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
