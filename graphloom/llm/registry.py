@@ -7,13 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, near_dup, packing, quality_rules, shards, token_counts
+from graphloom.llm import chat, decontamination, licences, near_dup, packing, perplexity, pii, quality_rules, shards, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=5, percent=80)
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -37,13 +45,39 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(_table(spark, sf_dir, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+QUERIES = [
+    op1_benchmark_decontamination,
+    op2_license_scan,
+    op3_best_fit_packing,
+    op4_token_counts,
+    op5_chat_formatting,
+    op6_quality_rules,
+    op7_near_duplicates,
+    op8_quality_classifier,
+    op9_byte_shards,
+    op10_personal_data,
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_token_counts, op5_chat_formatting, op6_quality_rules, op7_near_duplicates, op9_byte_shards)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.oracle_sql(), "op9_byte_shards": shards.oracle_sql()}
+    return {
+        "op1_benchmark_decontamination": decontamination.oracle_sql(),
+        "op6_quality_rules": quality_rules.oracle_sql(),
+        "op9_byte_shards": shards.oracle_sql(),
+    }
