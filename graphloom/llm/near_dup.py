@@ -13,7 +13,8 @@ Jaccard similarity reaches the threshold.
    as connected as all similar pairs together. They make families.
 4. A family's full sets meet in blocks of bounded size, where posting lists give exact
    intersections; only a spanning set of the true links comes out. Where a family needs several
-   blocks, every member outside its largest component then visits every block, so no pair is left out.
+   blocks, about ``HUBS`` members visit all of them, and every member that is still outside the
+   largest component then visits every block, so no pair is left out.
 5. Links are joined into components; every copy takes its class's.
 
 No bucket or family is capped, no pair list of a group is written, and nothing but counts reaches the driver.
@@ -38,7 +39,8 @@ from graphloom.llm.text import chunks, mix, shingle_sets
 BINS, ROWS = 96, 4  # 24 bands of 4: a pair at 0.8 misses all with probability 3e-6
 BLOCK = 1024
 FAMILY_SHINGLES = 1_000_000
-FAMILY_ROWS = 2048
+FAMILY_ROWS = 512
+HUBS = 16  # members of a family, about, that visit all its blocks
 SLACK = 0.2  # estimated similarity may fall this far below the threshold (five standard errors)
 
 FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
@@ -204,7 +206,8 @@ def _exact(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = members.join(texts, "doc_id").select("family", "block", "doc_id", "asks", "set_a", "text").repartition("family", "block").sortWithinPartitions("family", "block", "doc_id")
+    # a sort-merge join at every size: its skewed parts split, and its cost follows the input
+    dealt = members.hint("merge").join(texts, "doc_id").select("family", "block", "doc_id", "asks", "set_a", "text").repartition("family", "block").sortWithinPartitions("family", "block", "doc_id")
     return dealt.mapInArrow(link, "a long, b long").distinct()
 
 
@@ -212,9 +215,11 @@ def true_links(reps: DataFrame, docs: DataFrame, candidates: DataFrame, k: int,
     """Edges (a, b), all true links, that connect whatever the links inside a family connect."""
     families = components(candidates, "families").withColumnsRenamed({"node": "doc_id", "component": "family"})
     members = families.join(reps.select("doc_id", "n_shingles", "set_a"), "doc_id")
-    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES), F.ceil(F.count("*") / FAMILY_ROWS)).cast("int").alias("blocks"))
+    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES), F.ceil(F.count("*") / FAMILY_ROWS)).cast("int").alias("blocks"), F.count("*").alias("size"))
     members = scratch.table(members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "members")
-    links = scratch.table(_exact(members.withColumn("asks", F.lit(True)), docs, k, percent), "links")
+    hub = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("size")) < HUBS
+    visits = F.explode(F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).alias("block")
+    links = scratch.table(_exact(members.select("family", visits, "doc_id", F.lit(True).alias("asks"), "set_a"), docs, k, percent), "links")
     wide = members.filter("blocks > 1")
     if not wide.head(1):
         return links
