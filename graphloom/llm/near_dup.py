@@ -186,7 +186,7 @@ def _links(sets: list[np.ndarray], asks: np.ndarray, percent: int) -> list[tuple
     return out
 
 
-def _exact(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _exact(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """True links (a, b) inside each (family, block) of members (family, block, doc_id, asks, set_a)."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +205,6 @@ def _exact(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    # a sort-merge join at every size: its skewed parts split, and its cost follows the input
     dealt = members.hint("merge").join(texts, "doc_id").select("family", "block", "doc_id", "asks", "set_a", "text").repartition("family", "block").sortWithinPartitions("family", "block", "doc_id")
     return dealt.mapInArrow(link, "a long, b long").distinct()
 
@@ -217,9 +215,12 @@ def true_links(reps: DataFrame, docs: DataFrame, candidates: DataFrame, k: int,
     members = families.join(reps.select("doc_id", "n_shingles", "set_a"), "doc_id")
     sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES), F.ceil(F.count("*") / FAMILY_ROWS)).cast("int").alias("blocks"), F.count("*").alias("size"))
     members = scratch.table(members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "members")
+    # Texts of members are drawn from the documents once, by a sort-merge join at every size: its skewed parts split.
+    whole = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = scratch.table(whole.join(members.select("doc_id").hint("merge"), "doc_id"), "texts")
     hub = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("size")) < HUBS
     visits = F.explode(F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).alias("block")
-    links = scratch.table(_exact(members.select("family", visits, "doc_id", F.lit(True).alias("asks"), "set_a"), docs, k, percent), "links")
+    links = scratch.table(_exact(members.select("family", visits, "doc_id", F.lit(True).alias("asks"), "set_a"), texts, k, percent), "links")
     wide = members.filter("blocks > 1")
     if not wide.head(1):
         return links
@@ -229,7 +230,7 @@ def true_links(reps: DataFrame, docs: DataFrame, candidates: DataFrame, k: int,
     rest = parts.join(ranked, "family").filter("component <> largest")
     visits = rest.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc_id", F.lit(True).alias("asks"), "set_a")
     stay = parts.join(ranked, "family").filter("component = largest").select("family", "block", "doc_id", F.lit(False).alias("asks"), "set_a")
-    return links.unionByName(scratch.table(_exact(visits.unionByName(stay), docs, k, percent), "links"))
+    return links.unionByName(scratch.table(_exact(visits.unionByName(stay), texts, k, percent), "links"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
