@@ -31,7 +31,8 @@ from graphloom.llm.text import chunks, word_hashes, words
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
+JOINED = 1000  # new words that the tokenizer sees in one call
 ROWS_PER_BUCKET = 1000
 MOST_BUCKETS = 4096
 
@@ -107,6 +108,8 @@ class _WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        bar = self.tokenizer.encode("|", add_special_tokens=False).ids
+        self.bar = bar[0] if len(bar) == 1 else None
         self.clear()
 
     def clear(self) -> None:
@@ -125,15 +128,33 @@ class _WordIds:
         new = [i for i, s in enumerate(slots) if s < 0]
         if new:
             raw = data.tobytes()
-            found = self.tokenizer.encode_batch_fast([raw[starts[at[i]] : ends[at[i]]].decode("utf-8", "replace") for i in new], add_special_tokens=False)
-            for i, enc in zip(new, found, strict=True):
-                slots[i] = self._keep(int(kinds[i]), enc.ids)
+            found = self._encode([raw[starts[at[i]] : ends[at[i]]].decode("utf-8", "replace") for i in new])
+            for i, ids in zip(new, found, strict=True):
+                slots[i] = self._keep(int(kinds[i]), ids)
         slot = np.asarray(slots, dtype=np.int64)[which] if len(kinds) else np.zeros(0, np.int64)
         length = self.length[slot]
         upto = np.concatenate([[0], np.cumsum(length)])
         take = np.repeat(self.first[slot] - upto[:-1], length) + np.arange(upto[-1])
         return self.pool[take], upto[first_word]
 
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each word: many in one call with a bar between them, those that hold a bar one by one."""
+        out: list[list[int]] = [[] for _ in texts]
+        plain = [i for i, t in enumerate(texts) if self.bar is not None and "|" not in t]
+        rest = [i for i, t in enumerate(texts) if self.bar is None or "|" in t]
+        for lo in range(0, len(plain), JOINED):
+            some = plain[lo : lo + JOINED]
+            ids = self.tokenizer.encode_batch_fast([" | ".join(texts[i] for i in some)], add_special_tokens=False)[0].ids
+            cuts = [-1, *[k for k, x in enumerate(ids) if x == self.bar], len(ids)]
+            if len(cuts) != len(some) + 1:  # a bar that normalisation made
+                rest += some
+                continue
+            for i, a, b in zip(some, cuts, cuts[1:], strict=False):
+                out[i] = ids[a + 1 : b]
+        for i, enc in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = enc.ids
+        return out
+
     def _keep(self, key: int, ids: list[int]) -> int:
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
