@@ -32,11 +32,15 @@ _PARTS = re.compile(r"<\|turn\|>([^\n]*)\n(.*?)<\|end\|>\n", re.S)
 
 def escape(text: str) -> str:
     """The text with a backslash put into each control string."""
+    if "<" not in text and "[" not in text:  # every control string begins with one of them
+        return text
     return _RAW.sub(lambda m: "{0}\\{1}{2}".format(*[g for g in m.groups() if g is not None]), text)
 
 
 def unescape(text: str) -> str:
     """The inverse of ``escape``."""
+    if "\\" not in text:
+        return text
     return _DONE.sub(lambda m: "{0}{1}{2}".format(*[g for g in m.groups() if g is not None]), text)
 
 
