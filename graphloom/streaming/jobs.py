@@ -33,7 +33,7 @@ def merge_stream(batches: DataFrame, store: str, checkpoint: str, key: str, orde
 
 def dedup_stream(rows: DataFrame, time: str, keys: list[str], delay: str) -> DataFrame:
     """The first row of each key within the watermark."""
-    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def enrich_stream(rows: DataFrame, static: DataFrame, key: str, keep: Column) -> DataFrame:
