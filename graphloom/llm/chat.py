@@ -9,14 +9,16 @@ task holds the turns of one conversation, never a group of them.
 The template marks turns as ``<|turn|>role\\ntext<|end|>\\n``. A control string inside a text gets a
 backslash after its first character, one more than it may have already, so unescaping removes
 exactly one and gives the text back. Null text and null role count as empty; events of a turn that
-has no message yet start it; ties in sequence are broken by turn, kind and text, repeated rows
-count each. An empty log gives an empty result; extra columns are ignored.
+has no message yet start it; ties in sequence are broken by turn, kind and text. A message of a turn
+that is already there is one more turn: a table's repeated rows count each, as do rows that repeat
+a turn with another role or text. An empty log gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -65,26 +67,42 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def turn_events(conversations: DataFrame) -> DataFrame:
-    """A table of turns as a log: each turn starts as a message without text and streams in as one delta."""
+    """A table of turns as a log: each turn starts as a message without text and streams in as one delta.
+
+    ``_tie`` keeps the two events of a row together where rows share a turn.
+    """
     kinds = F.explode(F.array(F.lit("message"), F.lit("delta")))
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("turn"), "role", "text", kinds.alias("kind"))
-    return rows.select("conv_id", (2 * F.col("turn") + (F.col("kind") == "delta").cast("long")).alias("seq"), "kind", "turn", "role", F.when(F.col("kind") == "delta", F.col("text")).alias("text"))
+    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("turn"), "role", "text", F.xxhash64("role", "text").alias("_tie"))
+    rows = rows.select("*", kinds.alias("kind"))
+    return rows.select("conv_id", F.col("turn").alias("seq"), "kind", "turn", "role", F.when(F.col("kind") == "delta", F.col("text")).alias("text"), "_tie")
 
 
 def _folded(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int | None, list[list[str]]]]:
-    """Each conversation with its turns [role, text parts...], in order of first event."""
-    conv, started, turns = None, False, {}
+    """Each conversation with its turns [role, text parts...], in order of first event.
+
+    A turn's deltas go to its oldest message that waits for its first one, else to the newest begun.
+    """
+    conv, started = None, False
+    turns: list[list[str]] = []
+    newest: dict[int | None, list[str]] = {}
+    waiting: dict[int | None, deque[list[str]]] = {}
     for frame in frames:
         columns = (frame[c].tolist() for c in ("conv_id", "kind", "turn", "role", "text"))
         for key, kind, turn, role, text in zip(*columns, strict=True):
             key, turn = None if pd.isna(key) else int(key), None if pd.isna(turn) else int(turn)
             if started and key != conv:
-                yield conv, list(turns.values())
-                turns = {}
+                yield conv, turns
+                turns, newest, waiting = [], {}, {}
             conv, started = key, True
-            if kind == "message" and turn in turns and len(turns[turn]) > 1:
-                turn = (turn, len(turns))  # a repeated turn is one more
-            state = turns.setdefault(turn, [role or ""])
+            if kind == "message" or turn not in newest:
+                state = newest[turn] = [role or ""]
+                turns.append(state)
+                if kind == "message" and not text:
+                    waiting.setdefault(turn, deque()).append(state)
+            elif kind == "delta" and waiting.get(turn):
+                state = newest[turn] = waiting[turn].popleft()
+            else:
+                state = newest[turn]
             if kind in ("edit", "regenerate"):
                 del state[1:]
             if role and not state[0]:
@@ -92,7 +110,7 @@ def _folded(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int | None, list[l
             if text:
                 state.append(text)
     if started:
-        yield conv, list(turns.values())
+        yield conv, turns
 
 
 def _over_conversations(events: DataFrame, make: Callable[[int | None, list[tuple[str, str]]], tuple], schema: str, names: list[str]) -> DataFrame:
@@ -107,7 +125,8 @@ def _over_conversations(events: DataFrame, make: Callable[[int | None, list[tupl
             yield pd.DataFrame(rows, columns=names)
 
     order = F.col("kind").isin("delta", "edit").cast("int")
-    log = events.withColumn("_o", order).repartition("conv_id").sortWithinPartitions("conv_id", "seq", "turn", "_o", "text")
+    log = events.withColumn("_o", order).withColumn("_tie", F.col("_tie") if "_tie" in events.columns else F.lit(0))
+    log = log.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "turn", "_tie", "_o", "text")
     return log.select("conv_id", "kind", "turn", "role", "text").mapInPandas(fold, schema)
 
 

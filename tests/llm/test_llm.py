@@ -113,6 +113,9 @@ def test_chat(spark):
     row = chat.format_conversations(log).first()
     assert chat.parse(row["formatted"]) == [("user", "hello"), ("assistant", "Yo")]
     assert [row["formatted"][a:b] for a, b in row["loss_spans"]] == ["Yo"]
+    again = [(1, 0, "user", "b"), (1, 0, "user", "b"), (1, 0, "assistant", "z"), (1, 0, "assistant", None), (1, None, None, "n"), (None, 3, "user", "")]
+    read = {r["conv_id"]: chat.parse(r["formatted"]) for r in chat.format_conversations(chat.turn_events(spark.createDataFrame(again, "conv_id long, turn long, role string, text string"))).collect()}
+    assert sorted(read[1]) == sorted([("user", "b"), ("user", "b"), ("assistant", "z"), ("assistant", ""), ("", "n")]) and read[None] == [("user", "")]
     rows = {r["conv_id"]: r for r in registry.op5_chat_formatting(spark, DATA).collect()}
     turns = spark.read.parquet(f"{DATA}/conversations.parquet").orderBy("conv_id", "turn").collect()
     for conv in {r["conv_id"] for r in turns}:
