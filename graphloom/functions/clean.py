@@ -118,7 +118,7 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 
 def split_list(c: Column, sep: str = ",") -> Column:
     """Distinct trimmed, lower-cased, non-empty items."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), sep), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), sep), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def first_filled(*cols: Column) -> Column:

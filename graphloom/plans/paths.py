@@ -152,6 +152,19 @@ def summary(found: DataFrame) -> DataFrame:
     return nodes.unionByName(found.agg(F.count("*").alias("n")).select(F.lit("facts").alias("metric"), "n"))
 
 
+def fact_line(path: Column) -> Column:
+    """One line of text for a fact's path."""
+    return F.array_join(F.transform(path, lambda n: F.concat_ws("=", n["type"], n["id"])), " > ")
+
+
+def context_size(found: DataFrame) -> DataFrame:
+    """Facts, characters and UTF-8 bytes of their lines, and whether the numbers run from 0 without gaps."""
+    line = fact_line(F.col("path"))
+    sizes = [F.count("*").alias("n_facts"), F.sum(F.char_length(line)).alias("chars"), F.sum(F.octet_length(line)).alias("bytes")]
+    whole = (F.count_distinct("row_index") == F.count("*")) & (F.min("row_index") == 0) & (F.max("row_index") + 1 == F.count("*"))
+    return found.agg(*sizes, whole.alias("in_order"))
+
+
 def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Duplicate and blank node ids, dangling and duplicate edges, as (problem, detail)."""
     key = F.concat_ws(":", "type", "id")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom import queries as _queries
+from graphloom import record_queries as _record_queries  # noqa: F401  (registers its queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -52,3 +55,13 @@ def run_to_parquet(rows: DataFrame, path: str, checkpoint: str) -> DataFrame:
     query = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for a stream's output and state under ``spark.checkpoint.dir``; a temporary one only for a local master where it is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-graphloom-")
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import clean as C
+from graphloom.functions import markup as K
 from graphloom.operators import joins as J
 from graphloom.operators import measurements as M
 from graphloom.operators import resolve as R
@@ -94,3 +95,30 @@ def test_streams(spark, tmp_path):
     assert got.count() == events.filter("user_id % 2 = 0 and value > 0").count()
     got = jobs.run_to_parquet(jobs.dedup_stream(stream(), "ts", ["event_type"], "3650 days"), str(tmp_path / "o3"), str(tmp_path / "c4"))
     assert got.count() == events.select("event_type").distinct().count()
+
+
+def test_html_rows(spark):
+    table = "<TABLE><tr><th>Plant</th><th>Plant part</th></tr><tr><td>A<td><i>leaf</i>&amp;<br>stem</tr><tr><td>B</td></tr></TABLE>"
+    pages = [(1, f"<!-- {table} --><script>'{table}'</script><table><tr><td>x</td></tr></table>{table}"), (2, None), (3, ""), (4, "<table><tr><td>no header</td></tr></table>")]
+    df = spark.createDataFrame(pages, "id long, html string")
+    got = K.html_rows(df, "id", "html", "part", {"part": ["plant part"], "plant": ["plant name", "plant"]}).orderBy("row_no").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 0, "leaf & stem", "A"), (1, 1, 1, None, "B")]
+
+
+def test_json_values(spark):
+    rows = [('{"@value": " a  b "}', "a b"), ('[{"label": ""}, "x", {"name": ["x", "y"]}, null]', "x; x; y"), ("plain {text}", "plain {text}"), ("{broken", "{broken"), (None, ""), ('"[1, 2]"', "1; 2"), ("7", "7")]
+    got = spark.createDataFrame(rows, "t string, want string").select("want", K.json_text(F.col("t")).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in got), got
+    deep = spark.createDataFrame([('{"a": {"k": [1, {"k": "é"}]}, "k": null}',), ("no json",), (None,)], "t string").select(K.json_values(F.col("t"), ["k"]).alias("v")).collect()
+    assert [r["v"] for r in deep] == [["1", '{"k": "é"}', '"é"', "null"], [], []]
+
+
+def test_taxon(spark):
+    rows = [("<T><Taxon><TaxId>5</TaxId><ScientificName>A b</ScientificName></Taxon></T>",), ("<T><Taxon>",), (None,), ("<T><Taxon/></T>",)]
+    got = [tuple(r) for r in spark.createDataFrame(rows, "x string").select(K.taxon(F.col("x")).alias("r")).select("r.*").collect()]
+    assert got == [("5", "A b", "", "OK"), (None, None, None, "ERROR"), (None, None, None, "ERROR"), (None, None, None, "ERROR")]
+
+
+def test_list_items_keep_digits(spark):
+    got = spark.createDataFrame([("a0, 10,11 ,a0",), (None,)], "t string").select(C.split_list(F.col("t")).alias("v")).collect()
+    assert [r["v"] for r in got] == [["a0", "10", "11"], []]
