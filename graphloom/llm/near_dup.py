@@ -210,7 +210,7 @@ def _exact(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
 
 def true_links(reps: DataFrame, docs: DataFrame, candidates: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges (a, b), all true links, that connect whatever the links inside a family connect."""
+    """Edges (a, b) that connect just what the true links connect."""
     families = components(candidates, "families").withColumnsRenamed({"node": "doc_id", "component": "family"})
     members = families.join(reps.select("doc_id", "n_shingles", "set_a"), "doc_id")
     sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES), F.ceil(F.count("*") / FAMILY_ROWS)).cast("int").alias("blocks"), F.count("*").alias("size"))
@@ -225,12 +225,13 @@ def true_links(reps: DataFrame, docs: DataFrame, candidates: DataFrame, k: int,
     if not wide.head(1):
         return links
     found = components(links, "parts").withColumnRenamed("node", "doc_id")
+    stars = found.filter("doc_id <> component").select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
     parts = scratch.table(wide.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "wide")
     ranked = parts.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
     rest = parts.join(ranked, "family").filter("component <> largest")
     visits = rest.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc_id", F.lit(True).alias("asks"), "set_a")
     stay = parts.join(ranked, "family").filter("component = largest").select("family", "block", "doc_id", F.lit(False).alias("asks"), "set_a")
-    return links.unionByName(scratch.table(_exact(visits.unionByName(stay), texts, k, percent), "links"))
+    return stars.unionByName(scratch.table(_exact(visits.unionByName(stay), texts, k, percent), "links"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
