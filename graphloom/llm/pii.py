@@ -42,8 +42,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
+_BLANK = " \t\n\x0b\f\r"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TRIM = ".,;:!?\"'()"
+_TRIMMED = np.zeros(256, dtype=bool)
+_TRIMMED[[ord(c) for c in _TRIM]] = True
 
 
 def _luhn(digits: str) -> bool:
@@ -90,11 +93,35 @@ def _hash(text: str) -> int:
 
 
 def _term(word: str) -> str:
+    """The one rule of terms, near mentions and in the counts: marks trimmed at either end, then lower case."""
     return word.strip(_TRIM).lower()
 
 
+def _trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end byte of each word without the marks at its ends."""
+    solid = np.append(np.flatnonzero(~_TRIMMED[data]), len(data))
+    first = np.minimum(solid[np.searchsorted(solid, starts)], ends)
+    last = np.searchsorted(solid, ends) - 1
+    return first, np.where(last >= 0, np.maximum(solid[last] + 1, first), first)
+
+
+def _term_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of the term of each trimmed word; of the words outside ASCII each different one is lower-cased once."""
+    out = word_hashes(data, starts, ends)
+    wide = np.concatenate([[0], np.cumsum(data >= 0x80)])
+    at = np.flatnonzero(wide[ends] > wide[starts])
+    if len(at):
+        _, first, inverse = np.unique(out[at], return_index=True, return_inverse=True)
+        names = [bytes(data[starts[i] : ends[i]]).decode("utf-8", "replace").lower() for i in at[first].tolist()]
+        out[at] = _term_hash(pd.Series(names)).to_numpy().view(np.uint64)[inverse]
+    return out
+
+
 def _near(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, str, int, int, int]]:
-    """(entity, term, neighbourhood, start, end) of the words near each mention, other mentions left out."""
+    """(entity, term, neighbourhood, start, end, glued) of the words near each mention, other mentions left out.
+
+    What is glued to a mention without a blank is a term, too, though not a word of the corpus.
+    """
     out = []
     taken = [(a, b) for _, a, b in spans]
     for kind, a, b in spans:
@@ -103,10 +130,10 @@ def _near(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, str,
         while at > 0 and len(left) < WINDOW + 1:  # words before the mention, from a slice that grows only as needed
             lo = max(0, at - 64)
             found = [m.span() for m in _WORD.finditer(text, lo, at)]
-            if found and found[0][0] == lo and lo > 0 and not text[lo - 1].isspace():
+            if found and found[0][0] == lo and lo > 0 and text[lo - 1] not in _BLANK:
                 if len(found) == 1:
                     start = lo
-                    while start > 0 and text[start - 1] not in " \t\n\x0b\f\r":
+                    while start > 0 and text[start - 1] not in _BLANK:
                         start -= 1
                     found = [(start, found[0][1])]
                 else:
@@ -126,17 +153,18 @@ def _near(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, str,
         for i, (s, e) in enumerate(around):
             if (i == 0 and len(left) > WINDOW) or i == len(around) - 1 and len(right) > WINDOW:
                 continue  # only a neighbour of the outermost word
-            term = _term(names[i])
+            term, bare = _term(names[i]), names[i].strip(_TRIM)
             if len(term) > 1 and not any(s < y and x < e for x, y in taken):
-                start = s + names[i].lower().find(term) if names[i].lower().find(term) >= 0 else s
+                start = s + len(names[i]) - len(names[i].lstrip(_TRIM))
+                glued = s > 0 and text[s - 1] not in _BLANK or e < len(text) and text[e] not in _BLANK
                 pair = f"{_term(names[i - 1]) if i else ''} {_term(names[i + 1]) if i + 1 < len(names) else ''}"
-                out.append((entity, term, _hash(pair), start, start + len(term)))
+                out.append((entity, term, _hash(pair), start, start + len(bare), glued))
     return out
 
 
-FOUND = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<kind:string,start:int,end:int>>, near array<struct<entity:long,term:string,around:long,start:int,end:int>>"
+FOUND = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<kind:string,start:int,end:int>>, near array<struct<entity:long,term:string,around:long,start:int,end:int,glued:boolean>>"
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("around", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("around", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("glued", pa.bool_())]))
 
 
 def _line(spans: list[tuple[str, int, int]]) -> str:
@@ -155,7 +183,7 @@ def mentions(docs: DataFrame) -> DataFrame:
                 counts = [pa.array([sum(k == kind for k, _, _ in s) for s in spans], pa.int64()) for kind in KINDS]
                 sha = pa.array([hashlib.sha256(_line(s).encode()).hexdigest() for s in spans])
                 base = pa.array([[dict(zip(("kind", "start", "end"), x, strict=True)) for x in s] for s in spans], _SPAN)
-                close = pa.array([[dict(zip(("entity", "term", "around", "start", "end"), x, strict=True)) for x in n] for n in near], _NEAR)
+                close = pa.array([[dict(zip(("entity", "term", "around", "start", "end", "glued"), x, strict=True)) for x in n] for n in near], _NEAR)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *counts, sha, base, close], names=["doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
 
     return keyed(docs).mapInArrow(scan, FOUND)
@@ -168,9 +196,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(term_hash, n): occurrences in the whole corpus of each word, A-Z lower-cased and trimmed of punctuation."""
-    trim = np.zeros(256, dtype=bool)
-    trim[[ord(c) for c in _TRIM]] = True
+    """(term_hash, n): occurrences in the whole corpus of each word's term."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -182,10 +208,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for _, _, data, offs in chunks(batch.column(0)):
                 starts, ends, _ = words(data, offs)
-                for _ in range(8):  # a few marks at either end; more than eight stay
-                    starts = starts + (trim[data[np.minimum(starts, len(data) - 1)]] & (starts < ends))
-                    ends = ends - (trim[data[np.maximum(ends - 1, 0)]] & (starts < ends))
-                held.append(np.unique(word_hashes(data, starts, ends), return_counts=True))
+                held.append(np.unique(_term_hashes(data, *_trimmed(data, starts, ends)), return_counts=True))
                 if sum(len(k) for k, _ in held) > 2_000_000:
                     held = [merged()]
                     if len(held[0][0]) > 1_000_000:
@@ -219,10 +242,12 @@ def revealing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "entity long, term string, disclosure double")
     counts = scratch.table(term_counts(docs), "terms")
     total = counts.agg(F.sum("n")).first()[0]
+    glued = near.filter("glued").select("doc_id", "text_hash", "term", "start").distinct().groupBy("term").agg(F.count("*").alias("n_glued"))
     near_e = found.select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.entity", "x.start")
     entities = near_e.groupBy("entity").agg(F.ceil(F.count("*") / (2 * WINDOW)).alias("n_entity"))
-    joined = pairs.withColumn("term_hash", F.pandas_udf(_term_hash, "long")("term")).join(counts, "term_hash").join(entities, "entity")
-    p_e, p_et = F.col("n_entity") / F.lit(total), F.least(F.lit(1.0), F.col("n_both") / F.col("n"))
+    joined = pairs.withColumn("term_hash", F.pandas_udf(_term_hash, "long")("term")).join(counts, "term_hash", "left").join(glued, "term", "left").join(entities, "entity")
+    n = F.coalesce("n", F.lit(0)) + F.coalesce("n_glued", F.lit(0))
+    p_e, p_et = F.col("n_entity") / F.lit(total), F.least(F.lit(1.0), F.col("n_both") / n)
     scored = joined.select("entity", "term", (F.log(p_et / p_e) / -F.log(p_e)).alias("disclosure"))
     return scored.filter(F.col("disclosure") >= GENERALISE)
 
