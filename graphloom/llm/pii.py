@@ -8,8 +8,8 @@ that are mentions of ``e``, and ``p(e|t)`` the share of the term's occurrences i
 lie near a mention of ``e``, the pointwise mutual information ``log p(e|t) / p(e)`` is divided by the
 entity's information content ``-log p(e)``: 1 says that the term stands for the entity. At ``GENERALISE`` a term is
 replaced by a placeholder of its kind, at ``REMOVE`` it is removed. A pair needs ``EVIDENCE``
-different neighbourhoods (neighbouring words), so that copies of one text prove nothing. Terms are
-treated near mentions of that entity.
+different neighbourhoods (neighbouring words), so that copies of one text prove nothing. A term that
+reveals any entity is treated wherever it stands in the corpus, by its largest disclosure.
 
 Spans are code points of the whole text, end exclusive. Null and empty texts have none. Rows that
 repeat doc_id and text each come out, with the same spans. An empty table gives an empty result;
@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,7 @@ from graphloom.llm.text import chunks, word_hashes, words
 KINDS = ["email", "ip", "card", "phone"]
 WINDOW = 8
 EVIDENCE = 3
+SLOTS = 1 << 20  # hash values by which words that are no revealing term are passed over before the join
 GENERALISE, REMOVE = 0.95, 0.99
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -252,12 +255,58 @@ def revealing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     return scored.filter(F.col("disclosure") >= GENERALISE)
 
 
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, start, end, disclosure) of every word of the corpus whose term is one of ``terms`` (term, disclosure).
+
+    Other mentions are left out, as near them. Only words that share a hash slot with a term become rows.
+    """
+    slots = terms.select(F.pmod(F.pandas_udf(_term_hash, "long")("term"), F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow()
+    wanted = np.zeros(SLOTS, dtype=bool)
+    wanted[slots.column(0).to_numpy()] = True
+    wanted = np.packbits(wanted)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(wanted).astype(bool)
+        for batch in batches:
+            for row, _, data, offs in chunks(batch.column(2)):
+                starts, ends, first = words(data, offs)
+                starts, ends = _trimmed(data, starts, ends)
+                hit = np.flatnonzero(held[(_term_hashes(data, starts, ends) % np.uint64(SLOTS)).astype(np.int64)] & (ends > starts))
+                if not len(hit):
+                    continue
+                doc = np.searchsorted(first, hit, "right") - 1
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                places = zip(doc.tolist(), starts[hit].tolist(), ends[hit].tolist(), chars[starts[hit]].tolist(), chars[ends[hit]].tolist(), strict=True)
+                out, at, free = [], -1, None
+                for d, a, b, x, y in places:
+                    if d != at:
+                        at, free, base = d, None, int(chars[offs[d]])
+                    bare = bytes(data[a:b]).decode("utf-8", "replace")
+                    if not bare.isalpha():  # letters alone are never part of a mention that is longer than their word
+                        free = free or _outside(base_spans(batch.column(2)[row + d].as_py()))
+                        if not free(x - base, y - base):
+                            continue
+                    out.append((row + d, bare.lower(), x - base, y - base))
+                take = pa.array([o[0] for o in out], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.int32())], names=["doc_id", "text_hash", "term", "start", "end"])
+
+    return keyed(docs).mapInArrow(scan, "doc_id long, text_hash long, term string, start int, end int").join(terms, "term").drop("term")
+
+
+def _outside(spans: list[tuple[str, int, int]]) -> Callable[[int, int], bool]:
+    """Whether (start, end) meets none of the spans."""
+    spans = sorted((a, b) for _, a, b in spans)
+    starts, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+    return lambda s, e: (i := bisect_left(starts, e)) == 0 or reach[i - 1] <= s
+
+
 def find(docs: DataFrame) -> DataFrame:
     """Per document the pattern counts, the hash of the pattern spans and all spans with the terms'."""
     found = scratch.table(mentions(docs), "mentions")
     flagged = scratch.table(revealing_terms(found, docs), "revealing")
-    near = found.select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.*")
-    spans = near.join(flagged, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    told = scratch.table(flagged.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "told")
+    near = found.select("doc_id", "text_hash", F.explode("near").alias("x")).filter("x.glued").select("doc_id", "text_hash", "x.term", "x.start", "x.end")
+    spans = near.join(told, "term").drop("term").unionByName(occurrences(docs, told)).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     struct = F.struct("start", "end", (F.col("disclosure") >= REMOVE).alias("remove"))
     terms = spans.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.array_sort(F.collect_list(struct)).alias("terms"))
     rows = found.drop("near").join(terms, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left").drop("_d", "_h")

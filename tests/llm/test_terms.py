@@ -1,4 +1,4 @@
-"""Terms that give a protected entity away: one folding everywhere."""
+"""Terms that give a protected entity away: one folding everywhere, and treated everywhere."""
 
 from collections import Counter
 
@@ -45,3 +45,23 @@ def test_glued_terms_are_counted(spark):
     others = [(500 + i, f"{i} Kennung:user{i}@b.com plain") for i in range(100)]
     found = spans(spark, [(i, f"{w} wrote {v} Kennung:a@b.com then {w} left {v}") for i, (w, v) in enumerate(SIDES)] + FILL + others)
     assert "term:14:21" not in found[0]
+
+
+def test_terms_are_treated_everywhere(spark):
+    far = " ".join(f"w{i}" for i in range(12))
+    rows = [(1000 + i, f"a{i} wrote Zorblatt b{i} a@b.com then c{i} left d{i}") for i in range(30)]
+    rows[0] = (1000, rows[0][1] + f" {far} é Zorblatt.")
+    rows.append((2000, "é (ZORBLATT) spoke"))
+    found = spans(spark, rows + FILL)
+    at = rows[0][1].rindex("Zorblatt")
+    assert {"term:9:17", f"term:{at}:{at + 8}"} <= set(found[1000])
+    assert found[2000] == ["term:3:11"] and found[10] == [""]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows + FILL, "doc_id long, text string")).collect()}
+    assert not any("zorblatt" in t.lower() for t in clean.values())
+    assert clean[10] == FILL[0][1]
+
+
+def test_terms_inside_mentions_stay_out(spark):
+    rows = [(1000 + i, f"a{i} wrote 555-7713 b{i} a@b.com then c{i} left d{i}") for i in range(30)]
+    found = spans(spark, [*rows, (2000, "call 555-7713 or +1 (017) 555-7713"), *FILL])
+    assert found[2000] == ["phone:17:34", "term:5:13"]
