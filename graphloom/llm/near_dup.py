@@ -13,8 +13,9 @@ Jaccard similarity reaches the threshold.
    as connected as all similar pairs together. They make families.
 4. A family's full sets meet in blocks of bounded size, where posting lists give exact
    intersections; only a spanning set of the true links comes out. Where a family needs several
-   blocks, about ``HUBS`` members visit all of them, and every member that is still outside the
-   largest component then visits every block, so no pair is left out.
+   blocks, about ``HUBS`` members visit all of them. The members that are still outside the largest
+   component are then dealt into blocks of their own, and each of these meets each of the family's
+   blocks in a group of its own, so no pair is left out and no group holds more than two blocks.
 5. Links are joined into components; every copy takes its class's.
 
 No bucket or family is capped, no pair list of a group is written, and nothing but counts reaches the driver.
@@ -229,8 +230,12 @@ def true_links(reps: DataFrame, docs: DataFrame, candidates: DataFrame, k: int,
     parts = scratch.table(wide.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "wide")
     ranked = parts.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
     rest = parts.join(ranked, "family").filter("component <> largest")
-    visits = rest.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc_id", F.lit(True).alias("asks"), "set_a")
-    stay = parts.join(ranked, "family").filter("component = largest").select("family", "block", "doc_id", F.lit(False).alias("asks"), "set_a")
+    asking = rest.groupBy("family").agg(F.greatest(F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES), F.ceil(F.count("*") / FAMILY_ROWS)).alias("asking"))
+    dealt = parts.join(ranked, "family").join(asking, "family").withColumn("mine", F.when(F.col("component") != F.col("largest"), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("asking"))))
+    pair = lambda i, j: i * F.col("blocks") + j
+    visits = dealt.filter("mine is not null").select("family", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: pair(F.col("mine"), j))).alias("block"), "doc_id", F.lit(True).alias("asks"), "set_a")
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1), lambda i: F.col("mine").isNull() | (i != F.col("mine")))
+    stay = dealt.select("family", F.explode(F.transform(others, lambda i: pair(i, F.col("block")))).alias("block"), "doc_id", F.lit(False).alias("asks"), "set_a")
     return stars.unionByName(scratch.table(_exact(visits.unionByName(stay), texts, k, percent), "links"))
 
 
