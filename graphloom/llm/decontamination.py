@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import chunks, combine, word_hashes, words
+from graphloom.llm.text import as_set, chunks, combine, word_lanes, words
 
 BLOCK_BYTES = 8 << 20
 _FILTER = np.uint64((1 << 22) - 1)
@@ -45,13 +45,13 @@ class ItemIndex:
             starts, ends, _ = words(data, np.array([0, len(data)]))
             if len(starts):
                 length = min(k, len(starts))
-                grams = np.unique(combine(word_hashes(data, starts, ends), length))
-                members.setdefault((length, 1 << (len(grams) - 1).bit_length()), []).append(len(self.ids))
+                grams = as_set(*combine(word_lanes(data, starts, ends), length))
+                members.setdefault((length, 1 << (len(grams[0]) - 1).bit_length()), []).append(len(self.ids))
                 self.ids.append(item)
                 self.sets.append(grams)
         self.classes = []
         for (length, u), rows in sorted(members.items()):
-            signs = [self.sets[i] if u <= 8 else _minima(self.sets[i], 8 * u) for i in rows]
+            signs = [self.sets[i][0] if u <= 8 else _minima(self.sets[i][0], 8 * u) for i in rows]
             keys, owner = np.concatenate(signs), np.repeat(rows, [len(s) for s in signs])
             order = np.argsort(keys, kind="stable")
             maybe = np.zeros(int(_FILTER) + 1, dtype=bool)
@@ -61,13 +61,13 @@ class ItemIndex:
     def search(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, shingles found, first and last word) of each confirmed pair of a chunk."""
         starts, ends, first = words(data, offs)
-        hashes = word_hashes(data, starts, ends)
+        lanes = word_lanes(data, starts, ends)
         pairs: set[tuple[int, int]] = set()
-        grams: dict[int, np.ndarray] = {}
+        grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for length, u, keys, owner, maybe in self.classes:
             if length not in grams:
-                grams[length] = combine(hashes, length)
-            g = grams[length]
+                grams[length] = combine(lanes, length)
+            g = grams[length][0]
             own = _keys(g, 8 * u) if u > 8 else g
             at = np.flatnonzero(maybe[(own & _FILTER).astype(np.int64)])
             lo, hi = np.searchsorted(keys, own[at], "left"), np.searchsorted(keys, own[at], "right")
@@ -87,14 +87,21 @@ class ItemIndex:
         lengths = {i: length for length, _, _, owner, _ in self.classes for i in owner.tolist()}
         for row, i in sorted(pairs):
             length = lengths[i]
-            g = grams[length][first[row] : max(first[row], first[row + 1] - length + 1)]
-            where = np.flatnonzero(np.isin(g, self.sets[i]))
-            found = len(np.unique(g[where]))
-            if 100 * found >= self.percent * len(self.sets[i]):
+            own = slice(first[row], max(first[row], first[row + 1] - length + 1))
+            where, found = _held(grams[length][0][own], grams[length][1][own], *self.sets[i])
+            if 100 * found >= self.percent * len(self.sets[i][0]):
                 out.append((row, i, found, int(where[0]), int(where[-1]) + length - 1))
         return out
 
 
+def _held(a: np.ndarray, b: np.ndarray, set_a: np.ndarray, set_b: np.ndarray) -> tuple[np.ndarray, int]:
+    """Places of a document's shingles that stand in a set, and how many of the set's they are, by all 128 bits."""
+    where = np.flatnonzero(np.isin(a, set_a))
+    at = np.searchsorted(set_a, a[where])
+    same = set_b[at] == b[where]
+    return where[same], len(np.unique(at[same]))
+
+
 def _keys(grams: np.ndarray, bins: int) -> np.ndarray:
     """Bin and 32-bit value of each shingle in one number; within a bin they order as the values."""
     return ((grams >> np.uint64(32)) % np.uint64(bins)) << np.uint64(32) | grams & np.uint64(0xFFFFFFFF)
@@ -142,7 +149,7 @@ def _searcher(index: ItemIndex):
         for batch in batches:
             found = [(row + a, *rest) for a, _, data, offs in chunks(batch.column(1)) for row, *rest in index.search(data, offs)]
             row, item, n, first, last = zip(*found, strict=True) if found else ([],) * 5
-            longs = [[index.ids[i] for i in item], [len(index.sets[i]) for i in item], n, first, last]
+            longs = [[index.ids[i] for i in item], [len(index.sets[i][0]) for i in item], n, first, last]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(x, pa.int64()) for x in longs]], names=["doc_id", "item_id", "n_item_shingles", "n_found", "first_word", "last_word"])
 
     return search

@@ -77,10 +77,10 @@ def features(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             size, a, b, bands, signs = [], [], [], [], []
             for _, _, data, offs in chunks(batch.column(1)):
-                for s in shingle_sets(data, offs, k):
+                for s, other in shingle_sets(data, offs, k):
                     size.append(len(s))
                     a.append(s.sum(dtype=np.uint64))
-                    b.append(np.bitwise_xor.reduce(mix(s)) if len(s) else 0)
+                    b.append(other.sum(dtype=np.uint64))
                     if len(s):
                         values = signature(s)
                         rows = values.reshape(-1, ROWS)
@@ -165,20 +165,25 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(pairs, "a long, b long").distinct()
 
 
-def _links(sets: list[np.ndarray], asks: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning set of the links (Jaccard in per cent of at least ``percent``) between asking rows and all rows."""
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    owner, flat = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+def _links(sets: list[tuple[np.ndarray, np.ndarray]], asks: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning set of the links (Jaccard in per cent of at least ``percent``) between asking rows and all rows.
+
+    Shingles are the same when all their 128 bits are.
+    """
+    size = np.array([len(a) for a, _ in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    flat, other = (np.concatenate([s[i] for s in sets]) for i in (0, 1))
     order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
+    flat, other, owner = flat[order], other[order], owner[order]
     root = np.arange(len(sets))
     out = []
     for i in np.flatnonzero(asks).tolist():
-        lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        lo, hi = np.searchsorted(flat, sets[i][0], "left"), np.searchsorted(flat, sets[i][0], "right")
         span = hi - lo
         upto = np.cumsum(span)
         take = np.repeat(lo - upto + span, span) + np.arange(upto[-1])
-        both = np.bincount(owner[take], minlength=len(sets))
+        same = other[take] == np.repeat(sets[i][1], span)
+        both = np.bincount(owner[take[same]], minlength=len(sets))
         near = np.flatnonzero((100 * both >= percent * (size + size[i] - both)) & (both > 0))
         for j in near[root[near] != root[i]].tolist():
             if root[j] != root[i]:
@@ -198,7 +203,7 @@ def _exact(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if e - s > 1:
                     sets = [x for _, _, data, offs in chunks(text.slice(s, e - s)) for x in shingle_sets(data, offs, k)]
-                    own = {int(ids[s + i]): i for i, x in enumerate(sets) if x.sum(dtype=np.uint64).view(np.int64) == sums[s + i]}
+                    own = {int(ids[s + i]): i for i, x in enumerate(sets) if x[0].sum(dtype=np.uint64).view(np.int64) == sums[s + i]}
                     rows = np.array(sorted(own.values()), dtype=np.int64)  # one row a document, the one that was measured
                     for i, j in _links([sets[i] for i in rows], asks[s:e][rows], percent):
                         a.append(ids[s + rows[i]])

@@ -27,12 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import scratch
-from graphloom.llm.text import chunks, word_hashes, words
+from graphloom.llm.text import chunks
+from graphloom.llm.word_ids import WordIds
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 1_000_000
-JOINED = 1000  # new words that the tokenizer sees in one call
 ROWS_PER_BUCKET = 1000
 MOST_BUCKETS = 4096
 
@@ -98,75 +97,7 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) ->
     return runs
 
 
-class _WordIds:
-    """Token ids of words, each distinct word encoded once by the tokenizer and then kept, up to a bound."""
-
-    def __init__(self, path: str) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        bar = self.tokenizer.encode("|", add_special_tokens=False).ids
-        self.bar = bar[0] if len(bar) == 1 else None
-        self.clear()
-
-    def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.pool, self.used, self.n = np.zeros(1 << 20, np.uint32), 0, 0
-        self.first, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All token ids of the documents in order, and where each document's begin (n + 1 entries)."""
-        starts, ends, first_word = words(data, offs)
-        hashes = word_hashes(data, starts, ends, lower=False)
-        kinds, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.slot) + len(kinds) > CACHED_WORDS:
-            self.clear()
-        slots = [self.slot.get(h, -1) for h in kinds.tolist()]
-        new = [i for i, s in enumerate(slots) if s < 0]
-        if new:
-            raw = data.tobytes()
-            found = self._encode([raw[starts[at[i]] : ends[at[i]]].decode("utf-8", "replace") for i in new])
-            for i, ids in zip(new, found, strict=True):
-                slots[i] = self._keep(int(kinds[i]), ids)
-        slot = np.asarray(slots, dtype=np.int64)[which] if len(kinds) else np.zeros(0, np.int64)
-        length = self.length[slot]
-        upto = np.concatenate([[0], np.cumsum(length)])
-        take = np.repeat(self.first[slot] - upto[:-1], length) + np.arange(upto[-1])
-        return self.pool[take], upto[first_word]
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each word: many in one call with a bar between them, those that hold a bar one by one."""
-        out: list[list[int]] = [[] for _ in texts]
-        plain = [i for i, t in enumerate(texts) if self.bar is not None and "|" not in t]
-        rest = [i for i, t in enumerate(texts) if self.bar is None or "|" in t]
-        for lo in range(0, len(plain), JOINED):
-            some = plain[lo : lo + JOINED]
-            ids = self.tokenizer.encode_batch_fast([" | ".join(texts[i] for i in some)], add_special_tokens=False)[0].ids
-            cuts = [-1, *[k for k, x in enumerate(ids) if x == self.bar], len(ids)]
-            if len(cuts) != len(some) + 1:  # a bar that normalisation made
-                rest += some
-                continue
-            for i, a, b in zip(some, cuts, cuts[1:], strict=False):
-                out[i] = ids[a + 1 : b]
-        for i, enc in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = enc.ids
-        return out
-
-    def _keep(self, key: int, ids: list[int]) -> int:
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        if self.n == len(self.first):
-            self.first, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.first[self.n], self.length[self.n], self.slot[key] = self.used, len(ids), self.n
-        self.used, self.n = self.used + len(ids), self.n + 1
-        return self.n - 1
-
-
-_loaded: dict[str, _WordIds] = {}
+_loaded: dict[str, WordIds] = {}
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -180,28 +111,29 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _loaded:
-            _loaded[tokenizer] = _WordIds(tokenizer)
+            _loaded[tokenizer] = WordIds(tokenizer)
         encoder = _loaded[tokenizer]
         for batch in batches:
             keys = batch.column(0)
             for a, b, data, offs in chunks(batch.column(1)):
                 ids, upto = encoder.ids(data, offs)
-                rows, piece, start, length, crc, kept = [], [], [], [], [], []
-                for row in range(b - a):
-                    own = np.append(ids[upto[row] : upto[row + 1]], np.uint32(END_ID)).astype("<u4")
-                    for k in range(0, len(own), capacity):
-                        part = own[k : k + capacity]
-                        rows.append(a + row)
-                        piece.append(k // capacity)
-                        start.append(k)
-                        length.append(len(part))
-                        crc.append(zlib.crc32(part.tobytes()))
-                        if with_ids:
-                            kept.append(part.astype(np.int32))
-                cols = [keys.take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                rows = np.arange(b - a)
+                size = np.diff(upto) + 1
+                flat = np.full(len(ids) + len(rows), END_ID, dtype="<u4")  # each document's ids, then the end id
+                flat[np.arange(len(ids)) + np.repeat(rows, size - 1)] = ids
+                n = -(-size // capacity)
+                row = np.repeat(rows, n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(size[row] - start, capacity)
+                first = (np.cumsum(size) - size)[row] + start
+                raw = memoryview(flat).cast("B")
+                crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(first.tolist(), (first + length).tolist(), strict=True)]
+                cols = [keys.take(pa.array(a + row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    cols, names = [*cols, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
+                    bounds = np.append(first, len(flat)).astype(np.int32)
+                    cols, names = [*cols, pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat.astype(np.int32)))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = PIECES + (", ids array<int>" if with_ids else "")

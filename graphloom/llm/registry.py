@@ -42,7 +42,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80).drop("text_hash")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,39 +1,29 @@
 """Byte-level word tools shared by the operators that work on Arrow batches.
 
 A word is a maximal run of bytes outside space and 0x09-0x0D. Everything here is vectorised over
-the bytes of a chunk of documents, so a word costs a few nanoseconds and never becomes a Python
-object.
+a chunk of documents, so that a word hardly ever becomes a Python object. Words and shingles are told
+apart by 128 bits: short words by their own bytes, long ones by a cryptographic digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-_MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
+WHOLE = 15  # bytes up to which a word's key is the word itself
+_TIMES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 CHUNK_BYTES = 1 << 20
 
 
-def _ladder(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2**64, at least ``n`` of each."""
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES * 2)
-        for k, base in enumerate((_MULT, _INV)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -78,45 +68,97 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits (two arrays) for each word; ``lower`` folds A-Z first.
+
+    Up to ``WHOLE`` bytes they are the word itself with its length, so different words differ; a
+    longer word has its BLAKE2b digest.
+    """
+    padded = np.zeros(len(data) + 16, dtype=np.uint8)
+    padded[: len(data)] = _LOWER[data] if lower else data
+    eight = np.ndarray(len(data) + 9, dtype="<u8", buffer=padded, strides=(1,))
+    size = ends - starts
+    lo = eight[starts] & _MASKS[np.minimum(size, 8)]
+    hi = eight[starts + 8] & _MASKS[np.clip(size - 8, 0, 7)] | np.minimum(size, WHOLE).astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(size > WHOLE)
+    if len(long):
+        whole = memoryview(padded)
+        digests = [hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        both = np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2)
+        lo[long], hi[long] = both[:, 0], both[:, 1] | np.uint64(0xFF << 56)
+    return lo, hi
+
+
+def _lanes(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 128 bits of each key stirred one-to-one, so that each half depends on all of them."""
+    lo = lo ^ mix(hi + np.uint64(0x9E3779B97F4A7C15))
+    hi = hi ^ mix(lo + np.uint64(0xD1B54A32D192ED03))
+    return lo ^ mix(hi + np.uint64(0x8CB92BA72F3D8DD7)), hi
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each word; ``lower`` folds A-Z first."""
-    up, down = _ladder(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    vals = (_LOWER[data] if lower else data).astype(np.uint64)
-    vals += np.uint64(1)
-    vals *= up[: len(data)]
-    np.cumsum(vals, out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
-
-
-def combine(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of each ``k`` consecutive values; the order counts."""
-    n = len(hashes) - k + 1
+    return _lanes(*word_keys(data, starts, ends, lower))[0]
+
+
+def distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different row of the key columns stands first, and for each row which of them it is."""
+    folded = keys[0]
+    for other in keys[1:]:
+        folded = mix(folded) + other
+    _, at, which = np.unique(folded, return_index=True, return_inverse=True)
+    if any((k[at][which] != k).any() for k in keys):  # different rows of one folded value
+        _, at, which = np.unique(np.stack(keys, axis=1), axis=0, return_index=True, return_inverse=True)
+    return at, which.reshape(-1)
+
+
+def combine(lanes: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes (two arrays) of each ``k`` consecutive values; the order counts."""
+    n = len(lanes[0]) - k + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out = out * _MULT + hashes[j : j + n]
-    return mix(out + np.uint64(k))
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    out = []
+    for lane, times in zip(lanes, _TIMES, strict=True):
+        sums = lane[:n].copy()
+        for j in range(1, k):
+            sums *= times
+            sums += lane[j : j + n]
+        out.append(mix(sums + np.uint64(k)))
+    return out[0], out[1]
+
+
+def word_lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word, for ``combine``."""
+    return _lanes(*word_keys(data, starts, ends, lower))
+
+
+def as_set(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 128-bit values in order of their first half."""
+    order = np.argsort(a)
+    a, b = a[order], b[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+    keep = np.ones(len(a), dtype=bool)
+    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[keep], b[keep]
 
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int, lower: bool = True) -> list[np.ndarray]:
-    """Each document's sorted distinct ``k``-word shingle hashes.
+def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int, lower: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each document's distinct ``k``-word shingles as 128-bit hashes (two arrays, in order of the first).
 
     With fewer words the whole sequence is one shingle; without words the set is empty.
     """
     starts, ends, first = words(data, offs)
-    hashes = word_hashes(data, starts, ends, lower)
-    grams = combine(hashes, k)
+    lanes = word_lanes(data, starts, ends, lower)
+    grams = combine(lanes, k)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= k:
-            one = np.sort(grams[a : b - k + 1])
-            keep = np.ones(len(one), dtype=bool)
-            np.not_equal(one[1:], one[:-1], out=keep[1:])
-            out.append(one[keep])
+            out.append(as_set(grams[0][a : b - k + 1], grams[1][a : b - k + 1]))
         elif b > a:
-            out.append(combine(hashes[a:b], b - a))
+            out.append(combine((lanes[0][a:b], lanes[1][a:b]), b - a))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
     return out

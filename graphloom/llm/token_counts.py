@@ -5,7 +5,7 @@ looks up the rank of every adjacent pair, takes each sequence's lowest-ranked pa
 equals) and merges it in all sequences at once; sequences without a pair left drop out. What
 survives is counted: one per known symbol, one per UTF-8 byte of an unknown character (byte
 fallback). No piece of such a model holds a space mark after another character, nor a line break,
-so texts fall into independent pre-tokens there; each distinct one is merged once per task. A
+so texts fall into independent pre-tokens there; each distinct one, by its bytes, is merged once per task. A
 pre-token of over ``LONG`` symbols is merged by the same rule with a heap, so that one endless
 word doesn't cost a round per symbol.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import chunks, mix, word_hashes
+from graphloom.llm.text import chunks, distinct, word_keys
 
 SPACE = "▁"
 LONG = 200
@@ -59,7 +59,7 @@ class PieceMerger:
                 self.char[ord(c)] = i
         self.known = np.zeros(self.n_symbols, dtype=bool)
         self.known[:-1] = True
-        self.seen: dict[int, int] = {}
+        self.seen: dict[bytes, int] = {}
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left * self.n_symbols + right
@@ -163,20 +163,19 @@ class PieceMerger:
         return self.count([SPACE * int(n) for n in kinds])[which] if len(kinds) else np.zeros(0, np.int64)
 
     def _cached(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: np.ndarray) -> np.ndarray:
-        hashes = word_hashes(data, starts, ends, lower=False)
-        hashes = mix(hashes + gap.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        kinds, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if not len(kinds):
+        if not len(starts):
             return np.zeros(0, np.int64)
-        if len(self.seen) + len(kinds) > CACHED:
+        at, which = distinct(*word_keys(data, starts, ends, lower=False), gap.astype(np.uint64))
+        if len(self.seen) + len(at) > CACHED:
             self.seen.clear()
-        found = np.array([self.seen.get(h, -1) for h in kinds.tolist()], dtype=np.int64)
+        raw = data.tobytes()
+        names = [b" " * g + raw[a:b] for g, a, b in zip(gap[at].tolist(), starts[at].tolist(), ends[at].tolist(), strict=True)]
+        found = np.array([self.seen.get(name, -1) for name in names], dtype=np.int64)
         new = np.flatnonzero(found < 0)
         if len(new):
-            raw = data.tobytes()
-            texts = [SPACE * int(gap[i]) + raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in at[new].tolist()]
-            found[new] = self.count(texts)
-            self.seen.update(zip(kinds[new].tolist(), found[new].tolist(), strict=True))
+            unseen = [names[i] for i in new.tolist()]
+            found[new] = self.count([name.decode("utf-8", "replace").replace(" ", SPACE) for name in unseen])
+            self.seen.update(zip(unseen, found[new].tolist(), strict=True))
         return found[which]
 
 
