@@ -13,9 +13,9 @@ Jaccard similarity reaches the threshold.
    as connected as all similar pairs together. They make families.
 4. A family's full sets meet in blocks of bounded size, where posting lists give exact
    intersections; only a spanning set of the true links comes out. Where a family needs several
-   blocks, about ``HUBS`` members visit all of them. The members that are still outside the largest
-   component are then dealt into blocks of their own, and each of these meets each of the family's
-   blocks in a group of its own, so no pair is left out and no group holds more than two blocks.
+   blocks, about ``HUBS`` members visit all of them. Parts that this leaves apart are compared by a
+   join on their rarest shingles (prefix filter), which loses no link, and confirmed on the texts;
+   only members made of the family's common shingles almost wholly meet block by block.
 5. Links are joined into components; every copy takes its class's.
 
 No bucket or family is capped, no pair list of a group is written, and nothing but counts reaches the driver.
@@ -42,9 +42,10 @@ BLOCK = 1024
 FAMILY_SHINGLES = 1_000_000
 FAMILY_ROWS = 512
 HUBS = 16  # members of a family, about, that visit all its blocks
+COMMON = 64  # members of a family that may hold a shingle by which pairs are joined
 SLACK = 0.2  # estimated similarity may fall this far below the threshold (five standard errors)
 
-FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
+FEATURES = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
 _PROBES = (mix(np.arange(BINS * 512, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BINS)).astype(np.int64).reshape(BINS, 512)
 
 
@@ -76,7 +77,7 @@ def features(docs: DataFrame, k: int) -> DataFrame:
         band_id = np.arange(BINS // ROWS, dtype=np.uint64) << np.uint64(48)
         for batch in batches:
             size, a, b, bands, signs = [], [], [], [], []
-            for _, _, data, offs in chunks(batch.column(1)):
+            for _, _, data, offs in chunks(batch.column(2)):
                 for s, other in shingle_sets(data, offs, k):
                     size.append(len(s))
                     a.append(s.sum(dtype=np.uint64))
@@ -90,10 +91,15 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                         bands.append(np.zeros(0, np.int64))
                         signs.append(b"")
             longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), *longs, pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), *longs, pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands", "signature"])
 
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(make, FEATURES)
+    return keyed(docs).mapInArrow(make, FEATURES)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, a hash of the text and the text, of rows with a doc_id."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -193,68 +199,121 @@ def _links(sets: list[tuple[np.ndarray, np.ndarray]], asks: np.ndarray, percent:
 
 
 def _exact(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """True links (a, b) inside each (family, block) of members (family, block, doc_id, asks, set_a)."""
+    """True links (a, b) inside each (family, block) of members (family, block, doc_id, asks)."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 2):
-            ids, asks, sums = (table.column(c).to_numpy() for c in ("doc_id", "asks", "set_a"))
+            ids, asks = (table.column(c).to_numpy() for c in ("doc_id", "asks"))
             cuts, text = _bounds(table, 2), table.column("text").combine_chunks()
             a, b = [], []
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if e - s > 1:
                     sets = [x for _, _, data, offs in chunks(text.slice(s, e - s)) for x in shingle_sets(data, offs, k)]
-                    own = {int(ids[s + i]): i for i, x in enumerate(sets) if x[0].sum(dtype=np.uint64).view(np.int64) == sums[s + i]}
-                    rows = np.array(sorted(own.values()), dtype=np.int64)  # one row a document, the one that was measured
-                    for i, j in _links([sets[i] for i in rows], asks[s:e][rows], percent):
-                        a.append(ids[s + rows[i]])
-                        b.append(ids[s + rows[j]])
+                    for i, j in _links(sets, asks[s:e], percent):
+                        a.append(ids[s + i])
+                        b.append(ids[s + j])
             a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-    dealt = members.hint("merge").join(texts, "doc_id").select("family", "block", "doc_id", "asks", "set_a", "text").repartition("family", "block").sortWithinPartitions("family", "block", "doc_id")
+    dealt = members.hint("merge").join(texts, "doc_id").select("family", "block", "doc_id", "asks", "text").repartition("family", "block").sortWithinPartitions("family", "block", "doc_id")
     return dealt.mapInArrow(link, "a long, b long").distinct()
 
 
 def true_links(reps: DataFrame, docs: DataFrame, candidates: DataFrame, k: int, percent: int) -> DataFrame:
     """Edges (a, b) that connect just what the true links connect."""
     families = components(candidates, "families").withColumnsRenamed({"node": "doc_id", "component": "family"})
-    members = families.join(reps.select("doc_id", "n_shingles", "set_a"), "doc_id")
+    members = families.join(reps.select("doc_id", "text_hash", "n_shingles"), "doc_id")
     sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES), F.ceil(F.count("*") / FAMILY_ROWS)).cast("int").alias("blocks"), F.count("*").alias("size"))
     members = scratch.table(members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "members")
     # Texts of members are drawn from the documents once, by a sort-merge join at every size: its skewed parts split.
-    whole = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = scratch.table(whole.join(members.select("doc_id").hint("merge"), "doc_id"), "texts")
+    texts = keyed(docs).join(members.select("doc_id", "text_hash").hint("merge"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id"])
+    texts = scratch.table(texts.select("doc_id", "text"), "texts")
     hub = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("size")) < HUBS
     visits = F.explode(F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).alias("block")
-    links = scratch.table(_exact(members.select("family", visits, "doc_id", F.lit(True).alias("asks"), "set_a"), texts, k, percent), "links")
-    wide = members.filter("blocks > 1")
-    if not wide.head(1):
+    links = scratch.table(_exact(members.select("family", visits, "doc_id", F.lit(True).alias("asks")), texts, k, percent), "links")
+    if not members.filter("blocks > 1").head(1):
         return links
+    return _across_blocks(members, links, texts, k, percent)
+
+
+def _across_blocks(members: DataFrame, links: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links found so far as stars, and those between members of different blocks that join further parts.
+
+    Two sets of Jaccard ``t`` share one of the rarest ``n - ceil(t n) + 1`` shingles of the larger and the rarest
+    ``n - ceil(2 t / (1 + t) n) + 1`` of the smaller. So pairs come from a join on the family's shingles that at
+    most ``COMMON`` of its members hold, ordered by how many do, and are then confirmed on the texts. Only
+    where the commoner shingles reach into both beginnings, members of a family meet block by block.
+    """
     found = components(links, "parts").withColumnRenamed("node", "doc_id")
     stars = found.filter("doc_id <> component").select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
-    parts = scratch.table(wide.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "wide")
-    ranked = parts.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    rest = parts.join(ranked, "family").filter("component <> largest")
-    asking = rest.groupBy("family").agg(F.greatest(F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES), F.ceil(F.count("*") / FAMILY_ROWS)).alias("asking"))
-    dealt = parts.join(ranked, "family").join(asking, "family").withColumn("mine", F.when(F.col("component") != F.col("largest"), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("asking"))))
-    pair = lambda i, j: i * F.col("blocks") + j
-    visits = dealt.filter("mine is not null").select("family", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: pair(F.col("mine"), j))).alias("block"), "doc_id", F.lit(True).alias("asks"), "set_a")
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1), lambda i: F.col("mine").isNull() | (i != F.col("mine")))
-    stay = dealt.select("family", F.explode(F.transform(others, lambda i: pair(i, F.col("block")))).alias("block"), "doc_id", F.lit(False).alias("asks"), "set_a")
-    return stars.unionByName(scratch.table(_exact(visits.unionByName(stay), texts, k, percent), "links"))
+    parts = scratch.table(members.filter("blocks > 1").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "wide")
+    ranked = parts.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"))
+    open_ = ranked.filter("parts > 1")  # of one part nothing is left to join
+    parts = scratch.table(parts.join(open_, "family").withColumn("rest", F.col("component") != F.col("largest")).drop("largest", "parts"), "open")
+    if not parts.head(1):
+        return stars
+    held = scratch.table(_shingles(parts, texts, k), "shingles")
+    common = held.groupBy("family", "shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+    marked = held.join(common, ["family", "shingle"], "left")
+    rare = F.when(F.col("holders") <= COMMON, F.struct("holders", "shingle"))
+    each = scratch.table(marked.groupBy("family", "doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("holders").isNull()).alias("single"), F.array_sort(F.collect_list(rare)).alias("rare")), "rare")
+    n, single = F.col("n"), F.col("single")
+    asking = n - F.ceil(n * percent / 100) + 1
+    asked = n - F.ceil(n * 2 * percent / (100 + percent)) + 1
+    start = lambda most, role: parts.join(each, ["family", "doc_id"]).select("family", F.explode(F.slice("rare", F.lit(1), F.greatest(F.lit(0), most - single).cast("int"))).alias("s"), F.struct("n", "doc_id", "component", "rest").alias(role)).select("family", "s.shingle", role)
+    met = start(asking, "x").join(start(asked, "y"), ["family", "shingle"]).filter("x.component <> y.component and x.n >= y.n").filter(F.col("y.n") * 100 >= F.col("x.n") * percent)
+    pairs = scratch.table(met.select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct(), "pairs")
+    both = pairs.select(F.col("a").alias("family"), F.col("b").alias("block"), F.explode(F.array("a", "b")).alias("doc_id"), F.lit(True).alias("asks"))
+    joined = stars.unionByName(scratch.table(_exact(both, texts, k, percent), "links"))
+    # members whose beginnings hold common shingles: of the smaller sets' and of the larger sets'
+    known = single + F.size("rare")
+    full = parts.join(each.select("family", "doc_id", (known < asked).alias("deep"), (known < asking).alias("shallow")), ["family", "doc_id"]).filter("shallow")
+    full = scratch.table(full.join(full.filter("deep").select("family").distinct(), "family", "left_semi"), "saturated")
+    if not full.head(1):
+        return joined
+    first = _block_pairs(full.filter("deep and rest"), full, texts, k, percent)
+    return joined.unionByName(first).unionByName(_block_pairs(full.filter("rest and not deep"), full.filter("deep and not rest"), texts, k, percent))
+
+
+def _shingles(parts: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(family, doc_id, shingle) of the members' sets, by the first half of each hash."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, data, offs in chunks(batch.column(2)):
+                sets = [a for a, _ in shingle_sets(data, offs, k)]
+                row = pa.array(np.repeat(np.arange(lo, lo + len(sets)), [len(a) for a in sets]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(sets).view(np.int64))], names=["family", "doc_id", "shingle"])
+
+    rows = parts.select("family", "doc_id").hint("merge").join(texts, "doc_id").select("family", "doc_id", "text")
+    return rows.mapInArrow(spread, "family long, doc_id long, shingle long")
+
+
+def _block_pairs(asking: DataFrame, others: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between asking members and others of their family, in groups of one block of each."""
+    blocks = lambda rows, name: rows.groupBy("family").agg(F.greatest(F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES), F.ceil(F.count("*") / FAMILY_ROWS)).cast("int").alias(name))
+    sizes = scratch.table(blocks(asking, "rows").join(blocks(others, "columns"), "family"), "block-counts")
+    place = lambda count: F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col(count)).cast("int")
+    cell = lambda i, j: (i.cast("long") * F.col("columns") + j).alias("block")
+    line = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    ask = asking.join(sizes, "family").select("*", line("columns").alias("_j")).select("family", cell(place("rows"), F.col("_j")), "doc_id", F.lit(True).alias("asks"))
+    stay = others.join(sizes, "family").select("*", line("rows").alias("_i")).select("family", cell(F.col("_i"), place("columns")), "doc_id", F.lit(False).alias("asks"))
+    # a member that asks and is asked in one group asks
+    met = ask.unionByName(stay).groupBy("family", "block", "doc_id").agg(F.max("asks").alias("asks"))
+    return scratch.table(_exact(met, texts, k, percent), "links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (the document of least id in its component)."""
+    """doc_id, n_shingles, component_id and kept (the document of least id in its component), and the hash of the text that was judged."""
     made = features(docs, k)
-    one = made.groupBy("doc_id").agg(F.min_by(F.struct(*made.columns), F.struct("set_a", "set_b")).alias("_one"))
+    one = made.groupBy("doc_id").agg(F.min_by(F.struct(*made.columns), F.struct("set_a", "set_b", "text_hash")).alias("_one"))
     found = scratch.table(one.select("_one.*"), "features")
     classes = found.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     classes = scratch.table(classes, "classes")
-    reps = scratch.table(found.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "set_a", "bands", "signature"), "representatives")
+    reps = scratch.table(found.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text_hash", "n_shingles", "bands", "signature"), "representatives")
     links = true_links(reps, docs, candidate_edges(reps, percent / 100), k, percent)
     joined = components(links, "linked").withColumnRenamed("node", "class_id")
     labels = classes.join(joined, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    rows = found.select("doc_id", "n_shingles", "set_a", "set_b").join(labels.drop("class_id"), ["set_a", "set_b", "n_shingles"], "left")
+    rows = found.select("doc_id", "text_hash", "n_shingles", "set_a", "set_b").join(labels.drop("class_id"), ["set_a", "set_b", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"), "text_hash")
