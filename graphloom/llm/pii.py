@@ -1,9 +1,9 @@
 """Personal data: fixed patterns, and terms that give a protected entity away.
 
 The patterns find e-mail addresses, IP addresses, card numbers and phone numbers, leftmost and
-non-overlapping for each kind; a match that fails its check is dropped without a retry. Every
-distinct value is a protected entity. For the words near its mentions (``WINDOW`` words to either
-side) corpus co-occurrence tells how much they reveal: with ``p(e)`` the share of the corpus's words
+non-overlapping for each kind; a match that fails its check is dropped without a retry. Protected
+entities are every distinct value and every mail domain. For the words near their mentions (``WINDOW``
+words to either side) corpus co-occurrence tells how much they reveal: with ``p(e)`` the share of the corpus's words
 that are mentions of ``e``, and ``p(e|t)`` the share of the term's occurrences in the whole corpus that
 lie near a mention of ``e``, the pointwise mutual information ``log p(e|t) / p(e)`` is divided by the
 entity's information content ``-log p(e)``: 1 says that the term stands for the entity. At ``GENERALISE`` a term is
@@ -11,6 +11,13 @@ replaced by a placeholder of its kind, at ``REMOVE`` it is removed. A pair needs
 different neighbourhoods (neighbouring words), so that copies of one text prove nothing. A term that
 reveals any entity is treated wherever it stands in the corpus, by its largest disclosure.
 
+A secret (a key, a token, a password) needs no mention near it: the entity that it gives away is the very
+place where it stands. Candidates are runs of ``OPAQUE`` or more characters ``[A-Za-z0-9+/_-]`` that change between
+letters and digits ``CHANGES`` times or more, outside the patterns' spans. One is protected when the pairs of bytes of
+the rest of the corpus give it ``BITS`` bits of information or more, and when its neighbourhoods (the words
+before and after it) are so few that ``p(place|t) = 1 / neighbourhoods`` gives a disclosure of ``SECRET``, with
+``p(place)`` one of the corpus's positions; copies of one place count once.
+
 Spans are code points of the whole text, end exclusive. Null and empty texts have none. Rows that
 repeat doc_id and text each come out, with the same spans. An empty table gives an empty result;
 extra columns are kept by ``sanitise`` and ignored by ``find``.
@@ -19,6 +26,7 @@ extra columns are kept by ``sanitise`` and ignored by ``find``.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -38,6 +46,7 @@ WINDOW = 8
 EVIDENCE = 3
 SLOTS = 1 << 20  # hash values by which words that are no revealing term are passed over before the join
 GENERALISE, REMOVE = 0.95, 0.99
+OPAQUE, CHANGES, BITS, SECRET = 16, 4, 80.0, 0.85
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -48,6 +57,9 @@ _ANY = re.compile(r"[0-9@]")
 _BLANK = " \t\n\x0b\f\r"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TRIM = ".,;:!?\"'()"
+_DIGIT, _RUN = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_DIGIT[48:58] = True
+_RUN[[ord(c) for c in "+/_-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
 _TRIMMED = np.zeros(256, dtype=bool)
 _TRIMMED[[ord(c) for c in _TRIM]] = True
 
@@ -80,7 +92,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not _ANY.search(text):
         return []
     out = [("email", a, b) for a, b in _emails(text)]
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p) < 400 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         digits = re.sub(r"[^0-9]", "", m[0])
         if 13 <= len(digits) <= 19 and _luhn(digits):
@@ -128,7 +140,9 @@ def _near(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, str,
     out = []
     taken = [(a, b) for _, a, b in spans]
     for kind, a, b in spans:
-        entity = _hash(f"{kind}:{text[a:b].lower()}")
+        entities = [_hash(f"{kind}:{text[a:b].lower()}")]
+        if kind == "email":
+            entities.append(_hash(f"domain:{text[a:b].lower().partition('@')[2]}"))
         left, at = [], a
         while at > 0 and len(left) < WINDOW + 1:  # words before the mention, from a slice that grows only as needed
             lo = max(0, at - 64)
@@ -161,7 +175,7 @@ def _near(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, str,
                 start = s + len(names[i]) - len(names[i].lstrip(_TRIM))
                 glued = s > 0 and text[s - 1] not in _BLANK or e < len(text) and text[e] not in _BLANK
                 pair = f"{_term(names[i - 1]) if i else ''} {_term(names[i + 1]) if i + 1 < len(names) else ''}"
-                out.append((entity, term, _hash(pair), start, start + len(bare), glued))
+                out += [(entity, term, _hash(pair), start, start + len(bare), glued) for entity in entities]
     return out
 
 
@@ -300,13 +314,103 @@ def _outside(spans: list[tuple[str, int, int]]) -> Callable[[int, int], bool]:
     return lambda s, e: (i := bisect_left(starts, e)) == 0 or reach[i - 1] <= s
 
 
+SURVEY = "doc_id long, text_hash long, term string, around long, start int, end int, pair int, n long"
+
+
+def survey(docs: DataFrame) -> DataFrame:
+    """The candidates for secrets (doc_id to end), and rows (pair, n) of how often two bytes stand side by side."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(1 << 16, dtype=np.int64)
+        for batch in batches:
+            out: list[tuple] = []
+            for row, _, data, offs in chunks(batch.column(2)):
+                codes = data[:-1].astype(np.int64) << 8 | data[1:]
+                inner = offs[(offs > 0) & (offs < len(data))]
+                pairs += np.bincount(codes, minlength=1 << 16) - np.bincount(codes[np.unique(inner) - 1], minlength=1 << 16)
+                starts, ends = _opaque(data, offs)
+                if len(starts):
+                    out += _places(batch.column(2), row, data, offs, starts, ends)
+            take = pa.array([o[0] for o in out], pa.int64())
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32()]
+            held = [pa.array([o[i + 1] for o in out], kind) for i, kind in enumerate(kinds)]
+            blank = [pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *held, *blank], names=names)
+        seen = np.flatnonzero(pairs)
+        blank = [pa.nulls(len(seen), kind) for kind in (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32())]
+        yield pa.RecordBatch.from_arrays([*blank, pa.array(seen, pa.int32()), pa.array(pairs[seen])], names=names)
+
+    names = ["doc_id", "text_hash", "term", "around", "start", "end", "pair", "n"]
+    return keyed(docs).mapInArrow(scan, SURVEY)
+
+
+def _opaque(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end byte of each run that may be a secret by its form."""
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[offs] = True
+    run = np.append(_RUN[data], False)
+    before = np.concatenate([[False], run[:-1]])
+    starts, ends = np.flatnonzero(run & (~before | edge)), np.flatnonzero(before & (~run | edge))
+    long = ends - starts >= OPAQUE
+    starts, ends = starts[long], ends[long]
+    digit = _DIGIT[data]
+    letter = _RUN[data] & ~digit & (data >= 65) & (data != 95)
+    change = np.concatenate([[0], np.cumsum(digit[1:] & letter[:-1] | letter[1:] & digit[:-1], dtype=np.int64)])
+    many = change[ends - 1] - change[starts] >= CHANGES if len(starts) else np.zeros(0, bool)
+    return starts[many], ends[many]
+
+
+def _places(texts: pa.Array, row: int, data: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple]:
+    """(row, term, neighbourhood, start, end) of the runs outside the patterns' spans."""
+    word, stop, first = words(data, offs)
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    name = lambda i, d: _term(bytes(data[word[i] : stop[i]]).decode("utf-8", "replace")) if first[d] <= i < first[d + 1] else ""
+    out, at, free = [], -1, None
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        d = int(np.searchsorted(offs, a, "right")) - 1
+        if d != at:
+            at, free = d, _outside(base_spans(texts[row + d].as_py() or ""))
+        x, y = int(chars[a] - chars[offs[d]]), int(chars[b] - chars[offs[d]])
+        if free(x, y):
+            i = int(np.searchsorted(word, a, "right")) - 1
+            out.append((row + d, bytes(data[a:b]).decode("ascii"), _hash(f"{name(i - 1, d)} {name(i + 1, d)}"), x, y))
+    return out
+
+
+def secrets(surveyed: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, start, end, disclosure) of the protected secrets of a stored survey."""
+    table = np.zeros((256, 256))
+    for pair, n in surveyed.filter("pair is not null").groupBy("pair").agg(F.sum("n")).collect():  # 65536 rows at most
+        table[pair >> 8, pair & 255] = n
+    positions = max(2.0, float(table.sum()))
+    firsts = table.sum(axis=1)
+
+    @F.pandas_udf("double")
+    def information(terms: pd.Series, n: pd.Series) -> pd.Series:
+        """Bits of each term under the pairs of the rest of the corpus."""
+        out = []
+        for term, times in zip(terms, n, strict=True):
+            raw = np.frombuffer(term.encode(), np.uint8).astype(np.int64)
+            _, inverse, own = np.unique(raw[:-1] << 8 | raw[1:], return_inverse=True, return_counts=True)
+            pair = table[raw[:-1], raw[1:]] - times * own[inverse]
+            first = firsts[raw[:-1]] - times * np.bincount(raw[:-1], minlength=256)[raw[:-1]]
+            out.append(float(np.log2((np.maximum(first, 0) + 256) / (np.maximum(pair, 0) + 1)).sum()))
+        return pd.Series(out)
+
+    places = surveyed.filter("pair is null")
+    known = places.groupBy("term", "around").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+    told = known.withColumn("disclosure", 1 - F.log("kinds") / math.log(positions)).filter(F.col("disclosure") >= SECRET).filter(information("term", "n") >= BITS)
+    return places.drop("n").join(told, "term").select("doc_id", "text_hash", "start", "end", "disclosure")
+
+
 def find(docs: DataFrame) -> DataFrame:
     """Per document the pattern counts, the hash of the pattern spans and all spans with the terms'."""
     found = scratch.table(mentions(docs), "mentions")
     flagged = scratch.table(revealing_terms(found, docs), "revealing")
     told = scratch.table(flagged.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "told")
     near = found.select("doc_id", "text_hash", F.explode("near").alias("x")).filter("x.glued").select("doc_id", "text_hash", "x.term", "x.start", "x.end")
-    spans = near.join(told, "term").drop("term").unionByName(occurrences(docs, told)).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    hidden = secrets(scratch.table(survey(docs), "survey"))
+    spans = near.join(told, "term").drop("term").unionByName(occurrences(docs, told)).unionByName(hidden).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     struct = F.struct("start", "end", (F.col("disclosure") >= REMOVE).alias("remove"))
     terms = spans.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.array_sort(F.collect_list(struct)).alias("terms"))
     rows = found.drop("near").join(terms, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left").drop("_d", "_h")
@@ -317,15 +421,17 @@ def find(docs: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced by its kind, and revealing terms generalised or removed."""
-    places = find(docs).filter("spans <> ''").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "base", "terms").dropDuplicates(["_d", "_h"])
-    joined = docs.join(places, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_h")), "left")
+    found = find(docs).filter("spans <> ''").select("doc_id", "text_hash", "base", "terms").dropDuplicates(["doc_id", "text_hash"])
+    places = found.select(*[F.col(c).alias(f"_{c}") for c in found.columns])
+    same_id, text = docs["doc_id"].cast("long").eqNullSafe(places["_doc_id"]), docs["text"]
+    joined = docs.join(places, same_id & (F.xxhash64(F.coalesce(text, F.lit(""))) == places["_text_hash"]), "left")
 
     @F.pandas_udf("string")
     def clean(text: pd.Series, base: pd.Series, terms: pd.Series) -> pd.Series:
         return pd.Series([_cleaned(t, b, x) for t, b, x in zip(text, base, terms, strict=True)])
 
-    cleaned = F.when(F.col("_d").isNull() & F.col("_h").isNull(), F.col("text")).otherwise(clean("text", F.col("base"), F.col("terms")))
-    return joined.select(*[cleaned.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    cleaned = F.when(places["_text_hash"].isNull(), text).otherwise(clean(text, places["_base"], places["_terms"]))
+    return joined.select(*[cleaned.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns])
 
 
 def _cleaned(text: str | None, base: list | None, terms: list | None) -> str | None:

@@ -132,32 +132,71 @@ def near_words(text, spans):
     return out
 
 
+def fold(word):
+    return word.strip(".,;:!?\"'()").lower()
+
+
 def all_spans(texts):
-    """doc_id to (base spans, term spans (start, end, remove)) with the corpus's disclosure."""
-    base = {i: base_spans(t or "") for i, t in texts.items()}
-    near = {i: near_words(t or "", base[i]) for i, t in texts.items()}
-    corpus = Counter(w.strip(".,;:!?\"'()").translate(LOWER) for t in texts.values() for w in WORD.findall(t or ""))
-    total = sum(corpus.values())
-    both, beside, mentions = Counter(), defaultdict(set), Counter()
-    for i in near:
-        for entity, term, _ in {(e, t, s) for e, t, _, s, _ in near[i]}:
-            both[entity, term] += 1
-        for entity, term, around, _, _ in near[i]:
-            beside[entity, term].add(around)
-            mentions[entity] += 1
+    """doc_id to (base spans, term spans (start, end, remove)), from the definition: corpus counts, then each word judged."""
+    texts = {i: t or "" for i, t in texts.items()}
+    base = {i: base_spans(t) for i, t in texts.items()}
+    corpus, mentioned, near, beside = Counter(), Counter(), Counter(), defaultdict(set)
+    for i, text in texts.items():
+        corpus.update(fold(w) for w in WORD.findall(text))
+        seen = set()
+        for (kind, value), term, around, start, _ in near_words(text, base[i]):
+            for entity in [(kind, value)] + [("domain", value.partition("@")[2])] * (kind == "email"):
+                seen.add((entity, term, start))
+                mentioned[entity] += 1
+                beside[entity, term].add(around)
+        near.update((entity, term) for entity, term, _ in seen)
     told = {}
-    for (entity, term), n in both.items():
-        if len(beside[entity, term]) >= pii.EVIDENCE and corpus.get(term):
-            p = math.ceil(mentions[entity] / (2 * pii.WINDOW)) / total
-            value = math.log(min(1, n / corpus[term]) / p) / -math.log(p)
-            if value >= pii.GENERALISE:
-                told[entity, term] = value
-    terms = {i: defaultdict(float) for i in near}
-    for i in near:
-        for entity, term, _, start, end in near[i]:
-            if (entity, term) in told:
-                terms[i][start, end] = max(terms[i][start, end], told[entity, term])
-    return {i: (base[i], sorted((a, b, v >= pii.REMOVE) for (a, b), v in terms[i].items())) for i in near}
+    for (entity, term), n in near.items():
+        if len(beside[entity, term]) >= pii.EVIDENCE and corpus[term]:
+            p = math.ceil(mentioned[entity] / (2 * pii.WINDOW)) / sum(corpus.values())
+            told[term] = max(told.get(term, 0), math.log(min(1, n / corpus[term]) / p) / -math.log(p))
+    told = {term: v for term, v in told.items() if v >= pii.GENERALISE}
+    hidden = secrets(texts, base)
+    out = {}
+    for i, text in texts.items():
+        spans = dict(hidden[i])
+        for m in WORD.finditer(text):
+            start = m.start() + len(m[0]) - len(m[0].lstrip(".,;:!?\"'()"))
+            end = start + len(m[0].strip(".,;:!?\"'()"))
+            if fold(m[0]) in told and not any(start < y and x < end for _, x, y in base[i]):
+                spans[start, end] = max(spans.get((start, end), 0), told[fold(m[0])])
+        out[i] = (base[i], sorted((a, b, v >= pii.REMOVE) for (a, b), v in spans.items()))
+    return out
+
+
+def secrets(texts, base):
+    """doc_id to {(start, end): disclosure} of the long runs that the corpus tells to be secrets."""
+    pairs = Counter(p for t in texts.values() for p in zip(t.encode(), t.encode()[1:]))
+    first = Counter()
+    for (a, _), n in pairs.items():
+        first[a] += n
+
+    def bits(run, times):
+        own = list(zip(run.encode(), run.encode()[1:]))
+        rest = lambda counts, key, mine: max(0, counts[key] - times * mine.count(key))
+        return sum(math.log2((rest(first, a, [x for x, _ in own]) + 256) / (rest(pairs, (a, b), own) + 1)) for a, b in own)
+
+    found, around = [], defaultdict(set)
+    for i, text in texts.items():
+        places = [m.span() for m in WORD.finditer(text)]
+        for m in re.finditer(r"[A-Za-z0-9+/_-]+", text):
+            changes = len(re.findall(r"(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]", m[0]))
+            if len(m[0]) >= pii.OPAQUE and changes >= pii.CHANGES and not any(m.start() < y and x < m.end() for _, x, y in base[i]):
+                k = next(k for k, (a, b) in enumerate(places) if a <= m.start() < b)
+                word = lambda k: fold(text[slice(*places[k])]) if 0 <= k < len(places) else ""
+                around[m[0]].add((word(k - 1), word(k + 1)))
+                found.append((i, m.span(), m[0]))
+    out = {i: {} for i in texts}
+    for i, span, run in found:
+        value = 1 - math.log(len(around[run])) / math.log(max(2, sum(pairs.values())))
+        if value >= pii.SECRET and bits(run, sum(r == run for _, _, r in found)) >= pii.BITS:
+            out[i][span] = value
+    return out
 
 
 def cleaned(text, base, terms):

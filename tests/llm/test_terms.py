@@ -42,7 +42,7 @@ def test_capital_form_counts_with_the_lower_one(spark):
 def test_glued_terms_are_counted(spark):
     found = spans(spark, [(i, f"{w} wrote {v} Kennung:a@b.com then {w} left {v}") for i, (w, v) in enumerate(SIDES)] + FILL)
     assert "term:14:21" in found[0]
-    others = [(500 + i, f"{i} Kennung:user{i}@b.com plain") for i in range(100)]
+    others = [(500 + i, f"{i} Kennung:user{i}@d{i}.com plain") for i in range(100)]
     found = spans(spark, [(i, f"{w} wrote {v} Kennung:a@b.com then {w} left {v}") for i, (w, v) in enumerate(SIDES)] + FILL + others)
     assert "term:14:21" not in found[0]
 
@@ -65,3 +65,35 @@ def test_terms_inside_mentions_stay_out(spark):
     rows = [(1000 + i, f"a{i} wrote 555-7713 b{i} a@b.com then c{i} left d{i}") for i in range(30)]
     found = spans(spark, [*rows, (2000, "call 555-7713 or +1 (017) 555-7713"), *FILL])
     assert found[2000] == ["phone:17:34", "term:5:13"]
+
+
+KEY = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+
+
+def test_secrets(spark):
+    rows = [(1, f'é token = "{KEY}" here'), (2, f"before password:{KEY[:20]}, after"), (3, "abcdefghijklmnopqrstuvwxyz 12345678901234567890 a1b2c3")]
+    found = spans(spark, rows + FILL)
+    assert found[1] == ["term:11:51"] and found[2] == ["term:16:36"] and found[3] == [""]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert KEY not in clean[1] and clean[1].startswith('é token = "')
+
+
+def test_a_run_of_many_places_is_no_secret(spark):
+    rows = [(i, f"word{i} {KEY} next{i}") for i in range(300)]
+    assert set(map(tuple, spans(spark, rows + FILL).values())) == {("",)}
+    copies = [(i, f"word {KEY} next") for i in range(300)]
+    assert spans(spark, copies)[5] == ["term:5:45"]
+
+
+def test_domains_are_entities(spark):
+    rows = [(i, f"{w} wrote Zorblatt {v} user{i}@firm.org then {w} left {v}") for i, (w, v) in enumerate(SIDES)]
+    assert "term:10:18" in spans(spark, rows + FILL)[0]
+
+
+def test_parts_with_many_zeros(spark):
+    assert spans(spark, [(1, "0" * 5000 + "1.2.3.4")])[1] == ["ip:0:5007"]
+
+
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "mail a@b.com", "x", "y", 3, 4, 5)], "doc_id long, text string, base string, terms string, _d int, _doc_id int, _text_hash int")
+    assert pii.sanitise(rows).first().asDict() == {"doc_id": 1, "text": "mail [EMAIL]", "base": "x", "terms": "y", "_d": 3, "_doc_id": 4, "_text_hash": 5}
