@@ -223,7 +223,7 @@ def true_links(reps: DataFrame, docs: DataFrame, candidates: DataFrame, k: int,
     """Edges (a, b) that connect just what the true links connect."""
     families = components(candidates, "families").withColumnsRenamed({"node": "doc_id", "component": "family"})
     members = families.join(reps.select("doc_id", "text_hash", "n_shingles"), "doc_id")
-    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES), F.ceil(F.count("*") / FAMILY_ROWS)).cast("int").alias("blocks"), F.count("*").alias("size"))
+    sizes = _blocks(members, "blocks").join(members.groupBy("family").agg(F.count("*").alias("size")), "family")
     members = scratch.table(members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "members")
     # Texts of members are drawn from the documents once, by a sort-merge join at every size: its skewed parts split.
     texts = keyed(docs).join(members.select("doc_id", "text_hash").hint("merge"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id"])
@@ -242,16 +242,20 @@ def _across_blocks(members: DataFrame, links: DataFrame, texts: DataFrame, k: in
     Two sets of Jaccard ``t`` share one of the rarest ``n - ceil(t n) + 1`` shingles of the larger and the rarest
     ``n - ceil(2 t / (1 + t) n) + 1`` of the smaller. So pairs come from a join on the family's shingles that at
     most ``COMMON`` of its members hold, ordered by how many do, and are then confirmed on the texts. Only
-    where the commoner shingles reach into both beginnings, members of a family meet block by block.
+    where the commoner shingles reach into both beginnings, members of a family meet block by block, as they do
+    where few are apart.
     """
     found = components(links, "parts").withColumnRenamed("node", "doc_id")
     stars = found.filter("doc_id <> component").select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
     parts = scratch.table(members.filter("blocks > 1").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "wide")
     ranked = parts.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"))
-    open_ = ranked.filter("parts > 1")  # of one part nothing is left to join
-    parts = scratch.table(parts.join(open_, "family").withColumn("rest", F.col("component") != F.col("largest")).drop("largest", "parts"), "open")
+    parts = parts.join(ranked.filter("parts > 1"), "family").withColumn("rest", F.col("component") != F.col("largest")).drop("largest", "parts")
+    parts = scratch.table(parts.join(_blocks(parts.filter("rest"), "apart"), "family"), "open")
+    # where one block holds all that is apart, it meets each block of the family once
+    near = stars.unionByName(_block_pairs(parts.filter("apart = 1 and rest"), parts.filter("apart = 1"), texts, k, percent))
+    parts = parts.filter("apart > 1")
     if not parts.head(1):
-        return stars
+        return near
     held = scratch.table(_shingles(parts, texts, k), "shingles")
     common = held.groupBy("family", "shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
     marked = held.join(common, ["family", "shingle"], "left")
@@ -264,7 +268,7 @@ def _across_blocks(members: DataFrame, links: DataFrame, texts: DataFrame, k: in
     met = start(asking, "x").join(start(asked, "y"), ["family", "shingle"]).filter("x.component <> y.component and x.n >= y.n").filter(F.col("y.n") * 100 >= F.col("x.n") * percent)
     pairs = scratch.table(met.select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct(), "pairs")
     both = pairs.select(F.col("a").alias("family"), F.col("b").alias("block"), F.explode(F.array("a", "b")).alias("doc_id"), F.lit(True).alias("asks"))
-    joined = stars.unionByName(scratch.table(_exact(both, texts, k, percent), "links"))
+    joined = near.unionByName(scratch.table(_exact(both, texts, k, percent), "links"))
     # members whose beginnings hold common shingles: of the smaller sets' and of the larger sets'
     known = single + F.size("rare")
     full = parts.join(each.select("family", "doc_id", (known < asked).alias("deep"), (known < asking).alias("shallow")), ["family", "doc_id"]).filter("shallow")
@@ -289,10 +293,15 @@ def _shingles(parts: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(spread, "family long, doc_id long, shingle long")
 
 
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """(family, name): how many blocks its rows need."""
+    most = F.greatest(F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES), F.ceil(F.count("*") / FAMILY_ROWS))
+    return rows.groupBy("family").agg(most.cast("int").alias(name))
+
+
 def _block_pairs(asking: DataFrame, others: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between asking members and others of their family, in groups of one block of each."""
-    blocks = lambda rows, name: rows.groupBy("family").agg(F.greatest(F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES), F.ceil(F.count("*") / FAMILY_ROWS)).cast("int").alias(name))
-    sizes = scratch.table(blocks(asking, "rows").join(blocks(others, "columns"), "family"), "block-counts")
+    sizes = scratch.table(_blocks(asking, "rows").join(_blocks(others, "columns"), "family"), "block-counts")
     place = lambda count: F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col(count)).cast("int")
     cell = lambda i, j: (i.cast("long") * F.col("columns") + j).alias("block")
     line = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
