@@ -77,6 +77,26 @@ def turn_events(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.col("turn").alias("seq"), "kind", "turn", "role", F.when(F.col("kind") == "delta", F.col("text")).alias("text"), "_tie")
 
 
+def streamed_events(conversations: DataFrame) -> DataFrame:
+    """A table of turns as the log of a streaming chat, by a hash of each row.
+
+    A third of the turns streams in as several deltas, a third begins with a draft that is regenerated before the
+    deltas of its text, and a third with a draft that an edit replaces. What is folded from it is the table.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("turn"), "role", text.alias("t"))
+    rows = rows.withColumn("_tie", F.xxhash64("role", "t")).withColumn("_row", F.monotonically_increasing_id())
+    third = (F.char_length("t") / 3).cast("int") + 1
+    part = lambda i: F.substring(F.col("t"), i * third + 1, third)
+    event = lambda kind, said=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if said is None else said).alias("text"))
+    begin, deltas = event("message"), [event("delta", part(i)) for i in range(3)]
+    draft = event("delta", F.concat(F.lit("draft "), F.reverse("t")))
+    kind = F.pmod("_tie", F.lit(3))
+    log = F.when(kind == 0, F.array(begin, *deltas)).when(kind == 1, F.array(begin, draft, event("regenerate"), *deltas)).otherwise(F.array(begin, draft, event("edit", F.col("t"))))
+    rows = rows.select("conv_id", "turn", "role", "_tie", "_row", F.posexplode(log).alias("_step", "e"))
+    return rows.select("conv_id", F.col("turn").alias("seq"), "e.kind", "turn", "role", "e.text", "_tie", "_row", "_step")
+
+
 def _folded(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int | None, list[list[str]]]]:
     """Each conversation with its turns [role, text parts...], in order of first event.
 
@@ -125,8 +145,10 @@ def _over_conversations(events: DataFrame, make: Callable[[int | None, list[tupl
             yield pd.DataFrame(rows, columns=names)
 
     order = F.col("kind").isin("delta", "edit").cast("int")
-    log = events.withColumn("_o", order).withColumn("_tie", F.col("_tie") if "_tie" in events.columns else F.lit(0))
-    log = log.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "turn", "_tie", "_o", "text")
+    log = events.withColumn("_step", F.col("_step") if "_step" in events.columns else order)
+    for name in ("_tie", "_row"):
+        log = log.withColumn(name, F.col(name) if name in events.columns else F.lit(0))
+    log = log.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "turn", "_tie", "_row", "_step", "text")
     return log.select("conv_id", "kind", "turn", "role", "text").mapInPandas(fold, schema)
 
 

@@ -156,9 +156,10 @@ def _searcher(index: ItemIndex):
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that contain no item."""
-    hit = contained_items(docs, items, k, percent).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("_hit"), "left_anti")
+    """The documents that contain no item. Each row is judged by its own text, whatever its doc_id; all columns stay."""
+    key = lambda: F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+    hit = contained_items(docs.select(key().alias("doc_id"), docs["text"]), items, k, percent).select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, key() == hit["_hit"], "left_anti")
 
 
 def oracle_sql(percent: int = 80) -> str:

@@ -2,29 +2,37 @@
 
 A multinomial logistic regression over sparse word 1- and 2-grams is trained on licence notices (the
 templates below, whole and in cut forms), on notices of no known family and on a bounded sample of
-the corpus's own paragraphs. Its classes are the families, ``unknown`` and ``none``. The
-probability from which a family is believed is calibrated on notices kept out of the training: the
-least at which none of the unknown ones passes. A believed family must then be confirmed by a template: at least ``CONFIRM`` of
-the template's word pairs stand in the paragraph. Whatever fails either test is ``unknown``.
-
-A paragraph is a line of the text. One without a cue (a word of the notices that the corpus sample
-doesn't have) is no notice; only the others are scored. Null and empty texts have no paragraphs.
-Rows that repeat doc_id and text count once. Ties between classes go to the first by name. An empty
-table gives an empty result; extra columns are ignored.
+the corpus's own lines. Its classes are the families, ``unknown`` and ``none``. A family is believed above
+the largest probability that any has on notices of licences which training never saw (``UNSEEN``). A believed family must then be confirmed by a template: at least ``CONFIRM`` of the
+template's word pairs stand in the paragraph. Whatever fails either test is ``unknown``.
+
+A paragraph is a run of lines up to a blank one, its lines joined, so that wrapped notices and comment
+blocks are whole; each of its lines is tried on its own, too. A confirmed line stands for itself; where a
+paragraph has none, the whole paragraph counts if it is confirmed, else its lines that look like unknown notices.
+
+Every paragraph has a score. The features are words and pairs of the notices that fewer than one in
+``COMMON`` of the sampled lines hold, so a paragraph without any of them has the score of the
+intercepts alone, which is ``none`` (its intercept is raised to the largest where it isn't); only the others are looked up one by one.
+
+Null and empty texts have no paragraphs. Rows that repeat doc_id and text count once; rows without a
+doc_id come out with a null one. Ties between classes go to the first by name. An empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import scratch
 
-SAMPLE = 3000  # corpus paragraphs in the training, those of least hash
-NONE_WEIGHT = 0.05  # of a corpus paragraph in the training, beside 1 for a notice
-VOCABULARY = 4096
+SAMPLE = 3000  # corpus lines in the training, those of least hash
+SAMPLED_TEXTS = 1000  # distinct texts, about, that they are drawn from
+NONE_WEIGHT = 0.05  # of a corpus line in the training, beside 1 for a notice
+COMMON = 100
+VOCABULARY = 8192
 CONFIRM = 0.6
 
 # Customary wording of licence notices, one list a family.
@@ -45,6 +53,54 @@ TEMPLATES = {
     "proprietary": ["Copyright (c) the authors. All rights reserved.", "This document is confidential and proprietary. Unauthorized copying is strictly prohibited."],
     "unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
 }
+# The licences' short names, as they stand after "License:" and in file headers.
+NAMES = {
+    "agpl": ["AGPL", "AGPLv3", "AGPL-3.0", "GNU AGPL v3", "GNU Affero General Public License"],
+    "apache-2.0": ["Apache 2.0", "Apache-2.0", "Apache License 2.0", "Apache Software License"],
+    "bsd": ["BSD", "BSD-2-Clause", "BSD-3-Clause", "New BSD", "Simplified BSD"],
+    "cc-by": ["CC BY 4.0", "CC-BY-4.0", "Creative Commons Attribution 4.0"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0"],
+    "cc-by-nd": ["CC BY-ND 4.0", "CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0"],
+    "cc-by-sa": ["CC BY-SA 4.0", "CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0"],
+    "cc0": ["CC0", "CC0 1.0", "CC0-1.0"],
+    "gpl": ["GPL", "GPLv2", "GPLv3", "GPL-2.0", "GPL-3.0", "GNU GPL v3", "GNU General Public License"],
+    "isc": ["ISC"],
+    "lgpl": ["LGPL", "LGPLv2.1", "LGPLv3", "LGPL-2.1", "LGPL-3.0", "GNU LGPL v3", "GNU Lesser General Public License"],
+    "mit": ["MIT", "Expat", "X11 MIT"],
+    "mpl-2.0": ["MPL 2.0", "MPL-2.0", "Mozilla Public License 2.0"],
+    "proprietary": ["Proprietary", "All rights reserved"],
+    "unlicense": ["Unlicense", "The Unlicense"],
+}
+# Further sentences of the families' texts.
+MORE = {
+    "gpl": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."],
+    "lgpl": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY. See the GNU Lesser General Public License for more details.", "Licensed under the GNU Lesser General Public License, version 3.", "This work is licensed under the GNU Lesser General Public License, version 3."],
+    "mit": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "bsd": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "apache-2.0": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
+}
+FORMS = ["License: {}", "Licence: {}", "Licensed under {}", "Code: {}", "SPDX-License-Identifier: {}", "Released under the {} license"]
+# Notices of licences that training never sees, for the calibration of ``unknown``.
+UNSEEN = [
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Permission is hereby granted to use or copy this program under the terms of the Boost Software License, Version 1.0.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "Licensed under the Common Development and Distribution License, version 1.0.",
+    "Everyone is permitted to copy and distribute verbatim or modified copies of this license document.",
+    "This software is released under the Microsoft Public License (Ms-PL).",
+    "Distributed under the terms of the PostgreSQL License.",
+    "Licensed under the Academic Free License version 3.0.",
+    "Released under the zlib license.",
+    "License: WTFPL",
+    "License: CDDL-1.0",
+    "License: OFL-1.1",
+    "SPDX-License-Identifier: BSL-1.0",
+    "SPDX-License-Identifier: Zlib",
+    "This database is made available under the terms of the Community Data License Agreement.",
+    "Licensed under the CeCILL-C free software license agreement.",
+    "Use of this software is governed by the Business Source License included in the file.",
+    "The contents of this file are subject to the Common Public Attribution License Version 1.0.",
+]
 # Notices of no family above.
 UNKNOWN = [
     "Licensed under the terms of the accompanying agreement.",
@@ -82,32 +138,42 @@ def _rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame
     return spark.range(1).select(one.alias("r")).select("r.*")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, place and text of each paragraph with a word."""
-    rows = docs.filter("text is not null").select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    return rows.filter(F.col("line").rlike("\\p{L}"))
+def known_texts() -> list[tuple[str, str]]:
+    """(family, template): the notices by which a family is confirmed."""
+    whole = [(f, t) for table in (TEMPLATES, MORE) for f, ts in table.items() for t in ts]
+    return whole + [(f, form.format(name)) for f, names in NAMES.items() for name in names for form in FORMS]
 
 
 def notices(spark: SparkSession) -> DataFrame:
-    """Training notices (line, label, kept_out): each template whole, without its ends, and as halves of the long ones."""
-    known = [(t, f) for f, ts in TEMPLATES.items() for t in ts] + [(t, "unknown") for t in UNKNOWN]
+    """Training notices (line, label): each text whole, in capitals, with a sentence after it, and halves of the long ones."""
+    known = [(t, f) for f, t in known_texts()] + [(t, "unknown") for t in UNKNOWN]
     base = _rows(spark, known, ["line", "label"]).withColumn("w", F.split("line", " "))
     n = F.size("w")
     cut = lambda a, b: F.array_join(F.slice("w", a, F.greatest(b, F.lit(1))), " ")
     half = F.when(n > 14, F.array(cut(F.lit(1), F.floor(n * 0.6).cast("int")), cut(F.ceil(n * 0.4).cast("int"), n))).otherwise(F.array().cast("array<string>"))
     forms = F.concat(F.array("line", F.upper("line"), F.concat(F.col("line"), F.lit(" See the file for details."))), half)
-    spread = base.select("label", F.posexplode(forms).alias("form", "line"))
-    return spread.withColumn("kept_out", (F.col("form") == 2) | (F.col("form") == 4))
+    return base.select("label", F.explode(forms).alias("line"))
+
+
+def sampled_lines(docs: DataFrame) -> DataFrame:
+    """``SAMPLE`` distinct lines of the corpus that hold no plain word of licences, from about ``SAMPLED_TEXTS`` texts."""
+    texts = docs.filter("text is not null").select("text", F.xxhash64("text").alias("h"))
+    n = texts.agg(F.approx_count_distinct("h").alias("n")).first()[0]
+    share = min(1.0, 2 * SAMPLED_TEXTS / max(1, n))
+    some = texts.filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text").distinct()
+    lines = some.select(F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike("\\p{L}"))
+    plain = lines.filter(~F.lower("line").rlike("licen[sc]|copyright|permission|spdx|creative commons|rights reserved|redistribut|public domain|all rights|\\bcc[0 -]"))
+    return plain.distinct().withColumn("h", F.xxhash64("line")).orderBy("h", "line").limit(SAMPLE).select("line")
 
 
 class Model:
-    """Weights per feature and class, cues and the calibrated probability."""
+    """Weights per feature and class, the feature words and the calibrated probability."""
 
-    def __init__(self, weights: DataFrame, classes: list[str], intercepts: list[float], cues: list[str], believed: float) -> None:
-        self.weights, self.classes, self.intercepts, self.cues, self.believed = weights, classes, intercepts, cues, believed
+    def __init__(self, weights: DataFrame, classes: list[str], intercepts: list[float], words: list[str], believed: float) -> None:
+        self.weights, self.classes, self.intercepts, self.words, self.believed = weights, classes, intercepts, words, believed
 
     def scores(self, rows: DataFrame) -> DataFrame:
-        """Most probable class and its probability of rows with ``key`` (a struct) and ``line``."""
+        """Most probable class and its probability of rows with ``key`` (a struct) and ``line``; rows without a feature are left out."""
         grams = rows.select("key", F.explode(_features(_words(F.col("line")))).alias("feature"))
         sums = grams.join(F.broadcast(self.weights), "feature").groupBy("key").agg(*[F.sum(F.element_at("weights", i + 1)).alias(f"_{i}") for i in range(len(self.classes))])
         logits = F.array(*[F.struct((F.col(f"_{i}") + b).alias("logit"), F.lit(-i).alias("order"), F.lit(c).alias("label")) for i, (c, b) in enumerate(zip(self.classes, self.intercepts, strict=True))])
@@ -115,47 +181,78 @@ class Model:
         total = F.aggregate("logits", F.lit(0.0), lambda s, x: s + F.exp(x["logit"] - F.col("best.logit")))
         return sums.select("key", logits.alias("logits")).withColumn("best", best).select("key", F.col("best.label").alias("label"), (1 / total).alias("probability"))
 
+    def confirmed(self, rows: DataFrame) -> DataFrame:
+        """``scores`` with the similarity to the family's nearest template and whether both tests are passed."""
+        table = _rows(rows.sparkSession, known_texts(), ["family", "template"]).select("family", _marks(F.col("template")).alias("t"))
+        templates = table.groupBy("family").agg(F.collect_set("t").alias("templates"))
+        found = self.scores(rows).filter("label <> 'none'")
+        joined = found.join(F.broadcast(templates), found["label"] == templates["family"], "left").withColumn("own", F.concat(_marks(F.col("key.line")), _words(F.col("key.line"))))
+        share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.size(F.array_distinct(t))))
+        rows = joined.withColumn("similarity", F.round(F.coalesce(share, F.lit(0.0)), 4))
+        return rows.withColumn("confirmed", (F.col("similarity") >= CONFIRM) & (F.col("probability") > self.believed))
+
+
+def _marks(text: Column) -> Column:
+    """What a template is compared by: its word pairs, or its only word."""
+    words = _words(text)
+    return F.when(F.size(words) > 1, _pairs(words)).otherwise(words)
+
 
 def train(docs: DataFrame) -> Model:
-    """Fit on the notices and ``SAMPLE`` corpus paragraphs, and calibrate."""
+    """Fit on the notices and ``SAMPLE`` corpus lines, and calibrate."""
     spark = docs.sparkSession
-    known = notices(spark)
-    text = lines(docs).select("line").filter(~F.lower("line").rlike("licen[sc]|copyright|permission|spdx|creative commons|rights reserved|redistribut|public domain|all rights"))
-    sample = text.withColumn("h", F.xxhash64("line")).distinct().orderBy("h", "line").limit(SAMPLE).select("line")
-    data = known.select("line", "label", "kept_out").unionByName(sample.select("line", F.lit("none").alias("label"), F.lit(False).alias("kept_out")))
+    data = notices(spark).unionByName(sampled_lines(docs).select("line", F.lit("none").alias("label")))
     data = scratch.table(data.withColumn("features", _features(_words(F.col("line")))).coalesce(2), "notices")
-    fit = data.filter("not kept_out")
-    words = lambda rows: rows.select(F.explode(_words(F.col("line"))).alias("w")).distinct()
-    cues = sorted(r[0] for r in words(fit.filter("label <> 'none'")).join(words(fit.filter("label = 'none'")), "w", "left_anti").collect())
-    classes = sorted(r[0] for r in fit.select("label").distinct().collect())
+    each = data.select((F.col("label") == "none").cast("int").alias("plain"), F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("plain").alias("plain"), F.sum(1 - F.col("plain")).alias("notice"))
+    most = data.filter("label = 'none'").count() // COMMON
+    telling = {r["feature"] for r in each.filter(F.col("notice") > 0).filter(F.col("plain") <= most).collect()}  # features of the fixed notices
+    words = sorted(f for f in telling if " " not in f)
+    telling = sorted(f for f in telling if set(f.split(" ")) & set(words))
+    classes = sorted(r[0] for r in data.select("label").distinct().collect())
     place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
-    vectors = CountVectorizer(inputCol="features", outputCol="x", vocabSize=VOCABULARY, minDF=1.0, binary=True).fit(fit.filter("label <> 'none'"))
+    used = data.withColumn("features", F.filter("features", lambda f: f.isin(telling)))
+    vectors = CountVectorizer(inputCol="features", outputCol="x", vocabSize=VOCABULARY, minDF=1.0, binary=True).fit(used.filter("label <> 'none'"))
     weight = F.when(F.col("label") == "none", NONE_WEIGHT).otherwise(1.0)
-    rows = vectors.transform(fit).select("x", place.cast("double").alias("y"), weight.alias("w"))
+    rows = vectors.transform(used).select("x", place.cast("double").alias("y"), weight.alias("w"))
     model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", family="multinomial", regParam=1e-4, maxIter=200, standardization=False).fit(rows)
-    matrix = model.coefficientMatrix.toArray()
+    matrix, intercepts = model.coefficientMatrix.toArray(), model.interceptVector.toArray().tolist()
+    if "none" in classes:  # a paragraph without features is none, however few lines the sample has
+        intercepts[classes.index("none")] = max(intercepts[classes.index("none")], max(intercepts) + 1e-6)
     table = [(v, matrix[:, i].tolist()) for i, v in enumerate(vectors.vocabulary)]
     weights = scratch.table(spark.createDataFrame(table, "feature string, weights array<double>"), "weights")
-    out = Model(weights, classes, model.interceptVector.toArray().tolist(), cues, 0.0)
-    test = out.scores(data.filter("kept_out").select(F.struct("line", F.col("label").alias("truth")).alias("key"), "line")).select("key.truth", "label", "probability")
-    passed = test.filter("truth = 'unknown' and label not in ('unknown', 'none')").agg(F.max("probability")).first()[0]
-    out.believed = min(0.99, max(0.5, passed or 0.0))
+    out = Model(weights, classes, intercepts, sorted(v for v in vectors.vocabulary if " " not in v), 0.0)
+    unseen = out.scores(_rows(spark, [(t,) for t in UNSEEN], ["line"]).select(F.struct("line").alias("key"), "line"))
+    out.believed = unseen.filter("label not in ('unknown', 'none')").agg(F.max("probability")).first()[0] or 0.0
     return out
 
 
+def units(docs: DataFrame, words: list[str]) -> DataFrame:
+    """Lines and paragraphs with one of ``words``: key (doc_id, text_hash, paragraph, first_line, n_lines, line) and line."""
+    clean = F.regexp_replace("text", "\r\n?", "\n")
+    rows = docs.filter("text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), clean.alias("text"))
+    telling = lambda t: F.exists(_words(t), lambda w: w.isin(words))
+    # the test runs on the whole text once, so that only texts with a feature word become rows
+    some = rows.filter(telling(F.col("text"))).distinct()
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line")))
+    # the number of blank lines before a line tells its paragraph
+    blank = F.filter(numbered, lambda s: ~s["line"].rlike("\\S"))
+    lines = some.select("doc_id", "text_hash", blank["i"].alias("blank"), F.explode(numbered).alias("s")).select("doc_id", "text_hash", "blank", "s.*").filter(F.col("line").rlike("\\S"))
+    lines = lines.withColumn("paragraph", F.size(F.filter("blank", lambda b: b < F.col("i")))).drop("blank")
+    joined = lines.groupBy("doc_id", "text_hash", "paragraph").agg(F.min("i").alias("i"), F.count("*").alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda s: s["line"]), " ").alias("line"))
+    both = lines.withColumn("n_lines", F.lit(1).cast("long")).unionByName(joined.filter("n_lines > 1")).filter(telling(F.col("line")))
+    return both.select(F.struct("doc_id", "text_hash", "paragraph", F.col("i").alias("first_line"), "n_lines", "line").alias("key"), "line")
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per licence notice: doc_id, paragraph, family, probability, similarity, confirmed."""
+    """One row per licence notice: doc_id, paragraph, first_line, n_lines, family, probability, similarity, confirmed."""
     model = train(docs)
-    spark = docs.sparkSession
-    # the cue test runs on the array of lines, so that only lines with a cue become rows
-    held = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("paragraph"), x.alias("line"))), lambda s: F.exists(_words(s["line"]), lambda w: w.isin(model.cues)))
-    cued = docs.filter("text is not null").select(F.col("doc_id").cast("long"), F.explode(held).alias("s")).select("doc_id", "s.*").distinct()
-    cued = scratch.table(cued.select(F.struct("doc_id", "paragraph", "line").alias("key"), "line"), "cued")
-    found = model.scores(cued).filter("label <> 'none'")
-    templates = _rows(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts], ["family", "template"]).select("family", _pairs(_words(F.col("template"))).alias("t"))
-    templates = templates.groupBy("family").agg(F.collect_list("t").alias("templates"))
-    own = _pairs(_words(F.col("key.line")))
-    joined = found.join(F.broadcast(templates), found["label"] == templates["family"], "left").withColumn("own", own)
-    similarity = F.coalesce(F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.size(F.array_distinct(t)))), F.lit(0.0))
-    rows = joined.withColumn("similarity", F.round(similarity, 4)).withColumn("confirmed", (F.col("similarity") >= CONFIRM) & (F.col("probability") >= model.believed))
-    return rows.select("key.doc_id", F.col("key.paragraph").cast("long").alias("paragraph"), F.when(F.col("confirmed"), F.col("label")).otherwise("unknown").alias("family"), F.round("probability", 4).alias("probability"), "similarity", "confirmed")
+    tried = scratch.table(units(docs, model.words), "units")
+    found = scratch.table(model.confirmed(tried).select("key.doc_id", "key.text_hash", "key.paragraph", "key.first_line", "key.n_lines", "label", "probability", "similarity", "confirmed"), "judged")
+    whole = Window.partitionBy("doc_id", "text_hash", "paragraph")
+    single = F.col("n_lines") == 1
+    told = found.withColumn("by_line", F.max(single & F.col("confirmed")).over(whole)).withColumn("by_whole", F.max(~single & F.col("confirmed")).over(whole))
+    # a confirmed line; else the confirmed paragraph; else the lines; else the paragraph
+    told = told.withColumn("lines", F.max(single).over(whole))
+    kept = told.filter(F.when(F.col("by_line"), single & (F.col("confirmed") | ~F.col("by_whole"))).when(F.col("by_whole"), ~single).when(F.col("lines"), single).otherwise(True))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return kept.select("doc_id", long("paragraph"), long("first_line"), long("n_lines"), F.when(F.col("confirmed"), F.col("label")).otherwise("unknown").alias("family"), F.round("probability", 4).alias("probability"), "similarity", "confirmed")

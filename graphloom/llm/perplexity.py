@@ -6,7 +6,8 @@ alike. Trusted text (labelled quality 1 and not toxic) is counted in full: each
 context weights and interpolated probabilities all come from joins and aggregates of these count
 tables, sharded by gram. A text's perplexity per byte comes from the probabilities of its 5-grams:
 when the tables have at most ``BROADCAST_GRAMS`` rows (checked) they go to the tasks; beyond that the
-texts' grams are counted and joined to the tables, shard by shard, with the same result.
+texts' grams are counted and joined to the tables, shard by shard. Log probabilities are whole numbers of
+``1 / SCALE``, so their sums are exact and both ways give the very same result.
 
 The mean of few bytes is uncertain, so a text of n bytes is judged by its perplexity times
 ``exp(-LENIENCE / sqrt(n))``. It is kept when that is at most ``SLACK`` times the ``QUANTILE`` of its
@@ -37,6 +38,8 @@ BROADCAST_GRAMS = 4_000_000
 BROADCAST_LABELS = 1_000_000
 QUANTILE, SLACK, LENIENCE = 0.99, 1.05, 1.5
 HELD_OUT = 5
+SCALE = 1 << 20
+_BYTE = -round(math.log(256) * SCALE)
 _STEP = 1000  # perplexities are compared in thousandths
 
 
@@ -92,6 +95,7 @@ def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * size) - 1)).alias("gram")
         counts[size] = scratch.table(counts[size + 1].groupBy(suffix).agg(F.count("*").alias("n")), "grams")
     lower, probs, weights = None, None, None
+    whole = lambda c: F.round(c * SCALE).cast("int")
     for size in range(1, ORDER + 1):
         d1, d2, d3 = _discounts(counts[size])
         discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
@@ -105,8 +109,8 @@ def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             p_lower = F.col("p_lower")
         p = (F.col("n") - F.col("cut") + F.col("cuts") * p_lower) / F.col("total")
         lower = scratch.table(joined.select("gram", p.alias("p")), "probabilities")
-        level = lower.select(F.lit(size).alias("size"), "gram", F.log("p").alias("logp"))
-        weight = context.select(F.lit(size).alias("size"), "context", F.log(F.col("cuts") / F.col("total")).alias("logw"))
+        level = lower.select(F.lit(size).alias("size"), "gram", whole(F.log("p")).alias("logp"))
+        weight = context.select(F.lit(size).alias("size"), "context", whole(F.log(F.col("cuts") / F.col("total"))).alias("logw"))
         probs = level if probs is None else probs.unionByName(level)
         weights = weight if weights is None else weights.unionByName(weight)
     return scratch.table(probs, "model"), scratch.table(weights, "model")
@@ -118,7 +122,7 @@ class _Tables:
     def __init__(self, probs: DataFrame, weights: DataFrame) -> None:
         self.levels = []
         for table, key, value in ((probs, "gram", "logp"), (weights, "context", "logw")):
-            rows = table.select("size", key, F.col(value).cast("float").alias(value)).toArrow()
+            rows = table.select("size", key, value).toArrow()
             size, keys, values = (rows.column(c).to_numpy() for c in ("size", key, value))
             for n in range(1, ORDER + 1):
                 mine = size == n
@@ -127,7 +131,7 @@ class _Tables:
 
     def logp(self, codes: np.ndarray) -> np.ndarray:
         """Log probability of the last byte of each gram: the longest known gram, and the weights of the contexts passed."""
-        out, left, at = np.zeros(len(codes)), codes, np.arange(len(codes))
+        out, left, at = np.zeros(len(codes), np.int64), codes, np.arange(len(codes))
         for size in range(ORDER, 0, -1):
             grams, logp = self.levels[size - 1]
             here = left & ((1 << 8 * size) - 1)
@@ -139,25 +143,25 @@ class _Tables:
             i = np.minimum(np.searchsorted(contexts, here >> 8), max(0, len(contexts) - 1))
             seen = contexts[i] == here >> 8 if len(contexts) else np.zeros(len(here), bool)
             out[at[seen]] += logw[i[seen]]
-        out[at] -= math.log(256)
+        out[at] += _BYTE
         return out
 
 
 def _score_in_tasks(rows: DataFrame, probs: DataFrame, weights: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_bytes, total) with the model in each task."""
+    """(doc_id, lang, text_hash, n_bytes, total) with the model in each task."""
     tables = rows.sparkSession.sparkContext.broadcast(_Tables(probs, weights))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, total = [np.zeros(0, np.int64)], [np.zeros(0)]
+            size, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, _, data, offs in chunks(batch.column(2)):
                 codes, back = np.unique(_codes(data, offs), return_inverse=True)
-                upto = np.concatenate([[0.0], np.cumsum(tables.value.logp(codes)[back])])
+                upto = np.concatenate([[0], np.cumsum(tables.value.logp(codes)[back])])
                 size.append(np.diff(offs))
                 total.append(upto[offs[1:]] - upto[offs[:-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(size)), pa.array(np.concatenate(total))], names=["doc_id", "lang", "n_bytes", "total"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(np.concatenate(size)), pa.array(np.concatenate(total))], names=["doc_id", "lang", "text_hash", "n_bytes", "total"])
 
-    return rows.mapInArrow(score, "doc_id long, lang string, n_bytes long, total double")
+    return rows.mapInArrow(score, "doc_id long, lang string, text_hash long, n_bytes long, total long")
 
 
 def _score_by_joins(rows: DataFrame, probs: DataFrame, weights: DataFrame) -> DataFrame:
@@ -170,33 +174,34 @@ def _score_by_joins(rows: DataFrame, probs: DataFrame, weights: DataFrame) -> Da
                 for row in range(len(offs) - 1):
                     keys, n = np.unique(codes[offs[row] : offs[row + 1]], return_counts=True)
                     same = pa.array(np.full(len(keys), lo + row))
-                    yield pa.RecordBatch.from_arrays([batch.column(3).take(same), pa.array(keys), pa.array(n)], names=["row", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([batch.column(4).take(same), pa.array(keys), pa.array(n)], names=["row", "gram", "n"])
 
     keyed = scratch.table(rows.withColumn("row", F.xxhash64("doc_id", "text")), "keyed")
-    left, sums, passed = keyed.dropDuplicates(["row"]).select("doc_id", "lang", "text", "row").mapInArrow(grams, "row long, gram long, n long").withColumn("passed", F.lit(0.0)), None, F.col("passed")
+    left, sums, passed = keyed.dropDuplicates(["row"]).select("doc_id", "lang", "text", "text_hash", "row").mapInArrow(grams, "row long, gram long, n long").withColumn("passed", F.lit(0).cast("long")), None, F.col("passed")
     for size in range(ORDER, 0, -1):
         own = F.col("gram").bitwiseAND(F.lit((1 << 8 * size) - 1))
         p = probs.filter(F.col("size") == size).select(F.col("gram").alias("_g"), "logp")
         w = weights.filter(F.col("size") == size).select(F.col("context").alias("_c"), "logw")
         joined = left.withColumn("_g", own).join(p, "_g", "left").withColumn("_c", F.shiftright("_g", 8)).join(w, "_c", "left")
-        joined = scratch.table(joined.select("row", "gram", "n", "logp", passed.alias("before"), (passed + F.coalesce("logw", F.lit(0.0))).alias("passed")), "scored")
+        joined = scratch.table(joined.select("row", "gram", "n", "logp", passed.alias("before"), (passed + F.coalesce("logw", F.lit(0))).alias("passed")), "scored")
         part = joined.filter("logp is not null").select("row", (F.col("n") * (F.col("before") + F.col("logp"))).alias("s"), "n")
         sums = part if sums is None else sums.unionByName(part)
         left = joined.filter("logp is null").select("row", "gram", "n", "passed")
-    sums = sums.unionByName(left.select("row", (F.col("n") * (F.col("passed") - math.log(256))).alias("s"), "n"))
+    sums = sums.unionByName(left.select("row", (F.col("n") * (F.col("passed") + _BYTE)).alias("s"), "n"))
     total = sums.groupBy("row").agg(F.sum("n").alias("n_bytes"), F.sum("s").alias("total"))
     zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind).alias(c)
-    return keyed.join(total, "row", "left").select("doc_id", "lang", zero("n_bytes", "long"), zero("total", "double"))
+    return keyed.join(total, "row", "left").select("doc_id", "lang", "text_hash", zero("n_bytes", "long"), zero("total", "long"))
 
 
 def score(docs: DataFrame, probs: DataFrame, weights: DataFrame, most_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity per byte and the judged one of each whole text."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, lang, text_hash, n_bytes, perplexity per byte and the judged one of each whole text."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     fits = probs.count() + weights.count() <= most_grams
     scored = (_score_in_tasks if fits else _score_by_joins)(rows, probs, weights)
-    mean = -F.col("total") / F.col("n_bytes")
+    mean = -F.col("total") / SCALE / F.col("n_bytes")
     filled = lambda c, name: F.when(F.col("n_bytes") > 0, F.exp(c)).alias(name)
-    return scored.select("doc_id", "lang", "n_bytes", filled(mean, "perplexity"), filled(mean - LENIENCE / F.sqrt("n_bytes"), "judged"))
+    return scored.select("doc_id", "lang", "text_hash", "n_bytes", filled(mean, "perplexity"), filled(mean - LENIENCE / F.sqrt("n_bytes"), "judged"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -216,7 +221,7 @@ def _quantiles(scored: DataFrame, quantile: float) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, most_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, judged, threshold and kept of each document."""
+    """doc_id, lang, n_bytes, perplexity, judged, threshold and kept of each document, and the hash of its text."""
     trusted = scratch.table(trusted_ids(labels), "trusted")
     small = trusted.count() <= BROADCAST_LABELS
     learn = trusted.filter("not held_out").select("doc_id")
@@ -230,4 +235,4 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     rows = scored.join(F.broadcast(own) if own.count() <= 10_000 else own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     rows = rows.withColumn("threshold", F.coalesce("_own", fallback) * slack)
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("judged") <= F.col("threshold"), F.lit(True))
-    return rows.select("doc_id", "lang", "n_bytes", "perplexity", "judged", "threshold", kept.alias("kept"))
+    return rows.select("doc_id", "lang", "n_bytes", "perplexity", "judged", "threshold", kept.alias("kept"), "text_hash")

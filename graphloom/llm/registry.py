@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm import chat, decontamination, licences, near_dup, packing, perplexity, pii, quality_rules, shards, token_counts
 
 
+SHARD_BYTES = 256 << 10  # small, so that all given tables need shards of many depths
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,7 +37,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.format_conversations(chat.turn_events(turns.unionByName(extra))))
+    return chat.digests(chat.format_conversations(chat.streamed_events(turns.unionByName(extra))))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +49,11 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perplexity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return perplexity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("text_hash")
 
 
 def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.shard(_table(spark, sf_dir, "documents"))
+    return shards.shard(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +82,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_benchmark_decontamination": decontamination.oracle_sql(),
         "op6_quality_rules": quality_rules.oracle_sql(),
-        "op9_byte_shards": shards.oracle_sql(),
+        "op9_byte_shards": shards.oracle_sql(SHARD_BYTES),
     }

@@ -31,11 +31,16 @@ def prefix(h: Column, depth: int | Column) -> Column:
     return F.expr(f"shiftright({h if isinstance(h, str) else '_h'}, {BITS} - {depth})")
 
 
+def _hash(docs: DataFrame) -> Column:
+    """The 60-bit hash of a row."""
+    digest = F.md5(F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.md5(F.coalesce(docs["text"], F.lit("")))))
+    return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long")
+
+
 def hashed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the 60-bit hash of each row."""
-    text = F.coalesce("text", F.lit(""))
-    digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)))
-    return docs.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long").alias("_h"))
+    size = F.octet_length(F.coalesce(docs["text"], F.lit(""))).cast("long")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), size.alias("n_bytes"), _hash(docs).alias("_h"))
 
 
 def _leaves(cells: DataFrame, depth: int, top: int, limit: int) -> DataFrame:
@@ -49,6 +54,11 @@ def _leaves(cells: DataFrame, depth: int, top: int, limit: int) -> DataFrame:
 
 def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, shard (its prefix bits, ``*`` for none), depth, shard_bytes, over_limit."""
+    return _placed(docs, limit).drop("_h")
+
+
+def _placed(docs: DataFrame, limit: int) -> DataFrame:
+    """``shard`` with each row's hash."""
     rows = scratch.table(hashed(docs), "hashed")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     depth, top, out = min(BITS, max(1, math.ceil(math.log2(max(1, total / limit))) + EXTRA)), 0, None
@@ -59,6 +69,7 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         n_cells, n_leaves = cells.count(), leaves.count()
         side = F.broadcast(leaves) if n_leaves <= BROADCAST_CELLS else leaves
         part = keyed.join(side, "_cell").select(
+            "_h",
             "doc_id",
             "n_bytes",
             F.when(F.col("_leaf._d") == 0, "*").otherwise(F.expr("lpad(bin(_leaf._p), _leaf._d, '0')")).alias("shard"),
@@ -74,23 +85,32 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """Write the documents under ``path``, one folder a shard; returns the assignment."""
-    placed = scratch.table(shard(docs, limit), "shards")
-    docs.join(placed.select("doc_id", "shard").distinct(), "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
-    return placed
-
-
-def oracle_sql(limit: int = LIMIT) -> str:
-    """The same assignment in DuckDB, for inputs that need at most 12 bits."""
+    """Write the documents under ``path``, one folder a shard; returns the assignment.
+
+    Every row goes to the shard of its hash, so repeated rows and rows without a doc_id are written as often as
+    they stand in the table. The folders' column is ``shard``, with underscores before it where the table has that column.
+    """
+    placed = scratch.table(_placed(docs, limit), "shards")
+    name = "shard"
+    while name in docs.columns:
+        name = f"_{name}"
+    where = placed.select(F.col("_h").alias("_hash"), F.col("shard").alias("_place")).distinct()
+    joined = docs.join(where, _hash(docs) == where["_hash"])
+    rows = joined.select(*[docs[f"`{c}`"] for c in docs.columns], where["_place"].alias(name))
+    rows.repartition(name).write.partitionBy(name).parquet(path)
+    return placed.drop("_h")
+
+
+def oracle_sql(limit: int = LIMIT, bits: int = 24) -> str:
+    """The same assignment in DuckDB, for inputs whose shards need at most ``bits`` bits or hold one hash only."""
     return f"""
-WITH h AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes,
+WITH h AS (SELECT row_number() OVER () AS r, doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes,
              ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS hv
            FROM documents),
-t AS (SELECT h.*, d, hv >> (60 - d) AS p FROM h, generate_series(0, 12) AS g(d)),
-n AS (SELECT d, p, sum(n_bytes)::BIGINT AS shard_bytes FROM t GROUP BY d, p),
-l AS (SELECT t.doc_id, t.n_bytes, t.d, t.p, n.shard_bytes,
-        row_number() OVER (PARTITION BY t.doc_id ORDER BY t.d) AS k
-      FROM t JOIN n ON t.d = n.d AND t.p = n.p WHERE n.shard_bytes <= {limit})
+t AS (SELECT h.*, d, hv >> (60 - d) AS p FROM h, generate_series(0, {bits}) AS g(d)),
+n AS (SELECT d, p, sum(n_bytes)::BIGINT AS shard_bytes, min(hv) = max(hv) AS one FROM t GROUP BY d, p),
+l AS (SELECT t.r, t.doc_id, t.n_bytes, t.d, t.p, n.shard_bytes, row_number() OVER (PARTITION BY t.r ORDER BY t.d) AS k
+      FROM t JOIN n ON t.d = n.d AND t.p = n.p WHERE n.shard_bytes <= {limit} OR n.one)
 SELECT doc_id, n_bytes, CASE WHEN d = 0 THEN '*' ELSE lpad(bin(p), d::INT, '0') END AS shard,
-       d::BIGINT AS depth, shard_bytes, false AS over_limit FROM l WHERE k = 1
+       d::BIGINT AS depth, shard_bytes, shard_bytes > {limit} AS over_limit FROM l WHERE k = 1
 """

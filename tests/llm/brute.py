@@ -5,7 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-from graphloom.llm import perplexity, pii
+from graphloom.llm import licences, perplexity, pii
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -224,3 +224,44 @@ def pieces(texts, encode, size=4096):
         else:
             left.append(size - n)
     return sorted(out), len(left)
+
+
+def licence_rows(texts, model):
+    """(doc_id, first line, lines, family) of each notice in (doc_id, text) rows: every line and paragraph scored by the model's weights."""
+    split = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    pairs = lambda w: [f"{a} {b}" for a, b in zip(w, w[1:])]
+    weights = {r["feature"]: r["weights"] for r in model.weights.collect()}
+    marks = [(f, set(pairs(split(t)) or split(t))) for f, t in licences.known_texts()]
+    none = model.classes.index("none")
+
+    def judge(line):
+        words = split(line)
+        features = set(words) | set(pairs(words))
+        logits = [b + sum(weights[f][i] for f in features if f in weights) for i, b in enumerate(model.intercepts)]
+        best = max(range(len(logits)), key=lambda i: (logits[i], -i))
+        if best == none:
+            return None
+        probability = 1 / sum(math.exp(x - logits[best]) for x in logits)
+        near = max((len(t & features) / len(t) for f, t in marks if f == model.classes[best]), default=0)
+        sure = near >= licences.CONFIRM and probability > model.believed
+        return model.classes[best] if sure else "unknown", sure
+
+    out = []
+    for doc, text in texts:
+        block = []
+        for i, line in [*enumerate(re.sub("\r\n?", "\n", text or "").split("\n")), (-1, "")]:
+            if line.strip():
+                block.append((i, line))
+                continue
+            single = [(i, 1, judge(x)) for i, x in block]
+            single = [x for x in single if x[2]]
+            whole = judge(" ".join(x for _, x in block)) if len(block) > 1 else None
+            if any(v[1] for _, _, v in single):
+                stay = [x for x in single if x[2][1] or not (whole and whole[1])]
+            elif whole and whole[1] or whole and not single:
+                stay = [(block[0][0], len(block), whole)]
+            else:
+                stay = single
+            out += [(doc, i, n, v[0]) for i, n, v in stay]
+            block = []
+    return out

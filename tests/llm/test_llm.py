@@ -155,7 +155,7 @@ def test_perplexity(spark, docs, odd):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     a = {r["doc_id"]: r for r in perplexity.classify(docs, labels).collect()}
     b = {r["doc_id"]: r for r in perplexity.classify(docs, labels, most_grams=0).collect()}
-    assert all(abs((a[i]["perplexity"] or 0) - (b[i]["perplexity"] or 0)) < 1e-3 * (a[i]["perplexity"] or 1) for i in a)
+    assert a == b
     good = {r["doc_id"] for r in labels.filter("quality = 1 and toxic = 0").collect()}
     bad = {r["doc_id"] for r in labels.filter("quality = 0").collect()}
     assert sum(a[i]["kept"] for i in good) >= 0.95 * len(good) and sum(a[i]["kept"] for i in bad) <= 0.4 * len(bad)
@@ -166,12 +166,6 @@ def test_perplexity(spark, docs, odd):
     assert 0.5 < mass <= 1.0001
 
 
-def test_licences(spark, docs):
-    made = spark.createDataFrame([(1, "words here\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0."), (3, None), (4, "plain text"), (5, "License terms are available on request.")], "doc_id long, text string")
-    got = {(r["doc_id"], r["paragraph"]): r["family"] for r in licences.scan(docs.select("doc_id", "text").filter("doc_id > 5").unionByName(made)).collect() if r["doc_id"] <= 5}
-    assert got == {(1, 1): "mit", (2, 0): "apache-2.0", (5, 0): "unknown"}
-
-
 def test_empty_tables(spark, odd):
     none, labels = odd.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     results = [near_dup.near_duplicates(none), quality_rules.verdicts(none), pii.find(none), perplexity.classify(none, labels), packing.packed_documents(none, public_tokenizers.path("word_bpe_49k.json")), token_counts.token_counts(none, public_tokenizers.path("piece_bpe_32k.model"))]
