@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.clean import alias_key, clean, mesh_id, normalize_part, strip_identifiers
 from graphloom.sources.tables import first_per
 
 
@@ -82,23 +83,76 @@ def hierarchy(df: DataFrame, path: Column) -> DataFrame:
 
 
 def components_all(targets: DataFrame, components: DataFrame, ok: Column) -> DataFrame:
-    """Targets all of whose components pass, with their accessions joined in order."""
-    each = targets.select("target_id", F.explode("component_ids").alias("component_id")).distinct().join(components, "component_id")
-    return each.groupBy("target_id").agg(F.bool_and(ok).alias("all_ok"), F.array_join(F.array_sort(F.collect_set("accession")), ";").alias("accessions")).filter("all_ok").drop("all_ok")
+    """Targets all of whose components are known and pass, with their accessions joined in order."""
+    judged = components.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    each = targets.select("target_id", F.explode("component_ids").alias("component_id")).distinct().join(judged, "component_id", "left")
+    return each.groupBy("target_id").agg(F.bool_and(F.coalesce("_ok", F.lit(False))).alias("all_ok"), F.array_join(F.array_sort(F.collect_set("accession")), ";").alias("accessions")).filter("all_ok").drop("all_ok")
 
 
-def resolve_ids(df: DataFrame, tiers: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
-    """``resolved`` and ``tier`` from the first lookup (keys..., id) that has the row; NA when none has."""
+def match_by_structure(df: DataFrame, known: DataFrame) -> DataFrame:
+    """``df`` (id, name, structure_key) with the known id that is accepted for it and its tier.
+
+    Tried in order: the row's own id, the structure key, the name; each hit must have the row's structure key.
+    """
+    k = known.select(F.col("id").alias("_kid"), F.lower(F.trim("name")).alias("_kname"), F.trim("structure_key").alias("_kkey")).filter("_kkey <> ''")
+    by = {"id": k.select(F.col("_kid").alias("id"), F.col("_kkey").alias("_key"), "_kid"), "key": k.select(F.col("_kkey").alias("_key"), "_kid"), "name": k.select(F.col("_kname").alias("_name"), F.col("_kkey").alias("_key"), "_kid")}
+    rows = df.withColumns({"_key": F.trim("structure_key"), "_name": F.lower(F.trim("name"))})
+    return resolve_ids(rows, [("by_id", _least(by["id"], ["id", "_key"]), ["id", "_key"]), ("by_key", _least(by["key"], ["_key"]), ["_key"]), ("by_name", _least(by["name"], ["_name", "_key"]), ["_name", "_key"])], "_accepted").drop("_key", "_name")
+
+
+def _least(lookup: DataFrame, keys: list[str]) -> DataFrame:
+    return lookup.groupBy(*keys).agg(F.min("_kid").alias("_accepted"))
+
+
+def vocabulary_terms(df: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
+    """``df`` with the vocabulary id of a text: its own id, an id inside the text, or the stripped name."""
+    v = vocabulary.select(F.col("id").alias("_vid"), F.lower(F.trim("name")).alias("_vname"))
+    rows = df.withColumns({"_key_own": F.upper(F.trim("id")), "_key_inside": mesh_id(F.col(text)), "_key_name": F.lower(F.trim(strip_identifiers(F.col(text))))})
+    ids = v.select(F.upper("_vid").alias("_k"), F.col("_vid").alias("_accepted"))
+    names = v.groupBy(F.col("_vname").alias("_key_name")).agg(F.min("_vid").alias("_accepted"))
+    tiers = [("own", ids.withColumnRenamed("_k", "_key_own"), ["_key_own"]), ("inside", ids.withColumnRenamed("_k", "_key_inside"), ["_key_inside"]), ("name", names, ["_key_name"])]
+    return resolve_ids(rows, tiers, "_accepted").drop("_key_own", "_key_inside", "_key_name")
+
+
+def vernacular_match(terms: DataFrame, taxa: DataFrame) -> DataFrame:
+    """Terms that equal a taxon's vernacular name: resolved to one taxon, or ambiguous (J30). ``taxa`` has (id, vernaculars array)."""
+    names = taxa.select("id", F.explode("vernaculars").alias("v")).select("id", alias_key(F.col("v")).alias("_k")).filter("_k <> ''")
+    found = terms.withColumn("_k", alias_key(F.col("term"))).join(names, "_k").groupBy("term_id", "term").agg(F.count_distinct("id").alias("_n"), F.min("id").alias("id"))
+    return found.select("term_id", "term", F.when(F.col("_n") == 1, "resolved").otherwise("ambiguous").alias("status"), F.when(F.col("_n") == 1, F.col("id")).alias("id"))
+
+
+def hierarchy_labels(df: DataFrame, tree: Column, labels: DataFrame) -> DataFrame:
+    """``hierarchy`` with the label of the sub-category from (tree, label) rows."""
+    names = labels.groupBy(F.col("tree").alias("sub_category")).agg(F.min("label").alias("sub_category_name"))
+    return hierarchy(df, tree).join(names, "sub_category", "left")
+
+
+def single_subject(df: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """The column overwritten by the batch's only subject; unchanged where it has several."""
+    return df.withColumn(column, F.lit(names[0])) if len(names) == 1 else df
+
+
+def parts_of_sources(*sources: DataFrame) -> DataFrame:
+    """Distinct (subject, part) of several sources with normalised, known parts, ordered for export."""
+    out = None
+    for df in sources:
+        one = df.select(clean(F.col("subject")).alias("subject"), normalize_part(F.col("part")).alias("part"))
+        out = one if out is None else out.unionByName(one)
+    return drop_blank(out, ["subject", "part"]).distinct().orderBy("subject", "part")
+
+
+def resolve_ids(df: DataFrame, tiers: list[tuple[str, DataFrame, list[str]]], value: str = "id") -> DataFrame:
+    """``resolved`` and ``tier`` from the first lookup (keys..., value) that has the row; NA when none has."""
     out = df
     for name, lookup, keys in tiers:
-        one = lookup.groupBy(*keys).agg(F.min("id").alias(f"_{name}"))
+        one = lookup.groupBy(*keys).agg(F.min(value).alias(f"_{name}"))
         out = out.join(one, keys, "left")
     names = [n for n, _, _ in tiers]
     tier = F.coalesce(*[F.when(F.col(f"_{n}").isNotNull(), F.lit(n)) for n in names], F.lit("none"))
     return out.withColumn("resolved", F.coalesce(*[F.col(f"_{n}").cast("string") for n in names], F.lit("NA"))).withColumn("tier", tier).drop(*[f"_{n}" for n in names])
 
 
-def validation_status(local_key: Column, remote_id: Column, remote_key: Column) -> Column:
-    """Status of an id match by its structure key."""
+def validation_status(local_key: Column, remote_id: Column, remote_key: Column, failed: Column | None = None) -> Column:
+    """Status of an id match by its structure key; ``failed`` marks lookups that could not be made."""
     empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    return F.when(empty(local_key), "NO_LOCAL_KEY").when(empty(remote_id), "UNRESOLVED").when(empty(remote_key), "INVALID_ID").when(local_key == remote_key, "VALIDATED_MATCH").otherwise("MISMATCH")
+    return F.when(empty(local_key), "NO_LOCAL_KEY").when(empty(remote_id), "UNRESOLVED").when(F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False), "TEMPORARY_LOOKUP_FAILURE").when(empty(remote_key), "INVALID_ID").when(local_key == remote_key, "VALIDATED_MATCH").otherwise("MISMATCH")

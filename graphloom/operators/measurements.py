@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.clean import to_nanomolar
-from graphloom.sources.tables import first_per
+from graphloom.functions.clean import canonical_number, signature, to_nanomolar
+from graphloom.sources.tables import first_per, numbered, stored
 
 # Accepted measurement types.
 TYPES = ["IC50", "Ki", "Kd", "EC50", "Potency"]
@@ -59,11 +59,12 @@ def id_map(current: DataFrame, incoming: DataFrame, added: DataFrame, identity:
 
 def remap_edges(edges: DataFrame, src_map: DataFrame, dst_map: DataFrame) -> DataFrame:
     """Edges with both ends mapped to canonical ids, unmapped ends trimmed as they are."""
-    s = src_map.select(F.col("raw_id").alias("src_id"), F.col("canonical_id").alias("_s"))
-    d = dst_map.select(F.col("raw_id").alias("dst_id"), F.col("canonical_id").alias("_d"))
-    out = edges.join(s, "src_id", "left").join(d, "dst_id", "left")
+    s = src_map.select(F.trim("raw_id").alias("_sk"), F.col("canonical_id").alias("_s")).distinct()
+    d = dst_map.select(F.trim("raw_id").alias("_dk"), F.col("canonical_id").alias("_d")).distinct()
+    rows = edges.withColumns({"_sk": F.trim("src_id"), "_dk": F.trim("dst_id")})
+    out = rows.join(s, "_sk", "left").join(d, "_dk", "left")
     keep = [c for c in edges.columns if c not in ("src_id", "dst_id")]
-    return out.select(F.coalesce("_s", F.col("src_id")).alias("src_id"), F.coalesce("_d", F.col("dst_id")).alias("dst_id"), *keep)
+    return out.select(F.coalesce("_s", "_sk").alias("src_id"), F.coalesce("_d", "_dk").alias("dst_id"), *keep)
 
 
 def union_edges(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -72,17 +73,35 @@ def union_edges(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def new_ids(current: DataFrame, added: DataFrame, id_col: str, prefix: str, order: list[Column]) -> DataFrame:
-    """Added rows with ids that go on after the store's highest number, six digits or more.
+    """Added rows with ids in the given order that go on after the store's highest number, six digits or more."""
+    start = F.coalesce(F.max(F.regexp_extract(id_col, "([0-9]+)$", 1).cast("long")), F.lit(0)).alias("_start")
+    rows = numbered(added, order, "_k").crossJoin(F.broadcast(current.agg(start)))  # one row
+    number = (F.col("_start") + F.col("_k") + 1).cast("string")
+    return rows.withColumn(id_col, F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.length(number), F.lit(6)), "0"))).drop("_k", "_start")
+
 
-    Rows are numbered within hashed buckets, and buckets by their counts: no task sees all rows.
+def normalize_measurements(bio: DataFrame, has: DataFrame, measured: DataFrame, reported: DataFrame, agree: list[str]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The four tables with one measurement per identity, and the log of merged ids.
+
+    The identity is type, relation, canonical number, units, target and document; the lowest id stays. Members that
+    differ in an ``agree`` column are an error, as is a mapping under which two different edges of ``has`` would
+    become one: nothing is dropped silently.
     """
-    start = F.coalesce(F.max(F.regexp_extract(id_col, "([0-9]+)$", 1).cast("long")), F.lit(0)).alias("_start")
-    bucketed = added.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(256)))
-    sizes = bucketed.groupBy("_b").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = bucketed.withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(*order))).join(F.broadcast(sizes), "_b")
-    number = (F.col("_start") + F.col("_before") + F.col("_k")).cast("string")
-    out = numbered.crossJoin(F.broadcast(current.agg(start))).withColumn(id_col, F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.length(number), F.lit(6)), "0")))
-    return out.drop("_b", "_c", "_before", "_k", "_start")
+    ends = bio.join(measured.select(F.col("src_id").alias("bioactivity_id"), F.col("dst_id").alias("_target")), "bioactivity_id").join(reported.select(F.col("src_id").alias("bioactivity_id"), F.col("dst_id").alias("_document")), "bioactivity_id")
+    relation = F.coalesce(F.nullif(F.trim("standard_relation"), F.lit("")), F.lit("NA"))
+    rows = ends.withColumn("_signature", signature(F.col("standard_type"), relation, canonical_number(F.col("standard_value")), F.col("standard_units"), F.col("_target"), F.col("_document"))).filter("_signature is not null")
+    groups, log = merge_measurements(rows, ["_signature"], "bioactivity_id", agree)
+    log = stored(log.select("merged_id", "canonical_id"), "merge-log")
+    if bad := groups.filter("conflicts > 0").head(1):
+        raise ValueError(f"measurements of one identity disagree: {bad[0]['canonical_id']}")
+    moved = log.withColumnsRenamed({"merged_id": "raw_id"})
+    none = moved.limit(0)
+    linked = remap_edges(has, none, moved)
+    before, after = has.select("src_id", "dst_id").distinct().count(), linked.select("src_id", "dst_id").distinct().count()
+    if before != after:
+        raise ValueError(f"{before - after} edges would become copies of others")
+    kept = bio.join(log.select(F.col("merged_id").alias("bioactivity_id")), "bioactivity_id", "left_anti")
+    return {"bio": kept, "has": linked, "measured": remap_edges(measured, moved, none).distinct(), "reported": remap_edges(reported, moved, none).distinct()}, log
 
 
 def merge_report(name: str, before: DataFrame, incoming: DataFrame, after: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Resolution of terms to entities, for whole tables of terms at once.
 
-``terms`` has (term_id, term); ``names`` has (id, name) and may have ``aliases`` as comma-split text.
+``terms`` has (term_id, term); ``names`` has (id, name) and may have ``aliases`` as comma-split text. All
+candidate searches are equi-joins on keys (whole names, character grams, segments, tokens), never
+comparisons of all terms with all names.
 """
 
 from __future__ import annotations
@@ -8,13 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.clean import alias_key, normalized_text, sequence_ratio, tokens
+from graphloom.functions.clean import alias_key, looks_scientific, normalized_text, sequence_ratio, tokens
 
-SMALL = 50_000  # rows of a domain that may be broadcast
-
-
-def _side(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+# Words that don't count as shared between a term and a name.
+STOP_WORDS = ["a", "an", "and", "for", "from", "in", "of", "on", "the", "to", "with", "which", "what"]
+GRAM = 3
 
 
 def resolve_exact(terms: DataFrame, names: DataFrame) -> DataFrame:
@@ -23,20 +23,31 @@ def resolve_exact(terms: DataFrame, names: DataFrame) -> DataFrame:
     return terms.withColumn("_k", normalized_text(F.col("term"))).join(n, "_k").select("term_id", "term", "id", "name")
 
 
-def resolve_contains(terms: DataFrame, names: DataFrame) -> DataFrame:
-    """Exact matches and names that contain the term, each once (F8).
+def _grams(c: Column, size: Column | int) -> Column:
+    """The distinct runs of ``size`` characters of a text."""
+    size = F.lit(size) if isinstance(size, int) else size
+    n = F.length(c) - size + 1
+    return F.when(n < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(c, i, size))))
+
 
-    Names are cut into the words of the term's first word, so the join hashes on a word.
+def contained_pairs(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner_id, outer_id) of (id, text) rows whose text stands inside the other's.
+
+    The join is on the inner text's rarest run of ``GRAM`` characters, or on the whole of a shorter text.
     """
-    low = lambda c: F.lower(F.trim(c))
-    n = names.select("id", "name", low("name").alias("_n")).withColumn("_w", F.explode(F.array_distinct(F.split("_n", " "))))
-    t = terms.withColumn("_t", low("term")).filter("_t <> ''")
-    words = n.select("_w").distinct()
-    # a term's first word lies inside a word of the name: vocabulary first, then rows
-    stems = t.select(F.element_at(F.split("_t", " "), 1).alias("_s")).distinct()
-    hit = words.join(_side(stems), F.contains(F.col("_w"), F.col("_s")))
-    found = t.withColumn("_s", F.element_at(F.split("_t", " "), 1)).join(hit, "_s").join(n, "_w").filter(F.contains(F.col("_n"), F.col("_t")))
-    return found.select("term_id", "term", "id", "name").distinct()
+    i = inner.filter("text <> ''").select(F.col("id").alias("inner_id"), F.col("text").alias("_i"), F.explode(_grams(F.col("text"), F.least(F.lit(GRAM), F.length("text")))).alias("_g"))
+    sizes = F.flatten(F.array(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)]))
+    o = outer.select(F.col("id").alias("outer_id"), F.col("text").alias("_o"), F.explode(sizes).alias("_g"))
+    held = o.groupBy("_g").agg(F.count("*").alias("_n"))
+    rarest = i.join(held, "_g").groupBy("inner_id", "_i").agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"))
+    return rarest.join(o, "_g").filter(F.contains(F.col("_o"), F.col("_i"))).select("inner_id", "outer_id").distinct()
+
+
+def resolve_contains(terms: DataFrame, names: DataFrame) -> DataFrame:
+    """Names that are or contain the term, each once (F8)."""
+    low = lambda c: F.lower(F.trim(c)).alias("text")
+    pairs = contained_pairs(terms.select(F.col("term_id").alias("id"), low("term")), names.select("id", low("name")))
+    return pairs.withColumnsRenamed({"inner_id": "term_id", "outer_id": "id"}).join(terms, "term_id").join(names.select("id", "name"), "id").select("term_id", "term", "id", "name").distinct()
 
 
 def resolve_alias(terms: DataFrame, names: DataFrame) -> DataFrame:
@@ -55,12 +66,24 @@ def best_with_margin(scored: DataFrame, accept: float, margin: float, strict: bo
 
 
 def typo_candidates(terms: DataFrame, names: DataFrame, floor: float = 0.85) -> DataFrame:
-    """Pairs that can reach the floor ratio: lengths of 5 or more that differ by 2 at most, and close edit distance."""
+    """Pairs that can reach the floor ratio: lengths of 5 or more that differ by 2 at most, and close edit distance.
+
+    A name within ``d`` edits of a term keeps one of its ``d + 1`` segments whole, moved by ``d`` places at most,
+    so names are keyed by their segments and terms by the pieces that may equal them.
+    """
+    edits = f"cast(floor({1 - floor:.6f} * (2 * _len + 2)) as int)"
+    begin = lambda i: f"cast(floor({i} * _len / ({edits} + 1)) as int)"
     n = names.select("id", "name", F.lower(F.trim("name")).alias("_n")).withColumn("_len", F.length("_n")).filter("_len >= 5")
+    segment = f"struct(i as at, substring(_n, {begin('i')} + 1, {begin('(i + 1)')} - {begin('i')}) as piece)"
+    keyed = n.withColumn("_s", F.explode(F.expr(f"transform(sequence(0, {edits}), i -> {segment})"))).select("*", "_s.at", "_s.piece").drop("_s")
     t = terms.select("term_id", "term", F.lower(F.trim("term")).alias("_t")).withColumn("_tl", F.length("_t")).filter("_tl >= 5")
-    t = t.withColumn("_len", F.explode(F.sequence(F.col("_tl") - 2, F.col("_tl") + 2)))
+    t = t.withColumn("_len", F.explode(F.sequence(F.greatest(F.lit(5), F.col("_tl") - 2), F.col("_tl") + 2)))
+    width = f"({begin('(i + 1)')} - {begin('i')})"
+    moved = f"filter(transform(sequence(-{edits}, {edits}), m -> struct(i as at, {begin('i')} + 1 + m as first, {width} as width)), x -> x.first >= 1 and x.first + x.width - 1 <= _tl)"
+    probes = F.expr(f"array_distinct(flatten(transform(sequence(0, {edits}), i -> transform({moved}, x -> struct(x.at as at, substring(_t, x.first, x.width) as piece)))))")
+    asked = t.withColumn("_s", F.explode(probes)).select("*", "_s.at", "_s.piece").drop("_s")
     near = F.levenshtein("_t", "_n") <= (1 - floor) * (F.col("_tl") + F.col("_len"))
-    return t.join(_side(n), "_len").filter(near)
+    return asked.join(keyed, ["_len", "at", "piece"]).drop("at", "piece").distinct().filter(near)
 
 
 def resolve_typo(terms: DataFrame, names: DataFrame, accept: float = 0.90, margin: float = 0.05) -> DataFrame:
@@ -84,29 +107,123 @@ def overlap_candidates(terms: DataFrame, names: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("term_id", "term", "id", "name", "overlap", "rank")
 
 
-def rank_entities(terms: DataFrame, names: DataFrame, accept: float = 0.96, margin: float = 0.12) -> DataFrame:
-    """Ranked match of terms against a finite domain: equality, containment, or mixed overlap and ratio."""
-    n = names.select("id", "name", alias_key(F.col("name")).alias("_n"), tokens(F.col("name")).alias("_nt"))
-    t = terms.select("term_id", "term", alias_key(F.col("term")).alias("_t"), tokens(F.col("term")).alias("_tt"))
-    # every pair that shares a token or contains the other; a stated set of terms against the domain
-    shared = t.withColumn("_w", F.explode("_tt")).join(n.withColumn("_w", F.explode("_nt")), "_w").drop("_w").dropDuplicates(["term_id", "id"])
-    scored = shared.withColumn("_r", sequence_ratio(F.col("_t"), F.col("_n"))).withColumn("_o", token_overlap(F.col("_tt"), F.col("_nt")))
-    mixed = F.greatest(0.55 * F.col("_o") + 0.45 * F.col("_r"), 0.80 * F.col("_r"))
-    score = F.when(F.col("_t") == F.col("_n"), 1.0).when(F.contains("_n", "_t") | F.contains("_t", "_n"), 0.95).otherwise(mixed)
-    return best_with_margin(scored.select("term_id", "term", "id", "name", score.alias("score")), accept, margin, strict=True)
+def _meaning(c: Column) -> Column:
+    """Tokens without stop words."""
+    return F.filter(tokens(c), lambda w: ~w.isin(STOP_WORDS))
+
+
+def rank_candidates(terms: DataFrame, names: DataFrame) -> DataFrame:
+    """(term_id, id, shared, same, inside) of each pair that shares a meaningful token or has one text inside the other's.
 
+    ``shared`` counts the tokens in common, over the name and its aliases the larger; ``same`` and ``inside`` are of the name (J12).
+    """
+    n = names.select("id", F.col("name").alias("_name"), (F.col("aliases") if "aliases" in names.columns else F.lit(None).cast("string")).alias("_aliases"))
+    t = terms.select("term_id", alias_key(F.col("term")).alias("text"), _meaning(F.col("term")).alias("_tt"))
+    fields = n.select("id", F.explode(F.array("_name", F.coalesce("_aliases", F.lit("")))).alias("_f"))
+    by_token = t.select("term_id", F.explode("_tt").alias("_w")).join(fields.select("id", F.explode(_meaning(F.col("_f"))).alias("_w")).distinct(), "_w").select("term_id", "id").distinct()
+    n_text, t_text = n.select("id", alias_key(F.col("_name")).alias("text")), t.select(F.col("term_id").alias("id"), "text")
+    within = contained_pairs(t_text, n_text).select(F.col("inner_id").alias("term_id"), F.col("outer_id").alias("id"))
+    around = contained_pairs(n_text, t_text).select(F.col("outer_id").alias("term_id"), F.col("inner_id").alias("id"))
+    pairs = by_token.unionByName(within).unionByName(around).distinct()
+    rows = pairs.join(t, "term_id").join(n, "id")
+    own = alias_key(F.col("_name"))
+    shared = lambda c: F.size(F.array_intersect("_tt", _meaning(c)))
+    inside = F.contains(own, F.col("text")) | F.contains(F.col("text"), own)
+    return rows.select("term_id", "id", F.greatest(shared(F.col("_name")), shared(F.coalesce("_aliases", F.lit("")))).alias("shared"), (own == F.col("text")).alias("same"), inside.alias("inside"))
+
+
+def _field_score(term: Column, field: Column) -> Column:
+    """1 for equal texts, 0.95 for one inside the other, else a mix of token overlap and sequence ratio; 0 for a blank field."""
+    t, v = alias_key(term), alias_key(F.coalesce(field, F.lit("")))
+    ratio, overlap = sequence_ratio(t, v), token_overlap(tokens(term), tokens(F.coalesce(field, F.lit(""))))
+    mixed = F.greatest(0.55 * overlap + 0.45 * ratio, 0.80 * ratio)
+    return F.when(v == "", 0.0).when(t == v, 1.0).when(F.contains(v, t) | F.contains(t, v), 0.95).otherwise(mixed)
+
+
+def score_entities(terms: DataFrame, names: DataFrame, finite: bool = True) -> DataFrame:
+    """(term_id, term, id, name, score) of all candidates.
+
+    With aliases the score is 0.85 of the name's and 0.15 of the aliases'; without that column it is the
+    name's. In a finite domain a pair with shared tokens scores 0.72 at least, 0.06 more for each further one, up to 0.94.
+    """
+    typos = typo_candidates(terms, names).select("term_id", "id")
+    told = rank_candidates(terms, names).select("term_id", "id", "shared")
+    pairs = told.unionByName(typos.withColumn("shared", F.lit(0))).groupBy("term_id", "id").agg(F.max("shared").alias("shared"))
+    rows = pairs.join(terms.select("term_id", "term"), "term_id").join(names, "id")
+    score = _field_score(F.col("term"), F.col("name"))
+    if "aliases" in names.columns:
+        score = 0.85 * score + 0.15 * _field_score(F.col("term"), F.col("aliases"))
+    if finite:
+        least = F.when(F.col("shared") > 0, F.least(F.lit(0.94), 0.72 + 0.06 * (F.col("shared") - 1))).otherwise(0.0)
+        score = F.greatest(score, least)
+    return rows.select("term_id", "term", "id", "name", score.alias("score"))
+
+
+def rank_entities(terms: DataFrame, names: DataFrame, accept: float = 0.96, margin: float = 0.12, finite: bool = True, k: int = 5) -> DataFrame:
+    """The best candidate of each term, accepted by a clear margin; where it isn't, ``options`` has the ids of the k best."""
+    scored = score_entities(terms, names, finite)
+    w = Window.partitionBy("term_id").orderBy(F.desc("score"), normalized_text(F.col("name")), "id")
+    top = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    options = top.groupBy("term_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "id"))), lambda x: x["id"]).alias("options"))
+    best = best_with_margin(scored, accept, margin, strict=True).join(options, "term_id")
+    return best.withColumn("options", F.when(~F.col("accepted"), F.col("options")))
+
+
+def lexical_candidates(terms: DataFrame, names: DataFrame, k: int = 25) -> DataFrame:
+    """The k names of each term by 0.55 token overlap, 0.30 tokens found inside and 0.15 sequence ratio, over name and aliases.
+
+    Names in whose text no token of the term is found are left out.
+    """
+    aliases = F.coalesce("aliases", F.lit("")) if "aliases" in names.columns else F.lit("")
+    n = names.select("id", "name", alias_key(F.concat_ws(" ", "name", aliases)).alias("_text"))
+    t = terms.select("term_id", "term", alias_key(F.col("term")).alias("_term"), F.filter(tokens(F.col("term")), lambda w: F.length(w) >= 3).alias("_tt"))
+    words = t.select(F.explode("_tt").alias("id")).distinct().withColumn("text", F.col("id"))
+    found = contained_pairs(words, n.select("id", F.col("_text").alias("text")))
+    pairs = t.select("term_id", F.explode("_tt").alias("inner_id")).join(found, "inner_id").select("term_id", F.col("outer_id").alias("id")).distinct()
+    rows = pairs.join(t, "term_id").join(n, "id")
+    inside = F.size(F.filter("_tt", lambda w: F.contains(F.col("_text"), w))) / F.size("_tt")
+    overlap = token_overlap(F.col("_tt"), F.split("_text", " "))
+    rows = rows.withColumn("score", 0.55 * overlap + 0.30 * inside + 0.15 * sequence_ratio(F.col("_term"), F.col("_text")))
+    w = Window.partitionBy("term_id").orderBy(F.desc("score"), F.lower("name"), "id")
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("term_id", "term", "id", "name", "score", "rank")
+
+
+def cascade(terms: DataFrame, names: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """Override, exact name, typo guard, looks scientific, alias, candidates: the first tier that hits decides.
+
+    ``overrides`` has (term, name). A term that looks like a new scientific name is resolved to itself, without an id.
+    Several ids of the exact or alias tier make a term ambiguous, as do candidates alone.
+    """
+    key = lambda c: normalized_text(F.col(c))
 
-def cascade(terms: DataFrame, names: DataFrame) -> DataFrame:
-    """Exact, then alias: the first tier that has a unique id wins, several ids are ambiguous."""
     def tier(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("term_id").agg(F.min("id").alias(f"_{name}"), F.count_distinct("id").alias(f"_{name}_n"))
-
-    out = terms.join(tier(resolve_exact(terms, names), "exact"), "term_id", "left").join(tier(resolve_alias(terms, names), "alias"), "term_id", "left")
-    which = F.when(F.col("_exact_n") >= 1, "exact").when(F.col("_alias_n") >= 1, "alias")
-    n = F.coalesce(F.when(F.col("_exact_n") >= 1, F.col("_exact_n")), F.col("_alias_n"))
-    status = F.when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("unresolved")
-    chosen = F.when(n == 1, F.coalesce(F.when(F.col("_exact_n") >= 1, F.col("_exact")), F.col("_alias")))
-    return out.select("term_id", "term", which.alias("tier"), status.alias("status"), chosen.alias("id"))
+        return df.groupBy("term_id").agg(F.min_by("id", F.struct("id", "name")).alias(f"_{name}"), F.min_by("name", F.struct("id", "name")).alias(f"_{name}_name"), F.count_distinct("id").alias(f"_{name}_n"))
+
+    exact = resolve_exact(terms, names)
+    left = terms.join(exact.select("term_id").distinct(), "term_id", "left_anti")
+    guarded = resolve_typo(left, names).filter("accepted")
+    out = terms.join(tier(exact, "exact"), "term_id", "left").join(tier(guarded, "typo"), "term_id", "left")
+    out = out.join(tier(resolve_alias(terms, names), "alias"), "term_id", "left")
+    rest = left.join(guarded.select("term_id"), "term_id", "left_anti").join(resolve_alias(left, names).select("term_id").distinct(), "term_id", "left_anti")
+    out = out.join(tier(lexical_candidates(rest, names), "candidates"), "term_id", "left")
+    if overrides is not None:
+        told = overrides.select(key("term").alias("_k"), F.col("name").alias("_given"))
+        known = names.select(key("name").alias("_g"), F.col("id").alias("_override")).groupBy("_g").agg(F.min("_override").alias("_override"))
+        told = told.groupBy("_k").agg(F.min("_given").alias("_given")).withColumn("_g", key("_given")).join(known, "_g", "left").drop("_g")
+        out = out.withColumn("_k", key("term")).join(told, "_k", "left").drop("_k")
+    else:
+        out = out.withColumns({"_given": F.lit(None).cast("string"), "_override": F.lit(None).cast(names.schema["id"].dataType)})
+    hit = lambda name: F.col(f"_{name}_n") >= 1
+    shaped = looks_scientific(F.col("term"))
+    pick = lambda *v: F.when(F.col("_given").isNotNull(), v[0]).when(hit("exact"), v[1]).when(hit("typo"), v[2]).when(shaped, v[3]).when(hit("alias"), v[4]).when(hit("candidates"), v[5])
+    unique = lambda name: F.when(F.col(f"_{name}_n") == 1, "resolved").otherwise("ambiguous")
+    which = pick("override", "exact", "typo", "scientific", "alias", "candidates")
+    status = F.coalesce(pick(F.lit("resolved"), unique("exact"), F.lit("resolved"), F.lit("resolved"), unique("alias"), F.lit("ambiguous")), F.lit("unresolved"))
+    nothing = F.lit(None)
+    sole = lambda name, c: F.when(F.col(f"_{name}_n") == 1, F.col(c))
+    chosen = pick(F.col("_override"), sole("exact", "_exact"), F.col("_typo"), nothing, sole("alias", "_alias"), nothing)
+    name = pick(F.col("_given"), sole("exact", "_exact_name"), F.col("_typo_name"), F.trim("term"), sole("alias", "_alias_name"), nothing)
+    return out.select("term_id", "term", which.alias("tier"), status.alias("status"), chosen.alias("id"), name.alias("name"))
 
 
 def retype_unique(terms: DataFrame, other: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections import deque
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.tables import numbered, stored
+
 LIMIT = 5000
 
 
@@ -80,6 +82,7 @@ def path_join(graph: Graph, terminals: list[str], where: dict[str, Column] | Non
 def overview(graph: Graph, root: str, where: Column) -> DataFrame:
     """The root and every edge downstream of it, one UNION ALL arm per edge type, multiplicity kept.
 
+    A frontier that further edges start from is stored, so no arm repeats the joins of those before it.
     Columns: src_type, src_id, rel, dst_type, dst_id; the root's arm has no edge.
     """
     start = _node(graph, root, {root: where}).select(F.col(f"{root}_id").cast("string").alias("id"))
@@ -92,6 +95,7 @@ def overview(graph: Graph, root: str, where: Column) -> DataFrame:
             if s == at:
                 cast = edge.select(F.col("src_id").cast("string").alias("id"), F.col("dst_id").cast("string").alias("to"))
                 hop = front[s].join(cast, "id")
+                hop = stored(hop, "frontier") if any(d == at for at, _ in graph.edges) else hop
                 out = out.unionByName(hop.select(F.lit(s).alias("src_type"), F.col("id").alias("src_id"), F.lit(rel).alias("rel"), F.lit(d).alias("dst_type"), F.col("to").alias("dst_id")))
                 front[d] = hop.select(F.col("to").alias("id"))
                 todo.append(d)
@@ -131,14 +135,14 @@ def bfs_layers(edges: DataFrame, root: DataFrame, max_depth: int) -> DataFrame:
 
 
 def facts(rows: DataFrame, kinds: list[str], measures: list[str] | None = None) -> DataFrame:
-    """Result rows as facts: index, ordered path, entities, measurements."""
-    from pyspark.sql import Window
-
+    """Result rows as facts: index, ordered path, entities (the last of a type), measurements."""
     ids = [F.col(f"{k}_id").cast("string") for k in kinds]
-    index = F.row_number().over(Window.orderBy(*ids, *[F.col(m) for m in measures or []])) - 1
     path = F.array(*[F.struct(F.lit(k).alias("type"), i.alias("id")) for k, i in zip(kinds, ids, strict=True)])
+    last = dict(zip(kinds, ids, strict=True))
+    entities = F.create_map(*[x for k, i in last.items() for x in (F.lit(k), i)])
     measured = F.create_map(*[x for m in measures or [] for x in (F.lit(m), F.col(m).cast("string"))]) if measures else F.create_map().cast("map<string,string>")
-    return rows.select(index.cast("long").alias("row_index"), path.alias("path"), F.map_from_entries(path).alias("entities"), measured.alias("measurements"))
+    told = numbered(rows, [*ids, *[F.col(m) for m in measures or []]], "row_index")
+    return told.select("row_index", path.alias("path"), entities.alias("entities"), measured.alias("measurements"))
 
 
 def distinct_nodes(found: DataFrame) -> DataFrame:
@@ -146,15 +150,36 @@ def distinct_nodes(found: DataFrame) -> DataFrame:
     return found.select(F.explode("path").alias("n")).select("n.*").distinct()
 
 
-def summary(found: DataFrame) -> DataFrame:
-    """Fact count and distinct node counts by type (A1)."""
-    nodes = distinct_nodes(found).groupBy(F.concat(F.lit("nodes:"), F.col("type")).alias("metric")).agg(F.count("*").alias("n"))
-    return nodes.unionByName(found.agg(F.count("*").alias("n")).select(F.lit("facts").alias("metric"), "n"))
+def distinct_edges(found: DataFrame) -> DataFrame:
+    """Distinct edges between neighbours on the facts' paths."""
+    step = lambda i: F.struct(*[F.col("path")[i + j][c].alias(f"{side}_{c}") for j, side in ((0, "src"), (1, "dst")) for c in ("type", "id")])
+    steps = F.transform(F.sequence(F.lit(0), F.size("path") - 2), step)
+    return found.filter(F.size("path") > 1).select(F.explode(steps).alias("e")).select("e.*").distinct()
+
+
+def summary(found: DataFrame, measured: str | None = None) -> DataFrame:
+    """Counts of facts, distinct nodes and edges, and both by type (A1).
+
+    ``measured`` names the node type that measurements belong to; then distinct nodes of it are counted by each measured value.
+    """
+    nodes, edges = distinct_nodes(found), distinct_edges(found)
+    count = lambda df, metric: df.groupBy(metric.alias("metric")).agg(F.count("*").alias("n"))
+    out = found.agg(F.count("*").alias("n")).select(F.lit("facts").alias("metric"), "n")
+    out = out.unionByName(nodes.agg(F.count("*").alias("n")).select(F.lit("nodes").alias("metric"), "n")).unionByName(edges.agg(F.count("*").alias("n")).select(F.lit("edges").alias("metric"), "n"))
+    out = out.unionByName(count(nodes, F.concat(F.lit("nodes:"), F.col("type")))).unionByName(count(edges, F.concat(F.lit("edges:"), F.concat_ws(">", "src_type", "dst_type"))))
+    if measured:
+        values = found.select(F.col("entities")[measured].alias("id"), F.explode("measurements").alias("name", "value")).distinct()
+        out = out.unionByName(count(values, F.concat(F.concat_ws(":", F.lit("measured"), "name"), F.lit("="), F.coalesce("value", F.lit("")))))
+    return out
 
 
-def fact_line(path: Column) -> Column:
-    """One line of text for a fact's path."""
-    return F.array_join(F.transform(path, lambda n: F.concat_ws("=", n["type"], n["id"])), " > ")
+def fact_line(path: Column, measurements: Column | None = None) -> Column:
+    """One line of text for a fact's path, its measurements behind it as JSON in the order of their names."""
+    line = F.array_join(F.transform(path, lambda n: F.concat_ws("=", n["type"], n["id"])), " > ")
+    if measurements is None:
+        return line
+    ordered = F.map_from_entries(F.array_sort(F.map_entries(measurements)))
+    return F.when(F.size(measurements) > 0, F.concat(line, F.lit(" "), F.to_json(ordered))).otherwise(line)
 
 
 def context_size(found: DataFrame) -> DataFrame:
@@ -166,7 +191,7 @@ def context_size(found: DataFrame) -> DataFrame:
 
 
 def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Duplicate and blank node ids, dangling and duplicate edges, as (problem, detail)."""
+    """Duplicate and blank node ids, dangling and duplicate edges, as (problem, detail)."""
     key = F.concat_ws(":", "type", "id")
     dup = nodes.groupBy("type", "id").count().filter("count > 1").select(F.lit("duplicate node").alias("problem"), key.alias("detail"))
     blank = nodes.filter("id is null or trim(id) = ''").select(F.lit("blank node").alias("problem"), F.col("type").alias("detail"))
@@ -177,3 +202,63 @@ def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         out = out.unionByName(edges.join(ends, [f"{side}_type", f"{side}_id"], "left_anti").select(F.lit(f"dangling {side}").alias("problem"), edge.alias("detail")))
     twice = edges.groupBy("src_type", "src_id", "rel", "dst_type", "dst_id").count().filter("count > 1")
     return out.unionByName(twice.select(F.lit("duplicate edge").alias("problem"), edge.alias("detail")))
+
+
+def row_violations(found: DataFrame, nodes: DataFrame, n_rows: int) -> DataFrame:
+    """Facts that refer to unknown nodes, and a fact count that isn't ``n_rows``, as (problem, detail)."""
+    refs = found.select(F.explode("path").alias("n")).select("n.type", "n.id").distinct()
+    missing = refs.join(nodes.select("type", "id").distinct(), ["type", "id"], "left_anti").select(F.lit("missing reference").alias("problem"), F.concat_ws(":", "type", "id").alias("detail"))
+    counted = found.agg(F.count("*").alias("n")).filter(F.col("n") != n_rows)
+    return missing.unionByName(counted.select(F.lit("row count").alias("problem"), F.col("n").cast("string").alias("detail")))
+
+
+def store_violations(nodes: dict[str, tuple[DataFrame, str]], edges: dict[str, tuple[DataFrame, str, str]], most: int = 5) -> DataFrame:
+    """Blank and repeated keys, and edges whose ends no node table has: the first ``most`` offenders of each.
+
+    ``nodes`` gives each table and its key, ``edges`` each table (src_id, dst_id) and its two node tables.
+    """
+    out = None
+    text = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit(""))
+    for name, (df, key) in nodes.items():
+        told = df.groupBy(text(key).alias("detail")).agg(F.count("*").alias("n")).filter("n > 1 or detail = ''")
+        one = told.select(F.lit(name).alias("table_name"), F.when(F.col("detail") == "", "blank key").otherwise("repeated key").alias("problem"), "detail")
+        out = one if out is None else out.unionByName(one)
+    for name, (df, src, dst) in edges.items():
+        for side, table in (("src_id", src), ("dst_id", dst)):
+            known = nodes[table][0].select(text(nodes[table][1]).alias("detail")).distinct()
+            lost = df.select(text(side).alias("detail")).distinct().join(known, "detail", "left_anti")
+            out = out.unionByName(lost.select(F.lit(name).alias("table_name"), F.lit(f"unknown {side}").alias("problem"), "detail"))
+    rank = F.row_number().over(Window.partitionBy("table_name", "problem").orderBy("detail"))
+    return out.withColumn("_n", rank).filter(F.col("_n") <= most).drop("_n")
+
+
+def edge_violations(edges: DataFrame, constants: dict[str, str], prefixes: dict[str, str]) -> DataFrame:
+    """Edges with another value than the constant of a column, or an id without its prefix, with the column."""
+    wrong = [F.when(~F.col(f"`{c}`").eqNullSafe(F.lit(v)), F.lit(c)) for c, v in constants.items()]
+    wrong += [F.when(~F.coalesce(F.startswith(F.col(f"`{c}`"), F.lit(v)), F.lit(False)), F.lit(c)) for c, v in prefixes.items()]
+    return edges.withColumn("_bad", F.array_compact(F.array(*wrong))).filter(F.size("_bad") > 0).select("*", F.explode("_bad").alias("problem")).drop("_bad")
+
+
+def type_paths(edges: DataFrame, most: int = 4) -> DataFrame:
+    """(path, hops) of the directed paths of at most ``most`` edges over the types that the edge table joins."""
+    edge = edges.select(F.col("src_type").alias("s"), F.col("dst_type").alias("d")).distinct()
+    out = layer = edge.select(F.array("s", "d").alias("types"), F.lit(1).alias("hops"))
+    for hops in range(2, most + 1):
+        layer = layer.join(edge, F.element_at("types", -1) == F.col("s")).filter(~F.array_contains("types", F.col("d"))).select(F.concat("types", F.array("d")).alias("types"), F.lit(hops).alias("hops"))
+        out = out.unionByName(layer)
+    return out.select(F.array_join("types", ">").alias("path"), "hops")
+
+
+# The named questions and the types that they join.
+FAMILIES = {
+    "plant_information": ["plant"], "plant_parts": ["plant", "plant_part"], "plant_phytochemicals": ["plant", "phytochemical"], "plant_therapeutic_uses": ["plant", "therapeutic_use"],
+    "plant_bioactivities": ["plant", "bioactivity"], "plant_targets": ["plant", "target"], "plant_phytochemical_bioactivities": ["plant", "phytochemical", "bioactivity"], "plant_phytochemical_targets": ["plant", "phytochemical", "target"],
+    "plant_therapeutic_use_phytochemicals": ["plant", "therapeutic_use", "phytochemical"], "phytochemical_information": ["phytochemical"], "phytochemical_plants": ["phytochemical", "plant"], "phytochemical_bioactivities": ["phytochemical", "bioactivity"],
+    "phytochemical_targets": ["phytochemical", "target"], "therapeutic_use_plants": ["therapeutic_use", "plant"], "therapeutic_use_phytochemicals": ["therapeutic_use", "phytochemical"], "target_phytochemicals": ["target", "phytochemical"],
+    "target_bioactivities": ["target", "bioactivity"], "bioactivity_information": ["bioactivity"], "bioactivity_targets": ["bioactivity", "target"], "bioactivity_documents": ["bioactivity", "document"], "document_information": ["document"],
+}
+
+
+def path_family(graph: Graph, name: str, where: dict[str, Column] | None = None, limit: int | None = LIMIT, types: dict[str, str] | None = None) -> DataFrame:
+    """``path_join`` for a named question; ``types`` gives the graph's own names of the types."""
+    return path_join(graph, [(types or {}).get(kind, kind) for kind in FAMILIES[name]], where, limit)

@@ -11,6 +11,7 @@ from graphloom.functions import clean as C
 from graphloom.operators import joins as J
 from graphloom.operators import measurements as M
 from graphloom.operators import resolve as R
+from graphloom.plans import evidence as V
 from graphloom.plans import paths as P
 from graphloom.sources import tables as S
 
@@ -94,10 +95,9 @@ def path_single_type(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_LINE}
 SELECT o_orderkey AS order_id, year(o_orderdate)::INT AS order_year, line.id AS line_id, l_quantity AS line_quantity, l_returnflag AS line_flag, p_partkey AS part_id, p_name AS part_name, p_brand AS part_brand
-FROM orders JOIN line ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey % 50 = 0
-ORDER BY line_id, order_id, part_id, line_flag, line_quantity LIMIT 3000""")
+FROM orders JOIN line ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey""")
 def path_reverse(t: Tables) -> DataFrame:
-    return P.path_join(graph(t), ["order", "part"], {"order": F.col("id") % 50 == 0}, limit=3000)
+    return P.path_join(graph(t), ["order", "part"], limit=None)
 
 
 @query(f"""WITH {_BOUGHT}
@@ -149,13 +149,12 @@ def bfs_layers(t: Tables) -> DataFrame:
     return P.bfs_layers(P.edge_table(graph(t), _SMALL), root, 4)
 
 
-_FACTS = """WITH r AS (SELECT n_name, c_custkey, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name <= 'NATION_2'
-ORDER BY c_custkey, n_name, c_mktsegment LIMIT 5000),
+_FACTS = """WITH r AS (SELECT n_name, c_custkey, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey),
 f AS (SELECT row_number() OVER (ORDER BY n_name, c_custkey::VARCHAR, c_mktsegment) - 1 AS row_index, * FROM r)"""
 
 
 def _facts(t: Tables) -> DataFrame:
-    rows = P.path_join(graph(t), ["nation", "segment"], {"nation": F.col("id") <= "NATION_2"})
+    rows = P.path_join(graph(t), ["nation", "segment"], limit=None)
     return P.facts(rows, ["nation", "customer", "segment"])
 
 
@@ -165,52 +164,55 @@ def facts_flat(t: Tables) -> DataFrame:
     return _facts(t).select("row_index", e("nation"), e("customer"), e("segment"))
 
 
-@query(_FACTS + """ SELECT 'facts' AS metric, count(*) AS n FROM f UNION ALL SELECT 'nodes:nation', count(DISTINCT n_name) FROM f
-UNION ALL SELECT 'nodes:customer', count(DISTINCT c_custkey) FROM f UNION ALL SELECT 'nodes:segment', count(DISTINCT c_mktsegment) FROM f""")
+@query(_FACTS + """, n AS (SELECT count(DISTINCT n_name) AS a, count(DISTINCT c_custkey) AS b, count(DISTINCT c_mktsegment) AS c FROM f)
+SELECT 'facts' AS metric, count(*) AS n FROM f UNION ALL SELECT 'nodes:nation', a FROM n UNION ALL SELECT 'nodes:customer', b FROM n UNION ALL SELECT 'nodes:segment', c FROM n
+UNION ALL SELECT 'nodes', a + b + c FROM n UNION ALL SELECT 'edges:nation>customer', count(*) FROM (SELECT DISTINCT n_name, c_custkey FROM f)
+UNION ALL SELECT 'edges:customer>segment', count(*) FROM (SELECT DISTINCT c_custkey, c_mktsegment FROM f)
+UNION ALL SELECT 'edges', (SELECT count(*) FROM (SELECT DISTINCT n_name, c_custkey FROM f)) + (SELECT count(*) FROM (SELECT DISTINCT c_custkey, c_mktsegment FROM f))""")
 def summary_counts(t: Tables) -> DataFrame:
     return P.summary(_facts(t))
 
 
+@query(f"""WITH {_LINE}, f AS (SELECT p_partkey, line.id, l_returnflag FROM part JOIN line ON l_partkey = p_partkey)
+SELECT 'measured:line_flag=' || l_returnflag AS metric, count(DISTINCT id) AS n FROM f GROUP BY l_returnflag""")
+def measured_counts(t: Tables) -> DataFrame:
+    rows = P.path_join(graph(t), ["part", "line"], limit=None)
+    return P.summary(P.facts(rows, ["part", "line"], ["line_flag"]), "line").filter("startswith(metric, 'measured')")
+
+
 @query(_FACTS + " SELECT row_index::BIGINT AS row_index FROM f WHERE c_mktsegment = 'BUILDING' AND n_name = 'NATION_1'")
 def fact_selection(t: Tables) -> DataFrame:
-    return _facts(t).filter((F.col("entities")["segment"] == "BUILDING") & F.exists("path", lambda n: n["id"] == "NATION_1")).select("row_index")
+    return V.touching(V.touching(_facts(t), "segment", "BUILDING"), "nation", "NATION_1").select("row_index")
 
 
 @query(_FACTS + " SELECT type, id, min(row_index)::BIGINT AS first_index FROM (SELECT row_index, unnest(['nation', 'customer', 'segment']) AS type, unnest([n_name, c_custkey::VARCHAR, c_mktsegment]) AS id FROM f) GROUP BY type, id")
 def subject_candidates(t: Tables) -> DataFrame:
-    return _facts(t).select("row_index", F.explode("path").alias("n")).groupBy("n.type", "n.id").agg(F.min("row_index").alias("first_index"))
+    return V.subject_candidates(_facts(t))
 
 
-@query(_FACTS + """, p AS (SELECT lower(c_mktsegment) AS k, c_mktsegment AS part, row_index, n_name FROM f),
-u AS (SELECT k, n_name, count(*) AS c FROM p GROUP BY k, n_name)
-SELECT min(part) AS part, count(*) AS fact_count, count(DISTINCT n_name) AS n_uses,
- array_to_string(list_slice(list_sort(list(DISTINCT n_name)), 1, 8), ',') AS uses FROM p GROUP BY k""")
+@query(_FACTS + """, p AS (SELECT lower(c_mktsegment) AS k, min(c_mktsegment) AS part, count(*) AS fact_count, min(row_index)::BIGINT AS first_index, count(DISTINCT n_name) + count(DISTINCT c_custkey) + count(DISTINCT c_mktsegment) AS n_nodes,
+ count(DISTINCT n_name) AS n_uses, array_to_string(list_slice(list_sort(list(DISTINCT n_name)), 1, 8), ',') AS uses FROM f GROUP BY k)
+SELECT part, fact_count, first_index, n_nodes, n_uses, uses, (row_number() OVER (ORDER BY fact_count DESC, k))::INT AS place FROM p""")
 def part_explorer(t: Tables) -> DataFrame:
-    f = _facts(t).select("row_index", F.col("entities")["segment"].alias("part"), F.col("entities")["nation"].alias("use"))
-    uses = F.array_sort(F.collect_set("use"))
-    g = f.groupBy(F.lower("part").alias("k")).agg(F.min("part").alias("part"), F.count("*").alias("fact_count"), F.count_distinct("use").alias("n_uses"), F.array_join(F.slice(uses, 1, 8), ",").alias("uses"))
-    return g.drop("k")
+    return V.part_explorer(_facts(t), "segment", "nation").withColumn("uses", F.array_join("uses", ","))
+
 
+@query(_FACTS + " SELECT lower(c_mktsegment) AS key, n_name AS use, row_index::BIGINT AS row_index FROM f")
+def fact_indices(t: Tables) -> DataFrame:
+    return V.fact_indices(_facts(t), "segment", "nation")
 
-@query("""SELECT n_name AS subject, count(*) AS n_facts, count(DISTINCT c_mktsegment) AS n_segments, count(DISTINCT o_orderkey) AS n_orders,
-round(sum(o_totalprice), 2) AS total FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY n_name""")
+
+@query(_FACTS + " SELECT min(c_mktsegment) AS part, count(*) AS n_facts, count(DISTINCT n_name) AS n_uses, 'customer=' || count(DISTINCT c_custkey) AS others FROM f GROUP BY lower(c_mktsegment)")
 def overview_cards(t: Tables) -> DataFrame:
-    rows = t.nation.join(t.customer, F.col("c_nationkey") == F.col("n_nationkey")).join(t.orders, F.col("o_custkey") == F.col("c_custkey"))
-    return rows.groupBy(F.col("n_name").alias("subject")).agg(F.count("*").alias("n_facts"), F.count_distinct("c_mktsegment").alias("n_segments"), F.count_distinct("o_orderkey").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return V.overview_cards(_facts(t), "segment", "nation").withColumn("others", F.array_join("others", ","))
 
 
-@query("""WITH RECURSIVE e(s, d) AS (VALUES ('nation', 'customer'), ('customer', 'part'), ('part', 'line'), ('customer', 'segment'), ('line', 'supplier'), ('line', 'order')),
-x AS (SELECT DISTINCT n_regionkey FROM nation WHERE n_regionkey = 0),
-r(path, last, hops) AS (SELECT s || '>' || d, d, 1 FROM e UNION ALL SELECT path || '>' || d, d, hops + 1 FROM r JOIN e ON last = s WHERE hops < 4) SELECT path, hops FROM r, x""")
+@query("""WITH RECURSIVE e(s, d) AS (SELECT 'nation', 'customer' WHERE EXISTS (SELECT 1 FROM customer JOIN nation ON c_nationkey = n_nationkey) UNION ALL SELECT 'customer', 'part' WHERE EXISTS (SELECT 1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+UNION ALL SELECT 'customer', 'segment' WHERE EXISTS (SELECT 1 FROM customer) UNION ALL SELECT * FROM (VALUES ('part', 'line'), ('line', 'supplier'), ('line', 'order')) WHERE EXISTS (SELECT 1 FROM lineitem)),
+r(path, last, hops) AS (SELECT s || '>' || d, d, 1 FROM e UNION ALL SELECT path || '>' || d, d, hops + 1 FROM r JOIN e ON last = s WHERE hops < 4) SELECT path, hops FROM r""")
 def type_paths(t: Tables) -> DataFrame:
-    """Directed type paths of at most four edges."""
-    kinds = [(s, d) for s, d in graph(t).edges]
-    edge = t.nation.filter("n_regionkey = 0").select("n_regionkey").distinct().select(F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(d).alias("d")) for s, d in kinds])).alias("e")).select("e.*")
-    out = layer = edge.select(F.concat_ws(">", "s", "d").alias("path"), F.col("d").alias("last"), F.lit(1).alias("hops"))
-    for _ in range(3):
-        layer = layer.join(edge, F.col("last") == F.col("s")).select(F.concat_ws(">", "path", "d").alias("path"), F.col("d").alias("last"), (F.col("hops") + 1).alias("hops"))
-        out = out.unionByName(layer)
-    return out.select("path", "hops")
+    """Directed type paths of at most four edges over the edges that the tables hold."""
+    return P.type_paths(P.edge_table(graph(t)))
 
 
 @query("""WITH e AS (SELECT l_orderkey::VARCHAR AS s, (CASE WHEN l_suppkey % 37 = 0 THEN -l_suppkey ELSE l_suppkey END)::VARCHAR AS d FROM lineitem)
@@ -348,12 +350,10 @@ def merge_report(t: Tables) -> DataFrame:
     return _batch(t)[1]
 
 
-@query("""WITH n AS (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0) SELECT count(*) AS n, count(DISTINCT c_custkey) AS n_ids,
-'BA_' || lpad(((SELECT max(s_suppkey) FROM supplier) + 1)::VARCHAR, 6, '0') AS first_id, 'BA_' || lpad(((SELECT max(s_suppkey) FROM supplier) + count(*))::VARCHAR, 6, '0') AS last_id FROM n""")
+@query("""SELECT c_custkey, 'BA_' || lpad(((SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY c_acctbal, c_custkey))::VARCHAR, 6, '0') AS id FROM customer""")
 def new_ids(t: Tables) -> DataFrame:
     have = t.supplier.select(F.concat(F.lit("BA_"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("id"))
-    out = M.new_ids(have, t.customer.filter("c_custkey % 5 = 0"), "id", "BA_", [F.col("c_custkey")])
-    return out.agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return M.new_ids(have, t.customer, "id", "BA_", [F.col("c_acctbal"), F.col("c_custkey")]).select("c_custkey", "id")
 
 
 @query("""SELECT coalesce(a.s_suppkey, b.k) AS s_suppkey, CASE WHEN b.k IS NULL THEN a.s_name ELSE b.s_name END AS s_name, a.s_nationkey FROM supplier a
@@ -425,6 +425,21 @@ def rank_entities(t: Tables) -> DataFrame:
     return R.rank_entities(terms, names).select("term_id", "id", F.round("score", 6).alias("score"), "accepted")
 
 
+@query("""WITH n AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY p_name), b AS (SELECT DISTINCT p_brand || ' ' || string_split(p_name, ' ')[1] AS term FROM part),
+x AS (SELECT term, id, list_distinct(string_split(trim(regexp_replace(lower(term), '[^a-z0-9_]+', ' ', 'g')), ' ')) AS tt, list_distinct(string_split(lower(name), ' ')) AS nt, trim(regexp_replace(lower(term), '[^a-z0-9_]+', ' ', 'g')) AS t, lower(name) AS n FROM b, n)
+SELECT term AS term_id, id, len(list_intersect(tt, nt)) AS shared, t = n AS same, contains(n, t) OR contains(t, n) AS inside FROM x WHERE len(list_intersect(tt, nt)) > 0 OR contains(n, t) OR contains(t, n)""")
+def rank_candidates(t: Tables) -> DataFrame:
+    names = t.part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+    term = F.concat_ws(" ", "p_brand", F.element_at(F.split("p_name", " "), 1))
+    terms = t.part.select(term.alias("term")).distinct().withColumn("term_id", F.col("term"))
+    return R.rank_candidates(terms, names).withColumn("shared", F.col("shared").cast("long"))
+
+
+@query()
+def lexical_candidates(t: Tables) -> DataFrame:
+    return R.lexical_candidates(*_typos(t)).select("term_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), w AS (SELECT name, list_distinct(string_split(lower(name), ' ')) AS nt FROM n),
 p AS (SELECT a.name AS term, b.name AS id, len(list_intersect(a.nt, b.nt))::DOUBLE / len(a.nt) AS overlap FROM w a JOIN w b ON list_has_any(a.nt, b.nt))
 SELECT term, id, round(overlap, 6) AS overlap, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY overlap DESC, lower(id), id) AS rank FROM p) WHERE rank <= 5""")
@@ -439,7 +454,7 @@ SELECT term, CASE WHEN n.c > 0 THEN 'exact' WHEN b.c > 0 THEN 'alias' END AS tie
 FROM (SELECT DISTINCT p_name AS term FROM part UNION SELECT p_brand FROM part UNION SELECT c_name FROM customer) LEFT JOIN n ON n.p_name = term LEFT JOIN b ON b.p_brand = term""")
 def resolution_cascade(t: Tables) -> DataFrame:
     terms = t.part.select(F.col("p_name").alias("term")).union(t.part.select("p_brand")).union(t.customer.select("c_name")).distinct().withColumn("term_id", F.col("term"))
-    return R.cascade(terms, t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("aliases"))).drop("term_id")
+    return R.cascade(terms, t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("aliases"))).drop("term_id", "name")
 
 
 @query("""SELECT n_name AS subject, c_name AS term, count(*) AS n, min(c_custkey) AS id FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import clean as C
 from graphloom.functions import markup as K
+from graphloom.plans import evidence as V
 from graphloom.plans import paths as P
 from graphloom.queries import _FACTS, Tables, _facts, query
 from graphloom.streaming import jobs
@@ -69,11 +70,10 @@ def fact_index(t: Tables) -> DataFrame:
     return _facts(t).select("row_index", F.array_join(ids, ",").alias("node_ids"), F.size("path").alias("n_nodes"))
 
 
-@query("""SELECT n_name AS subject, n_regionkey, count(*) AS n_rows, count(DISTINCT c_mktsegment) AS n_uses, min(c_custkey) AS first_customer FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""")
+@query(_FACTS + " SELECT n_name AS subject, count(*) AS n_facts, count(DISTINCT lower(c_mktsegment)) AS n_parts, count(DISTINCT c_custkey) AS n_uses, min(row_index)::BIGINT AS first_index FROM f GROUP BY n_name")
 def subject_profile(t: Tables) -> DataFrame:
-    """Attributes and counts of each subject."""
-    rows = t.nation.join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy(F.col("n_name").alias("subject"), "n_regionkey").agg(F.count("*").alias("n_rows"), F.count_distinct("c_mktsegment").alias("n_uses"), F.min("c_custkey").alias("first_customer"))
+    """Counts of each subject over its facts."""
+    return V.subject_profile(_facts(t), "nation", "segment", "customer")
 
 
 _FACT_TEXT = "'nation=' || n_name || ' > customer=' || c_custkey || ' > segment=' || c_mktsegment"
@@ -94,8 +94,10 @@ def _events(t: Tables) -> DataFrame:
 def stream_merge(t: Tables) -> DataFrame:
     """Continuous merge, existing keys win."""
     at = jobs.work_folder(t.spark)
-    jobs.merge_stream(_events(t), f"{at}/store", f"{at}/checkpoint", "user_id", F.col("event_id")).awaitTermination()
-    return t.spark.read.schema(t.events.schema).parquet(f"{at}/store/batch=*").select("user_id", "event_id")
+    specs = {"users": ("event_id", F.col("user_id").cast("string"))}
+    query = jobs.merge_stream(_events(t), f"{at}/store", f"{at}/checkpoint", lambda batch: {"users": batch.select("event_id", "user_id")}, specs, {})
+    query.awaitTermination()
+    return jobs.version(t.spark, f"{at}/store", "users", query.lastProgress["batchId"], t.events.select("event_id", "user_id"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -92,7 +94,7 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column], last: bool =
 
 
 def publish(spark: SparkSession, store: str, tables: dict[str, DataFrame], violations: DataFrame | None = None) -> str:
-    """Write a new version of all tables, then move the pointer to it; nothing is written if there are violations.
+    """Write a new version of all tables, then a pointer to it; the newest pointer counts, nothing is written if there are violations.
 
     Earlier versions stay as snapshots.
     """
@@ -101,7 +103,8 @@ def publish(spark: SparkSession, store: str, tables: dict[str, DataFrame], viola
     version = datetime.datetime.now(datetime.UTC).strftime("%Y%m%dT%H%M%S%fZ")
     write_tables(tables, f"{store}/{version}")
     pointer = spark.range(1).select(F.lit(json.dumps({"version": version, "tables": sorted(tables)})).alias("value"))
-    pointer.coalesce(1).write.mode("overwrite").text(f"{store}/_current")
+    # pointers are added, never replaced: a crash leaves the one before
+    pointer.coalesce(1).write.mode("append").text(f"{store}/_current")
     return version
 
 
@@ -109,7 +112,7 @@ def current(spark: SparkSession, store: str) -> dict[str, DataFrame]:
     """The tables of the version that the pointer names."""
     if not _exists(spark, f"{store}/_current"):
         return {}
-    told = json.loads(spark.read.text(f"{store}/_current").first()[0])
+    told = json.loads(spark.read.text(f"{store}/_current").agg(F.max("value")).first()[0])
     return {t: spark.read.parquet(f"{store}/{told['version']}/{t}") for t in told["tables"]}
 
 
@@ -139,3 +142,35 @@ def digest(df: DataFrame) -> DataFrame:
 def changed(df: DataFrame, before: tuple | None) -> bool:
     """Whether a table's digest differs from the one given."""
     return before is None or tuple(digest(df).first()) != tuple(before)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a temporary folder only for a local master where it is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-graphloom-")
+    return shared.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read again: it is computed once."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """The rows with their 0-based position under an order.
+
+    Rows are dealt into ranges of the order and numbered there; a range goes on after the sizes of those before it, so no task sees all rows.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumns({f"_o{i}": o for i, o in enumerate(order)})
+    keys = [F.col(f"_o{i}") for i in range(len(order))]
+    ranges = stored(keyed.repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = sizes.select("_range", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) - 1 + F.col("_before")
+    return ranges.join(F.broadcast(before), "_range").withColumn(name, place.cast("long")).drop("_range", "_before", *[f"_o{i}" for i in range(len(order))])

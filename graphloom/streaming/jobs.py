@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from graphloom.sources.tables import first_per
+from graphloom.operators.measurements import merge_batch
+from graphloom.sources.tables import shared_folder
 
 
 def stream_of(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -17,23 +18,28 @@ def stream_of(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.readStream.schema(like.schema).parquet(path)
 
 
-def merge_stream(batches: DataFrame, store: str, checkpoint: str, key: str, order: Column) -> StreamingQuery:
-    """Append the rows of unseen key of each micro-batch to the store, once per batch id.
+def merge_stream(batches: DataFrame, store: str, checkpoint: str, split: Callable[[DataFrame], dict[str, DataFrame]], specs: dict[str, tuple[str, Column]], edges: dict[str, tuple[str, str]]) -> StreamingQuery:
+    """Merge each micro-batch into the canonical store by ``merge_batch``.
 
-    Each batch writes its own folder, so a batch that runs again replaces what it wrote before.
+    ``split`` makes the incoming tables of a batch. A batch reads the version that the one before it wrote and writes
+    ``<table>/version=<batch>`` and ``report/version=<batch>``, so one that runs again replaces its own work only.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = first_per(batch, [key], [order])
-        if batch_id:
-            have = spark.read.schema(batch.schema).parquet(*[f"{store}/batch={i}" for i in range(batch_id)])
-            new = new.join(have.select(key), key, "left_anti")
-        new.select(*batch.columns).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        incoming = split(batch)
+        have = {name: version(batch.sparkSession, store, name, batch_id - 1, df) for name, df in incoming.items()}
+        out, report = merge_batch(have, incoming, specs, edges)
+        for name, df in [*out.items(), ("report", report)]:
+            df.write.mode("overwrite").parquet(f"{store}/{name}/version={batch_id}")
 
     return batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def version(spark: SparkSession, store: str, name: str, number: int, like: DataFrame) -> DataFrame:
+    """One version of a merged table; before the first it is empty."""
+    return spark.read.schema(like.schema).parquet(f"{store}/{name}/version={number}") if number >= 0 else like.limit(0)
+
+
 def dedup_stream(rows: DataFrame, time: str, keys: list[str], delay: str) -> DataFrame:
     """The first row of each key within the watermark."""
     return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
@@ -58,10 +64,5 @@ def run_to_parquet(rows: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder for a stream's output and state under ``spark.checkpoint.dir``; a temporary one only for a local master where it is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-graphloom-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder for a stream's output and state under the shared folder."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"

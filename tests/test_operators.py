@@ -86,8 +86,17 @@ def test_streams(spark, tmp_path):
     src = str(tmp_path / "src")
     events.repartition(3).write.parquet(src)
     stream = lambda: jobs.stream_of(spark, src, events)
-    jobs.merge_stream(stream(), str(tmp_path / "store"), str(tmp_path / "c1"), "user_id", F.col("event_id")).awaitTermination()
-    assert spark.read.schema(events.schema).parquet(str(tmp_path / "store/batch=0")).count() == events.select("user_id").distinct().count()
+    specs = {"users": ("event_id", F.col("user_id").cast("string")), "kinds": ("id", F.col("id"))}
+    split = lambda b: {"users": b.select("event_id", "user_id"), "kinds": b.select(F.col("event_type").alias("id")).distinct(), "did": b.select(F.col("event_id").alias("src_id"), F.col("event_type").alias("dst_id"))}
+    slow = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    query = jobs.merge_stream(slow, str(tmp_path / "store"), str(tmp_path / "c1"), split, specs, {"did": ("users", "kinds")})
+    query.awaitTermination()
+    last = query.lastProgress["batchId"]
+    table = lambda name: spark.read.parquet(str(tmp_path / f"store/{name}/version={last}"))
+    assert last >= 1 and table("users").count() == events.select("user_id").distinct().count()
+    did = table("did")
+    assert did.join(table("users").select(F.col("event_id").cast("string").alias("src_id")), "src_id", "left_anti").count() == 0
+    assert table("report").filter("table_name = 'users'").first()["n_after"] == table("users").count()
     users = events.select("user_id").distinct().filter("user_id % 2 = 0")
     got = jobs.run_to_parquet(jobs.missing_stream(stream(), users, "user_id"), str(tmp_path / "o1"), str(tmp_path / "c2"))
     assert got.count() == events.filter("user_id % 2 <> 0").count()
