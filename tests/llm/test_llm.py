@@ -162,7 +162,7 @@ def test_perplexity(spark, docs, odd):
     rows = {r["doc_id"]: r for r in perplexity.classify(odd, labels).collect()}
     assert not rows[1]["kept"] and not rows[2]["kept"]
     probs, weights = perplexity.train(docs.filter("text is not null").limit(40).select("text"))
-    mass = probs.filter("size = 1").agg(F.sum(F.exp("logp"))).first()[0]
+    mass = probs.filter("size = 1").agg(F.sum(F.exp(F.col("logp") / perplexity.SCALE))).first()[0]
     assert 0.5 < mass <= 1.0001
 
 
