@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -195,9 +196,32 @@ def accession(own: Column, synonyms: Column) -> Column:
 
 def page_text(html: Column) -> Column:
     """Visible text of a page: scripts, styles and tags removed."""
-    return clean(F.regexp_replace(F.regexp_replace(html, "(?is)<(script|style)[^>]*>.*?</\\1>", " "), "<[^>]+>", " "))
+    return clean(F.regexp_replace(F.regexp_replace(html, "(?is)<(script|style|noscript)[^>]*>.*?</\\1>", " "), "<[^>]+>", " "))
 
 
 def filled_properties(props: Column) -> Column:
     """Map entries that are neither null nor blank."""
     return F.map_filter(props, lambda k, v: v.isNotNull() & (F.trim(v) != ""))
+
+
+# The levels of a classification as pages label them, and the labels that end it.
+CLASS_LEVELS = ["Kingdom", "Superclass", "Class", "Subclass"]
+CLASS_END = ["NP Classifier Biosynthetic pathway", "NP Classifier Superclass", "NP Classifier Class", "NP-Likeness score", "Chemical structure download", "External chemical identifiers", "Synonymous chemical names"]
+
+
+def classification(c: Column, scheme: str, levels: list[str] | None = None, ends: list[str] | None = None) -> Column:
+    """Struct of a labelled classification's levels, each up to the next level or end label, ignoring case; empty where absent."""
+    levels, ends = levels or CLASS_LEVELS, CLASS_END if ends is None else ends
+    stop = "|".join([re.escape(e) for e in ends] + [f"{re.escape(scheme)} {re.escape(x)}" for x in levels] + ["\\z"])
+    value = lambda x: F.regexp_extract(F.coalesce(c, F.lit("")), f"(?is){re.escape(scheme)} {re.escape(x)}\\s*:?\\s*(.*?)\\s*(?:{stop})", 1)
+    return F.struct(*[F.regexp_replace(clean(value(x)), "[ ,;]+$", "").alias(x.lower()) for x in levels])
+
+
+def page_record(html: Column, subject: Column) -> Column:
+    """Struct of a species page's common name and conservation status; null where its text doesn't name the subject."""
+    text = page_text(html)
+    until = lambda label, stops: F.regexp_extract(text, f"(?i)\\b{label}\\s*:\\s*(.+?)(?=" + "|".join([f"\\s+{s}\\s*:" for s in stops] + ["\\z"]) + ")", 1)
+    names = until("Common\\s+name", ["Vernacular\\s+name", "Habit", "Habitat", "Comments\\s*/?\\s*notes", "Conservation\\s+Status"])
+    status = F.nullif(until("Conservation\\s+Status", ["Literature", "Read\\s+more", "Permalink", "Citation"]), F.lit(""))
+    found = (normalized_text(subject) != "") & F.contains(F.lower(text), normalized_text(subject))
+    return F.when(found, F.struct(F.trim(names).alias("common_names"), F.coalesce(status_label(status), F.lit("Not Found")).alias("status")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import clean as C
+from graphloom.operators import curation as Q
 from graphloom.operators import joins as J
 from graphloom.operators import measurements as M
 from graphloom.operators import resolve as R
@@ -457,14 +458,12 @@ def resolution_cascade(t: Tables) -> DataFrame:
     return R.cascade(terms, t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("aliases"))).drop("term_id", "name")
 
 
-@query("""SELECT n_name AS subject, c_name AS term, count(*) AS n, min(c_custkey) AS id FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""")
+@query("""SELECT n_name AS subject, c_name AS term, count(*) AS n, min(c_custkey) AS id, CASE WHEN count(*) > 1 THEN 'ambiguous' ELSE 'resolved' END AS status FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name, c_name""")
 def scoped_resolution(t: Tables) -> DataFrame:
     """Subject first, then the term inside the subject's own domain."""
-    asked = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("term_id"), F.col("n_name").alias("term"), "c_name", "c_custkey")
-    subject = R.resolve_exact(asked.select("term_id", "term").distinct(), t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")))
-    domain = t.customer.select(F.col("c_nationkey").alias("id"), C.normalized_text(F.col("c_name")).alias("k"), F.col("c_custkey").alias("found"))
-    hits = asked.withColumn("k", C.normalized_text(F.col("c_name"))).select("term_id", "c_name", "k").distinct().join(subject, "term_id").join(domain, ["id", "k"])
-    return hits.groupBy(F.col("term_id").alias("subject"), F.col("c_name").alias("term")).agg(F.count("*").alias("n"), F.min("found").alias("id"))
+    asked = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("subject"), F.col("c_name").alias("term")).distinct()
+    domain = t.customer.select(F.col("c_nationkey").alias("subject_id"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return Q.resolve_scoped(asked, t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), domain)
 
 
 @query("""SELECT status, count(*) AS n FROM (SELECT CASE WHEN p_brand = '' THEN 'NO_LOCAL_KEY' WHEN p_partkey % 5 = 0 THEN 'UNRESOLVED' WHEN p_partkey % 5 = 1 THEN 'INVALID_ID' WHEN p_partkey % 5 = 2 THEN 'MISMATCH' ELSE 'VALIDATED_MATCH' END AS status FROM part) GROUP BY status""")
@@ -499,9 +498,7 @@ def page_fields(t: Tables) -> DataFrame:
 
 @query("SELECT count(*) AS n, sum((trim(text) <> '')::INT)::BIGINT AS text, sum((trim(lang) <> '')::INT)::BIGINT AS lang, count(quality) AS quality, count(toxic) AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
 def profile_completeness(t: Tables) -> DataFrame:
-    rows = t.documents.join(t.labels, "doc_id", "left")
-    filled = lambda c: F.sum(F.when(F.trim(F.col(c).cast("string")) != "", 1).otherwise(0)).alias(c)
-    return rows.agg(F.count("*").alias("n"), *[filled(c) for c in ("text", "lang", "quality", "toxic")])
+    return Q.completeness(t.documents.join(t.labels, "doc_id", "left"), ["text", "lang", "quality", "toxic"])
 
 
 @query(r"""SELECT p_partkey, lower(trim(regexp_replace(p_name, '\s+', ' ', 'g'))) AS norm, trim(regexp_replace(lower(p_brand), '[^a-z0-9_]+', ' ', 'g')) AS alias,
@@ -519,10 +516,8 @@ def existence(t: Tables) -> DataFrame:
 
 @query("SELECT n_name, c_name, row_number() OVER (PARTITION BY n_name ORDER BY lower(c_name), c_custkey)::INT AS place FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def scoped_candidates(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("n_name").orderBy(F.lower("c_name"), "c_custkey")
-    return t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "c_name", F.row_number().over(w).alias("place"))
+    names = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return Q.scoped_domain(names, "n_name").select("n_name", F.col("name").alias("c_name"), "place")
 
 
 @query("SELECT src_type, rel, dst_type, count(*) AS n FROM (SELECT 'nation' AS src_type, 'HAS_CUSTOMER' AS rel, 'customer' AS dst_type FROM customer UNION ALL SELECT 'customer', 'IN_SEGMENT', 'segment' FROM customer) GROUP BY ALL")
@@ -531,31 +526,28 @@ def type_filter(t: Tables) -> DataFrame:
     return e.filter(F.col("src_type").isin("customer") | F.col("dst_type").isin("customer")).groupBy("src_type", "rel", "dst_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT source, count(*) FILTER (doc_id % 4 <> 0) AS n_explicit, count(*) FILTER (doc_id % 4 = 0) AS n_blank, count(DISTINCT lang) FILTER (doc_id % 4 = 0) AS n_audit FROM documents GROUP BY source")
+@query("SELECT source, count(*) FILTER (doc_id % 4 <> 0 AND trim(lang) <> '') AS n_explicit, count(DISTINCT lang) FILTER (doc_id % 4 = 0 OR coalesce(trim(lang), '') = '') AS n_audit FROM documents GROUP BY source")
 def explicit_blank_split(t: Tables) -> DataFrame:
-    rows = t.documents.withColumn("part", F.when(F.col("doc_id") % 4 == 0, " ").otherwise(F.col("lang")))
-    explicit = J.drop_blank(rows, ["part"]).groupBy("source").agg(F.count("*").alias("n_explicit"))
-    blank = rows.filter("trim(part) = ''").groupBy("source").agg(F.count("*").alias("n_blank"), F.count_distinct("lang").alias("n_audit"))
-    return explicit.join(blank, "source", "full_outer").select("source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_explicit", "n_blank", "n_audit")])
+    explicit, audit = Q.split_by_part(t.documents.withColumn("part", F.when(F.col("doc_id") % 4 == 0, " ").otherwise(F.col("lang"))), "part", ["source", "lang"])
+    told = explicit.groupBy("source").agg(F.count("*").alias("n_explicit")).join(audit.groupBy("source").agg(F.count("lang").alias("n_audit")), "source", "full_outer")
+    return told.select("source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_explicit", "n_audit")])
 
 
-@query("SELECT event_id FROM events WHERE event_type <> '' AND NOT starts_with(event_type, '{') AND NOT contains(event_type || CASE WHEN user_id % 7 = 0 THEN ';x' ELSE '' END, ';')")
+@query("""SELECT event_id, 1 + (props IS NULL OR NOT (starts_with(trim(props), '{') OR starts_with(trim(props), '[')))::BIGINT AS n FROM events WHERE event_type <> '' AND NOT starts_with(event_type, '{') AND NOT contains(event_type, ';') AND user_id % 7 <> 0""")
 def usable_metadata(t: Tables) -> DataFrame:
-    kind = F.concat("event_type", F.when(F.col("user_id") % 7 == 0, ";x").otherwise(""))
-    return t.events.filter((kind != "") & ~kind.startswith("{") & ~kind.contains(";")).select("event_id")
+    kind = F.concat("event_type", F.when(F.col("user_id") % 7 == 0, ";x").when(F.col("user_id") % 7 == 1, "").otherwise(""))
+    return Q.usable_metadata(t.events.withColumn("kind", kind), ["kind"], ["props"]).unionByName(Q.usable_metadata(t.events.withColumn("kind", kind), ["kind"])).groupBy("event_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT DISTINCT upper(trim(o_orderstatus)) AS src_id, o_orderpriority AS dst_id, 'HAS' AS label FROM orders WHERE trim(o_orderpriority) <> ''")
 def edge_normalise(t: Tables) -> DataFrame:
-    e = t.orders.select(C.clean_id(F.col("o_orderstatus")).alias("src_id"), C.clean(F.col("o_orderpriority")).alias("dst_id"), F.lit("HAS").alias("label"))
-    return J.drop_blank(e, ["src_id", "dst_id"]).distinct()
+    return Q.normal_edges(t.orders, "o_orderstatus", "o_orderpriority", {"label": "HAS"})
 
 
-@query("""SELECT term, count(*) AS n FROM conversations JOIN (VALUES ('the'), ('der'), ('les'), ('las')) v(term) ON regexp_matches(' ' || regexp_replace(lower(text), '[^a-z]+', ' ', 'g') || ' ', ' ' || term || ' ') GROUP BY term""")
+@query(r"""SELECT term, required, count(*) AS n FROM conversations JOIN (VALUES ('the', 'en'), ('of the', 'en'), ('der', 'de'), ('les', 'fr'), ('las', 'es')) v(term, required) ON contains(' ' || regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}_]+', ' ', 'g') || ' ', ' ' || term || ' ') GROUP BY ALL""")
 def generic_terms(t: Tables) -> DataFrame:
-    """Generic words that a text mentions, from a small fixed table."""
-    terms = F.explode(F.array_intersect(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), F.array(*[F.lit(x) for x in ("the", "der", "les", "las")])))
-    return t.conversations.select(terms.alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    """Generic words that a text mentions and the types that they require, from a stated dictionary."""
+    return Q.mentions(t.conversations, "text", {"the": "en", "of the": "en", "der": "de", "les": "fr", "las": "es"}).groupBy("term", "required").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT s_name AS term, c_custkey AS other_id FROM supplier JOIN (SELECT replace(lower(c_name), 'customer', 'supplier') AS k, min(c_custkey) AS c_custkey FROM customer GROUP BY 1 HAVING count(*) = 1) ON k = lower(s_name)""")
@@ -567,8 +559,8 @@ def cross_domain(t: Tables) -> DataFrame:
 
 @query("SELECT DISTINCT n_name AS src_id, c_custkey AS dst_id FROM nation JOIN customer ON c_nationkey = n_nationkey")
 def identifier_expand(t: Tables) -> DataFrame:
-    e = t.nation.select(F.col("n_name").alias("src_id"), F.col("n_nationkey").alias("identifier"))
-    return e.join(t.customer.select(F.col("c_nationkey").alias("identifier"), F.col("c_custkey").alias("dst_id")), "identifier").select("src_id", "dst_id").distinct()
+    edges = t.nation.select(F.col("n_name").alias("src_id"), F.col("n_nationkey").alias("identifier"))
+    return Q.expand_identifiers(edges, t.customer.select(F.col("c_nationkey").alias("identifier"), F.col("c_custkey").alias("id")))
 
 
 @query(f"""WITH {_LINE} SELECT s_suppkey AS supplier_id, line.id AS line_id FROM supplier JOIN line ON s_suppkey = l_suppkey WHERE l_quantity >= 49""")
@@ -586,30 +578,29 @@ def resolve_ids(t: Tables) -> DataFrame:
     return J.resolve_ids(rows, [("id", ids, ["k"]), ("brand", brands, ["p_brand", "p_size"])]).select("p_partkey", "tier", "resolved")
 
 
-@query("SELECT l_returnflag AS part, label, count(*) AS n FROM lineitem JOIN (VALUES ('A', 'accepted'), ('R', 'returned')) v(k, label) ON k = l_returnflag GROUP BY ALL")
+@query("SELECT label AS part, count(*) AS n FROM lineitem a JOIN lineitem b USING (l_orderkey, l_returnflag) JOIN (VALUES ('A', 'accepted'), ('R', 'returned')) v(k, label) ON k = l_returnflag WHERE b.l_linenumber = 1 GROUP BY label")
 def part_match(t: Tables) -> DataFrame:
-    """Canonical parts by a small alias table; what it doesn't have never matches."""
-    label = F.when(F.col("l_returnflag") == "A", "accepted").when(F.col("l_returnflag") == "R", "returned")
-    return t.lineitem.select(F.col("l_returnflag").alias("part"), label.alias("label")).filter("label is not null").groupBy("part", "label").agg(F.count("*").alias("n"))
+    """Lines and orders' first lines of equal canonical part; a flag without an alias never matches."""
+    names = {"a": "accepted", "r": "returned"}
+    line = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("part"))
+    first = t.lineitem.filter("l_linenumber = 1").select("l_orderkey", F.col("l_returnflag").alias("part"))
+    return Q.match_parts(line, first, ["l_orderkey"], aliases=names).groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_custkey, array_to_string(list_filter(['base', CASE WHEN sum((o_orderstatus = 'F')::INT) > 0 THEN 'F' END, CASE WHEN sum((o_orderstatus = 'P')::INT) > 0 THEN 'P' END], lambda x: x IS NOT NULL), '; ') AS source FROM orders GROUP BY o_custkey")
+@query("SELECT c_custkey AS o_custkey, array_to_string(list_filter(['base', CASE WHEN max((o_orderstatus = 'F')::INT) = 1 THEN 'F' END, CASE WHEN max((o_orderstatus = 'P')::INT) = 1 THEN 'P' END], lambda x: x IS NOT NULL), '; ') AS source FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def supporting_sources(t: Tables) -> DataFrame:
     """A secondary source is named when it has hits."""
-    g = t.orders.groupBy("o_custkey").agg(*[F.sum((F.col("o_orderstatus") == s).cast("int")).alias(s) for s in "FP"])
-    named = F.array_compact(F.array(F.lit("base"), *[F.when(F.col(s) > 0, s) for s in "FP"]))
-    return g.select("o_custkey", F.array_join(named, "; ").alias("source"))
+    return Q.supporting_sources(t.customer.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "base", t.orders.select("o_custkey", F.col("o_orderstatus").alias("source")), ["F", "P"])
 
 
 @query("SELECT p_brand, min_by(p_name, p_partkey) AS name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) GROUP BY p_brand")
 def preferred_name(t: Tables) -> DataFrame:
-    some = t.part.join(t.lineitem.filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi")
-    return S.first_per(some, ["p_brand"], [F.col("p_partkey")]).select("p_brand", F.col("p_name").alias("name"))
+    return Q.preferred_names(t.part, "p_brand", "p_name", [F.col("p_partkey")], t.lineitem.filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
 
 
 @query("SELECT event_type AS value, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type")
 def value_counts(t: Tables) -> DataFrame:
-    return t.events.groupBy(F.col("event_type").alias("value")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"))
+    return Q.value_counts(t.events, "event_type", ["user_id"]).withColumnRenamed("n_user_id", "n_users")
 
 
 @query("SELECT DISTINCT l_orderkey AS src_id FROM lineitem WHERE l_linenumber = 3")
@@ -633,11 +624,13 @@ def unique_nodes(t: Tables) -> DataFrame:
     return S.first_per(t.part, ["p_name"], [F.col("p_partkey")]).select("p_name", "p_partkey")
 
 
-@query("""SELECT lower(p_name) AS k, min_by(p_partkey, (o, p_partkey)) AS p_partkey FROM (SELECT 0 AS o, * FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 1, * FROM part WHERE p_partkey % 3 = 0) GROUP BY 1""")
+@query("""WITH r AS (SELECT trim(p_name) AS subject, CASE p_size % 3 WHEN 0 THEN 'leaf' ELSE 'root' END AS part, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS o, string_split(p_name, ' ') AS w FROM part WHERE p_size % 3 <> 2 AND (p_partkey % 2 = 0 OR p_partkey % 3 = 0)),
+f AS (SELECT min_by(subject, (o, subject)) AS subject, part FROM r GROUP BY lower(subject), part), w AS (SELECT *, list_filter(string_split(subject, ' '), lambda x: regexp_matches(x, '^[A-Za-z]{2}')) AS ws FROM f)
+SELECT coalesce(upper(ws[1][1:2]), 'XX') || '-' || coalesce(upper(ws[2][1:2]), 'XX') || '-' || CASE part WHEN 'leaf' THEN 'LE' ELSE 'RO' END AS part_id, subject, part, 'base' AS source FROM w""")
 def sheet_merge(t: Tables) -> DataFrame:
-    old, new = t.part.filter("p_partkey % 2 = 0").withColumn("o", F.lit(0)), t.part.filter("p_partkey % 3 = 0").withColumn("o", F.lit(1))
-    rows = old.unionByName(new).withColumn("k", C.normalized_text(F.col("p_name")))
-    return S.first_per(rows, ["k"], [F.col("o"), F.col("p_partkey")]).select("k", "p_partkey")
+    """Sheets of names and parts; the id is made anew and an old row stays before a new one."""
+    rows = t.part.select("p_partkey", F.col("p_name").alias("subject"), F.when(F.col("p_size") % 3 == 0, "Leaves").when(F.col("p_size") % 3 == 1, "root ").otherwise("elsewhere").alias("part"))
+    return Q.merge_sheet(rows.filter("p_partkey % 2 = 0"), rows.filter("p_partkey % 3 = 0"), "base")
 
 
 @query("SELECT user_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY user_id")
@@ -648,7 +641,42 @@ def missing_requests(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)::INT AS place FROM customer QUALIFY place <= 8")
 def representative_rows(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
+    names = t.customer.select("c_nationkey", F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "c_acctbal")
+    return Q.scoped_domain(names, "c_nationkey", 8, [F.desc("c_acctbal"), F.col("id")]).select(F.col("id").alias("c_custkey"), F.col("name").alias("c_name"), "place")
+
+
+@query("""WITH r AS (SELECT o_custkey AS request_id, CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'P' THEN 'ambiguous' ELSE 'unresolved' END AS status FROM orders),
+s AS (SELECT request_id, CASE WHEN bool_or(status = 'ambiguous') THEN 'ambiguous' WHEN bool_or(status <> 'resolved') THEN 'unresolved' ELSE 'resolved' END AS status FROM r GROUP BY request_id) SELECT *, status = 'resolved' AS runs FROM s""")
+def request_status(t: Tables) -> DataFrame:
+    """The status of requests of several terms."""
+    status = F.when(F.col("o_orderstatus") == "F", "resolved").when(F.col("o_orderstatus") == "P", "ambiguous").otherwise("unresolved")
+    return Q.request_status(t.orders.select(F.col("o_custkey").alias("request_id"), status.alias("status")))
+
+
+@query("""SELECT unnest(['Total', 'Large', 'Small', 'No brand']) AS metric, unnest([count(*), count(*) FILTER (p_size > 25), count(*) FILTER (p_size <= 25), count(*) FILTER (trim(p_brand) = '')]) AS n FROM part""")
+def audit_summary(t: Tables) -> DataFrame:
+    """Metrics and their counts in one pass."""
+    return Q.audit_rows(t.part, {"Total": F.lit(True), "Large": F.col("p_size") > 25, "Small": F.col("p_size") <= 25, "No brand": F.trim("p_brand") == ""})
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN p_brand ELSE p_partkey::VARCHAR END AS shown FROM part""")
+def display_names(t: Tables) -> DataFrame:
+    """The first filled display field of a type, else the key."""
+    k = F.col("p_partkey") % 3
+    props = F.create_map(F.lit("target_name"), F.when(k == 0, F.col("p_name")).otherwise(" "), F.lit("uniprot_id"), F.when(k < 2, F.col("p_brand")))
+    return t.part.select("p_partkey", Q.display_name(F.lit("target"), props, F.col("p_partkey").cast("string")).alias("shown"))
+
+
+@query("""SELECT p_partkey, p_type AS kingdom, p_brand AS superclass, '' AS class, p_name AS subclass FROM part""")
+def classification_levels(t: Tables) -> DataFrame:
+    """The four levels of a labelled classification inside longer text."""
+    text = F.concat(F.lit("Mass: 3 ClassyFire Kingdom : "), "p_type", F.lit(" , ClassyFire Superclass: "), "p_brand", F.lit("; classyfire subclass "), "p_name", F.lit(" NP Classifier Superclass: none"))
+    return t.part.select("p_partkey", C.classification(text, "ClassyFire").alias("c")).select("p_partkey", "c.*")
+
 
-    w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
-    return t.customer.withColumn("place", F.row_number().over(w)).filter("place <= 8").select("c_custkey", "c_name", "place")
+@query("""SELECT page_id, page_id % 2 = 0 AS found, CASE WHEN page_id % 2 = 0 THEN 'name ' || page_id END AS common_names, CASE WHEN page_id % 2 = 0 THEN CASE WHEN page_id % 4 = 0 THEN 'Vulnerable' ELSE 'Not Found' END END AS status FROM pages""")
+def species_pages(t: Tables) -> DataFrame:
+    """Common name and status of the pages that name their subject."""
+    status = F.when(F.col("page_id") % 4 == 0, " Conservation Status: Vulnerable (VU) Literature: none").otherwise("")
+    html = F.concat(F.lit("<p>Subject "), F.when(F.col("page_id") % 2 == 0, F.col("page_id").cast("string")).otherwise("x"), F.lit(" end</p><b>Common name:</b> name "), "page_id", F.lit(" Habit: tree"), status, F.lit("<script>x</script>"), F.regexp_replace("html", "(?i)(Common|Conservation|Subject)", ""))
+    return t.pages.select("page_id", C.page_record(html, F.concat(F.lit("SUBJECT  "), "page_id", F.lit(" end"))).alias("r")).select("page_id", F.col("r").isNotNull().alias("found"), "r.*")
