@@ -118,8 +118,11 @@ UNKNOWN = [
 ]
 
 
+NO_WORD = "[^\\p{L}\\p{N}]+"
+
+
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), NO_WORD), lambda w: w != "")
 
 
 def _pairs(words: Column) -> Column:
@@ -128,8 +131,9 @@ def _pairs(words: Column) -> Column:
     return F.filter(F.zip_with(words, after, lambda a, b: F.concat_ws(" ", a, b)), lambda p: p.contains(" ") & ~p.endswith(" "))
 
 
-def _features(words: Column) -> Column:
-    return F.array_distinct(F.concat(words, _pairs(words)))
+def _features(text: Column) -> Column:
+    """The distinct words and word pairs of a text; the words are taken once, bound by the lambda."""
+    return F.element_at(F.transform(F.array(_words(text)), lambda w: F.array_distinct(F.concat(w, _pairs(w)))), 1)
 
 
 def _rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
@@ -172,22 +176,31 @@ class Model:
     def __init__(self, weights: DataFrame, classes: list[str], intercepts: list[float], words: list[str], believed: float) -> None:
         self.weights, self.classes, self.intercepts, self.words, self.believed = weights, classes, intercepts, words, believed
 
-    def scores(self, rows: DataFrame) -> DataFrame:
-        """Most probable class and its probability of rows with ``key`` (a struct) and ``line``; rows without a feature are left out."""
-        grams = rows.select("key", F.explode(_features(_words(F.col("line")))).alias("feature"))
-        sums = grams.join(F.broadcast(self.weights), "feature").groupBy("key").agg(*[F.sum(F.element_at("weights", i + 1)).alias(f"_{i}") for i in range(len(self.classes))])
+    def scores(self, rows: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+        """Most probable class and its probability of rows with ``key`` (a struct) and ``line``; rows without a feature are left out.
+
+        With ``marks`` (feature) there is also ``own``, those of them that the row has.
+        """
+        table = self.weights
+        if marks is not None:
+            table = table.join(marks.withColumn("mark", F.col("feature")), "feature", "full_outer")
+        grams = rows.select("key", F.explode(_features(F.col("line"))).alias("feature"))
+        held = [F.collect_set("mark").alias("own")] if marks is not None else []
+        # a mark outside the vocabulary has no weights and adds nothing
+        sums = grams.join(F.broadcast(table), "feature").groupBy("key").agg(*[F.sum(F.element_at("weights", i + 1)).alias(f"_{i}") for i in range(len(self.classes))], *held).filter("_0 is not null")
         logits = F.array(*[F.struct((F.col(f"_{i}") + b).alias("logit"), F.lit(-i).alias("order"), F.lit(c).alias("label")) for i, (c, b) in enumerate(zip(self.classes, self.intercepts, strict=True))])
         best = F.array_max("logits")
         total = F.aggregate("logits", F.lit(0.0), lambda s, x: s + F.exp(x["logit"] - F.col("best.logit")))
-        return sums.select("key", logits.alias("logits")).withColumn("best", best).select("key", F.col("best.label").alias("label"), (1 / total).alias("probability"))
+        kept = ["own"] if marks is not None else []
+        return sums.select("key", *kept, logits.alias("logits")).withColumn("best", best).select("key", F.col("best.label").alias("label"), (1 / total).alias("probability"), *kept)
 
     def confirmed(self, rows: DataFrame) -> DataFrame:
         """``scores`` with the similarity to the family's nearest template and whether both tests are passed."""
-        table = _rows(rows.sparkSession, known_texts(), ["family", "template"]).select("family", _marks(F.col("template")).alias("t"))
+        table = _rows(rows.sparkSession, known_texts(), ["family", "template"]).select("family", F.array_distinct(_marks(F.col("template"))).alias("t"))
         templates = table.groupBy("family").agg(F.collect_set("t").alias("templates"))
-        found = self.scores(rows).filter("label <> 'none'")
-        joined = found.join(F.broadcast(templates), found["label"] == templates["family"], "left").withColumn("own", F.concat(_marks(F.col("key.line")), _words(F.col("key.line"))))
-        share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.size(F.array_distinct(t))))
+        found = self.scores(rows, table.select(F.explode("t").alias("feature")).distinct()).filter("label <> 'none'")
+        joined = found.join(F.broadcast(templates), found["label"] == templates["family"], "left")
+        share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.size(t)))
         rows = joined.withColumn("similarity", F.round(F.coalesce(share, F.lit(0.0)), 4))
         return rows.withColumn("confirmed", (F.col("similarity") >= CONFIRM) & (F.col("probability") > self.believed))
 
@@ -202,7 +215,7 @@ def train(docs: DataFrame) -> Model:
     """Fit on the notices and ``SAMPLE`` corpus lines, and calibrate."""
     spark = docs.sparkSession
     data = notices(spark).unionByName(sampled_lines(docs).select("line", F.lit("none").alias("label")))
-    data = scratch.table(data.withColumn("features", _features(_words(F.col("line")))).coalesce(2), "notices")
+    data = scratch.table(data.withColumn("features", _features(F.col("line"))).coalesce(2), "notices")
     each = data.select((F.col("label") == "none").cast("int").alias("plain"), F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("plain").alias("plain"), F.sum(1 - F.col("plain")).alias("notice"))
     most = data.filter("label = 'none'").count() // COMMON
     telling = {r["feature"] for r in each.filter(F.col("notice") > 0).filter(F.col("plain") <= most).collect()}  # features of the fixed notices
@@ -227,20 +240,20 @@ def train(docs: DataFrame) -> Model:
 
 
 def units(docs: DataFrame, words: list[str]) -> DataFrame:
-    """Lines and paragraphs with one of ``words``: key (doc_id, text_hash, paragraph, first_line, n_lines, line) and line."""
+    """Lines and paragraphs with one of ``words``: key (doc_id, text_hash, paragraph, first_line, n_lines) and line."""
     clean = F.regexp_replace("text", "\r\n?", "\n")
     rows = docs.filter("text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), clean.alias("text"))
-    telling = lambda t: F.exists(_words(t), lambda w: w.isin(words))
+    asked = F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    telling = lambda t: F.arrays_overlap(F.split(F.lower(t), NO_WORD), asked)
     # the test runs on the whole text once, so that only texts with a feature word become rows
-    some = rows.filter(telling(F.col("text"))).distinct()
-    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line")))
-    # the number of blank lines before a line tells its paragraph
-    blank = F.filter(numbered, lambda s: ~s["line"].rlike("\\S"))
-    lines = some.select("doc_id", "text_hash", blank["i"].alias("blank"), F.explode(numbered).alias("s")).select("doc_id", "text_hash", "blank", "s.*").filter(F.col("line").rlike("\\S"))
-    lines = lines.withColumn("paragraph", F.size(F.filter("blank", lambda b: b < F.col("i")))).drop("blank")
+    some = rows.filter(telling(F.col("text"))).groupBy("doc_id", "text_hash").agg(F.min("text").alias("text"))
+    # the number of blank lines before a line tells its paragraph; the window and the groups keep the partitioning of ``some``
+    lines = some.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    before = Window.partitionBy("doc_id", "text_hash").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("filled", F.col("line").rlike("\\S")).withColumn("paragraph", F.count_if(~F.col("filled")).over(before).cast("int")).filter("filled").drop("filled")
     joined = lines.groupBy("doc_id", "text_hash", "paragraph").agg(F.min("i").alias("i"), F.count("*").alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda s: s["line"]), " ").alias("line"))
     both = lines.withColumn("n_lines", F.lit(1).cast("long")).unionByName(joined.filter("n_lines > 1")).filter(telling(F.col("line")))
-    return both.select(F.struct("doc_id", "text_hash", "paragraph", F.col("i").alias("first_line"), "n_lines", "line").alias("key"), "line")
+    return both.select(F.struct("doc_id", "text_hash", "paragraph", F.col("i").alias("first_line"), "n_lines").alias("key"), "line")
 
 
 def scan(docs: DataFrame) -> DataFrame:
