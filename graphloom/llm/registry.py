@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import chat, decontamination, licences, near_dup, packing, perplexity, pii, quality_rules, shards, token_counts
+from graphloom.llm import chat, decontamination, licences, merkle, near_dup, packing, perplexity, pii, quality_rules, shards, token_counts
 
 
 SHARD_BYTES = 256 << 10  # small, so that all given tables need shards of many depths
@@ -60,6 +62,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.checked(merkle.manifest(_table(spark, sf_dir, "documents"), changes={"text": lower}, when=tampered))
+
+
 QUERIES = [
     op1_benchmark_decontamination,
     op2_license_scan,
@@ -71,6 +79,7 @@ QUERIES = [
     op8_quality_classifier,
     op9_byte_shards,
     op10_personal_data,
+    op11_merkle_manifest,
 ]
 
 
@@ -83,4 +92,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_benchmark_decontamination": decontamination.oracle_sql(),
         "op6_quality_rules": quality_rules.oracle_sql(),
         "op9_byte_shards": shards.oracle_sql(SHARD_BYTES),
+        "op11_merkle_manifest": merkle.oracle_sql(),
     }
