@@ -228,12 +228,12 @@ def folded(own: Column, steps: Column) -> Column:
     return F.aggregate(steps, own, lambda h, s: F.sha2(F.concat(s["left"], h, s["right"]), 256))
 
 
-_CRC = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}, ''), lambda x: ord(x)::UBIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1::UBIGINT)))), 4294967295::UBIGINT)"
+_CRC = "xor(list_reduce(list_prepend(4294967295::UBIGINT, {0}), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1::UBIGINT)))), 4294967295::UBIGINT)"
 
 
 def crc32_sql(text: str) -> str:
-    """DuckDB expression for the unsigned CRC-32 of ASCII text of at least one character."""
-    return _CRC.format(text)
+    """DuckDB expression for the unsigned CRC-32 of a text's UTF-8 bytes."""
+    return _CRC.format(f"list_transform(range(1, 2 * octet_length(encode({text})), 2), lambda i: ('0x' || substr(hex(encode({text})), i, 2))::UBIGINT)")
 
 
 def oracle_sql(levels: int = 6) -> str:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, decontamination, licences, merkle, near_dup, packing, perplexity, pii, quality_rules, shards, token_counts
+from graphloom.llm import chat, decontamination, licences, merkle, near_dup, packing, perplexity, pii, quality_rules, shards, spelling, token_counts
 
 
 SHARD_BYTES = 256 << 10  # small, so that all given tables need shards of many depths
@@ -68,6 +68,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(merkle.manifest(_table(spark, sf_dir, "documents"), changes={"text": lower}, when=tampered))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), slip=spelling.SLIP)
+
+
 QUERIES = [
     op1_benchmark_decontamination,
     op2_license_scan,
@@ -80,6 +84,7 @@ QUERIES = [
     op9_byte_shards,
     op10_personal_data,
     op11_merkle_manifest,
+    op12_spelling_variants,
 ]
 
 
@@ -93,4 +98,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": quality_rules.oracle_sql(),
         "op9_byte_shards": shards.oracle_sql(SHARD_BYTES),
         "op11_merkle_manifest": merkle.oracle_sql(),
+        "op12_spelling_variants": spelling.oracle_sql(),
     }
