@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, decontamination, licences, merkle, near_dup, packing, perplexity, pii, quality_rules, shards, spelling, token_counts
+from graphloom.llm import chat, class_lm, decontamination, licences, merkle, near_dup, packing, perplexity, pii, quality_rules, shards, spelling, token_counts
 
 
 SHARD_BYTES = 256 << 10  # small, so that all given tables need shards of many depths
@@ -72,6 +72,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"), slip=spelling.SLIP)
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = [
     op1_benchmark_decontamination,
     op2_license_scan,
@@ -85,6 +89,7 @@ QUERIES = [
     op10_personal_data,
     op11_merkle_manifest,
     op12_spelling_variants,
+    op13_lm_scoring,
 ]
 
 
