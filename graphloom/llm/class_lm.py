@@ -34,7 +34,7 @@ from graphloom.llm import scratch
 from graphloom.llm.text import chunks, distinct, mix, word_keys, words
 
 CLASSES = 128  # the first is the end's, the last that of rare words
-CORE, KNOWN, LEAST = 1 << 15, 1 << 20, 8
+CORE, KNOWN, LEAST = 1 << 14, 1 << 20, 8
 ROUNDS = 5
 FOLDS, FOLD = 7, 2
 END = 0  # id and class of the end
