@@ -121,17 +121,20 @@ def part_code(c: Column) -> Column:
     return _mapped(normalize_part(c), PART_CODES)
 
 
-# Conservation status codes.
-STATUS = {"EX": "Extinct", "EW": "Extinct in the Wild", "CR": "Critically Endangered", "EN": "Endangered", "VU": "Vulnerable", "NT": "Near Threatened", "LC": "Least Concern", "DD": "Data Deficient", "NE": "Not Evaluated"}
+# Conservation status codes with their names, and further names.
+STATUS = {
+    "EX": "Extinct", "EW": "Extinct in the Wild", "RE": "Regionally Extinct", "CR": "Critically Endangered", "EN": "Endangered", "VU": "Vulnerable",
+    "NT": "Near Threatened", "LC": "Least Concern", "DD": "Data Deficient", "NE": "Not Evaluated", "NA": "Not Applicable",
+}
+STATUS_NAMES = {"Not Assessed": "Not Evaluated"}
 
 
 def status_label(c: Column) -> Column:
-    """Full name of a status code, one in parentheses first; unknown text unchanged."""
-    code = F.upper(F.coalesce(F.nullif(F.regexp_extract(c, "\\(([A-Za-z]{2})\\)", 1), F.lit("")), F.trim(c)))
-    out = F.when(F.lit(False), "")
-    for k, v in STATUS.items():
-        out = out.when(code == k, v)
-    return out.otherwise(F.trim(c))
+    """Full name of a status given by its code or name in any case, a code in parentheses first; unknown text collapsed, an unknown code upper-cased."""
+    inside = F.nullif(F.upper(F.regexp_extract(c, "\\(([A-Za-z]{2})\\)", 1)), F.lit(""))
+    given = F.when(c.isNotNull(), F.coalesce(inside, clean(c)))
+    names = STATUS | {name: name for name in STATUS.values()} | STATUS_NAMES
+    return F.coalesce(_mapped(F.lower(given), {k.lower(): v for k, v in names.items()}), given)
 
 
 def tokens(c: Column) -> Column:
@@ -161,10 +164,31 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c.cast("string")), F.lit("")) for c in cols])
 
 
+def labelled_fields(c: Column, labels: list[str], colon: bool = True) -> Column:
+    """Array of (label, value) of each known label in a text, in order: a value runs up to the next known label.
+
+    Labels are found as whole words in any case, their own spaces as any run of spaces and slashes; ``colon`` asks for one
+    behind them. Values are cleaned. Labels come back as given. A null text has no fields.
+    """
+    start, end = "\u0001", "\u0002"  # control marks, taken out of the text first
+    ordered = sorted(labels, key=len, reverse=True)
+    shape = lambda label: "[\\s/]+".join(re.escape(w) for w in re.split("[ /]+", label))
+    found = "(?i)(?<![\\p{L}\\p{N}])(" + "|".join(map(shape, ordered)) + ")(?![\\p{L}\\p{N}])\\s*" + (":" if colon else ":?")
+    pieces = F.split(F.regexp_replace(F.translate(clean(c), start + end, ""), found, f"{start}$1{end}"), start)
+    key = lambda x: F.regexp_replace(F.lower(x), "[\\s/]+", " ")
+    given = {re.sub("[ /]+", " ", label).lower(): label for label in labels}
+    parts = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.split(p, end))
+    return F.transform(parts, lambda p: F.struct(_mapped(key(p[0]), given).alias("label"), F.trim(p[1]).alias("value")))
+
+
+def field_value(fields: Column, label: str) -> Column:
+    """The value of the first field of a label, null where there is none."""
+    return F.try_element_at(F.filter(fields, lambda f: f["label"] == label), F.lit(1))["value"]
+
+
 def labelled_value(c: Column, label: str, following: list[str]) -> Column:
-    """The text between a label and the next label or the end."""
-    stop = "|".join(following) if following else "\\z"
-    return F.trim(F.regexp_extract(c, f"(?s){label}\\s*:?\\s*(.*?)\\s*(?:{stop}|\\z)", 1))
+    """The text between a label and the next of the labels or the end; empty where it is absent."""
+    return F.coalesce(field_value(labelled_fields(c, [label, *following], colon=False), label), F.lit(""))
 
 
 def shortest_path(paths: Column) -> Column:
@@ -204,24 +228,23 @@ def filled_properties(props: Column) -> Column:
     return F.map_filter(props, lambda k, v: v.isNotNull() & (F.trim(v) != ""))
 
 
-# The levels of a classification as pages label them, and the labels that end it.
+# Labels on pages. The levels of a classification and what stands behind it; the fields of a species page.
 CLASS_LEVELS = ["Kingdom", "Superclass", "Class", "Subclass"]
-CLASS_END = ["NP Classifier Biosynthetic pathway", "NP Classifier Superclass", "NP Classifier Class", "NP-Likeness score", "Chemical structure download", "External chemical identifiers", "Synonymous chemical names"]
+CLASS_OTHERS = ["NP Classifier Biosynthetic pathway", "NP Classifier Superclass", "NP Classifier Class", "NP-Likeness score", "Chemical structure download", "External chemical identifiers", "Synonymous chemical names"]
+SPECIES_LABELS = ["Citation", "Comments / notes", "Common name", "Conservation Status", "Habit", "Habitat", "Literature", "Permalink", "Read more", "Vernacular name"]
 
 
 def classification(c: Column, scheme: str, levels: list[str] | None = None, ends: list[str] | None = None) -> Column:
-    """Struct of a labelled classification's levels, each up to the next level or end label, ignoring case; empty where absent."""
-    levels, ends = levels or CLASS_LEVELS, CLASS_END if ends is None else ends
-    stop = "|".join([re.escape(e) for e in ends] + [f"{re.escape(scheme)} {re.escape(x)}" for x in levels] + ["\\z"])
-    value = lambda x: F.regexp_extract(F.coalesce(c, F.lit("")), f"(?is){re.escape(scheme)} {re.escape(x)}\\s*:?\\s*(.*?)\\s*(?:{stop})", 1)
-    return F.struct(*[F.regexp_replace(clean(value(x)), "[ ,;]+$", "").alias(x.lower()) for x in levels])
+    """Struct of a labelled classification's levels, without separators at their ends; empty where absent."""
+    levels = levels or CLASS_LEVELS
+    fields = labelled_fields(c, [*[f"{scheme} {x}" for x in levels], *(CLASS_OTHERS if ends is None else ends)], colon=False)
+    return F.struct(*[F.coalesce(F.rtrim(field_value(fields, f"{scheme} {x}"), F.lit(" ,;")), F.lit("")).alias(x.lower()) for x in levels])
 
 
 def page_record(html: Column, subject: Column) -> Column:
     """Struct of a species page's common name and conservation status; null where its text doesn't name the subject."""
-    text = page_text(html)
-    until = lambda label, stops: F.regexp_extract(text, f"(?i)\\b{label}\\s*:\\s*(.+?)(?=" + "|".join([f"\\s+{s}\\s*:" for s in stops] + ["\\z"]) + ")", 1)
-    names = until("Common\\s+name", ["Vernacular\\s+name", "Habit", "Habitat", "Comments\\s*/?\\s*notes", "Conservation\\s+Status"])
-    status = F.nullif(until("Conservation\\s+Status", ["Literature", "Read\\s+more", "Permalink", "Citation"]), F.lit(""))
-    found = (normalized_text(subject) != "") & F.contains(F.lower(text), normalized_text(subject))
-    return F.when(found, F.struct(F.trim(names).alias("common_names"), F.coalesce(status_label(status), F.lit("Not Found")).alias("status")))
+    text, name = page_text(html), normalized_text(subject)
+    fields = labelled_fields(text, SPECIES_LABELS)
+    status = status_label(F.nullif(field_value(fields, "Conservation Status"), F.lit("")))
+    record = F.struct(F.coalesce(field_value(fields, "Common name"), F.lit("")).alias("common_names"), F.coalesce(status, F.lit("Not Found")).alias("status"))
+    return F.when((name != "") & F.contains(F.lower(text), name), record)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +69,7 @@ def flagged_or_first(df: DataFrame, keys: list[str], flag: Column, order: Column
 
 def merge_sources(df: DataFrame, key: str, sources: str, sep: str = "; ") -> DataFrame:
     """The sorted union of list-valued text of each key, joined again (A10)."""
-    items = df.select(key, F.explode(F.split(sources, sep.strip())).alias("s")).select(key, F.trim("s").alias("s")).filter("s <> ''").distinct()
+    items = df.select(key, F.explode(F.split(sources, re.escape(sep.strip()))).alias("s")).select(key, F.trim("s").alias("s")).filter("s <> ''").distinct()
     return items.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("s")), sep).alias(sources))
 
 

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import clean as C
+from graphloom.operators import canonical as N
 from graphloom.operators import curation as Q
 from graphloom.operators import joins as J
 from graphloom.operators import measurements as M
 from graphloom.operators import resolve as R
 from graphloom.plans import evidence as V
 from graphloom.plans import paths as P
+from graphloom.sources import buckets as B
 from graphloom.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -351,6 +354,64 @@ def merge_report(t: Tables) -> DataFrame:
     return _batch(t)[1]
 
 
+_SIGNED = "l_returnflag, l_linestatus, l_quantity, l_suppkey, l_orderkey"
+_MERGED = f"""WITH {_LINE}, x AS (SELECT line.*, p_name, s_name, o_orderstatus = 'F' AND l_linenumber <= 2 AS stored FROM line JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey),
+g AS (SELECT {_SIGNED}, bool_or(stored) AS stored, min(id) AS first_id FROM x GROUP BY {_SIGNED}),
+c AS (SELECT *, 'BA_' || lpad((row_number() OVER (ORDER BY NOT stored, CASE WHEN NOT stored THEN first_id END, {_SIGNED}))::VARCHAR, 6, '0') AS ba FROM g),
+e AS (SELECT x.*, ba FROM x JOIN c USING ({_SIGNED}))"""
+_SPEC = N.Spec(
+    {"part": ("p_partkey", N.identifier), "supplier": ("s_name", C.normalized_text), "order": ("o_orderkey", N.identifier)},
+    {"HAS_BIOACTIVITY": ("part", "bioactivity"), "MEASURED_ON": ("bioactivity", "supplier"), "REPORTED_IN": ("bioactivity", "order")},
+)
+
+
+def _canonical(t: Tables) -> N.Merged:
+    """The lines as measurements of parts: a store of some lines of finished orders, and a batch of all lines under ids and names of its own."""
+    line = t.lineitem.withColumn("id", F.expr(LINE_ID)).join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    keys = _SIGNED.split(", ")
+    measured = lambda df, i: df.select(i.alias("bioactivity_id"), F.col("l_returnflag").alias("standard_type"), F.col("l_linestatus").alias("standard_relation"), F.col("l_quantity").cast("int").cast("string").alias("standard_value"), F.lit("nM").alias("standard_units"))
+    edge = lambda df, a, b: df.select(a.cast("string").alias("src_id"), b.cast("string").alias("dst_id"))
+    old = line.filter("o_orderstatus = 'F' and l_linenumber <= 2")
+    ids = M.new_ids(old.select("id").limit(0), old.select(*keys).distinct(), "id", "BA_", [F.col(k) for k in keys]).withColumnRenamed("id", "ba")
+    old = S.stored(old.join(ids, keys), "store")
+    parts, suppliers = t.part.select(F.col("p_partkey").cast("string").alias("p_partkey"), "p_name"), t.supplier.select("s_name", "s_nationkey")
+    orders = t.orders.select(F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_orderstatus")
+    ba, raw = F.col("ba"), F.col("id")
+    store = {"part": parts, "supplier": suppliers, "order": orders.filter("o_orderstatus = 'F'"), "bioactivity": measured(old, ba).distinct(),
+             "HAS_BIOACTIVITY": edge(old, F.col("l_partkey"), ba).distinct(), "MEASURED_ON": edge(old, ba, F.col("s_name")).distinct(), "REPORTED_IN": edge(old, ba, F.col("l_orderkey")).distinct()}
+    told = F.upper(F.concat(F.lit(" "), "s_name"))
+    batch = {"part": parts, "supplier": suppliers.withColumn("s_name", F.upper(F.concat(F.lit(" "), "s_name"))), "order": orders,
+             "bioactivity": measured(line, raw).withColumn("standard_value", F.concat("standard_value", F.lit(".00"))),
+             "HAS_BIOACTIVITY": edge(line, F.col("l_partkey"), raw), "MEASURED_ON": edge(line, raw, told), "REPORTED_IN": edge(line, raw, F.col("l_orderkey"))}
+    return N.merge_graph(store, batch, _SPEC)
+
+
+@query(_MERGED + " SELECT ba AS bioactivity_id, l_returnflag AS standard_type, l_linestatus AS standard_relation, l_quantity::INT::VARCHAR || CASE WHEN stored THEN '' ELSE '.00' END AS standard_value, 'nM' AS standard_units FROM c")
+def graph_merge_measurements(t: Tables) -> DataFrame:
+    """Measurements after the canonical merge: stored rows as they were, new ones under new ids."""
+    return _canonical(t).tables["bioactivity"]
+
+
+@query(_MERGED + """ SELECT DISTINCT 'HAS_BIOACTIVITY' AS rel, l_partkey::VARCHAR AS src_id, ba AS dst_id FROM e UNION ALL SELECT DISTINCT 'MEASURED_ON', ba, s_name FROM e UNION ALL SELECT DISTINCT 'REPORTED_IN', ba, l_orderkey::VARCHAR FROM e""")
+def graph_merge_edges(t: Tables) -> DataFrame:
+    """Edges after the canonical merge, between canonical ids."""
+    tables = _canonical(t).tables
+    parts = [tables[n].select(F.lit(n).alias("rel"), "src_id", "dst_id") for n in _SPEC.edges]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(_MERGED + """, o AS (SELECT DISTINCT l_partkey, ba FROM e), so AS (SELECT DISTINCT l_partkey, ba FROM e WHERE stored),
+r AS (SELECT 'part' AS table_name, (SELECT count(*) FROM part) AS n_before, (SELECT count(*) FROM part) AS n_incoming, 0 AS n_added UNION ALL SELECT 'supplier', (SELECT count(*) FROM supplier), (SELECT count(*) FROM supplier), 0
+UNION ALL SELECT 'order', count(*) FILTER (o_orderstatus = 'F'), count(*), count(*) FILTER (o_orderstatus <> 'F') FROM orders
+UNION ALL SELECT 'bioactivity', count(*) FILTER (stored), (SELECT count(*) FROM line), count(*) FILTER (NOT stored) FROM c
+UNION ALL SELECT 'HAS_BIOACTIVITY', (SELECT count(*) FROM so), (SELECT count(*) FROM line), (SELECT count(*) FROM o) - (SELECT count(*) FROM so)
+UNION ALL SELECT unnest(['MEASURED_ON', 'REPORTED_IN']), count(*) FILTER (stored), (SELECT count(*) FROM line), count(*) FILTER (NOT stored) FROM c)
+SELECT table_name, n_before::BIGINT AS n_before, n_incoming::BIGINT AS n_incoming, n_added::BIGINT AS n_added, (n_before + n_added)::BIGINT AS n_after FROM r""")
+def graph_merge_report(t: Tables) -> DataFrame:
+    """Rows before, incoming, added and after of each table, counted as they are written."""
+    return _canonical(t).write(f"{S.shared_folder(t.spark)}/graph-{uuid.uuid4().hex}")
+
+
 @query("""SELECT c_custkey, 'BA_' || lpad(((SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY c_acctbal, c_custkey))::VARCHAR, 6, '0') AS id FROM customer""")
 def new_ids(t: Tables) -> DataFrame:
     have = t.supplier.select(F.concat(F.lit("BA_"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("id"))
@@ -374,9 +435,47 @@ def upsert_edges(t: Tables) -> DataFrame:
     return S.upsert_edges(target, source, t.orders.select(F.col("o_orderkey").alias("id")), t.supplier.filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id")), F.struct("l_linenumber", "q"))
 
 
-@query()
+_DIGESTED = ["l_orderkey", "l_linenumber", "l_partkey", "nullif(l_suppkey, 7) AS l_suppkey", "l_returnflag", "cast(l_quantity AS bigint) AS l_quantity"]
+_FIELDS = "l_orderkey l_linenumber l_partkey l_suppkey l_returnflag l_quantity".split()
+
+
+def _row_md5(names: list[str]) -> str:
+    return "md5(" + " || ".join(f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in names) + ")"
+
+
+_DIGEST = f"""WITH l AS (SELECT {", ".join(_DIGESTED)} FROM lineitem), h AS (SELECT substr({_row_md5(["l_orderkey"])}, 1, 2) AS bucket, {_row_md5(_FIELDS)} AS h FROM l),
+s AS (SELECT bucket, count(*) AS n_rows, {", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT) AS s{i}" for i in range(4))} FROM h GROUP BY bucket),
+d AS (SELECT bucket, n_rows, md5(concat_ws(',', n_rows, s0, s1, s2, s3)) AS digest FROM s)"""
+
+
+@query(_DIGEST + """ SELECT * FROM d UNION ALL SELECT 'all', sum(n_rows)::BIGINT, md5(string_agg(bucket || digest, '' ORDER BY bucket)) FROM d""")
 def table_digest(t: Tables) -> DataFrame:
-    return S.digest(t.lineitem)
+    """Digests of the buckets of a table and of all of it."""
+    found = S.digest(t.lineitem.selectExpr(*_DIGESTED), ["l_orderkey"])
+    return found.unionByName(S.digest_root(found).select(F.lit("all").alias("bucket"), "n_rows", "digest"))
+
+
+@query("""WITH s AS (SELECT s_suppkey + 5 AS k, 'new ' || s_name AS s_name FROM supplier UNION ALL SELECT s_suppkey + 5, 'last ' || s_name FROM supplier WHERE s_suppkey % 2 = 0),
+b AS (SELECT k, CASE WHEN bool_or(s_name LIKE 'new%') THEN max(CASE WHEN s_name LIKE 'new%' THEN s_name END) ELSE max(s_name) END AS s_name FROM s GROUP BY k)
+SELECT coalesce(a.s_suppkey, b.k) AS s_suppkey, CASE WHEN b.k IS NULL THEN a.s_name ELSE b.s_name END AS s_name, a.s_nationkey FROM supplier a FULL JOIN b ON a.s_suppkey = b.k""")
+def upsert_nodes_stored(t: Tables) -> DataFrame:
+    """Suppliers in buckets, updated by a batch in which some keys repeat."""
+    have = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
+    table = B.Bucketed(f"{S.shared_folder(t.spark)}/suppliers-{uuid.uuid4().hex}", have.schema, ("s_suppkey",), 16)
+    table.write(have)
+    fresh = lambda word, df: df.select((F.col("s_suppkey") + 5).alias("s_suppkey"), F.concat(F.lit(word), "s_name").alias("s_name"))
+    B.upsert_nodes_stored(table, fresh("new ", t.supplier).unionByName(fresh("last ", t.supplier.filter("s_suppkey % 2 = 0"))), F.col("s_name"))
+    return table.read(t.spark)
+
+
+@query("SELECT DISTINCT l_partkey AS src_id, l_suppkey AS dst_id, l_returnflag AS label FROM lineitem")
+def union_edges_stored(t: Tables) -> DataFrame:
+    """Part to supplier edges in buckets, the returned ones merged as batches into the others."""
+    edge = t.lineitem.select(F.col("l_partkey").alias("src_id"), F.col("l_suppkey").alias("dst_id"), F.col("l_returnflag").alias("label"))
+    table = B.Bucketed(f"{S.shared_folder(t.spark)}/edges-{uuid.uuid4().hex}", edge.schema, ("src_id", "dst_id"), 16)
+    table.write(edge.filter("label <> 'R'").distinct())
+    B.union_edges_stored(table, edge.filter("label = 'R'"))
+    return table.read(t.spark)
 
 
 def _terms(t: Tables) -> DataFrame:

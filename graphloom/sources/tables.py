@@ -28,7 +28,7 @@ def read_strings(spark: SparkSession, path: str, columns: list[str]) -> DataFram
 
 def read_sheet(spark: SparkSession, path: str, lower: bool = True) -> DataFrame:
     """A tabular sheet exported as CSV, header names trimmed and lower-cased."""
-    df = spark.read.option("header", True).csv(path)
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     return df.toDF(*[c.strip().lower() if lower else c.strip() for c in df.columns]).na.fill("")
 
 
@@ -116,13 +116,19 @@ def current(spark: SparkSession, store: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{store}/{told['version']}/{t}") for t in told["tables"]}
 
 
-def upsert_nodes(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """Create or update by key: fields that the source has overwrite, others stay, nothing is deleted."""
-    t, s = target.alias("t"), source.alias("s")
+def upsert_nodes(target: DataFrame, source: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """Create or update by key: fields that the source has overwrite, others stay, nothing is deleted.
+
+    Where the source repeats a key its last row under ``order`` (by default all its columns) counts; a blank or null key in it is an error.
+    """
+    blank = F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == ""
+    filled = source.withColumn(key, F.when(blank, F.raise_error(F.lit(f"blank key {key}"))).otherwise(F.col(key)))
+    last = first_per(filled, [key], [F.struct(*source.columns) if order is None else order], last=True)
+    t, s = target.alias("t"), last.alias("s")
     hit = F.col(f"s.{key}").isNotNull()
-    pick = [F.coalesce(f"t.{key}", f"s.{key}").alias(key)]
-    pick += [(F.when(hit, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")) if c in source.columns else F.col(f"t.{c}")).alias(c) for c in target.columns if c != key]
-    return t.join(s, F.col(f"t.{key}") == F.col(f"s.{key}"), "full_outer").select(*pick)
+    pick = {c: F.when(hit, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")) if c in source.columns else F.col(f"t.{c}") for c in target.columns}
+    pick[key] = F.coalesce(f"t.{key}", f"s.{key}")
+    return t.join(s, F.col(f"t.{key}") == F.col(f"s.{key}"), "full_outer").select(*[c.alias(name) for name, c in pick.items()])
 
 
 def upsert_edges(target: DataFrame, source: DataFrame, src_nodes: DataFrame, dst_nodes: DataFrame, order: Column) -> DataFrame:
@@ -133,15 +139,29 @@ def upsert_edges(target: DataFrame, source: DataFrame, src_nodes: DataFrame, dst
     return kept.unionByName(last.select(*target.columns))
 
 
-def digest(df: DataFrame) -> DataFrame:
-    """Order-free digest of a table's content: rows, xor and sum of row hashes."""
-    h = F.xxhash64(*df.columns)
-    return df.agg(F.count("*").alias("n_rows"), F.bit_xor(h).alias("xor_hash"), F.sum(h % 1_000_000_007).alias("sum_hash"))
+def digest(df: DataFrame, keys: list[str], digits: int = 2) -> DataFrame:
+    """(bucket, n_rows, digest): an order-free digest of each bucket of a table's rows, dealt by ``digits`` hex digits of their keys' MD5.
+
+    Every field is hashed with its length, a null as a mark of its own, so values cannot change places unseen. The sums of the
+    row hashes' four parts make a bucket's digest: it is the same whatever the order, and counts repeated rows.
+    """
+    row = lambda names: F.md5(F.concat(*[F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in names]))
+    hashed = df.select(F.substring(row(keys), 1, digits).alias("bucket"), row(df.columns).alias("h"))
+    part = lambda i: F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).cast("string")
+    sums = hashed.groupBy("bucket").agg(F.count("*").alias("n_rows"), *[part(i).alias(f"s{i}") for i in range(4)])
+    return sums.select("bucket", "n_rows", F.md5(F.concat_ws(",", F.col("n_rows").cast("string"), "s0", "s1", "s2", "s3")).alias("digest"))
+
+
+def digest_root(digests: DataFrame) -> DataFrame:
+    """One row (n_rows, digest) over the digests of a table's buckets."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: F.concat(x["bucket"], x["digest"]))
+    return digests.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.md5(F.array_join(parts, "")).alias("digest"))
 
 
-def changed(df: DataFrame, before: tuple | None) -> bool:
-    """Whether a table's digest differs from the one given."""
-    return before is None or tuple(digest(df).first()) != tuple(before)
+def changed(now: DataFrame, before: DataFrame) -> DataFrame:
+    """The buckets whose digests differ between two states of a table, or stand in one of them only."""
+    a, b = now.select("bucket", F.col("digest").alias("_now")), before.select("bucket", F.col("digest").alias("_before"))
+    return a.join(b, "bucket", "full_outer").filter(~F.col("_now").eqNullSafe(F.col("_before"))).select("bucket")
 
 
 def shared_folder(spark: SparkSession) -> str:

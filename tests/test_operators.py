@@ -72,7 +72,7 @@ def test_store(spark, tmp_path):
     assert sorted(r["name"] for r in S.read_name_list(spark, str(tmp_path / "names.txt")).collect()) == ["Aloe vera", "Ocimum"]
     with pytest.raises(ValueError, match="missing columns: z"):
         S.require_columns(df, ["id", "z"])
-    assert not S.changed(df, tuple(S.digest(df.orderBy(F.desc("id"))).first()))
+    assert not S.changed(S.digest(df, ["id"]), S.digest(df.orderBy(F.desc("id")), ["id"])).head(1)
 
 
 def test_inference(spark):
