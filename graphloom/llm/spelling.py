@@ -31,7 +31,7 @@ from graphloom.llm.text import chunks, distinct, word_keys
 
 SHORTEST, FEWEST = 5, 3
 SLIP = 97  # one run of so many, by its hash, loses a letter
-CELL_BYTES = 4 << 20  # words of a cell, in bytes of letters and counts
+CELL_BYTES = 1 << 20  # words of a cell, in bytes of letters and counts
 REACH = 4  # words sent to a cell, as a multiple of what it may hold, before it is dealt to several tasks
 LEAF = 16
 LETTERS = 90  # a to z, U+00C0 to U+00FF
