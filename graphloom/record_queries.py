@@ -10,7 +10,8 @@ from graphloom.functions import markup as K
 from graphloom.plans import evidence as V
 from graphloom.plans import paths as P
 from graphloom.queries import _FACTS, Tables, _facts, query
-from graphloom.streaming import jobs
+from graphloom.sources import tables as S
+from graphloom.streaming import jobs, stateful
 
 
 @query("SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity)::INT - 1 AS row_no, l_partkey::VARCHAR AS part, l_returnflag || ' & ' || l_linestatus AS state, NULL::VARCHAR AS missing FROM lineitem")
@@ -97,7 +98,19 @@ def stream_merge(t: Tables) -> DataFrame:
     specs = {"users": ("event_id", F.col("user_id").cast("string"))}
     query = jobs.merge_stream(_events(t), f"{at}/store", f"{at}/checkpoint", lambda batch: {"users": batch.select("event_id", "user_id")}, specs, {})
     query.awaitTermination()
-    return jobs.version(t.spark, f"{at}/store", "users", query.lastProgress["batchId"], t.events.select("event_id", "user_id"))
+    return S.current(t.spark, f"{at}/store")["users"]
+
+
+@query("""WITH c AS (SELECT c_custkey::VARCHAR AS identity, 'c' || c_custkey AS canonical_id FROM customer)
+SELECT * FROM c UNION ALL SELECT user_id::VARCHAR, min(event_id::VARCHAR) FROM events WHERE user_id::VARCHAR NOT IN (SELECT identity FROM c) GROUP BY user_id""")
+def stream_canonical(t: Tables) -> DataFrame:
+    """Users of the event stream merged statefully into a published store of customers."""
+    at = jobs.work_folder(t.spark)
+    published = t.customer.select(F.col("c_custkey").cast("string").alias("identity"), F.concat(F.lit("c"), "c_custkey").alias("raw_id")).withColumn("canonical_id", F.col("raw_id"))
+    pairs = stateful.canonical_stream(_events(t), published, "event_id", F.col("user_id"), ["event_type"])
+    stateful.append_to_log(pairs, f"{at}/log", f"{at}/checkpoint").awaitTermination()
+    added = t.spark.read.schema(pairs.schema).parquet(f"{at}/log").filter("added")
+    return published.select("identity", "canonical_id").unionByName(added.select("identity", "canonical_id"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

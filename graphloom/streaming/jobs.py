@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from graphloom.operators.measurements import merge_batch
-from graphloom.sources.tables import shared_folder
+from graphloom.sources.tables import current, publish, shared_folder
 
 
 def stream_of(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -21,25 +21,20 @@ def stream_of(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 def merge_stream(batches: DataFrame, store: str, checkpoint: str, split: Callable[[DataFrame], dict[str, DataFrame]], specs: dict[str, tuple[str, Column]], edges: dict[str, tuple[str, str]]) -> StreamingQuery:
     """Merge each micro-batch into the canonical store by ``merge_batch``.
 
-    ``split`` makes the incoming tables of a batch. A batch reads the version that the one before it wrote and writes
-    ``<table>/version=<batch>`` and ``report/version=<batch>``, so one that runs again replaces its own work only.
+    ``split`` makes the incoming tables of a batch. A batch merges into the current version of the store, whoever wrote it, and
+    publishes the next one, so a new checkpoint starts from all that is there and a batch that runs again adds nothing.
+    Each version is whole; ``stateful.canonical_stream`` appends instead.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        incoming = split(batch)
-        have = {name: version(batch.sparkSession, store, name, batch_id - 1, df) for name, df in incoming.items()}
-        out, report = merge_batch(have, incoming, specs, edges)
-        for name, df in [*out.items(), ("report", report)]:
-            df.write.mode("overwrite").parquet(f"{store}/{name}/version={batch_id}")
+        spark, incoming = batch.sparkSession, split(batch)
+        have = current(spark, store)
+        out, report = merge_batch({name: have.get(name, df.limit(0)) for name, df in incoming.items()}, incoming, specs, edges)
+        publish(spark, store, {**out, "report": report})
 
     return batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def version(spark: SparkSession, store: str, name: str, number: int, like: DataFrame) -> DataFrame:
-    """One version of a merged table; before the first it is empty."""
-    return spark.read.schema(like.schema).parquet(f"{store}/{name}/version={number}") if number >= 0 else like.limit(0)
-
-
 def dedup_stream(rows: DataFrame, time: str, keys: list[str], delay: str) -> DataFrame:
     """The first row of each key within the watermark."""
     return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
