@@ -11,7 +11,8 @@ backslash after its first character, one more than it may have already, so unesc
 exactly one and gives the text back. Null text and null role count as empty; events of a turn that
 has no message yet start it; ties in sequence are broken by turn, kind and text. A message of a turn
 that is already there is one more turn: a table's repeated rows count each, as do rows that repeat
-a turn with another role or text. An empty log gives an empty result; extra columns are ignored.
+a turn with another role or text. Rows without a conv_id are one conversation. An empty log gives an empty result; extra
+columns are ignored, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ TURN, END = "<|turn|>", "<|end|>"
 CONTROLS = [TURN, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>"]
 _ANY = "|".join(f"({re.escape(c[0])})(\\\\*)({re.escape(c[1:])})" for c in CONTROLS)
 _RAW, _DONE = re.compile(_ANY), re.compile(_ANY.replace("(\\\\*)", "\\\\(\\\\*)"))
+_ORDER = {"graphloom.log_order": True}  # marks the column that orders the events of one turn in the logs made here
 _PARTS = re.compile(r"<\|turn\|>([^\n]*)\n(.*?)<\|end\|>\n", re.S)
 
 
@@ -69,12 +71,12 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def turn_events(conversations: DataFrame) -> DataFrame:
     """A table of turns as a log: each turn starts as a message without text and streams in as one delta.
 
-    ``_tie`` keeps the two events of a row together where rows share a turn.
+    ``_within`` keeps the two events of a row together where rows share a turn.
     """
     kinds = F.explode(F.array(F.lit("message"), F.lit("delta")))
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("turn"), "role", "text", F.xxhash64("role", "text").alias("_tie"))
     rows = rows.select("*", kinds.alias("kind"))
-    return rows.select("conv_id", F.col("turn").alias("seq"), "kind", "turn", "role", F.when(F.col("kind") == "delta", F.col("text")).alias("text"), "_tie")
+    return rows.select("conv_id", F.col("turn").alias("seq"), "kind", "turn", "role", F.when(F.col("kind") == "delta", F.col("text")).alias("text"), F.struct("_tie").alias("_within", metadata=_ORDER))
 
 
 def streamed_events(conversations: DataFrame) -> DataFrame:
@@ -94,7 +96,7 @@ def streamed_events(conversations: DataFrame) -> DataFrame:
     kind = F.pmod("_tie", F.lit(3))
     log = F.when(kind == 0, F.array(begin, *deltas)).when(kind == 1, F.array(begin, draft, event("regenerate"), *deltas)).otherwise(F.array(begin, draft, event("edit", F.col("t"))))
     rows = rows.select("conv_id", "turn", "role", "_tie", "_row", F.posexplode(log).alias("_step", "e"))
-    return rows.select("conv_id", F.col("turn").alias("seq"), "e.kind", "turn", "role", "e.text", "_tie", "_row", "_step")
+    return rows.select("conv_id", F.col("turn").alias("seq"), "e.kind", "turn", "role", "e.text", F.struct("_tie", "_row", "_step").alias("_within", metadata=_ORDER))
 
 
 def _folded(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int | None, list[list[str]]]]:
@@ -144,11 +146,10 @@ def _over_conversations(events: DataFrame, make: Callable[[int | None, list[tupl
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
-    order = F.col("kind").isin("delta", "edit").cast("int")
-    log = events.withColumn("_step", F.col("_step") if "_step" in events.columns else order)
-    for name in ("_tie", "_row"):
-        log = log.withColumn(name, F.col(name) if name in events.columns else F.lit(0))
-    log = log.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "turn", "_tie", "_row", "_step", "text")
+    own = [F.col(f"`{f.name}`") for f in events.schema.fields if f.metadata.get("graphloom.log_order")]
+    columns = [F.col(c) for c in ("conv_id", "seq", "kind", "turn", "role", "text")]
+    log = events.select(*columns, (own[0] if own else F.lit(0)).alias("_within"), F.col("kind").isin("delta", "edit").cast("int").alias("_later"))
+    log = log.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "turn", "_within", "_later", "text")
     return log.select("conv_id", "kind", "turn", "role", "text").mapInPandas(fold, schema)
 
 

@@ -38,7 +38,7 @@ class ItemIndex:
     """The signatures of a block of items, by shingle length and size class."""
 
     def __init__(self, ids: list, texts: list[str], k: int, percent: int) -> None:
-        self.ids, self.sets, self.percent = [], [], percent
+        self.ids, self.sets, self.lengths, self.percent = [], [], [], percent
         members: dict[tuple[int, int], list[int]] = {}
         for item, text in zip(ids, texts, strict=True):
             data = np.frombuffer(text.encode(), dtype=np.uint8)
@@ -49,6 +49,7 @@ class ItemIndex:
                 members.setdefault((length, 1 << (len(grams[0]) - 1).bit_length()), []).append(len(self.ids))
                 self.ids.append(item)
                 self.sets.append(grams)
+                self.lengths.append(length)
         self.classes = []
         for (length, u), rows in sorted(members.items()):
             signs = [self.sets[i][0] if u <= 8 else _minima(self.sets[i][0], 8 * u) for i in rows]
@@ -84,9 +85,8 @@ class ItemIndex:
                 for x, y in zip(a.tolist(), b.tolist(), strict=True):
                     pairs.update((row, i) for i in owner[x:y].tolist())
         out = []
-        lengths = {i: length for length, _, _, owner, _ in self.classes for i in owner.tolist()}
         for row, i in sorted(pairs):
-            length = lengths[i]
+            length = self.lengths[i]
             own = slice(first[row], max(first[row], first[row + 1] - length + 1))
             where, found = _held(grams[length][0][own], grams[length][1][own], *self.sets[i])
             if 100 * found >= self.percent * len(self.sets[i][0]):

@@ -70,14 +70,19 @@ def gram_counts(texts: DataFrame) -> DataFrame:
                 held.append(np.unique(_codes(data, offs), return_counts=True))
                 if sum(len(k) for k, _ in held) > 2_000_000:
                     held = [merged()]
+                    if len(held[0][0]) > 1_000_000:
+                        yield from _counted(*held.pop())
         if held:
-            keys, n = merged()
-            for lo in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 100_000]), pa.array(n[lo : lo + 100_000])], names=["gram", "n"])
+            yield from _counted(*merged())
 
     return texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def _counted(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(keys), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 100_000]), pa.array(n[lo : lo + 100_000])], names=["gram", "n"])
+
+
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     """Chen and Goodman's three discounts from the counts of counts."""
     n = {r["n"]: r["k"] for r in counts.filter("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
@@ -176,8 +181,8 @@ def _score_by_joins(rows: DataFrame, probs: DataFrame, weights: DataFrame) -> Da
                     same = pa.array(np.full(len(keys), lo + row))
                     yield pa.RecordBatch.from_arrays([batch.column(4).take(same), pa.array(keys), pa.array(n)], names=["row", "gram", "n"])
 
-    keyed = scratch.table(rows.withColumn("row", F.xxhash64("doc_id", "text")), "keyed")
-    left, sums, passed = keyed.dropDuplicates(["row"]).select("doc_id", "lang", "text", "text_hash", "row").mapInArrow(grams, "row long, gram long, n long").withColumn("passed", F.lit(0).cast("long")), None, F.col("passed")
+    keyed = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()), "keyed")
+    left, sums, passed = keyed.select("doc_id", "lang", "text", "text_hash", "row").mapInArrow(grams, "row long, gram long, n long").withColumn("passed", F.lit(0).cast("long")), None, F.col("passed")
     for size in range(ORDER, 0, -1):
         own = F.col("gram").bitwiseAND(F.lit((1 << 8 * size) - 1))
         p = probs.filter(F.col("size") == size).select(F.col("gram").alias("_g"), "logp")

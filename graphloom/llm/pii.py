@@ -137,8 +137,8 @@ def _near(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, str,
 
     What is glued to a mention without a blank is a term, too, though not a word of the corpus.
     """
-    out = []
-    taken = [(a, b) for _, a, b in spans]
+    out, free = [], _outside(spans)
+    glued_from, glued_to = 0, -1  # the long word walked back last: mentions glued to one another walk it once
     for kind, a, b in spans:
         entities = [_hash(f"{kind}:{text[a:b].lower()}")]
         if kind == "email":
@@ -151,7 +151,11 @@ def _near(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, str,
                 if len(found) == 1:
                     start = lo
                     while start > 0 and text[start - 1] not in _BLANK:
+                        if start == glued_to:
+                            start = glued_from
+                            break
                         start -= 1
+                    glued_from, glued_to = start, lo
                     found = [(start, found[0][1])]
                 else:
                     found = found[1:]
@@ -166,15 +170,23 @@ def _near(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, str,
             if len(right) > WINDOW:
                 break
         around = left[-WINDOW - 1 :] + right
-        names = [text[s:e] for s, e in around]
+        names: dict[int, str] = {}
+
+        def name(i: int, around: list[tuple[int, int]] = around, names: dict[int, str] = names) -> str:
+            if i not in names:
+                names[i] = text[slice(*around[i])] if 0 <= i < len(around) else ""
+            return names[i]
+
         for i, (s, e) in enumerate(around):
             if (i == 0 and len(left) > WINDOW) or i == len(around) - 1 and len(right) > WINDOW:
                 continue  # only a neighbour of the outermost word
-            term, bare = _term(names[i]), names[i].strip(_TRIM)
-            if len(term) > 1 and not any(s < y and x < e for x, y in taken):
-                start = s + len(names[i]) - len(names[i].lstrip(_TRIM))
+            if not free(s, e):
+                continue
+            term, bare = _term(name(i)), name(i).strip(_TRIM)
+            if len(term) > 1:
+                start = s + len(name(i)) - len(name(i).lstrip(_TRIM))
                 glued = s > 0 and text[s - 1] not in _BLANK or e < len(text) and text[e] not in _BLANK
-                pair = f"{_term(names[i - 1]) if i else ''} {_term(names[i + 1]) if i + 1 < len(names) else ''}"
+                pair = f"{_term(name(i - 1))} {_term(name(i + 1))}"
                 out += [(entity, term, _hash(pair), start, start + len(bare), glued) for entity in entities]
     return out
 
@@ -251,7 +263,8 @@ def _term_hash(terms: pd.Series) -> pd.Series:
 
 def revealing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of the pairs whose disclosure reaches ``GENERALISE``."""
-    near = found.select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.*").dropDuplicates(["doc_id", "text_hash", "entity", "term", "start"])
+    # a row counts as often as it stands in the corpus, a word once for each entity that it is near
+    near = found.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode("near").alias("x")).select("row", "x.*").dropDuplicates(["row", "entity", "term", "start"])
     kinds = near.groupBy("entity", "term", "around").agg(F.count("*").alias("n"))
     pairs = scratch.table(kinds.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("kinds")).filter(F.col("kinds") >= EVIDENCE), "pairs")
     spark = found.sparkSession
@@ -259,7 +272,7 @@ def revealing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "entity long, term string, disclosure double")
     counts = scratch.table(term_counts(docs), "terms")
     total = counts.agg(F.sum("n")).first()[0]
-    glued = near.filter("glued").select("doc_id", "text_hash", "term", "start").distinct().groupBy("term").agg(F.count("*").alias("n_glued"))
+    glued = near.filter("glued").select("row", "term", "start").distinct().groupBy("term").agg(F.count("*").alias("n_glued"))
     near_e = found.select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.entity", "x.start")
     entities = near_e.groupBy("entity").agg(F.ceil(F.count("*") / (2 * WINDOW)).alias("n_entity"))
     joined = pairs.withColumn("term_hash", F.pandas_udf(_term_hash, "long")("term")).join(counts, "term_hash", "left").join(glued, "term", "left").join(entities, "entity")

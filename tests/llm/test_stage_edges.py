@@ -73,6 +73,18 @@ def test_streamed_log(spark):
     assert chat.digests(chat.format_conversations(chat.streamed_events(table.limit(0)))).count() == 0
 
 
+def test_columns_of_a_log_are_ignored(spark):
+    rows = [(1, 0, "user", "question"), (1, 1, "assistant", "answer of some length"), (1, 2, "assistant", "more")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    extra = [F.create_map(F.lit("a"), F.lit(1)).alias("_row"), F.lit("z").alias("_tie"), (-F.col("seq")).alias("_step"), F.struct(F.lit(1)).alias("_later"), F.lit(2).alias("text_hash")]
+    for log in (chat.streamed_events(table), chat.turn_events(table)):
+        want = [tuple(r) for r in chat.digests(chat.format_conversations(log)).collect()]
+        got = [tuple(r) for r in chat.digests(chat.format_conversations(log.select("*", *extra))).collect()]
+        assert got == want and got[0][3] == len("answer of some length") + len("more")
+    own = spark.createDataFrame([(1, 1, "message", 1, "assistant", None), (1, 2, "delta", 1, None, "ab"), (1, 3, "delta", 1, None, "cd")], "conv_id long, seq long, kind string, turn long, role string, text string")
+    assert chat.format_conversations(own.select("*", (-F.col("seq")).alias("_within"), *extra)).first()["loss_spans"] == [[19, 23]]
+
+
 WRAPPED = {
     "mit": '/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the "Software"), to deal\n * in the Software without restriction, including without limitation the rights\n */\nint x;',
     "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",

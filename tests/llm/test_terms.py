@@ -1,7 +1,9 @@
 """Terms that give a protected entity away: one folding everywhere, and treated everywhere."""
 
+import time
 from collections import Counter
 
+import brute
 import pyarrow as pa
 
 from graphloom.llm import pii
@@ -97,3 +99,27 @@ def test_parts_with_many_zeros(spark):
 def test_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "mail a@b.com", "x", "y", 3, 4, 5)], "doc_id long, text string, base string, terms string, _d int, _doc_id int, _text_hash int")
     assert pii.sanitise(rows).first().asDict() == {"doc_id": 1, "text": "mail [EMAIL]", "base": "x", "terms": "y", "_d": 3, "_doc_id": 4, "_text_hash": 5}
+
+
+def test_repeated_rows_hide_no_term(spark):
+    rows = [(i, f"{w} wrote Zorblatt {v} user@firm.org then {w} left {v}") for i, (w, v) in enumerate(SIDES)]
+    for times in (1, 41):
+        assert "term:10:18" in spans(spark, rows * times + FILL)[0]
+
+
+def test_many_mentions_in_one_text_take_linear_time():
+    for text in ("\n".join(f"Name{i} Surname{i} user{i}@mail{i % 50}.example.com" for i in range(20_000)), "first " + ",".join(f"u{i}@m{i % 50}.example.com" for i in range(5_000))):
+        began = time.perf_counter()
+        near = pii._near(text, pii.base_spans(text))
+        assert time.perf_counter() - began < 10 and near  # a quadratic walk takes minutes
+
+
+def test_near_words_equal_the_plain_twin():
+    texts = ["a b a@b.com,c@d.org,x e f 1.2.3.4 g", "x,a@b.com,y z " * 4, "one two (a@b.com) three +1 (017) 555-7713x four " * 3, "w" * 90 + ",a@b.com," + "v" * 90 + " end", " ".join(f"w{i}" for i in range(30)) + " a@b.com " + " ".join(f"v{i}" for i in range(30))]
+    for text in texts:
+        found = pii.base_spans(text)
+        mine = [(term, start, end) for _, term, _, start, end, _ in pii._near(text, [s for s in found if s[0] != "email"])]
+        plain = [(term, start, end) for _, term, _, start, end in brute.near_words(text, [s for s in found if s[0] != "email"])]
+        assert mine == plain
+        mail = [(term, start, end) for _, term, _, start, end, _ in pii._near(text, found)]
+        assert sorted(set(mail)) == sorted({(term, start, end) for _, term, _, start, end in brute.near_words(text, found)})
