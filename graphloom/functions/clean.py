@@ -154,6 +154,13 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+def common_letters(a: Column, b: Column) -> Column:
+    """How many characters two texts have in common, each counted as often as both have it."""
+    times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    letters = F.array_distinct(F.filter(F.split(a, ""), lambda c: c != ""))
+    return F.aggregate(letters, F.lit(0), lambda n, c: n + F.least(times(a, c), times(b, c)))
+
+
 def split_list(c: Column, sep: str = ",") -> Column:
     """Distinct trimmed, lower-cased, non-empty items."""
     return F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), sep), lambda x: F.trim(x)), lambda x: x != ""))

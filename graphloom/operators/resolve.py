@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.clean import alias_key, looks_scientific, normalized_text, sequence_ratio, tokens
+from graphloom.functions.clean import alias_key, common_letters, looks_scientific, normalized_text, sequence_ratio, tokens
+from graphloom.sources.tables import stored
 
 # Words that don't count as shared between a term and a name.
 STOP_WORDS = ["a", "an", "and", "for", "from", "in", "of", "on", "the", "to", "with", "which", "what"]
@@ -65,32 +66,67 @@ def best_with_margin(scored: DataFrame, accept: float, margin: float, strict: bo
     return ranked.withColumn("accepted", (F.col("score") >= accept) & (gap > margin if strict else gap >= margin))
 
 
-def typo_candidates(terms: DataFrame, names: DataFrame, floor: float = 0.85) -> DataFrame:
-    """Pairs that can reach the floor ratio: lengths of 5 or more that differ by 2 at most, and close edit distance.
+def close_texts(asked: DataFrame, known: DataFrame, floor: float) -> DataFrame:
+    """(_t, _n) of the distinct texts of two one-column tables that can reach the floor ratio: lengths of 5 or more that differ by 2 at most, and close edit distance.
 
-    A name within ``d`` edits of a term keeps one of its ``d + 1`` segments whole, moved by ``d`` places at most,
-    so names are keyed by their segments and terms by the pieces that may equal them.
+    A text within ``d`` edits of another keeps one of its ``d + 1`` segments whole, moved by ``d`` places at most, so known
+    texts are keyed by their segments and asked ones by the pieces that may equal them. Pairs are tested before they are shuffled again.
     """
     edits = f"cast(floor({1 - floor:.6f} * (2 * _len + 2)) as int)"
     begin = lambda i: f"cast(floor({i} * _len / ({edits} + 1)) as int)"
-    n = names.select("id", "name", F.lower(F.trim("name")).alias("_n")).withColumn("_len", F.length("_n")).filter("_len >= 5")
+    n = known.toDF("_n").filter("length(_n) >= 5").distinct().withColumn("_len", F.length("_n"))
     segment = f"struct(i as at, substring(_n, {begin('i')} + 1, {begin('(i + 1)')} - {begin('i')}) as piece)"
-    keyed = n.withColumn("_s", F.explode(F.expr(f"transform(sequence(0, {edits}), i -> {segment})"))).select("*", "_s.at", "_s.piece").drop("_s")
-    t = terms.select("term_id", "term", F.lower(F.trim("term")).alias("_t")).withColumn("_tl", F.length("_t")).filter("_tl >= 5")
+    keyed = n.withColumn("_s", F.explode(F.expr(f"transform(sequence(0, {edits}), i -> {segment})"))).select("_n", "_len", "_s.at", "_s.piece")
+    t = asked.toDF("_t").filter("length(_t) >= 5").distinct().withColumn("_tl", F.length("_t"))
     t = t.withColumn("_len", F.explode(F.sequence(F.greatest(F.lit(5), F.col("_tl") - 2), F.col("_tl") + 2)))
     width = f"({begin('(i + 1)')} - {begin('i')})"
     moved = f"filter(transform(sequence(-{edits}, {edits}), m -> struct(i as at, {begin('i')} + 1 + m as first, {width} as width)), x -> x.first >= 1 and x.first + x.width - 1 <= _tl)"
     probes = F.expr(f"array_distinct(flatten(transform(sequence(0, {edits}), i -> transform({moved}, x -> struct(x.at as at, substring(_t, x.first, x.width) as piece)))))")
-    asked = t.withColumn("_s", F.explode(probes)).select("*", "_s.at", "_s.piece").drop("_s")
+    pieces = t.withColumn("_s", F.explode(probes)).select("_t", "_tl", "_len", "_s.at", "_s.piece")
     near = F.levenshtein("_t", "_n") <= (1 - floor) * (F.col("_tl") + F.col("_len"))
-    return asked.join(keyed, ["_len", "at", "piece"]).drop("at", "piece").distinct().filter(near)
+    return pieces.join(keyed, ["_len", "at", "piece"]).filter(near).select("_t", "_n").distinct()
+
+
+def _text(c: str) -> Column:
+    return F.lower(F.trim(F.col(c)))
+
+
+def typo_candidates(terms: DataFrame, names: DataFrame, floor: float = 0.85) -> DataFrame:
+    """Pairs of terms and names that can reach the floor ratio."""
+    close = close_texts(terms.select(_text("term")), names.select(_text("name")), floor)
+    n = names.select("id", "name", _text("name").alias("_n"))
+    return terms.withColumn("_t", _text("term")).join(close, "_t").join(n, "_n").select("term_id", "term", "_t", "id", "name", "_n")
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What the sequence ratio of two texts is at most: the letters that they share, each as often as both have it."""
+    return 2 * common_letters(a, b) / (F.length(a) + F.length(b))
+
+
+def scored_texts(close: DataFrame, accept: float, margin: float) -> DataFrame:
+    """(_t, _n, score) of the pairs that count for the guard; only those whose bound allows it reach the ratio.
+
+    A pair below ``accept - margin`` neither wins nor takes a win away, and without a pair that can reach ``accept`` a text has no winner.
+    """
+    bound = close.withColumn("_b", ratio_bound(F.col("_t"), F.col("_n"))).filter(F.col("_b") >= accept - margin)
+    hopeful = bound.withColumn("_most", F.max("_b").over(Window.partitionBy("_t"))).filter(F.col("_most") >= accept)
+    same = hopeful.filter("_t = _n").select("_t", "_n", F.lit(1.0).alias("score"))
+    other = hopeful.filter("_t <> _n").select("_t", "_n", sequence_ratio(F.col("_t"), F.col("_n")).alias("score"))
+    return same.unionByName(other)
 
 
 def resolve_typo(terms: DataFrame, names: DataFrame, accept: float = 0.90, margin: float = 0.05) -> DataFrame:
-    """The typo guard: the best sequence ratio wins only with a margin."""
-    scored = typo_candidates(terms, names).withColumn("score", sequence_ratio(F.col("_t"), F.col("_n")))
-    per = scored.groupBy("term_id", "term", "id", "name").agg(F.max("score").alias("score"))
-    return best_with_margin(per, accept, margin)
+    """The typo guard: the best sequence ratio wins only with a margin before the next other name.
+
+    Names are compared as texts, so ids that share one do not compete: ``n_ids`` tells how many the winner has, ``id`` is the
+    least. Terms without a name that can reach ``accept`` have no row.
+    """
+    known = names.groupBy(_text("name").alias("_n")).agg(F.min("id").alias("id"), F.min_by("name", F.struct("id", "name")).alias("name"), F.count_distinct("id").alias("n_ids"))
+    asked = terms.withColumn("_t", _text("term"))
+    scored = scored_texts(close_texts(asked.select("_t"), known.select("_n"), accept - margin), accept, margin)
+    best = best_with_margin(scored.select(F.col("_t").alias("term_id"), F.col("_n").alias("id"), F.col("_n").alias("name"), "score"), accept, margin)
+    best = best.select(F.col("term_id").alias("_t"), F.col("id").alias("_n"), "score", "second", "accepted")
+    return asked.join(best, "_t").join(known, "_n").select("term_id", "term", "id", "name", "score", "second", "accepted", "n_ids")
 
 
 def token_overlap(a: Column, b: Column) -> Column:
@@ -172,19 +208,30 @@ def rank_entities(terms: DataFrame, names: DataFrame, accept: float = 0.96, marg
 def lexical_candidates(terms: DataFrame, names: DataFrame, k: int = 25) -> DataFrame:
     """The k names of each term by 0.55 token overlap, 0.30 tokens found inside and 0.15 sequence ratio, over name and aliases.
 
-    Names in whose text no token of the term is found are left out.
+    Names in whose text no token of the term is found are left out. Each different text is scored once; ids of one text follow one another.
     """
     aliases = F.coalesce("aliases", F.lit("")) if "aliases" in names.columns else F.lit("")
-    n = names.select("id", "name", alias_key(F.concat_ws(" ", "name", aliases)).alias("_text"))
-    t = terms.select("term_id", "term", alias_key(F.col("term")).alias("_term"), F.filter(tokens(F.col("term")), lambda w: F.length(w) >= 3).alias("_tt"))
+    named = names.select("id", "name", alias_key(F.concat_ws(" ", "name", aliases)).alias("_text"), F.lower("name").alias("_low"))
+    n = named.select("_text", "_low").distinct()
+    t = terms.select(alias_key(F.col("term")).alias("_term"), F.filter(tokens(F.col("term")), lambda w: F.length(w) >= 3).alias("_tt")).distinct()
     words = t.select(F.explode("_tt").alias("id")).distinct().withColumn("text", F.col("id"))
-    found = contained_pairs(words, n.select("id", F.col("_text").alias("text")))
-    pairs = t.select("term_id", F.explode("_tt").alias("inner_id")).join(found, "inner_id").select("term_id", F.col("outer_id").alias("id")).distinct()
-    rows = pairs.join(t, "term_id").join(n, "id")
+    found = contained_pairs(words, n.select(F.col("_text").alias("id"), F.col("_text").alias("text")).distinct())
+    pairs = t.select("_term", "_tt", F.explode("_tt").alias("inner_id")).join(found, "inner_id").select("_term", "_tt", F.col("outer_id").alias("_text")).distinct()
     inside = F.size(F.filter("_tt", lambda w: F.contains(F.col("_text"), w))) / F.size("_tt")
-    overlap = token_overlap(F.col("_tt"), F.split("_text", " "))
-    rows = rows.withColumn("score", 0.55 * overlap + 0.30 * inside + 0.15 * sequence_ratio(F.col("_term"), F.col("_text")))
-    w = Window.partitionBy("term_id").orderBy(F.desc("score"), F.lower("name"), "id")
+    plain = 0.55 * token_overlap(F.col("_tt"), F.split("_text", " ")) + 0.30 * inside
+    # the ratio adds 0.15 at most: texts that k others pass without it are out
+    bound = 0.15 * F.when(F.length("_term") > 0, ratio_bound(F.col("_term"), F.col("_text"))).otherwise(0.0)
+    bounded = pairs.withColumns({"_plain": plain, "_least": plain, "_most": plain + bound})
+    kth = Window.partitionBy("_term", "_tt").orderBy(F.desc("_least"))
+    bar = bounded.withColumn("_r", F.row_number().over(kth)).filter(F.col("_r") == k).select("_term", "_tt", F.col("_least").alias("_bar"))
+    able = bounded.join(bar, ["_term", "_tt"], "left").filter(F.col("_most") + 1e-9 >= F.coalesce("_bar", F.lit(0.0)))
+    scored = able.select("_term", "_tt", "_text", (F.col("_plain") + 0.15 * sequence_ratio(F.col("_term"), F.col("_text"))).alias("score")).join(n, "_text")
+    w = Window.partitionBy("_term", "_tt").orderBy(F.desc("score"), "_low")
+    top = scored.withColumn("_r", F.rank().over(w)).filter(F.col("_r") <= k)
+    first = named.withColumn("_i", F.row_number().over(Window.partitionBy("_text", "_low").orderBy("id"))).filter(F.col("_i") <= k).drop("_i")
+    asked = terms.select("term_id", "term", alias_key(F.col("term")).alias("_term"), F.filter(tokens(F.col("term")), lambda w: F.length(w) >= 3).alias("_tt"))
+    rows = asked.join(top.drop("_r"), ["_term", "_tt"]).join(first, ["_text", "_low"])
+    w = Window.partitionBy("term_id").orderBy(F.desc("score"), "_low", "id")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("term_id", "term", "id", "name", "score", "rank")
 
 
@@ -192,24 +239,34 @@ def cascade(terms: DataFrame, names: DataFrame, overrides: DataFrame | None = No
     """Override, exact name, typo guard, looks scientific, alias, candidates: the first tier that hits decides.
 
     ``overrides`` has (term, name). A term that looks like a new scientific name is resolved to itself, without an id.
-    Several ids of the exact or alias tier make a term ambiguous, as do candidates alone.
+    Several ids of the exact, typo or alias tier make a term ambiguous, as do candidates alone. Each tier is asked only for the terms that
+    those before it leave, and stored once; names are compared as texts, with their least id and their number of ids.
     """
     key = lambda c: normalized_text(F.col(c))
 
     def tier(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("term_id").agg(F.min_by("id", F.struct("id", "name")).alias(f"_{name}"), F.min_by("name", F.struct("id", "name")).alias(f"_{name}_name"), F.count_distinct("id").alias(f"_{name}_n"))
-
-    exact = resolve_exact(terms, names)
-    left = terms.join(exact.select("term_id").distinct(), "term_id", "left_anti")
-    guarded = resolve_typo(left, names).filter("accepted")
-    out = terms.join(tier(exact, "exact"), "term_id", "left").join(tier(guarded, "typo"), "term_id", "left")
-    out = out.join(tier(resolve_alias(terms, names), "alias"), "term_id", "left")
-    rest = left.join(guarded.select("term_id"), "term_id", "left_anti").join(resolve_alias(left, names).select("term_id").distinct(), "term_id", "left_anti")
-    out = out.join(tier(lexical_candidates(rest, names), "candidates"), "term_id", "left")
+        return df.select("term_id", F.col("id").alias(f"_{name}"), F.col("name").alias(f"_{name}_name"), F.col("n_ids").alias(f"_{name}_n"))
+
+    def known(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("_k").agg(F.min("id").alias("id"), F.min_by("name", F.struct("id", "name")).alias("name"), F.count_distinct("id").alias("n_ids"))
+
+    exact_names = known(names.select("id", "name", key("name").alias("_k")))
+    exact = stored(terms.withColumn("_k", key("term")).join(exact_names, "_k").select("term_id", "term", "id", "name", "n_ids"), "exact")
+    left = stored(terms.join(exact, "term_id", "left_anti"), "left")
+    typo = stored(resolve_typo(left, names).filter("accepted"), "typo")
+    left = left.join(typo, "term_id", "left_anti").filter(~F.coalesce(looks_scientific(F.col("term")), F.lit(False)))
+    parts = F.array_union(F.array("name"), F.coalesce(F.split("aliases", ","), F.array().cast("array<string>"))) if "aliases" in names.columns else F.array("name")
+    alias_names = known(names.select("id", "name", F.explode(parts).alias("_a")).select("id", "name", F.lower(F.trim("_a")).alias("_k")).filter("_k <> ''"))
+    alias = stored(left.withColumn("_k", _text("term")).join(alias_names, "_k").select("term_id", "term", "id", "name", "n_ids"), "alias")
+    rest = left.join(alias, "term_id", "left_anti")
+    some = lexical_candidates(rest, names).groupBy("term_id").agg(F.min("id").alias("id"), F.min_by("name", F.struct("id", "name")).alias("name"), F.count_distinct("id").alias("n_ids"))
+    out = terms
+    for name, df in (("exact", exact), ("typo", typo), ("alias", alias), ("candidates", some)):
+        out = out.join(tier(df, name), "term_id", "left")
     if overrides is not None:
         told = overrides.select(key("term").alias("_k"), F.col("name").alias("_given"))
-        known = names.select(key("name").alias("_g"), F.col("id").alias("_override")).groupBy("_g").agg(F.min("_override").alias("_override"))
-        told = told.groupBy("_k").agg(F.min("_given").alias("_given")).withColumn("_g", key("_given")).join(known, "_g", "left").drop("_g")
+        given = names.select(key("name").alias("_g"), F.col("id").alias("_override")).groupBy("_g").agg(F.min("_override").alias("_override"))
+        told = told.groupBy("_k").agg(F.min("_given").alias("_given")).withColumn("_g", key("_given")).join(given, "_g", "left").drop("_g")
         out = out.withColumn("_k", key("term")).join(told, "_k", "left").drop("_k")
     else:
         out = out.withColumns({"_given": F.lit(None).cast("string"), "_override": F.lit(None).cast(names.schema["id"].dataType)})
@@ -218,11 +275,11 @@ def cascade(terms: DataFrame, names: DataFrame, overrides: DataFrame | None = No
     pick = lambda *v: F.when(F.col("_given").isNotNull(), v[0]).when(hit("exact"), v[1]).when(hit("typo"), v[2]).when(shaped, v[3]).when(hit("alias"), v[4]).when(hit("candidates"), v[5])
     unique = lambda name: F.when(F.col(f"_{name}_n") == 1, "resolved").otherwise("ambiguous")
     which = pick("override", "exact", "typo", "scientific", "alias", "candidates")
-    status = F.coalesce(pick(F.lit("resolved"), unique("exact"), F.lit("resolved"), F.lit("resolved"), unique("alias"), F.lit("ambiguous")), F.lit("unresolved"))
+    status = F.coalesce(pick(F.lit("resolved"), unique("exact"), unique("typo"), F.lit("resolved"), unique("alias"), F.lit("ambiguous")), F.lit("unresolved"))
     nothing = F.lit(None)
     sole = lambda name, c: F.when(F.col(f"_{name}_n") == 1, F.col(c))
-    chosen = pick(F.col("_override"), sole("exact", "_exact"), F.col("_typo"), nothing, sole("alias", "_alias"), nothing)
-    name = pick(F.col("_given"), sole("exact", "_exact_name"), F.col("_typo_name"), F.trim("term"), sole("alias", "_alias_name"), nothing)
+    chosen = pick(F.col("_override"), sole("exact", "_exact"), sole("typo", "_typo"), nothing, sole("alias", "_alias"), nothing)
+    name = pick(F.col("_given"), sole("exact", "_exact_name"), sole("typo", "_typo_name"), F.trim("term"), sole("alias", "_alias_name"), nothing)
     return out.select("term_id", "term", which.alias("tier"), status.alias("status"), chosen.alias("id"), name.alias("name"))
 
 

@@ -557,6 +557,24 @@ def resolution_cascade(t: Tables) -> DataFrame:
     return R.cascade(terms, t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("aliases"))).drop("term_id", "name")
 
 
+def cascade_terms(t: Tables) -> DataFrame:
+    """Names as they are and misspelt, brands, customers, phrases of two names, and new names of two words."""
+    spoilt = F.concat(F.substring("p_name", 1, 3), F.expr("substring(p_name, 5)"))
+    first = lambda c: F.element_at(F.split(c, " "), 1)
+    phrase = F.concat_ws(" ", F.lower(F.regexp_replace("p_type", "[^A-Za-z]", "")), first("p_name"))
+    species = F.concat(F.initcap(first("p_name")), F.lit(" "), F.lower(F.regexp_replace("p_brand", "[^A-Za-z]", "")), F.lit("ensis"))
+    out = t.customer.select(F.col("c_name").alias("term"))
+    for c in (F.col("p_name"), spoilt, F.col("p_brand"), phrase, species):
+        out = out.union(t.part.select(c.alias("term")))
+    return out.distinct().withColumn("term_id", F.col("term"))
+
+
+@query()
+def resolution_cascade_tiers(t: Tables) -> DataFrame:
+    """Every tier of the cascade over the parts' names and brands."""
+    return R.cascade(cascade_terms(t), t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("aliases"))).drop("term_id", "name")
+
+
 @query("""SELECT n_name AS subject, c_name AS term, count(*) AS n, min(c_custkey) AS id, CASE WHEN count(*) > 1 THEN 'ambiguous' ELSE 'resolved' END AS status FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name, c_name""")
 def scoped_resolution(t: Tables) -> DataFrame:
     """Subject first, then the term inside the subject's own domain."""

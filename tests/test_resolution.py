@@ -2,10 +2,12 @@
 
 import difflib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import queries
 from graphloom.functions import clean as C
 from graphloom.operators import joins as J
 from graphloom.operators import resolve as R
@@ -122,3 +124,81 @@ def test_parts(spark):
     tree = spark.createDataFrame([("C01.234.5",)], "t string")
     labels = spark.createDataFrame([("C01.234", "Infections")], "tree string, label string")
     assert J.hierarchy_labels(tree, F.col("t"), labels).first()["sub_category_name"] == "Infections"
+
+
+def test_ids_that_share_a_name_do_not_compete(spark):
+    names = spark.createDataFrame([(1, "steel nickel copper"), (2, "Steel nickel copper "), (3, "lead zinc tin")], "id long, name string")
+    terms = spark.createDataFrame([("a", "stel nickel copper"), ("b", "lead zink tin"), ("c", "steel nickel copper")], ROWS)
+    got = {r["term_id"]: (r["id"], r["accepted"], r["n_ids"]) for r in R.resolve_typo(terms, names).collect()}
+    assert got == {"a": (1, True, 2), "b": (3, True, 1), "c": (1, True, 2)}
+    told = {r["term_id"]: (r["tier"], r["status"], r["id"]) for r in R.cascade(terms, names).collect()}
+    assert told == {"a": ("typo", "ambiguous", None), "b": ("typo", "resolved", 3), "c": ("exact", "ambiguous", None)}
+
+
+def test_bounds_keep_the_winners(spark, names):
+    draw = random.Random(4)
+    t = spark.createDataFrame([(str(i), edited(n, draw)) for i, n in enumerate(names)], ROWS)
+    close = R.close_texts(t.select(F.lower("term")), frame(spark, names).select("name"), 0.85)
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    for r in close.withColumn("b", R.ratio_bound(F.col("_t"), F.col("_n"))).collect():
+        assert r["b"] >= ratio(r["_t"], r["_n"]) - 1e-12
+    rows = R.scored_texts(close, 0.9, 0.05).collect()
+    assert all(r["score"] == pytest.approx(ratio(r["_t"], r["_n"])) for r in rows) and 0 < len(rows) <= close.count()
+
+
+def test_lexical_candidates_equal_all_pairs(spark, names):
+    n = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(zip(names + names[:9], names[1:] + names[:10], strict=True))], "id long, name string, aliases string")
+    terms = [names[3], names[40] + "s", names[7].split()[0] + " zzz", "berry straw", "zz", ""]
+    t = spark.createDataFrame([(str(i), x) for i, x in enumerate(terms)], ROWS)
+    forms = lambda text: list(dict.fromkeys(f for w in text.split() for f in ([w, w[:-1]] if w.endswith("s") and not w.endswith("ss") else [w])))
+    for k in (1, 4, 25):
+        want = []
+        for i, term in enumerate(terms):
+            asked = [w for w in forms(term) if len(w) >= 3]
+            scored = []
+            for r in n.collect():
+                text = " ".join(f"{r['name']} {r['aliases']}".split())
+                held = sum(w in text for w in asked)
+                if held:
+                    score = 0.55 * len(set(asked) & set(text.split())) / len(asked) + 0.30 * held / len(asked) + 0.15 * difflib.SequenceMatcher(None, term, text).ratio()
+                    scored.append((-round(score, 9), r["name"], r["id"]))
+            want += [(str(i), x[2]) for x in sorted(scored)[:k]]
+        assert sorted((r["term_id"], r["id"]) for r in R.lexical_candidates(t, n, k).collect()) == sorted(want)
+
+
+def plain_cascade(terms, parts):
+    """Tier by tier over all pairs; names here are plain words of single spaces."""
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    key = lambda text: re.sub("[^a-z0-9_]+", " ", text.lower()).strip()
+    by_name, by_alias = {}, {}
+    for i, name, brand in parts:
+        by_name.setdefault(name.lower(), set()).add(i)
+        for alias in (name, *brand.split(",")):
+            by_alias.setdefault(alias.strip().lower(), set()).add(i)
+    sole = lambda tier, ids: (tier, "resolved", min(ids)) if len(ids) == 1 else (tier, "ambiguous", None)
+    texts = {key(f"{n} {b}") for _, n, b in parts}
+    out = {}
+    for term, shaped in terms:
+        low = term.lower()
+        scores = sorted(((ratio(low, n), n) for n in by_name if min(len(n), len(low)) >= 5 and abs(len(n) - len(low)) <= 2), reverse=True)
+        if low in by_name:
+            out[term] = sole("exact", by_name[low])
+        elif scores and scores[0][0] >= 0.9 and round(scores[0][0] - (scores[1][0] if len(scores) > 1 else 0), 9) >= 0.05:
+            out[term] = sole("typo", by_name[scores[0][1]])
+        elif shaped:
+            out[term] = ("scientific", "resolved", None)
+        elif low in by_alias:
+            out[term] = sole("alias", by_alias[low])
+        else:
+            words = [f for w in key(term).split() for f in ([w, w[:-1]] if w.endswith("s") and not w.endswith("ss") else [w]) if len(f) >= 3]
+            out[term] = ("candidates", "ambiguous", None) if any(w in text for w in words for text in texts) else (None, "unresolved", None)
+    return out
+
+
+def test_cascade_over_the_tables(spark):
+    t = queries.Tables(spark, "/root/testdata/sf0.001")
+    shaped = [(r["term"], r["s"]) for r in queries.cascade_terms(t).select("term", F.coalesce(C.looks_scientific(F.col("term")), F.lit(False)).alias("s")).collect()]
+    parts = [tuple(r) for r in t.part.select("p_partkey", "p_name", "p_brand").collect()]
+    got = {r["term"]: (r["tier"], r["status"], r["id"]) for r in queries.QUERIES["resolution_cascade_tiers"](spark, t.folder).collect()}
+    assert got == plain_cascade(shaped, parts)
+    assert {v[0] for v in got.values()} >= {"exact", "typo", "scientific", "alias", "candidates"}
