@@ -82,7 +82,7 @@ def path_join(graph: Graph, terminals: list[str], where: dict[str, Column] | Non
 def overview(graph: Graph, root: str, where: Column) -> DataFrame:
     """The root and every edge downstream of it, one UNION ALL arm per edge type, multiplicity kept.
 
-    A frontier that further edges start from is stored, so no arm repeats the joins of those before it.
+    A frontier that several edges start from is stored, so its arms don't repeat the joins before it.
     Columns: src_type, src_id, rel, dst_type, dst_id; the root's arm has no edge.
     """
     start = _node(graph, root, {root: where}).select(F.col(f"{root}_id").cast("string").alias("id"))
@@ -95,7 +95,7 @@ def overview(graph: Graph, root: str, where: Column) -> DataFrame:
             if s == at:
                 cast = edge.select(F.col("src_id").cast("string").alias("id"), F.col("dst_id").cast("string").alias("to"))
                 hop = front[s].join(cast, "id")
-                hop = stored(hop, "frontier") if any(d == at for at, _ in graph.edges) else hop
+                hop = stored(hop, "frontier") if sum(d == at for at, _ in graph.edges) > 1 else hop
                 out = out.unionByName(hop.select(F.lit(s).alias("src_type"), F.col("id").alias("src_id"), F.lit(rel).alias("rel"), F.lit(d).alias("dst_type"), F.col("to").alias("dst_id")))
                 front[d] = hop.select(F.col("to").alias("id"))
                 todo.append(d)
@@ -122,18 +122,29 @@ def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def bfs_layers(edges: DataFrame, root: DataFrame, max_depth: int) -> DataFrame:
     """Hop distance of each (type, id) from the root over undirected edges; unreached nodes get max + 1.
 
-    At most ``max_depth`` hops, the depth of the schema; each hop joins only the newest layer.
+    At most ``max_depth`` hops, fewer where no node is new. Each hop joins the stored newest layer with the stored edges once and
+    leaves out what is stored as seen, so a plan grows by one scan a hop.
     """
     pairs = edges.select(F.col("src_type").alias("type"), F.col("src_id").alias("id"), F.col("dst_type").alias("t2"), F.col("dst_id").alias("i2"))
-    both = pairs.unionByName(pairs.select(F.col("t2").alias("type"), F.col("i2").alias("id"), F.col("type").alias("t2"), F.col("id").alias("i2"))).distinct()
-    seen, layer = root.select("type", "id", F.lit(0).alias("depth")), root.select("type", "id")
+    both = stored(pairs.unionByName(pairs.select(F.col("t2").alias("type"), F.col("i2").alias("id"), F.col("type").alias("t2"), F.col("id").alias("i2"))).distinct(), "pairs")
+    layer = stored(root.select("type", "id", F.lit(0).alias("depth")).distinct(), "layer")
+    seen = layer
     for depth in range(1, max_depth + 1):
-        layer = layer.join(both, ["type", "id"]).select(F.col("t2").alias("type"), F.col("i2").alias("id")).distinct().join(seen, ["type", "id"], "left_anti")
-        seen = seen.unionByName(layer.withColumn("depth", F.lit(depth)))
+        found = next_layer(layer, both, seen).withColumn("depth", F.lit(depth))
+        layer = stored(found, "layer")
+        if not layer.head(1):
+            break
+        seen = seen.unionByName(layer)
     every = both.select("type", "id").distinct().join(seen, ["type", "id"], "left")
     return every.withColumn("depth", F.coalesce("depth", F.lit(max_depth + 1)))
 
 
+def next_layer(layer: DataFrame, both: DataFrame, seen: DataFrame) -> DataFrame:
+    """The (type, id) one hop from the layer that are not seen yet."""
+    step = layer.join(both, ["type", "id"]).select(F.col("t2").alias("type"), F.col("i2").alias("id")).distinct()
+    return step.join(seen.select("type", "id"), ["type", "id"], "left_anti")
+
+
 def facts(rows: DataFrame, kinds: list[str], measures: list[str] | None = None) -> DataFrame:
     """Result rows as facts: index, ordered path, entities (the last of a type), measurements."""
     ids = [F.col(f"{k}_id").cast("string") for k in kinds]
@@ -158,19 +169,24 @@ def distinct_edges(found: DataFrame) -> DataFrame:
 
 
 def summary(found: DataFrame, measured: str | None = None) -> DataFrame:
-    """Counts of facts, distinct nodes and edges, and both by type (A1).
+    """Counts of facts, distinct nodes and edges, and both by type (A1), from one scan of the facts.
 
     ``measured`` names the node type that measurements belong to; then distinct nodes of it are counted by each measured value.
     """
-    nodes, edges = distinct_nodes(found), distinct_edges(found)
-    count = lambda df, metric: df.groupBy(metric.alias("metric")).agg(F.count("*").alias("n"))
-    out = found.agg(F.count("*").alias("n")).select(F.lit("facts").alias("metric"), "n")
-    out = out.unionByName(nodes.agg(F.count("*").alias("n")).select(F.lit("nodes").alias("metric"), "n")).unionByName(edges.agg(F.count("*").alias("n")).select(F.lit("edges").alias("metric"), "n"))
-    out = out.unionByName(count(nodes, F.concat(F.lit("nodes:"), F.col("type")))).unionByName(count(edges, F.concat(F.lit("edges:"), F.concat_ws(">", "src_type", "dst_type"))))
+    item = lambda kind, of, key: F.struct(F.lit(kind).alias("kind"), of.alias("of"), key.alias("key"))
+    null = F.lit(None).cast("string")
+    ends = lambda i: F.to_json(F.struct(F.col("path")[i]["id"].alias("s"), F.col("path")[i + 1]["id"].alias("d")))
+    types = lambda i: F.concat_ws(">", F.col("path")[i]["type"], F.col("path")[i + 1]["type"])
+    steps = F.when(F.size("path") > 1, F.transform(F.sequence(F.lit(0), F.size("path") - 2), lambda i: item("edges", types(i), ends(i))))
+    parts = [F.array(item("facts", null, null)), F.transform("path", lambda n: item("nodes", n["type"], n["id"])), F.coalesce(steps, F.array().cast("array<struct<kind:string,of:string,key:string>>"))]
     if measured:
-        values = found.select(F.col("entities")[measured].alias("id"), F.explode("measurements").alias("name", "value")).distinct()
-        out = out.unionByName(count(values, F.concat(F.concat_ws(":", F.lit("measured"), "name"), F.lit("="), F.coalesce("value", F.lit("")))))
-    return out
+        parts.append(F.transform(F.map_entries("measurements"), lambda m: item("measured", F.concat(m["key"], F.lit("="), F.coalesce(m["value"], F.lit(""))), F.col("entities")[measured])))
+    rows = found.select(F.explode(F.concat(*parts)).alias("x")).select("x.*").groupBy("kind", "of", "key").agg(F.count("*").alias("times"))
+    sums = rows.groupingSets([["kind", "of"], ["kind"]], "kind", "of").agg(F.count("*").alias("kinds"), F.sum("times").alias("times"), F.grouping("of").alias("whole"))
+    label = F.when(F.col("whole") == 1, F.when(F.col("kind") != "measured", F.col("kind"))).when(F.col("kind") != "facts", F.concat_ws(":", "kind", "of"))
+    told = sums.select(label.alias("metric"), F.when(F.col("kind") == "facts", F.col("times")).otherwise(F.col("kinds")).alias("n")).filter("metric is not null")
+    none = found.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("facts", "nodes", "edges")])).alias("metric"), F.lit(0).cast("long").alias("n"))
+    return told.unionByName(none).groupBy("metric").agg(F.max("n").alias("n"))
 
 
 def fact_line(path: Column, measurements: Column | None = None) -> Column:
@@ -240,13 +256,17 @@ def edge_violations(edges: DataFrame, constants: dict[str, str], prefixes: dict[
 
 
 def type_paths(edges: DataFrame, most: int = 4) -> DataFrame:
-    """(path, hops) of the directed paths of at most ``most`` edges over the types that the edge table joins."""
-    edge = edges.select(F.col("src_type").alias("s"), F.col("dst_type").alias("d")).distinct()
-    out = layer = edge.select(F.array("s", "d").alias("types"), F.lit(1).alias("hops"))
-    for hops in range(2, most + 1):
-        layer = layer.join(edge, F.element_at("types", -1) == F.col("s")).filter(~F.array_contains("types", F.col("d"))).select(F.concat("types", F.array("d")).alias("types"), F.lit(hops).alias("hops"))
-        out = out.unionByName(layer)
-    return out.select(F.array_join("types", ">").alias("path"), "hops")
+    """(path, hops) of the directed paths of at most ``most`` edges over the types that the edge table joins.
+
+    The edge table is read once for its few distinct type pairs; the paths follow from these by recursion.
+    """
+    pairs = stored(edges.select(F.col("src_type").alias("s"), F.col("dst_type").alias("d")).distinct(), "types")
+    return edges.sparkSession.sql(
+        """WITH RECURSIVE walk(types, hops) AS (
+             SELECT array(s, d), 1 FROM {pairs}
+             UNION ALL
+             SELECT concat(types, array(d)), hops + 1 FROM walk JOIN {pairs} ON element_at(types, -1) = s WHERE hops < {most} AND NOT array_contains(types, d))
+           SELECT array_join(types, '>') AS path, hops FROM walk""", pairs=pairs, most=most)
 
 
 # The named questions and the types that they join.
