@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.clean import alias_key, clean, mesh_id, normalize_part, strip_identifiers
+from graphloom.functions.clean import alias_key, clean, clean_id, mesh_id, normalize_part, normalized_text, strip_identifiers
 from graphloom.sources.tables import first_per
 
 
@@ -62,6 +62,39 @@ def latest(df: DataFrame, keys: list[str], year: Column, ties: list[Column]) ->
     return first_per(df, keys, [year.try_cast("int").desc_nulls_last(), *ties])
 
 
+def latest_known(df: DataFrame, keys: list[str], year: Column, ties: list[Column], documents: DataFrame, document: str) -> DataFrame:
+    """``latest`` among the rows whose document is one of the known ones; keys without any are left out.
+
+    ``document`` names the id column on both sides; ids are compared trimmed and in upper case.
+    """
+    known = documents.select(clean_id(F.col(document)).alias("_document")).filter("_document <> ''").distinct()
+    return latest(df.withColumn("_document", clean_id(F.col(document))).join(known, "_document", "left_semi").drop("_document"), keys, year, ties)
+
+
+def accepted_or_input(df: DataFrame, lookup: DataFrame, accepted: str, given: str, key: str, value: str) -> DataFrame:
+    """``value`` looked up by the accepted name, by the input name where that has none, and ``found_by``.
+
+    Names are compared collapsed and in lower case; of repeated keys the least value counts. A blank name finds nothing.
+    """
+    known = lookup.select(normalized_text(F.col(key)).alias("_k"), F.col(value).alias("_v")).filter("_k <> '' and _v is not null").groupBy("_k").agg(F.min("_v").alias("_v"))
+    out = df
+    for side, name in (("accepted", accepted), ("input", given)):
+        one = known.withColumnsRenamed({"_k": f"_{side}_k", "_v": f"_{side}"})
+        out = out.withColumn(f"_{side}_k", normalized_text(F.col(name))).join(one, f"_{side}_k", "left").drop(f"_{side}_k")
+    by = F.when(F.col("_accepted").isNotNull(), "accepted").when(F.col("_input").isNotNull(), "input")
+    return out.withColumn("found_by", by).withColumn(value, F.coalesce("_accepted", "_input")).drop("_accepted", "_input")
+
+
+def edges_of_types(edges: DataFrame, node_types: list[str] | None = None, rels: list[str] | None = None) -> DataFrame:
+    """Edges with an end of one of the node types, and of one of the relation types; None leaves a side open."""
+    keep = F.lit(True)
+    if node_types is not None:
+        keep = F.coalesce(F.col("src_type").isin(node_types), F.lit(False)) | F.coalesce(F.col("dst_type").isin(node_types), F.lit(False))
+    if rels is not None:
+        keep = keep & F.coalesce(F.col("rel").isin(rels), F.lit(False))
+    return edges.filter(keep)
+
+
 def flagged_or_first(df: DataFrame, keys: list[str], flag: Column, order: Column) -> DataFrame:
     """The flagged row of each key, else its first."""
     return first_per(df, keys, [F.coalesce(flag, F.lit(False)).desc(), order])

@@ -290,6 +290,26 @@ def latest_document(t: Tables) -> DataFrame:
     return J.latest(rows, ["o_custkey", "o_orderpriority"], F.col("y").cast("string"), [F.col("o_orderkey")]).select("o_custkey", "o_orderpriority", "o_orderkey", "y")
 
 
+@query("""SELECT l_partkey, o_orderkey, year(o_orderdate)::INT AS y FROM (SELECT l_partkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY l_partkey ORDER BY year(o_orderdate) DESC, o_orderkey) AS k
+FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) WHERE k = 1""")
+def latest_known_document(t: Tables) -> DataFrame:
+    """The newest order of each part among the orders that had something returned."""
+    rows = t.lineitem.select("l_partkey", F.col("l_orderkey").alias("o_orderkey")).distinct().join(t.orders, "o_orderkey").withColumn("y", F.year("o_orderdate"))
+    known = t.lineitem.filter("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("o_orderkey"))
+    return J.latest_known(rows, ["l_partkey"], F.col("y").cast("string"), [F.col("o_orderkey")], known, "o_orderkey").select("l_partkey", "o_orderkey", "y")
+
+
+@query("""WITH k AS (SELECT lower(trim(p_name)) AS k, min(p_partkey) AS v FROM part WHERE p_size > 25 GROUP BY 1 UNION ALL SELECT lower(trim(p_brand)), min(p_partkey) FROM part GROUP BY 1),
+l AS (SELECT k, min(v) AS v FROM k GROUP BY k)
+SELECT p.p_partkey, coalesce(a.v, i.v) AS id, CASE WHEN a.v IS NOT NULL THEN 'accepted' WHEN i.v IS NOT NULL THEN 'input' END AS found_by
+FROM part p LEFT JOIN l a ON a.k = lower(trim(p.p_name)) LEFT JOIN l i ON i.k = lower(trim(CASE WHEN p.p_size < 10 THEN p.p_type ELSE p.p_brand END))""")
+def accepted_names(t: Tables) -> DataFrame:
+    """Parts looked up by their name, else by what they came in as."""
+    lookup = t.part.filter("p_size > 25").select(F.col("p_name").alias("k"), F.col("p_partkey").alias("id")).union(t.part.select("p_brand", "p_partkey"))
+    rows = t.part.select("p_partkey", F.upper(F.concat(F.lit(" "), "p_name")).alias("accepted"), F.when(F.col("p_size") < 10, F.col("p_type")).otherwise(F.col("p_brand")).alias("given"))
+    return J.accepted_or_input(rows, lookup, "accepted", "given", "k", "id").select("p_partkey", "id", "found_by")
+
+
 @query("SELECT l_partkey, string_agg(DISTINCT l_shipmode, '; ' ORDER BY l_shipmode) AS sources FROM (SELECT l_partkey, l_returnflag AS l_shipmode FROM lineitem UNION ALL SELECT l_partkey, l_linestatus FROM lineitem) GROUP BY l_partkey")
 def source_merge(t: Tables) -> DataFrame:
     rows = t.lineitem.select("l_partkey", F.concat_ws("; ", "l_returnflag", "l_linestatus").alias("sources"))
@@ -325,20 +345,20 @@ def _merged(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 def _batch(t: Tables) -> tuple[dict, DataFrame]:
     part = t.part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").alias("k"), "p_name", "p_brand")
-    inc = part.filter("k % 3 <> 1").withColumn("id", F.concat(F.lit("new-"), "id"))
+    inc = part.withColumn("id", F.concat(F.lit("new-"), "id"))
     edge = t.lineitem.select(F.col("l_partkey").cast("string").alias("src_id"), F.col("l_suppkey").cast("string").alias("dst_id")).distinct()
     sup = t.supplier.select(F.col("s_suppkey").cast("string").alias("id"), "s_name")
     store = {"part": part.filter("k % 2 = 0"), "supplier": sup, "sold": edge.filter("cast(src_id as bigint) % 2 = 0")}
-    incoming = {"part": inc, "supplier": sup, "sold": edge.filter("cast(src_id as bigint) % 3 <> 1").withColumn("src_id", F.concat(F.lit("new-"), "src_id"))}
+    incoming = {"part": inc, "supplier": sup, "sold": edge.withColumn("src_id", F.concat(F.lit("new-"), "src_id"))}
     return M.merge_batch(store, incoming, {"part": ("id", F.col("k").cast("string")), "supplier": ("id", F.lower("s_name"))}, {"sold": ("part", "supplier")})
 
 
-@query("SELECT (CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'new-' END) || p_partkey AS id, p_partkey AS k, p_name, p_brand FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 <> 1")
+@query("SELECT (CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'new-' END) || p_partkey AS id, p_partkey AS k, p_name, p_brand FROM part")
 def canonical_merge_nodes(t: Tables) -> DataFrame:
     return _batch(t)[0]["part"]
 
 
-_SOLD = "SELECT DISTINCT (CASE WHEN l_partkey % 2 = 0 THEN '' ELSE 'new-' END) || l_partkey AS src_id, l_suppkey::VARCHAR AS dst_id FROM lineitem WHERE l_partkey % 2 = 0 OR l_partkey % 3 <> 1"
+_SOLD = "SELECT DISTINCT (CASE WHEN l_partkey % 2 = 0 THEN '' ELSE 'new-' END) || l_partkey AS src_id, l_suppkey::VARCHAR AS dst_id FROM lineitem"
 
 
 @query(_SOLD)
@@ -346,9 +366,9 @@ def canonical_merge_edges(t: Tables) -> DataFrame:
     return _batch(t)[0]["sold"]
 
 
-@query(f"""WITH r AS (SELECT 'part' AS table_name, count(*) FILTER (p_partkey % 2 = 0) AS n_before, count(*) FILTER (p_partkey % 3 <> 1) AS n_incoming, count(*) FILTER (p_partkey % 2 = 0 OR p_partkey % 3 <> 1) AS n_after FROM part
+@query(f"""WITH r AS (SELECT 'part' AS table_name, count(*) FILTER (p_partkey % 2 = 0) AS n_before, count(*) AS n_incoming, count(*) AS n_after FROM part
 UNION ALL SELECT 'supplier', count(*), count(*), count(*) FROM supplier
-UNION ALL SELECT 'sold', (SELECT count(*) FROM ({_SOLD}) WHERE src_id NOT LIKE 'new%'), (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 3 <> 1)), (SELECT count(*) FROM ({_SOLD})))
+UNION ALL SELECT 'sold', (SELECT count(*) FROM ({_SOLD}) WHERE src_id NOT LIKE 'new%'), (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)), (SELECT count(*) FROM ({_SOLD})))
 SELECT *, n_after - n_before AS n_added FROM r""")
 def merge_report(t: Tables) -> DataFrame:
     return _batch(t)[1]
@@ -425,14 +445,14 @@ def upsert_nodes(t: Tables) -> DataFrame:
     return S.upsert_nodes(t.supplier.select("s_suppkey", "s_name", "s_nationkey"), src, "s_suppkey")
 
 
-@query("""WITH s AS (SELECT l_orderkey AS src_id, l_suppkey AS dst_id, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber DESC, l_quantity DESC) AS k FROM lineitem WHERE l_linenumber > 1 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)),
+@query("""WITH s AS (SELECT l_orderkey AS src_id, l_suppkey AS dst_id, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber DESC, l_quantity DESC) AS k FROM lineitem WHERE l_linenumber > 1 AND l_returnflag <> 'N'),
 n AS (SELECT src_id, dst_id, q FROM s WHERE k = 1), o AS (SELECT DISTINCT l_orderkey AS src_id, l_suppkey AS dst_id, 0.0::DOUBLE AS q FROM lineitem WHERE l_linenumber <= 2)
 SELECT * FROM n UNION ALL SELECT o.* FROM o ANTI JOIN n USING (src_id, dst_id)""")
 def upsert_edges(t: Tables) -> DataFrame:
-    edge = t.lineitem.select(F.col("l_orderkey").alias("src_id"), F.col("l_suppkey").alias("dst_id"), F.col("l_quantity").alias("q"), "l_linenumber")
+    edge = t.lineitem.select(F.col("l_orderkey").alias("src_id"), F.col("l_suppkey").alias("dst_id"), F.col("l_quantity").alias("q"), "l_linenumber", "l_returnflag")
     target = edge.filter("l_linenumber <= 2").select("src_id", "dst_id", F.lit(0.0).alias("q")).distinct()
-    source = edge.filter("l_linenumber > 1")
-    return S.upsert_edges(target, source, t.orders.select(F.col("o_orderkey").alias("id")), t.supplier.filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id")), F.struct("l_linenumber", "q"))
+    source = edge.filter("l_linenumber > 1").withColumn("dst_id", F.when(F.col("l_returnflag") == "N", -1 - F.col("dst_id")).otherwise(F.col("dst_id")))
+    return S.upsert_edges(target, source.drop("l_returnflag"), t.orders.select(F.col("o_orderkey").alias("id")), t.supplier.select(F.col("s_suppkey").alias("id")), F.struct("l_linenumber", "q"))
 
 
 _DIGESTED = ["l_orderkey", "l_linenumber", "l_partkey", "nullif(l_suppkey, 7) AS l_suppkey", "l_returnflag", "cast(l_quantity AS bigint) AS l_quantity"]
@@ -640,7 +660,7 @@ def scoped_candidates(t: Tables) -> DataFrame:
 @query("SELECT src_type, rel, dst_type, count(*) AS n FROM (SELECT 'nation' AS src_type, 'HAS_CUSTOMER' AS rel, 'customer' AS dst_type FROM customer UNION ALL SELECT 'customer', 'IN_SEGMENT', 'segment' FROM customer) GROUP BY ALL")
 def type_filter(t: Tables) -> DataFrame:
     e = P.edge_table(graph(t), _SMALL)
-    return e.filter(F.col("src_type").isin("customer") | F.col("dst_type").isin("customer")).groupBy("src_type", "rel", "dst_type").agg(F.count("*").alias("n"))
+    return J.edges_of_types(e, ["customer"]).groupBy("src_type", "rel", "dst_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT source, count(*) FILTER (doc_id % 4 <> 0 AND trim(lang) <> '') AS n_explicit, count(DISTINCT lang) FILTER (doc_id % 4 = 0 OR coalesce(trim(lang), '') = '') AS n_audit FROM documents GROUP BY source")
@@ -741,18 +761,18 @@ def unique_nodes(t: Tables) -> DataFrame:
     return S.first_per(t.part, ["p_name"], [F.col("p_partkey")]).select("p_name", "p_partkey")
 
 
-@query("""WITH r AS (SELECT trim(p_name) AS subject, CASE p_size % 3 WHEN 0 THEN 'leaf' ELSE 'root' END AS part, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS o, string_split(p_name, ' ') AS w FROM part WHERE p_size % 3 <> 2 AND (p_partkey % 2 = 0 OR p_partkey % 3 = 0)),
+@query("""WITH r AS (SELECT trim(p_name) AS subject, CASE p_size % 3 WHEN 0 THEN 'leaf' ELSE 'root' END AS part, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS o, string_split(p_name, ' ') AS w FROM part WHERE p_size % 3 <> 2),
 f AS (SELECT min_by(subject, (o, subject)) AS subject, part FROM r GROUP BY lower(subject), part), w AS (SELECT *, list_filter(string_split(subject, ' '), lambda x: regexp_matches(x, '^[A-Za-z]{2}')) AS ws FROM f)
 SELECT coalesce(upper(ws[1][1:2]), 'XX') || '-' || coalesce(upper(ws[2][1:2]), 'XX') || '-' || CASE part WHEN 'leaf' THEN 'LE' ELSE 'RO' END AS part_id, subject, part, 'base' AS source FROM w""")
 def sheet_merge(t: Tables) -> DataFrame:
     """Sheets of names and parts; the id is made anew and an old row stays before a new one."""
     rows = t.part.select("p_partkey", F.col("p_name").alias("subject"), F.when(F.col("p_size") % 3 == 0, "Leaves").when(F.col("p_size") % 3 == 1, "root ").otherwise("elsewhere").alias("part"))
-    return Q.merge_sheet(rows.filter("p_partkey % 2 = 0"), rows.filter("p_partkey % 3 = 0"), "base")
+    return Q.merge_sheet(rows.filter("p_partkey % 2 = 0"), rows, "base")
 
 
-@query("SELECT user_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier) GROUP BY user_id")
 def missing_requests(t: Tables) -> DataFrame:
-    have = t.customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"))
+    have = t.supplier.select(F.col("s_suppkey").alias("user_id"))
     return R.missing_keys(t.events.select("user_id"), have, "user_id").groupBy("user_id").agg(F.count("*").alias("n"))
 
 

@@ -9,7 +9,7 @@ from graphloom.functions import clean as C
 from graphloom.functions import markup as K
 from graphloom.plans import evidence as V
 from graphloom.plans import paths as P
-from graphloom.queries import _FACTS, Tables, _facts, query
+from graphloom.queries import _FACTS, Tables, _facts, graph, query
 from graphloom.sources import tables as S
 from graphloom.streaming import jobs, stateful
 
@@ -77,6 +77,36 @@ def subject_profile(t: Tables) -> DataFrame:
     return V.subject_profile(_facts(t), "nation", "segment", "customer")
 
 
+@query(_FACTS + """ SELECT n_name AS subject, count(*) AS n_facts, count(DISTINCT lower(c_mktsegment)) AS n_parts, count(DISTINCT c_custkey) AS n_uses, min(row_index)::BIGINT AS first_index, true AS known, any_value(n_regionkey)::VARCHAR AS n_regionkey, NULL::VARCHAR AS common_names
+FROM f JOIN nation USING (n_name) GROUP BY n_name""")
+def subject_card(t: Tables) -> DataFrame:
+    """Counts of each subject with its node's attributes."""
+    return V.subject_card(V.subject_profile(_facts(t), "nation", "segment", "customer"), t.nation, "n_name", ["n_regionkey", "common_names"])
+
+
+def _evidence(t: Tables) -> DataFrame:
+    g = graph(t)
+    g.nodes["customer"] = t.customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") > 0, F.floor("c_acctbal")).alias("balance"))
+    rows = P.path_join(g, ["nation", "segment"], limit=None)
+    return V.evidence_facts(rows, g, ["nation", "customer", "segment"], {"customer": ["balance"]})
+
+
+@query("""WITH r AS (SELECT n_name, c_custkey, c_mktsegment, CASE WHEN c_acctbal > 0 THEN floor(c_acctbal)::BIGINT END AS b FROM customer JOIN nation ON c_nationkey = n_nationkey),
+f AS (SELECT row_number() OVER (ORDER BY n_name, c_custkey::VARCHAR, c_mktsegment, b) - 1 AS row_index, * FROM r)
+SELECT row_index::BIGINT AS row_index, 'nation|' || n_name || '|HAS_CUSTOMER|customer|' || c_custkey || ';customer|' || c_custkey || '|IN_SEGMENT|segment|' || c_mktsegment AS relationship_ids, 2 AS n_positional, b::VARCHAR AS balance, n_name || ';' || c_custkey || ';' || c_mktsegment AS node_ids FROM f""")
+def evidence_facts(t: Tables) -> DataFrame:
+    """Facts with relationships, measurements and provenance (G1)."""
+    positional = F.size(F.filter("path.relationships", lambda r: r["positional"]))
+    balance = F.try_element_at("measurements", F.lit(1))["balance"]
+    return _evidence(t).select("row_index", F.array_join("provenance.relationship_ids", ";").alias("relationship_ids"), positional.alias("n_positional"), balance.alias("balance"), F.array_join("provenance.node_ids", ";").alias("node_ids"))
+
+
+@query("SELECT 'HAS_CUSTOMER' AS rel, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'IN_SEGMENT', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def relation_counts(t: Tables) -> DataFrame:
+    """Distinct relationships of each name over the facts (A1)."""
+    return V.relation_counts(_evidence(t))
+
+
 _FACT_TEXT = "'nation=' || n_name || ' > customer=' || c_custkey || ' > segment=' || c_mktsegment"
 
 
@@ -129,9 +159,9 @@ def stream_enrich(t: Tables) -> DataFrame:
     return jobs.run_to_parquet(jobs.enrich_stream(_events(t), static, "user_id", F.col("value") > 20).select("event_id", "c_name"), f"{at}/out", f"{at}/checkpoint")
 
 
-@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)")
 def stream_missing(t: Tables) -> DataFrame:
     """Requests whose key no node has (T4)."""
     at = jobs.work_folder(t.spark)
-    nodes = t.customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"))
+    nodes = t.supplier.select(F.col("s_suppkey").alias("user_id"))
     return jobs.run_to_parquet(jobs.missing_stream(_events(t), nodes, "user_id").select("event_id"), f"{at}/out", f"{at}/checkpoint")
