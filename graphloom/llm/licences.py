@@ -4,7 +4,9 @@ A multinomial logistic regression over sparse word 1- and 2-grams is trained on
 templates below, whole and in cut forms), on notices of no known family and on a bounded sample of
 the corpus's own lines. Its classes are the families, ``unknown`` and ``none``. A family is believed above
 the largest probability that any has on notices of licences which training never saw (``UNSEEN``). A believed family must then be confirmed by a template: at least ``CONFIRM`` of the
-template's word pairs stand in the paragraph. Whatever fails either test is ``unknown``.
+template's word pairs stand in the paragraph. Whatever fails either test is ``unknown``. A confirmed notice that
+also names other families (``NAMED``) is a notice of each of them, one row a family; one that extends a known licence to another
+(``EXTENDED``: a NonCommercial-ShareAlike work, MIT-0) is ``unknown``, whatever template it holds.
 
 A paragraph is a run of lines up to a blank one, its lines joined, so that wrapped notices and comment
 blocks are whole; each of its lines is tried on its own, too. A confirmed line stands for itself; where a
@@ -71,6 +73,20 @@ NAMES = {
     "proprietary": ["Proprietary", "All rights reserved"],
     "unlicense": ["Unlicense", "The Unlicense"],
 }
+# Words and pairs by which a notice names a family beside the one that it is taken for, and such as make another licence of a known one.
+NAMED = {
+    "agpl": ["agpl", "agplv3", "affero general"],
+    "apache-2.0": ["apache license", "apache licence", "apache 2", "apache software"],
+    "bsd": ["bsd license", "bsd licence", "bsd 2", "bsd 3", "license bsd", "or bsd", "bsd or"],
+    "cc0": ["cc0"],
+    "gpl": ["gpl", "gplv2", "gplv3", "gnu general"],
+    "isc": ["isc license", "isc licence", "license isc", "or isc", "isc or"],
+    "lgpl": ["lgpl", "lgplv2", "lgplv3", "lesser general"],
+    "mit": ["mit license", "mit licence", "license mit", "identifier mit", "or mit", "mit or"],
+    "mpl-2.0": ["mpl", "mozilla public"],
+    "unlicense": ["unlicense"],
+}
+EXTENDED = ["nc sa", "nc nd", "noncommercial sharealike", "noncommercial noderivatives", "noncommercial noderivs", "noncommercial no", "noncommercial share", "mit 0"]
 # Further sentences of the families' texts.
 MORE = {
     "gpl": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."],
@@ -195,14 +211,19 @@ class Model:
         return sums.select("key", *kept, logits.alias("logits")).withColumn("best", best).select("key", F.col("best.label").alias("label"), (1 / total).alias("probability"), *kept)
 
     def confirmed(self, rows: DataFrame) -> DataFrame:
-        """``scores`` with the similarity to the family's nearest template and whether both tests are passed."""
+        """``scores`` with the similarity to the family's nearest template, whether both tests are passed, and the ``families`` named."""
         table = _rows(rows.sparkSession, known_texts(), ["family", "template"]).select("family", F.array_distinct(_marks(F.col("template"))).alias("t"))
         templates = table.groupBy("family").agg(F.collect_set("t").alias("templates"))
-        found = self.scores(rows, table.select(F.explode("t").alias("feature")).distinct()).filter("label <> 'none'")
+        told = _rows(rows.sparkSession, [(m,) for ms in [*NAMED.values(), EXTENDED] for m in ms], ["feature"])
+        found = self.scores(rows, table.select(F.explode("t").alias("feature")).unionByName(told).distinct()).filter("label <> 'none'")
         joined = found.join(F.broadcast(templates), found["label"] == templates["family"], "left")
         share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.size(t)))
         rows = joined.withColumn("similarity", F.round(F.coalesce(share, F.lit(0.0)), 4))
-        return rows.withColumn("confirmed", (F.col("similarity") >= CONFIRM) & (F.col("probability") > self.believed))
+        holds = lambda marks: F.arrays_overlap("own", F.array(*[F.lit(m) for m in marks]))
+        rows = rows.withColumn("confirmed", (F.col("similarity") >= CONFIRM) & (F.col("probability") > self.believed) & ~holds(EXTENDED))
+        named = F.array_compact(F.array(*[F.when(holds(marks), F.lit(f)) for f, marks in NAMED.items()]))
+        both = F.concat(F.array("label"), F.array_except(named, F.array("label")))
+        return rows.withColumn("families", F.when(F.col("confirmed"), both).otherwise(F.array(F.lit("unknown"))))
 
 
 def _marks(text: Column) -> Column:
@@ -257,10 +278,10 @@ def units(docs: DataFrame, words: list[str]) -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per licence notice: doc_id, paragraph, first_line, n_lines, family, probability, similarity, confirmed."""
+    """One row per licence notice and family: doc_id, paragraph, first_line, n_lines, family, and the notice's probability, similarity, confirmed."""
     model = train(docs)
     tried = scratch.table(units(docs, model.words), "units")
-    found = scratch.table(model.confirmed(tried).select("key.doc_id", "key.text_hash", "key.paragraph", "key.first_line", "key.n_lines", "label", "probability", "similarity", "confirmed"), "judged")
+    found = scratch.table(model.confirmed(tried).select("key.doc_id", "key.text_hash", "key.paragraph", "key.first_line", "key.n_lines", "families", "probability", "similarity", "confirmed"), "judged")
     whole = Window.partitionBy("doc_id", "text_hash", "paragraph")
     single = F.col("n_lines") == 1
     told = found.withColumn("by_line", F.max(single & F.col("confirmed")).over(whole)).withColumn("by_whole", F.max(~single & F.col("confirmed")).over(whole))
@@ -268,4 +289,4 @@ def scan(docs: DataFrame) -> DataFrame:
     told = told.withColumn("lines", F.max(single).over(whole))
     kept = told.filter(F.when(F.col("by_line"), single & (F.col("confirmed") | ~F.col("by_whole"))).when(F.col("by_whole"), ~single).when(F.col("lines"), single).otherwise(True))
     long = lambda c: F.col(c).cast("long").alias(c)
-    return kept.select("doc_id", long("paragraph"), long("first_line"), long("n_lines"), F.when(F.col("confirmed"), F.col("label")).otherwise("unknown").alias("family"), F.round("probability", 4).alias("probability"), "similarity", "confirmed")
+    return kept.select("doc_id", long("paragraph"), long("first_line"), long("n_lines"), F.explode("families").alias("family"), F.round("probability", 4).alias("probability"), "similarity", "confirmed")

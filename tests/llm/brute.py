@@ -243,8 +243,9 @@ def licence_rows(texts, model):
             return None
         probability = 1 / sum(math.exp(x - logits[best]) for x in logits)
         near = max((len(t & features) / len(t) for f, t in marks if f == model.classes[best]), default=0)
-        sure = near >= licences.CONFIRM and probability > model.believed
-        return model.classes[best] if sure else "unknown", sure
+        sure = near >= licences.CONFIRM and probability > model.believed and not features & set(licences.EXTENDED)
+        others = [f for f, named in licences.NAMED.items() if features & set(named) and f != model.classes[best]]
+        return [model.classes[best], *others] if sure else ["unknown"], sure
 
     out = []
     for doc, text in texts:
@@ -262,6 +263,6 @@ def licence_rows(texts, model):
                 stay = [(block[0][0], len(block), whole)]
             else:
                 stay = single
-            out += [(doc, i, n, v[0]) for i, n, v in stay]
+            out += [(doc, i, n, family) for i, n, v in stay for family in v[0]]
             block = []
     return out
