@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.clean import clean
+from graphloom.sources.tables import stored
 
 HEADER_ROWS = 5  # rows of a table among which its header is sought
 # Keys that hold a JSON-LD object's text, in order of preference.
@@ -107,6 +108,30 @@ def json_values(c: Column, keys: list[str]) -> Column:
     return search(c)
 
 
+def json_members(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """The values of the keys wherever they stand in a JSON text, one row each; lists give their items.
+
+    Columns: those of ``rows`` but the text, ``place`` (where the value stands, to order by; an object's keys stand in order of
+    their names) and ``value`` as JSON. Texts are parsed once and opened level by level, so the work is as deep as the deepest of them
+    and stays in Spark. A text that is null or no JSON has no values.
+    """
+    keep = [c for c in rows.columns if c != text]
+    spark, out = rows.sparkSession, None
+    level = stored(rows.select(*[F.col(f"`{c}`") for c in keep], F.array().cast("array<int>").alias("_place"), F.try_parse_json(text).alias("_node")).filter("_node is not null"), "json")
+    while level.head(1):
+        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("_node").outer()))
+        level = stored(opened.select(*[F.col(f"`{c}`") for c in keep], F.concat("_place", F.array("pos")).alias("_place"), F.col("key").alias("_key"), F.col("value").alias("_node")), "json")
+        hit = level.filter(F.col("_key").isin(keys))
+        is_list = F.startswith(F.schema_of_variant("_node"), F.lit("ARRAY<"))
+        plain = hit.filter(~is_list).select(*[F.col(f"`{c}`") for c in keep], F.col("_place").alias("place"), F.to_json("_node").alias("value"))
+        items = hit.filter(is_list).lateralJoin(spark.tvf.variant_explode(F.col("_node").outer())).select(*[F.col(f"`{c}`") for c in keep], F.concat("_place", F.array("pos")).alias("place"), F.to_json("value").alias("value"))
+        both = plain.unionByName(items)
+        out = both if out is None else out.unionByName(both)
+    if out is None:
+        return rows.select(*[F.col(f"`{c}`") for c in keep], F.array().cast("array<int>").alias("place"), F.lit(None).cast("string").alias("value")).limit(0)
+    return out
+
+
 def taxon(xml: Column) -> Column:
     """taxonomy_id, scientific_name, distinct common names and status of a taxonomy record; broken XML or no id gives status ERROR."""
     record = F.from_xml(xml, "Taxon STRUCT<TaxId: STRING, ScientificName: STRING, OtherNames: STRUCT<CommonName: ARRAY<STRING>>>, _corrupt_record STRING", {"mode": "PERMISSIVE"})

@@ -40,6 +40,14 @@ def json_search(t: Tables) -> DataFrame:
     return t.events.select("event_id", K.json_text(label).alias("label"), found.alias("found")).select("event_id", "label", F.element_at("found", 1).cast("long").alias("k"), (F.size("found") == 2).alias("n_two"))
 
 
+@query("""SELECT event_id, 'b' AS at, props ->> '$.k' AS value FROM events UNION ALL SELECT event_id, 'list', unnest(['1', '"x"']) FROM events WHERE event_type = 'error'""")
+def json_keys(t: Tables) -> DataFrame:
+    """Values of a key at any depth, by variants."""
+    deep = F.concat(F.lit('{"a": [{"b": '), "props", F.lit("}], "), F.when(F.col("event_type") == "error", '"k": [1, "x"]').otherwise('"c": null'), F.lit("}"))
+    found = K.json_members(t.events.select("event_id", deep.alias("text")), "text", ["k"])
+    return found.select("event_id", F.when(F.size("place") > 2, "b").otherwise("list").alias("at"), "value")
+
+
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 11 <> 0 THEN p_partkey::VARCHAR END AS taxonomy_id, CASE WHEN p_partkey % 11 <> 0 THEN p_name END AS scientific_name,
 CASE WHEN p_partkey % 11 <> 0 THEN p_brand || '; ' || p_type END AS common_names, CASE WHEN p_partkey % 11 = 0 THEN 'ERROR' ELSE 'OK' END AS status FROM part""")
 def xml_fields(t: Tables) -> DataFrame:
@@ -165,3 +173,14 @@ def stream_missing(t: Tables) -> DataFrame:
     at = jobs.work_folder(t.spark)
     nodes = t.supplier.select(F.col("s_suppkey").alias("user_id"))
     return jobs.run_to_parquet(jobs.missing_stream(_events(t), nodes, "user_id").select("event_id"), f"{at}/out", f"{at}/checkpoint")
+
+
+@query("""WITH a AS (SELECT event_id, user_id, event_type, ts::TIMESTAMP AS ts FROM events), w AS (SELECT least(max(ts) FILTER (event_type = 'click'), max(ts) FILTER (event_type = 'purchase')) - INTERVAL 1 HOUR AS mark FROM a)
+SELECT r.event_id FROM a r, w WHERE r.event_type = 'click' AND r.ts + INTERVAL 6 HOUR < w.mark
+AND NOT EXISTS (SELECT 1 FROM a c WHERE c.event_type = 'purchase' AND c.user_id = r.user_id AND c.ts >= r.ts AND c.ts <= r.ts + INTERVAL 6 HOUR)""")
+def stream_unserved(t: Tables) -> DataFrame:
+    """Clicks that no purchase of their user follows within six hours, once the streams have moved past them (T4)."""
+    at = jobs.work_folder(t.spark)
+    asked = _events(t).filter("event_type = 'click'").select("event_id", "user_id", "ts")
+    rows = jobs.unserved_stream(asked, _events(t).filter("event_type = 'purchase'").select("user_id", "ts"), "user_id", "ts", "6 hours", "1 hour")
+    return jobs.run_to_parquet(rows, f"{at}/out", f"{at}/checkpoint").select("event_id")

@@ -51,6 +51,18 @@ def missing_stream(requests: DataFrame, nodes: DataFrame, key: str) -> DataFrame
     return requests.join(have, F.col(key) == F.col("_k"), "left").filter("_have is null").drop("_k", "_have")
 
 
+def unserved_stream(requests: DataFrame, arrivals: DataFrame, key: str, time: str, wait: str, delay: str) -> DataFrame:
+    """Requests whose node does not arrive within ``wait`` after them: what is to be ingested (T4).
+
+    Both streams have the key and a time; rows may be late by ``delay``. A request is held until one arrival serves it or the watermark
+    passes the end of its wait, so state is bounded by both spans. An arrival before the request does not count, nor does one without key.
+    """
+    asked = requests.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    came = arrivals.select(F.col(key).alias("_key"), F.col(time).cast("timestamp").alias("_came")).withWatermark("_came", delay)
+    served = (F.col(key) == F.col("_key")) & (F.col("_came") >= F.col(time)) & (F.col("_came") <= F.col(time) + F.expr(f"interval {wait}"))
+    return asked.join(came, served, "leftOuter").filter("_came is null").drop("_key", "_came")
+
+
 def run_to_parquet(rows: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run a stream over all that is there and read what it wrote."""
     query = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
