@@ -116,20 +116,21 @@ def json_members(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
     and stays in Spark. A text that is null or no JSON has no values.
     """
     keep = [c for c in rows.columns if c != text]
+    own = [f"_own{i}" for i in range(len(keep))]  # names that the opened members cannot clash with
     spark, out = rows.sparkSession, None
-    level = stored(rows.select(*[F.col(f"`{c}`") for c in keep], F.array().cast("array<int>").alias("_place"), F.try_parse_json(text).alias("_node")).filter("_node is not null"), "json")
+    given = [F.col(f"`{c}`").alias(name) for c, name in zip(keep, own, strict=True)]
+    members = lambda df: df.lateralJoin(spark.tvf.variant_explode(F.col("_node").outer()))
+    level = stored(rows.select(*given, F.array().cast("array<int>").alias("_place"), F.try_parse_json(F.col(f"`{text}`")).alias("_node")).filter("_node is not null"), "json")
     while level.head(1):
-        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("_node").outer()))
-        level = stored(opened.select(*[F.col(f"`{c}`") for c in keep], F.concat("_place", F.array("pos")).alias("_place"), F.col("key").alias("_key"), F.col("value").alias("_node")), "json")
+        level = stored(members(level).select(*own, F.concat("_place", F.array("pos")).alias("_place"), F.col("key").alias("_key"), F.col("value").alias("_node")), "json")
         hit = level.filter(F.col("_key").isin(keys))
         is_list = F.startswith(F.schema_of_variant("_node"), F.lit("ARRAY<"))
-        plain = hit.filter(~is_list).select(*[F.col(f"`{c}`") for c in keep], F.col("_place").alias("place"), F.to_json("_node").alias("value"))
-        items = hit.filter(is_list).lateralJoin(spark.tvf.variant_explode(F.col("_node").outer())).select(*[F.col(f"`{c}`") for c in keep], F.concat("_place", F.array("pos")).alias("place"), F.to_json("value").alias("value"))
-        both = plain.unionByName(items)
-        out = both if out is None else out.unionByName(both)
+        plain = hit.filter(~is_list).select(*own, F.col("_place").alias("place"), F.to_json("_node").alias("value"))
+        items = members(hit.filter(is_list)).select(*own, F.concat("_place", F.array("pos")).alias("place"), F.to_json("value").alias("value"))
+        out = plain.unionByName(items) if out is None else out.unionByName(plain).unionByName(items)
     if out is None:
-        return rows.select(*[F.col(f"`{c}`") for c in keep], F.array().cast("array<int>").alias("place"), F.lit(None).cast("string").alias("value")).limit(0)
-    return out
+        out = level.select(*own, F.col("_place").alias("place"), F.lit(None).cast("string").alias("value"))
+    return out.toDF(*keep, "place", "value")
 
 
 def taxon(xml: Column) -> Column:

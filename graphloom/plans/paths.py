@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.sources.tables import numbered, stored
+from graphloom.sources.tables import numbered, shared_folder, stored
 
 LIMIT = 5000
 
@@ -20,6 +21,7 @@ class Graph:
     nodes: dict[str, DataFrame]
     edges: dict[tuple[str, str], tuple[str, DataFrame]]
     filters: dict[str, str] = field(default_factory=dict)  # filter name -> node type that it forces into a path (J31)
+    backward: dict[tuple[str, str], DataFrame] = field(default_factory=dict)  # the same edges laid out by dst_id, for joins that come from there
 
 
 def schema_path(graph: Graph, a: str, b: str) -> list[str]:
@@ -69,7 +71,7 @@ def path_join(graph: Graph, terminals: list[str], where: dict[str, Column] | Non
     rows = _node(graph, kinds[0], where)
     for known, new in subtree(graph, kinds):
         forward = (known, new) in graph.edges
-        edge = graph.edges[(known, new) if forward else (new, known)][1]
+        edge = graph.edges[(known, new)][1] if forward else graph.backward.get((new, known), graph.edges[(new, known)][1])
         s, d = ("src_id", "dst_id") if forward else ("dst_id", "src_id")
         edge = edge.select(F.col(s).alias(f"{known}_id"), F.col(d).alias(f"{new}_id"))
         rows = rows.join(edge, f"{known}_id").join(_node(graph, new, where), f"{new}_id")
@@ -79,6 +81,26 @@ def path_join(graph: Graph, terminals: list[str], where: dict[str, Column] | Non
     return rows.orderBy(*ids, *sorted(c for c in rows.columns if c not in ids)).limit(max(1, min(limit, LIMIT)))
 
 
+def stored_graph(graph: Graph, buckets: int = 64) -> Graph:
+    """The graph with its tables in buckets, sorted: nodes by id, edges once by each end.
+
+    A path join over it moves only the rows it has so far; node and edge tables are read where they lie, however often they are
+    joined. The tables are written under the shared folder.
+    """
+    spark, run = next(iter(graph.nodes.values())).sparkSession, uuid.uuid4().hex
+    folder = shared_folder(spark)
+
+    def save(df: DataFrame, key: str, what: str) -> DataFrame:
+        table = f"graph_{run}_{what}"
+        df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", f"{folder}/{table}").saveAsTable(table)
+        return spark.table(table)
+
+    nodes = {kind: save(df, "id", f"node_{i}") for i, (kind, df) in enumerate(graph.nodes.items())}
+    edges = {ends: (rel, save(df, "src_id", f"edge_{i}")) for i, (ends, (rel, df)) in enumerate(graph.edges.items())}
+    back = {ends: save(df, "dst_id", f"back_{i}") for i, (ends, (_, df)) in enumerate(graph.edges.items())}
+    return Graph(nodes, edges, graph.filters, back)
+
+
 def overview(graph: Graph, root: str, where: Column) -> DataFrame:
     """The root and every edge downstream of it, one UNION ALL arm per edge type, multiplicity kept.
 

@@ -104,6 +104,18 @@ def path_reverse(t: Tables) -> DataFrame:
     return P.path_join(graph(t), ["order", "part"], limit=None)
 
 
+@query(f"""
+WITH {_LINE}, {_BOUGHT}
+SELECT s_suppkey AS supplier_id, line.id AS line_id, bought.l_partkey AS part_id, c_custkey AS customer_id, n_name AS nation_id
+FROM supplier JOIN line ON l_suppkey = s_suppkey JOIN bought ON bought.l_partkey = line.l_partkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+WHERE l_returnflag = 'R' AND n_name = 'NATION_19'""")
+def path_stored(t: Tables) -> DataFrame:
+    """Suppliers to nations, against the edges' direction, over tables stored in buckets."""
+    g = P.stored_graph(graph(t), 8)
+    where = {"line": F.col("flag") == "R", "nation": F.col("id") == "NATION_19"}
+    return P.path_join(g, ["supplier", "nation"], where, limit=None).select("supplier_id", "line_id", "part_id", "customer_id", "nation_id")
+
+
 @query(f"""WITH {_BOUGHT}
 SELECT c_custkey AS customer_id, c_mktsegment AS segment_id, p_partkey AS part_id FROM customer JOIN bought ON o_custkey = c_custkey JOIN part ON p_partkey = l_partkey""")
 def path_branching(t: Tables) -> DataFrame:

@@ -83,3 +83,52 @@ def test_lookups(spark):
     edges = spark.createDataFrame([("a", "R", "b"), ("b", "S", "c"), ("c", "R", None)], "src_type string, rel string, dst_type string")
     pick = lambda *a: sorted(r["rel"] + r["src_type"] for r in J.edges_of_types(edges, *a).collect())
     assert pick() == ["Ra", "Rc", "Sb"] and pick(["b"]) == ["Ra", "Sb"] and pick(["b", "c"], ["R"]) == ["Ra", "Rc"] and pick([]) == []
+
+
+def exchanges_over_scans(df, table):
+    """For each scan of a table whose name holds ``table``: how many exchanges stand between it and its join."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*(0123456789)"))
+    out = []
+    for i, line in enumerate(lines):
+        if "FileScan" in line and table in line:
+            at, n = depth(line), 0
+            for above in reversed(lines[:i]):
+                if depth(above) < at:
+                    at = depth(above)
+                    if "Join" in above:
+                        break
+                    n += "Exchange" in above
+            out.append(n)
+    return out
+
+
+def test_paths_over_stored_tables_move_no_edges(spark):
+    t = queries.Tables(spark, DATA)
+    plain, kept = queries.graph(t), {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for ends in (["nation", "supplier"], ["supplier", "nation"]):
+            stored = P.stored_graph(plain, 4)
+            df = P.path_join(stored, ends, limit=None)
+            way = "_edge_" if ends[0] == "nation" else "_back_"
+            scans = exchanges_over_scans(df, way)
+            assert len(scans) >= 3 and set(scans) == {0}, df._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(tuple, df.select("nation_id", "line_id").collect())) == sorted(map(tuple, P.path_join(plain, ends, limit=None).select("nation_id", "line_id").collect()))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_json_members(spark):
+    from graphloom.functions import markup as K
+
+    texts = [(1, '{"b": [{"k": 1.50}, {"x": {"k": [true, "é", {"k": null}]}}], "a": 3, "k": {"z": 1}}'), (2, "no json"), (3, None), (4, "[[[]]]"), (5, '{"k": []}'), (6, '"k"')]
+    df = spark.createDataFrame(texts, "key int, text string").withColumn("place", F.lit("x"))
+    got = K.json_members(df.drop("place"), "text", ["k"])
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (r["key"], r["place"])):
+        found.setdefault(r["key"], []).append(r["value"])
+    assert found == {1: ["1.5", "true", '"é"', '{"k":null}', "null", '{"z":1}']}
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString() and K.json_members(df.drop("place").limit(0), "text", ["k"]).count() == 0
