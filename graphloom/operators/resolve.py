@@ -134,11 +134,24 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
+def overlap_pairs(terms: DataFrame, names: DataFrame, k: int) -> DataFrame:
+    """The pairs of terms and names among which the k of largest token overlap of each term are: term_id, term, _tt, id, name, _nt.
+
+    A name that shares no token but the term's commonest has the least overlap above 0, so k of these in the order of names
+    are enough; names that share another token are found by that one. So a token that most names have pairs a term with k of them, not with all.
+    """
+    n = names.select("id", "name", tokens(F.col("name")).alias("_nt")).withColumn("_w", F.explode("_nt"))
+    held = n.groupBy("_w").agg(F.count("*").alias("_df"))
+    t = terms.select("term_id", "term", tokens(F.col("term")).alias("_tt")).withColumn("_w", F.explode("_tt")).join(held, "_w")
+    t = t.withColumn("_hottest", F.row_number().over(Window.partitionBy("term_id").orderBy(F.desc("_df"), "_w")) == 1).drop("_df")
+    first = n.withColumn("_i", F.row_number().over(Window.partitionBy("_w").orderBy(F.lower("name"), "id"))).filter(F.col("_i") <= k).drop("_i")
+    both = t.filter("not _hottest").join(n, "_w").unionByName(t.filter("_hottest").join(first, "_w"))
+    return both.drop("_w", "_hottest").dropDuplicates(["term_id", "id"])
+
+
 def overlap_candidates(terms: DataFrame, names: DataFrame, k: int) -> DataFrame:
     """The k names of each term with the largest token overlap above 0."""
-    n = names.select("id", "name", tokens(F.col("name")).alias("_nt")).withColumn("_w", F.explode("_nt"))
-    t = terms.withColumn("_tt", tokens(F.col("term"))).withColumn("_w", F.explode("_tt"))
-    pairs = t.join(n, "_w").dropDuplicates(["term_id", "id"]).withColumn("overlap", token_overlap(F.col("_tt"), F.col("_nt")))
+    pairs = overlap_pairs(terms, names, k).withColumn("overlap", token_overlap(F.col("_tt"), F.col("_nt")))
     w = Window.partitionBy("term_id").orderBy(F.desc("overlap"), F.lower("name"), "id")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("term_id", "term", "id", "name", "overlap", "rank")
 

@@ -202,3 +202,21 @@ def test_cascade_over_the_tables(spark):
     got = {r["term"]: (r["tier"], r["status"], r["id"]) for r in queries.QUERIES["resolution_cascade_tiers"](spark, t.folder).collect()}
     assert got == plain_cascade(shaped, parts)
     assert {v[0] for v in got.values()} >= {"exact", "typo", "scientific", "alias", "candidates"}
+
+
+def test_a_common_token_pairs_with_k_names(spark):
+    draw = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(["hot", *(["warm"] if i % 3 else []), *draw.sample(words, draw.randint(0, 2))])) for i in range(400)]
+    n = spark.createDataFrame(rows, "id long, name string")
+    terms = ["hot", "hot warm", "w1 hot", "w3 w4 hot", "warm w7", "none", "hot none"]
+    t = spark.createDataFrame([(str(i), x) for i, x in enumerate(terms)], ROWS)
+    for k in (1, 5, 30):
+        want = []
+        for i, term in enumerate(terms):
+            asked = term.split()
+            scored = sorted((-len(set(asked) & set(name.split())) / len(asked), name, j) for j, name in rows if set(asked) & set(name.split()))
+            want += [(str(i), j) for _, _, j in scored[:k]]
+        assert sorted((r["term_id"], r["id"]) for r in R.overlap_candidates(t, n, k).collect()) == sorted(want)
+    every = sum(1 for x in terms for _, name in rows if set(x.split()) & set(name.split()))
+    assert R.overlap_pairs(t, n, 5).count() < every / 2
