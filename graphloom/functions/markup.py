@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.clean import clean
 from graphloom.sources.tables import stored
 
 HEADER_ROWS = 5  # rows of a table among which its header is sought
+# The most columns and rows that a cell may cover in HTML.
+MOST_COLS, MOST_ROWS = 1000, 65534
 # Keys that hold a JSON-LD object's text, in order of preference.
 VALUE_KEYS = ("@value", "value")
 LABEL_KEYS = ("prefLabel", "preferredTerm", "label", "name")
@@ -28,13 +30,74 @@ def cell_text(html: Column) -> Column:
     return clean(out)
 
 
-def html_grids(html: Column) -> Column:
-    """Tables of a page as arrays of rows of cell texts; rows without cells are left out."""
-    page = F.regexp_replace(F.coalesce(html, F.lit("")), "(?is)<!--.*?-->|<(script|style)\\b.*?</\\1>", " ")
-    tables = F.regexp_extract_all(page, F.lit("(?is)<table\\b[^>]*>(.*?)</table>"), F.lit(1))
-    rows = lambda t: F.regexp_extract_all(t, F.lit("(?is)<tr\\b[^>]*>(.*?)(?=<tr\\b|</tr>|\\z)"), F.lit(1))
-    cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit("(?is)<t[hd]\\b[^>]*>(.*?)(?=<t[hd]\\b|</t[hd]>|\\z)"), F.lit(1)), cell_text)
-    return F.transform(tables, lambda t: F.filter(F.transform(rows(t), cells), lambda r: F.size(r) > 0))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _cells(row: Column) -> Column:
+    """Cells of a row's HTML as (text, cols, rows): how many columns and rows each covers."""
+    found = F.regexp_extract_all(row, F.lit("(?is)<t[hd]\\b[^>]*>.*?(?=<t[hd]\\b|</t[hd]>|\\z)"), F.lit(0))
+    given = lambda c, name: F.regexp_extract(c, f"(?is)^<[^>]*?\\s{name}\\s*=\\s*[\"']?\\s*(\\d{{1,9}})", 1).try_cast("int")
+    cols, rows = lambda c: F.coalesce(given(c, "colspan"), F.lit(1)), lambda c: F.coalesce(given(c, "rowspan"), F.lit(1))
+    return F.transform(found, lambda c: F.struct(
+        cell_text(F.regexp_replace(c, "(?is)^<[^>]*>", "")).alias("text"),
+        F.greatest(F.lit(1), F.least(F.lit(MOST_COLS), cols(c))).alias("cols"),
+        F.when(rows(c) == 0, MOST_ROWS).otherwise(F.least(F.lit(MOST_ROWS), rows(c))).alias("rows"),
+    ))
+
+
+def _spread(rows: Column) -> Column:
+    """Rows of cells as rows of texts: a cell stands in each column and row that it covers, others take the next free columns."""
+
+    def laid(state: Column, cells: Column) -> Column:
+        hung = state["hung"]  # by column: the text of the last row's cell and how many rows it still covers
+        end = F.coalesce(F.array_max(F.transform(hung, lambda h, i: F.when(h["left"] > 0, i + 1))), F.lit(0))
+        own = F.flatten(F.transform(cells, lambda c: F.array_repeat(F.struct(c["text"].alias("text"), c["rows"].alias("left")), c["cols"])))
+        upto = lambda n: F.slice(F.sequence(F.lit(0), n), F.lit(1), n)
+        taken = lambda i: F.coalesce(F.get(hung, i)["left"], F.lit(0)) > 0
+        width = lambda own, free: F.greatest(end, F.coalesce(F.get(free, F.size(own) - 1) + 1, F.lit(0)))
+        cell = lambda own, free, i: F.when(taken(i), F.get(hung, i)).otherwise(F.get(own, (F.array_position(free, i) - 1).cast("int")))
+        after = lambda line: F.struct(
+            F.transform(line, lambda c: F.struct(c["text"].alias("text"), (F.coalesce(c["left"], F.lit(0)) - 1).alias("left"))).alias("hung"),
+            F.when(F.size(line) > 0, F.concat(state["grid"], F.array(F.transform(line, lambda c: c["text"])))).otherwise(state["grid"]).alias("grid"),
+        )
+        line = lambda own, free: F.transform(upto(width(own, free)), lambda i: cell(own, free, i))
+        return _let(own, lambda o: _let(F.filter(upto(F.size(hung) + F.size(o)), lambda i: ~taken(i)), lambda f: _let(line(o, f), after)))
+
+    zero = F.struct(F.array().cast("array<struct<text: string, left: int>>").alias("hung"), F.array().cast("array<array<string>>").alias("grid"))
+    return F.aggregate(rows, zero, laid, lambda s: s["grid"])
+
+
+def html_grids(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, table_no, grid): the tables of pages in the order of their opening tags, as rows of cell texts.
+
+    Tags nest as they stand: a table inside a cell is a table of its own and leaves that cell's text; one without an end goes to the end
+    of its page, an end without a start counts for nothing. A cell over several columns or rows has its text in each of them (a
+    rowspan of 0 goes to the last row, spans end at the bounds of the HTML standard). Cells outside a row, rows outside a table and
+    rows without cells are left out; tables in comments and scripts are none. Pages without a table, empty or null, give no rows; each of
+    several pages with one key gives its own. A page is cut at its tags and they are put in order by windows over one page.
+    """
+    page = F.regexp_replace(F.col(f"`{html}`"), "(?is)<!--.*?-->|<(script|style)\\b.*?</\\1>", " ")
+    cut = pages.select(F.col(f"`{key}`").alias("key"), page.alias("page")).filter(F.rlike("page", F.lit("(?i)<table\\b")))
+    # stored, so that a page keeps its number when tasks are run again
+    cut = stored(cut.select("key", F.monotonically_increasing_id().alias("page_no"), F.split("page", "(?i)(?=</?(?:table|tr)\\b)").alias("parts")), "pages")
+    parts = cut.select("key", "page_no", F.posexplode("parts").alias("at", "part")).withColumn("tag", F.lower(F.regexp_extract("part", "(?i)^<(/?(?:table|tr))\\b", 1)))
+    is_tag = lambda *tags: F.col("tag").isin(*tags)
+    upto = lambda *of: Window.partitionBy("page_no", *of).orderBy("at")
+    depth = F.sum(F.when(is_tag("table"), 1).when(is_tag("/table"), -1).otherwise(0)).over(upto())
+    nested = parts.withColumns({"depth": depth, "table_no": F.count(F.when(is_tag("table"), 1)).over(upto()) - 1})
+    nested = nested.withColumn("depth", F.col("depth") - F.least(F.lit(0), F.min("depth").over(upto()))).filter("depth > 0")
+    # at a depth, the table opened last there is the one that is open
+    placed = nested.withColumn("table_no", F.last(F.when(is_tag("table"), F.col("table_no")), True).over(upto("depth")))
+    row = F.last(F.when(is_tag("tr"), F.col("at")).when(is_tag("table", "/tr"), -1), True).over(upto("table_no"))
+    text = F.when(F.col("tag") == "", F.col("part")).otherwise(F.regexp_replace("part", "(?is)^<[^>]*>", " "))
+    held = placed.select("key", "page_no", "table_no", "at", row.alias("row"), text.alias("text")).filter("row >= 0")
+    in_order = lambda by, value: F.transform(F.array_sort(F.collect_list(F.struct(by, value))), lambda x: x[value])
+    rows = held.groupBy("key", "page_no", "table_no", "row").agg(F.array_join(in_order("at", "text"), "").alias("text"))
+    rows = rows.select("key", "page_no", "table_no", "row", _cells(F.col("text")).alias("cells"))
+    grids = rows.groupBy("key", "page_no", "table_no").agg(_spread(in_order("row", "cells")).alias("grid")).filter(F.size("grid") > 0)
+    return grids.select(F.col("key").alias(key), "table_no", "grid")
 
 
 def html_rows(pages: DataFrame, key: str, html: str, required: str, columns: dict[str, list[str]]) -> DataFrame:
@@ -42,10 +105,10 @@ def html_rows(pages: DataFrame, key: str, html: str, required: str, columns: dic
 
     ``columns`` gives each output column its accepted header texts; the header is the first of a
     table's first rows with the required one. Gives the key, table_no, row_no and the columns; a
-    column that a table lacks, and a cell that a row lacks, is null. Whole pages are read.
+    column that a table lacks, and a cell that a row lacks, is null. Whole pages are read, tables as ``html_grids`` gives them.
     """
     place = lambda row, names: F.coalesce(F.array_min(F.filter(F.array(*[F.array_position(F.transform(row, F.lower), n.lower()) for n in names]), lambda p: p > 0)), F.lit(0))
-    grids = pages.select(F.col(key), F.posexplode(html_grids(F.col(html))).alias("table_no", "_grid"))
+    grids = html_grids(pages, key, html).withColumnRenamed("grid", "_grid")
     tops = F.transform(F.slice("_grid", 1, HEADER_ROWS), lambda r, i: F.struct((i + 1).alias("at"), *[place(r, names).alias(c) for c, names in columns.items()]))
     head = F.try_element_at(F.filter(tops, lambda t: t[required] > 0), F.lit(1))
     found = grids.withColumn("_head", head).filter("_head is not null")

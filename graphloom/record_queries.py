@@ -25,6 +25,19 @@ def html_rows(t: Tables) -> DataFrame:
     return K.html_rows(pages, "page", "html", "part", {"part": ["Part", "Part no"], "state": ["state"], "missing": ["weight"]}).drop("table_no")
 
 
+@query("""SELECT l_orderkey AS page, 0 AS table_no, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity)::INT - 1 AS row_no, l_partkey::VARCHAR AS part, min(l_returnflag) OVER (PARTITION BY l_orderkey) AS flag FROM lineitem
+UNION ALL SELECT l_orderkey, 1, 0, count(*)::VARCHAR, NULL FROM lineitem GROUP BY l_orderkey""")
+def html_spans(t: Tables) -> DataFrame:
+    """Every order as a page whose first cell hangs over all lines and holds a table of its own."""
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("rows"), F.min("l_returnflag").alias("flag"))
+    n = F.size("rows").cast("string")
+    inner = F.concat(F.lit("<table><tr><th>Part</th></tr><tr><td>"), n, F.lit("</table>"))
+    hung = F.concat(F.lit("<td ROWSPAN='"), n, F.lit("'>"), "flag", inner, F.lit("</td>"))
+    rows = F.transform("rows", lambda r, i: F.concat(F.lit("<tr>"), F.when(i == 0, hung).otherwise(""), F.lit("<td>"), r["l_partkey"].cast("string")))
+    page = F.concat(F.lit("<p><table><tr><th>Flag<th>Part</tr>"), F.array_join(rows, "</tr>"), F.lit("</tr></table></p>"))
+    return K.html_rows(lines.select(F.col("l_orderkey").alias("page"), page.alias("html")), "page", "html", "part", {"part": ["part"], "flag": ["flag"]})
+
+
 @query("""SELECT url, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS url FROM pages) GROUP BY url""")
 def html_links(t: Tables) -> DataFrame:
     return t.pages.select(F.explode(K.html_links(F.col("html"))).alias("url")).groupBy("url").agg(F.count("*").alias("n"))

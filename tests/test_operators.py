@@ -117,6 +117,29 @@ def test_html_rows(spark):
     assert [tuple(r) for r in got] == [(1, 1, 0, "leaf & stem", "A"), (1, 1, 1, None, "B")]
 
 
+def test_html_grids(spark):
+    pages = [
+        (1, "<table><tr><td>a<table><tr><td>in<td>ner</td></tr></table>b</td><td>c</td></tr><tr><td>d</td></tr></table>"),  # an inner table
+        (2, "<table><tr><th rowspan=2>A<th colspan='2'>B</tr><tr><td>c<td>d</tr><tr><td>e</tr></table>"),  # spans
+        (3, "</table><TABLE class=x><tr><td>unclosed<tr><td>next"),  # an end without a start, a table without an end
+        (4, "<table><td>no row</td></table><tr><td>no table</td></tr>"), (5, None), (6, ""), (7, "<p>no table"),
+        (8, "<table><tr><td rowspan=0>z<td>1</tr><tr></tr><tr><td>2<td>3</tr></table>"),  # to the last row, also over one without cells of its own
+        (9, "<table><tr><td rowspan=2>x<td>1</tr><tr><td colspan=0>2<td colspan=9999999999>w</tr></table>"), (9, "<table><tr><td>twin</table>"), (9, "<table><tr><td>twin</table>"),
+        (10, "<table><tr><td>o<table><tr><td>p<table><tr><td>q</table>r</table>s</table><table><tr><td>t</table>"),  # three deep, then one beside it
+        (11, "<table><tr><td>a<td rowspan=2>b<td>c</tr><tr><td>d<td>e</tr></table>"),  # a hanging cell between others
+    ]
+    got = {}
+    for r in K.html_grids(spark.createDataFrame(pages, "id long, html string"), "id", "html").collect():
+        got.setdefault(r["id"], []).append((r["table_no"], r["grid"]))
+    assert sorted(got.pop(9), key=lambda x: len(x[1])) == [(0, [["twin"]]), (0, [["twin"]]), (0, [["x", "1"], ["x", "2", *["w"] * 1000]])]
+    assert {k: sorted(v) for k, v in got.items()} == {
+        1: [(0, [["a b", "c"], ["d"]]), (1, [["in", "ner"]])], 2: [(0, [["A", "B", "B"], ["A", "c", "d"], ["e"]])], 3: [(0, [["unclosed"], ["next"]])],
+        8: [(0, [["z", "1"], ["z"], ["z", "2", "3"]])], 10: [(0, [["o s"]]), (1, [["p r"]]), (2, [["q"]]), (3, [["t"]])], 11: [(0, [["a", "b", "c"], ["d", "b", "e"]])],
+    }
+    deep = spark.range(1).select("id", F.concat(F.lit("<table>"), F.repeat(F.lit("<tr><td>cell</td><td>cell</td></tr>"), F.lit(5000))).alias("html"))
+    assert K.html_grids(deep, "id", "html").select(F.size("grid")).collect() == [(5000,)]
+
+
 def test_json_values(spark):
     rows = [('{"@value": " a  b "}', "a b"), ('[{"label": ""}, "x", {"name": ["x", "y"]}, null]', "x; x; y"), ("plain {text}", "plain {text}"), ("{broken", "{broken"), (None, ""), ('"[1, 2]"', "1; 2"), ("7", "7")]
     got = spark.createDataFrame(rows, "t string, want string").select("want", K.json_text(F.col("t")).alias("got")).collect()
