@@ -7,7 +7,8 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,27 +94,76 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column], last: bool =
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def publish(spark: SparkSession, store: str, tables: dict[str, DataFrame], violations: DataFrame | None = None) -> str:
+def publish(spark: SparkSession, store: str, tables: dict[str, DataFrame], violations: DataFrame | None = None, base: str | None = None) -> str:
     """Write a new version of all tables, then a pointer to it; the newest pointer counts, nothing is written if there are violations.
 
-    Earlier versions stay as snapshots.
+    ``base`` is the version that the tables were made from (by default the current one as publishing starts, none for a new store). A
+    version has one successor: where another writer has published on the same base meanwhile, this one fails, its version stays
+    without a pointer and no merge is lost; read the store again and repeat. Rows are counted as they are written, for
+    ``history``. Earlier versions stay as snapshots. The pointer is set by a rename that fails where the name is taken, as
+    file systems with atomic renames have it.
     """
     if violations is not None and (bad := violations.head(5)):
         raise ValueError(f"not published: {bad}")
-    version = datetime.datetime.now(datetime.UTC).strftime("%Y%m%dT%H%M%S%fZ")
-    write_tables(tables, f"{store}/{version}")
-    pointer = spark.range(1).select(F.lit(json.dumps({"version": version, "tables": sorted(tables)})).alias("value"))
-    # pointers are added, never replaced: a crash leaves the one before
-    pointer.coalesce(1).write.mode("append").text(f"{store}/_current")
+    base = base or current_version(spark, store)
+    version = datetime.datetime.now(datetime.UTC).strftime("%Y%m%dT%H%M%S%fZ") + uuid.uuid4().hex[:4]
+    version = version if base is None or version > base else f"{base}~"  # a clock that is behind
+    rows = {}
+    for name, df in tables.items():
+        seen = Observation()
+        df.observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(f"{store}/{version}/{name}")
+        rows[name] = seen.get["n"]
+    told = json.dumps({"version": version, "base": base, "tables": sorted(tables), "rows": rows})
+    _set_once(spark, f"{store}/_current", f"after-{base or 'nothing'}.json", told)
     return version
 
 
-def current(spark: SparkSession, store: str) -> dict[str, DataFrame]:
-    """The tables of the version that the pointer names."""
-    if not _exists(spark, f"{store}/_current"):
+def _set_once(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """A file of this text under a name that nothing has yet; an error where something has."""
+    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    goal, draft = fs.Path(f"{folder}/{name}"), fs.Path(f"{folder}/_draft-{uuid.uuid4().hex}")
+    out = draft.getFileSystem(conf).create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files = fs.FileContext.getFileContext(draft.getFileSystem(conf).getUri(), conf)
+    try:
+        files.rename(draft, goal, spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as error:
+        files.delete(draft, False)
+        if not files.util().exists(goal):
+            raise
+        raise ValueError(f"not published: another version follows already ({name})") from error
+
+
+def _pointers(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.schema("version string, base string, tables array<string>, rows map<string, bigint>").json(f"{store}/_current")
+
+
+def current_version(spark: SparkSession, store: str) -> str | None:
+    """The newest version of a store; None where nothing has been published."""
+    return _pointers(spark, store).agg(F.max("version")).first()[0] if _exists(spark, f"{store}/_current") else None
+
+
+def current(spark: SparkSession, store: str, version: str | None = None) -> dict[str, DataFrame]:
+    """The tables of a version, by default of the newest; none where nothing has been published."""
+    version = version or current_version(spark, store)
+    if version is None:
         return {}
-    told = json.loads(spark.read.text(f"{store}/_current").agg(F.max("value")).first()[0])
-    return {t: spark.read.parquet(f"{store}/{told['version']}/{t}") for t in told["tables"]}
+    told = _pointers(spark, store).filter(F.col("version") == version).first()
+    if told is None:
+        raise ValueError(f"no version {version}")
+    return {t: spark.read.parquet(f"{store}/{version}/{t}") for t in told["tables"]}
+
+
+def history(spark: SparkSession, store: str) -> DataFrame:
+    """(version, base, table_name, n_before, n_after, n_added) of each table of each version, from the counts of the writes.
+
+    A table that the base lacks starts from 0.
+    """
+    counts = _pointers(spark, store).select("version", "base", F.explode("rows").alias("table_name", "n_after"))
+    before = counts.select(F.col("version").alias("base"), "table_name", F.col("n_after").alias("n_before"))
+    both = counts.join(before, ["base", "table_name"], "left").withColumn("n_before", F.coalesce("n_before", F.lit(0)))
+    return both.select("version", "base", "table_name", "n_before", "n_after", (F.col("n_after") - F.col("n_before")).alias("n_added"))
 
 
 def upsert_nodes(target: DataFrame, source: DataFrame, key: str, order: Column | None = None) -> DataFrame:

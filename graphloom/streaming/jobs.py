@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from graphloom.operators.measurements import merge_batch
-from graphloom.sources.tables import current, publish, shared_folder
+from graphloom.sources.tables import current, current_version, publish, shared_folder
 
 
 def stream_of(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -23,14 +23,15 @@ def merge_stream(batches: DataFrame, store: str, checkpoint: str, split: Callabl
 
     ``split`` makes the incoming tables of a batch. A batch merges into the current version of the store, whoever wrote it, and
     publishes the next one, so a new checkpoint starts from all that is there and a batch that runs again adds nothing.
-    Each version is whole; ``stateful.canonical_stream`` appends instead.
+    Where another writer has published meanwhile the batch fails and merges into that version when the query runs again. Each version is whole; ``stateful.canonical_stream`` appends instead.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark, incoming = batch.sparkSession, split(batch)
-        have = current(spark, store)
+        base = current_version(spark, store)
+        have = current(spark, store, base) if base else {}
         out, report = merge_batch({name: have.get(name, df.limit(0)) for name, df in incoming.items()}, incoming, specs, edges)
-        publish(spark, store, {**out, "report": report})
+        publish(spark, store, {**out, "report": report}, base=base)
 
     return batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -41,6 +41,24 @@ def test_publish_again(spark, tmp_path):
     assert len([p for p in (tmp_path / "store").iterdir() if p.name.startswith("2")]) == 2
 
 
+def test_publish_beside_another(spark, tmp_path):
+    store = str(tmp_path / "store")
+    assert S.current(spark, store) == {} and S.current_version(spark, store) is None
+    one = S.publish(spark, store, {"t": spark.range(2)})
+    two = S.publish(spark, store, {"t": spark.range(5), "u": spark.range(1)}, base=one)
+    with pytest.raises(ValueError, match="another version follows"):
+        S.publish(spark, store, {"t": spark.range(9)}, base=one)
+    assert S.current_version(spark, store) == two and S.current(spark, store)["t"].count() == 5 and S.current(spark, store, one)["t"].count() == 2
+    with pytest.raises(ValueError, match="no version"):
+        S.current(spark, store, "never")
+    three = S.publish(spark, store, {"t": spark.range(4)}, base=two)
+    rows = sorted(tuple(r) for r in S.history(spark, store).select("version", "table_name", "n_before", "n_after", "n_added").collect())
+    assert rows == [(one, "t", 0, 2, 2), (two, "t", 2, 5, 3), (two, "u", 0, 1, 1), (three, "t", 5, 4, -1)]
+    S.publish(spark, str(tmp_path / "empty"), {"none": spark.createDataFrame([], "a string"), "no": spark.range(3).filter("false"), "cut": spark.range(3).limit(0)})
+    assert [r["n_after"] for r in S.history(spark, str(tmp_path / "empty")).collect()] == [0, 0, 0]
+    assert [p.name for p in (tmp_path / "store" / "_current").iterdir() if p.name.startswith("_draft")] == []
+
+
 def test_scalars(spark):
     one = lambda c, *values: spark.createDataFrame([values], [f"c{i}" for i in range(len(values))]).select(c).first()[0]
     assert one(C.strip_identifiers(F.col("c0")), "Fever , MESH:D005334 | UMLS:C0015967") == "Fever"
