@@ -38,17 +38,21 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def _cells(row: Column) -> Column:
     """Cells of a row's HTML as (text, cols, rows): how many columns and rows each covers."""
     found = F.regexp_extract_all(row, F.lit("(?is)<t[hd]\\b[^>]*>.*?(?=<t[hd]\\b|</t[hd]>|\\z)"), F.lit(0))
-    given = lambda c, name: F.regexp_extract(c, f"(?is)^<[^>]*?\\s{name}\\s*=\\s*[\"']?\\s*(\\d{{1,9}})", 1).try_cast("int")
-    cols, rows = lambda c: F.coalesce(given(c, "colspan"), F.lit(1)), lambda c: F.coalesce(given(c, "rowspan"), F.lit(1))
-    return F.transform(found, lambda c: F.struct(
-        cell_text(F.regexp_replace(c, "(?is)^<[^>]*>", "")).alias("text"),
-        F.greatest(F.lit(1), F.least(F.lit(MOST_COLS), cols(c))).alias("cols"),
-        F.when(rows(c) == 0, MOST_ROWS).otherwise(F.least(F.lit(MOST_ROWS), rows(c))).alias("rows"),
-    ))
+    given = lambda tag, name: F.coalesce(F.regexp_extract(tag, f"(?is)\\s{name}\\s*=\\s*[\"']?\\s*(\\d{{1,9}})", 1).try_cast("int"), F.lit(1))
+    spans = lambda tag, span: F.when(F.contains(F.lower(tag), F.lit("span")), span).otherwise(1)
+    rows = lambda n: F.when(n == 0, MOST_ROWS).otherwise(F.least(F.lit(MOST_ROWS), n))
+    return F.transform(found, lambda c: _let(F.regexp_extract(c, "^<[^>]*>", 0), lambda tag: F.struct(
+        cell_text(F.substr(c, F.length(tag) + 1)).alias("text"),
+        spans(tag, F.greatest(F.lit(1), F.least(F.lit(MOST_COLS), given(tag, "colspan")))).alias("cols"),
+        spans(tag, _let(given(tag, "rowspan"), rows)).alias("rows"),
+    )))
 
 
 def _spread(rows: Column) -> Column:
-    """Rows of cells as rows of texts: a cell stands in each column and row that it covers, others take the next free columns."""
+    """Rows of cells as rows of texts: a cell stands in each column and row that it covers, others take the next free columns.
+
+    Where each cell covers one place nothing moves, and the rows are taken as they are.
+    """
 
     def laid(state: Column, cells: Column) -> Column:
         hung = state["hung"]  # by column: the text of the last row's cell and how many rows it still covers
@@ -66,7 +70,9 @@ def _spread(rows: Column) -> Column:
         return _let(own, lambda o: _let(F.filter(upto(F.size(hung) + F.size(o)), lambda i: ~taken(i)), lambda f: _let(line(o, f), after)))
 
     zero = F.struct(F.array().cast("array<struct<text: string, left: int>>").alias("hung"), F.array().cast("array<array<string>>").alias("grid"))
-    return F.aggregate(rows, zero, laid, lambda s: s["grid"])
+    spread = F.aggregate(rows, zero, laid, lambda s: s["grid"])
+    plain = F.filter(F.transform(rows, lambda cells: F.transform(cells, lambda c: c["text"])), lambda r: F.size(r) > 0)
+    return F.when(F.exists(rows, lambda cells: F.exists(cells, lambda c: (c["cols"] > 1) | (c["rows"] > 1))), spread).otherwise(plain)
 
 
 def html_grids(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -96,7 +102,9 @@ def html_grids(pages: DataFrame, key: str, html: str) -> DataFrame:
     in_order = lambda by, value: F.transform(F.array_sort(F.collect_list(F.struct(by, value))), lambda x: x[value])
     rows = held.groupBy("key", "page_no", "table_no", "row").agg(F.array_join(in_order("at", "text"), "").alias("text"))
     rows = rows.select("key", "page_no", "table_no", "row", _cells(F.col("text")).alias("cells"))
-    grids = rows.groupBy("key", "page_no", "table_no").agg(_spread(in_order("row", "cells")).alias("grid")).filter(F.size("grid") > 0)
+    grids = rows.groupBy("key", "page_no", "table_no").agg(in_order("row", "cells").alias("rows"))
+    # exploded, as a filter on the grid would be pushed down and make it twice
+    grids = grids.select("key", "table_no", F.explode(F.filter(F.array(_spread(F.col("rows"))), lambda g: F.size(g) > 0)).alias("grid"))
     return grids.select(F.col("key").alias(key), "table_no", "grid")
 
 
@@ -111,7 +119,7 @@ def html_rows(pages: DataFrame, key: str, html: str, required: str, columns: dic
     grids = html_grids(pages, key, html).withColumnRenamed("grid", "_grid")
     tops = F.transform(F.slice("_grid", 1, HEADER_ROWS), lambda r, i: F.struct((i + 1).alias("at"), *[place(r, names).alias(c) for c, names in columns.items()]))
     head = F.try_element_at(F.filter(tops, lambda t: t[required] > 0), F.lit(1))
-    found = grids.withColumn("_head", head).filter("_head is not null")
+    found = grids.select(key, "table_no", "_grid", F.explode(F.filter(F.array(head), lambda h: h.isNotNull())).alias("_head"))
     below = found.select(key, "table_no", "_head", F.posexplode(F.slice("_grid", F.col("_head.at") + 1, F.size("_grid"))).alias("row_no", "_row"))
     cell = lambda c: F.when(F.col(f"_head.{c}") > 0, F.try_element_at("_row", F.col(f"_head.{c}").cast("int")))
     return below.select(key, "table_no", "row_no", *[cell(c).alias(c) for c in columns])
