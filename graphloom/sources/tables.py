@@ -231,6 +231,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by their keys over as many tasks as a shuffle has, however small they are on disk.
+
+    A grouping by these keys or more then needs no further shuffle: it holds one such part at a time, not all rows of a large file's scan, and
+    rows that compress well are not brought together in few tasks. Rows that work hard on each row get all cores this way.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """The rows with their 0-based position under an order.
 
