@@ -63,10 +63,15 @@ def resolve_contains(terms: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def resolve_alias(terms: DataFrame, names: DataFrame) -> DataFrame:
-    """Matches of the name or of one of its aliases."""
+    """Matches of the name or of one of its aliases, each once.
+
+    A term has one key, so distinct terms and distinct keys of names make no row twice.
+    """
     parts = F.array_union(F.array("name"), F.coalesce(F.split("aliases", ","), F.array().cast("array<string>")))
-    n = names.select("id", "name", F.explode(parts).alias("_a")).select("id", "name", F.lower(F.trim("_a")).alias("_k")).filter("_k <> ''").distinct()
-    return terms.withColumn("_k", F.lower(F.trim("term"))).join(n, "_k").select("term_id", "term", "id", "name").distinct()
+    keys = F.array_distinct(F.transform(parts, lambda a: F.lower(F.trim(a))))
+    n = spread(names, "id").select("id", "name", F.explode(keys).alias("_k")).filter("_k <> ''").distinct()
+    t = terms.select("term_id", "term", F.lower(F.trim("term")).alias("_k")).distinct()
+    return n.join(t.hint("merge"), "_k").select("term_id", "term", "id", "name")
 
 
 def best_with_margin(scored: DataFrame, accept: float, margin: float, strict: bool = False) -> DataFrame:

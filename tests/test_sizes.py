@@ -25,3 +25,12 @@ def test_contained_names_are_not_broadcast(spark, names):
     assert "Broadcast" not in plan(got) and sorted(map(tuple, got.collect())) == sorted(want)
     pairs = R.contained_pairs(terms.select(F.col("term_id").alias("id"), F.lower("term").alias("text")), names.select("id", F.lower("name").alias("text")))
     assert "Broadcast" not in plan(pairs) and sorted(map(tuple, pairs.collect())) == sorted((t, i) for t, _, i, _ in want if t == 1)
+
+
+def test_aliases_are_told_apart_by_id(spark, names):
+    terms = spark.createDataFrame([(1, "alpha"), (2, "Gamma "), (3, "red ring 5"), (3, "red ring 5")], "term_id int, term string")
+    got = R.resolve_alias(terms, names)
+    want = [(t, w, i, f"Red Ring {i % 100}") for t, w in ((1, "alpha"), (2, "Gamma ")) for i in range(300)] + [(3, "red ring 5", i, "Red Ring 5") for i in (5, 105, 205)]
+    assert "Broadcast" not in plan(got) and sorted(map(tuple, got.collect())) == sorted(want)
+    scan = plan(got).index("hashpartitioning(id#")
+    assert plan(got).rindex("HashAggregate", 0, scan) > 0  # ids are dealt before they are grouped
