@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.clean import alias_key, clean, clean_id, mesh_id, normalize_part, normalized_text, strip_identifiers
-from graphloom.sources.tables import first_per
+from graphloom.sources.tables import first_per, spread
 
 
 def drop_blank(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -48,13 +48,15 @@ def composite_edges(rows: DataFrame, mapping: DataFrame, keys: list[str], src: s
 def infer_by_shared_reference(explicit: DataFrame, blank: DataFrame) -> DataFrame:
     """Explicit (subject, part, item, refs) at HIGH, and blank rows promoted to each part that shares a reference, at MEDIUM.
 
-    The overlap is an equi-join on exploded references, so it hashes.
+    The overlap is an equi-join on exploded references, so it hashes. Each step's rows are dealt by its keys over all parts of a
+    shuffle, so a task holds one part of them.
     """
-    e = explicit.select("subject", "item", "part", F.explode("refs").alias("ref"))
-    b = blank.select("subject", "item", F.explode("refs").alias("ref")).distinct()
-    found = e.join(b, ["subject", "item", "ref"]).select("subject", "part", "item").distinct().withColumn("confidence", F.lit("MEDIUM"))
-    high = explicit.select("subject", "part", "item").distinct().withColumn("confidence", F.lit("HIGH"))
-    return high.unionByName(found.join(high, ["subject", "part", "item"], "left_anti"))
+    shared, own = ["subject", "item", "ref"], ["subject", "part", "item"]
+    e = spread(explicit.select("subject", "item", "part", F.explode("refs").alias("ref")), *shared)
+    b = spread(blank.select("subject", "item", F.explode("refs").alias("ref")), *shared).distinct()
+    found = spread(e.join(b.hint("merge"), shared).select(*own), *own).distinct().withColumn("confidence", F.lit("MEDIUM"))
+    high = spread(explicit.select(*own), *own).distinct().withColumn("confidence", F.lit("HIGH"))
+    return high.unionByName(found.join(high.hint("merge"), own, "left_anti"))
 
 
 def latest(df: DataFrame, keys: list[str], year: Column, ties: list[Column]) -> DataFrame:
