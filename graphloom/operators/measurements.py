@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.clean import canonical_number, signature, to_nanomolar
-from graphloom.sources.tables import first_per, numbered, stored
+from graphloom.sources.tables import first_per, numbered, spread, stored
 
 # Accepted measurement types.
 TYPES = ["IC50", "Ki", "Kd", "EC50", "Potency"]
@@ -61,15 +61,16 @@ def remap_edges(edges: DataFrame, src_map: DataFrame, dst_map: DataFrame) -> Dat
     """Edges with both ends mapped to canonical ids, unmapped ends trimmed as they are."""
     s = src_map.select(F.trim("raw_id").alias("_sk"), F.col("canonical_id").alias("_s")).distinct()
     d = dst_map.select(F.trim("raw_id").alias("_dk"), F.col("canonical_id").alias("_d")).distinct()
-    rows = edges.withColumns({"_sk": F.trim("src_id"), "_dk": F.trim("dst_id")})
-    out = rows.join(s, "_sk", "left").join(d, "_dk", "left")
+    rows = spread(edges.withColumns({"_sk": F.trim("src_id"), "_dk": F.trim("dst_id")}), "_sk")
+    out = spread(rows.join(s, "_sk", "left"), "_dk").join(d, "_dk", "left")
     keep = [c for c in edges.columns if c not in ("src_id", "dst_id")]
     return out.select(F.coalesce("_s", "_sk").alias("src_id"), F.coalesce("_d", "_dk").alias("dst_id"), *keep)
 
 
 def union_edges(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Full-row set union."""
-    return current.unionByName(incoming).distinct()
+    both = current.unionByName(incoming)
+    return spread(both, *both.columns).distinct()
 
 
 def new_ids(current: DataFrame, added: DataFrame, id_col: str, prefix: str, order: list[Column]) -> DataFrame:
