@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 MISSING = ["", "NA"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(c: Column) -> Column:
     """Text with white space collapsed and trimmed; null becomes empty (M1)."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "[\\s\\u00a0]+", " "))
@@ -245,13 +251,13 @@ def classification(c: Column, scheme: str, levels: list[str] | None = None, ends
     """Struct of a labelled classification's levels, without separators at their ends; empty where absent."""
     levels = levels or CLASS_LEVELS
     fields = labelled_fields(c, [*[f"{scheme} {x}" for x in levels], *(CLASS_OTHERS if ends is None else ends)], colon=False)
-    return F.struct(*[F.coalesce(F.rtrim(field_value(fields, f"{scheme} {x}"), F.lit(" ,;")), F.lit("")).alias(x.lower()) for x in levels])
+    return let(fields, lambda f: F.struct(*[F.coalesce(F.rtrim(field_value(f, f"{scheme} {x}"), F.lit(" ,;")), F.lit("")).alias(x.lower()) for x in levels]))
 
 
 def page_record(html: Column, subject: Column) -> Column:
     """Struct of a species page's common name and conservation status; null where its text doesn't name the subject."""
-    text, name = page_text(html), normalized_text(subject)
-    fields = labelled_fields(text, SPECIES_LABELS)
-    status = status_label(F.nullif(field_value(fields, "Conservation Status"), F.lit("")))
-    record = F.struct(F.coalesce(field_value(fields, "Common name"), F.lit("")).alias("common_names"), F.coalesce(status, F.lit("Not Found")).alias("status"))
-    return F.when((name != "") & F.contains(F.lower(text), name), record)
+    name = normalized_text(subject)
+    status = lambda fields: status_label(F.nullif(field_value(fields, "Conservation Status"), F.lit("")))
+    record = lambda fields: F.struct(F.coalesce(field_value(fields, "Common name"), F.lit("")).alias("common_names"), F.coalesce(status(fields), F.lit("Not Found")).alias("status"))
+    # the text is made once, its fields only where it names the subject
+    return let(page_text(html), lambda text: F.when((name != "") & F.contains(F.lower(text), name), let(labelled_fields(text, SPECIES_LABELS), record)))

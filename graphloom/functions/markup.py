@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.clean import clean
+from graphloom.functions.clean import let as _let
 from graphloom.sources.tables import stored
 
 HEADER_ROWS = 5  # rows of a table among which its header is sought
@@ -30,11 +31,6 @@ def cell_text(html: Column) -> Column:
     return clean(out)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _cells(row: Column) -> Column:
     """Cells of a row's HTML as (text, cols, rows): how many columns and rows each covers."""
     found = F.regexp_extract_all(row, F.lit("(?is)<t[hd]\\b[^>]*>.*?(?=<t[hd]\\b|</t[hd]>|\\z)"), F.lit(0))
