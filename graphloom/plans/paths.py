@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.sources.tables import numbered, shared_folder, stored
+from graphloom.sources.tables import numbered, shared_folder, spread, stored
 
 LIMIT = 5000
 
@@ -81,9 +81,12 @@ def path_join(graph: Graph, terminals: list[str], where: dict[str, Column] | Non
     return rows.orderBy(*ids, *sorted(c for c in rows.columns if c not in ids)).limit(max(1, min(limit, LIMIT)))
 
 
-def stored_graph(graph: Graph, buckets: int = 64) -> Graph:
+def stored_graph(graph: Graph, buckets: int = 64, terminals: list[str] | None = None) -> Graph:
     """The graph with its tables in buckets, sorted: nodes by id, edges once by each end.
 
+    With ``terminals`` only what ``path_join`` reads for these types, in this order, is stored: the tables along their
+    subtree, edges by the end that it comes from.
+
     A path join over it moves only the rows it has so far; node and edge tables are read where they lie, however often they are
     joined. The tables are written under the shared folder.
     """
@@ -95,9 +98,13 @@ def stored_graph(graph: Graph, buckets: int = 64) -> Graph:
         df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", f"{folder}/{table}").saveAsTable(table)
         return spark.table(table)
 
-    nodes = {kind: save(df, "id", f"node_{i}") for i, (kind, df) in enumerate(graph.nodes.items())}
-    edges = {ends: (rel, save(df, "src_id", f"edge_{i}")) for i, (ends, (rel, df)) in enumerate(graph.edges.items())}
-    back = {ends: save(df, "dst_id", f"back_{i}") for i, (ends, (_, df)) in enumerate(graph.edges.items())}
+    walk = None if terminals is None else subtree(graph, terminals)
+    kinds = graph.nodes if walk is None else {terminals[0], *[new for _, new in walk]}
+    ahead = graph.edges if walk is None else {ends for ends in walk if ends in graph.edges}
+    behind = graph.edges if walk is None else {(d, s) for s, d in walk if (s, d) not in graph.edges}
+    nodes = {kind: save(df, "id", f"node_{i}") if kind in kinds else df for i, (kind, df) in enumerate(graph.nodes.items())}
+    edges = {ends: (rel, save(df, "src_id", f"edge_{i}") if ends in ahead else df) for i, (ends, (rel, df)) in enumerate(graph.edges.items())}
+    back = {ends: save(df, "dst_id", f"back_{i}") for i, (ends, (_, df)) in enumerate(graph.edges.items()) if ends in behind}
     return Graph(nodes, edges, graph.filters, back)
 
 
@@ -167,15 +174,18 @@ def next_layer(layer: DataFrame, both: DataFrame, seen: DataFrame) -> DataFrame:
     return step.join(seen.select("type", "id"), ["type", "id"], "left_anti")
 
 
-def facts(rows: DataFrame, kinds: list[str], measures: list[str] | None = None) -> DataFrame:
-    """Result rows as facts: index, ordered path, entities (the last of a type), measurements."""
+def facts(rows: DataFrame, kinds: list[str], measures: list[str] | None = None, index: bool = True) -> DataFrame:
+    """Result rows as facts: index, ordered path, entities (the last of a type), measurements.
+
+    Without ``index`` they have no numbers and nothing is sorted: enough for counts.
+    """
     ids = [F.col(f"{k}_id").cast("string") for k in kinds]
     path = F.array(*[F.struct(F.lit(k).alias("type"), i.alias("id")) for k, i in zip(kinds, ids, strict=True)])
     last = dict(zip(kinds, ids, strict=True))
     entities = F.create_map(*[x for k, i in last.items() for x in (F.lit(k), i)])
     measured = F.create_map(*[x for m in measures or [] for x in (F.lit(m), F.col(m).cast("string"))]) if measures else F.create_map().cast("map<string,string>")
-    told = numbered(rows, [*ids, *[F.col(m) for m in measures or []]], "row_index")
-    return told.select("row_index", path.alias("path"), entities.alias("entities"), measured.alias("measurements"))
+    told = numbered(rows, [*ids, *[F.col(m) for m in measures or []]], "row_index") if index else rows
+    return told.select(*(["row_index"] if index else []), path.alias("path"), entities.alias("entities"), measured.alias("measurements"))
 
 
 def distinct_nodes(found: DataFrame) -> DataFrame:
@@ -190,24 +200,26 @@ def distinct_edges(found: DataFrame) -> DataFrame:
     return found.filter(F.size("path") > 1).select(F.explode(steps).alias("e")).select("e.*").distinct()
 
 
-def summary(found: DataFrame, measured: str | None = None) -> DataFrame:
+def summary(found: DataFrame, measured: str | None = None, only: str | None = None) -> DataFrame:
     """Counts of facts, distinct nodes and edges, and both by type (A1), from one scan of the facts.
 
     ``measured`` names the node type that measurements belong to; then distinct nodes of it are counted by each measured value.
+    ``only`` leaves out all counts but those of one kind: facts, nodes, edges or measured.
     """
     item = lambda kind, of, key: F.struct(F.lit(kind).alias("kind"), of.alias("of"), key.alias("key"))
     null = F.lit(None).cast("string")
     ends = lambda i: F.to_json(F.struct(F.col("path")[i]["id"].alias("s"), F.col("path")[i + 1]["id"].alias("d")))
     types = lambda i: F.concat_ws(">", F.col("path")[i]["type"], F.col("path")[i + 1]["type"])
     steps = F.when(F.size("path") > 1, F.transform(F.sequence(F.lit(0), F.size("path") - 2), lambda i: item("edges", types(i), ends(i))))
-    parts = [F.array(item("facts", null, null)), F.transform("path", lambda n: item("nodes", n["type"], n["id"])), F.coalesce(steps, F.array().cast("array<struct<kind:string,of:string,key:string>>"))]
+    parts = {"facts": F.array(item("facts", null, null)), "nodes": F.transform("path", lambda n: item("nodes", n["type"], n["id"])), "edges": F.coalesce(steps, F.array().cast("array<struct<kind:string,of:string,key:string>>"))}
     if measured:
-        parts.append(F.transform(F.map_entries("measurements"), lambda m: item("measured", F.concat(m["key"], F.lit("="), F.coalesce(m["value"], F.lit(""))), F.col("entities")[measured])))
-    rows = found.select(F.explode(F.concat(*parts)).alias("x")).select("x.*").groupBy("kind", "of", "key").agg(F.count("*").alias("times"))
+        parts["measured"] = F.transform(F.map_entries("measurements"), lambda m: item("measured", F.concat(m["key"], F.lit("="), F.coalesce(m["value"], F.lit(""))), F.col("entities")[measured]))
+    kinds = [k for k in parts if only in (None, k)]
+    rows = found.select(F.explode(F.concat(*[parts[k] for k in kinds])).alias("x")).select("x.*").groupBy("kind", "of", "key").agg(F.count("*").alias("times"))
     sums = rows.groupingSets([["kind", "of"], ["kind"]], "kind", "of").agg(F.count("*").alias("kinds"), F.sum("times").alias("times"), F.grouping("of").alias("whole"))
     label = F.when(F.col("whole") == 1, F.when(F.col("kind") != "measured", F.col("kind"))).when(F.col("kind") != "facts", F.concat_ws(":", "kind", "of"))
     told = sums.select(label.alias("metric"), F.when(F.col("kind") == "facts", F.col("times")).otherwise(F.col("kinds")).alias("n")).filter("metric is not null")
-    none = found.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("facts", "nodes", "edges")])).alias("metric"), F.lit(0).cast("long").alias("n"))
+    none = found.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in kinds if x != "measured"]).cast("array<string>")).alias("metric"), F.lit(0).cast("long").alias("n"))
     return told.unionByName(none).groupBy("metric").agg(F.max("n").alias("n"))
 
 
@@ -229,16 +241,21 @@ def context_size(found: DataFrame) -> DataFrame:
 
 
 def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Duplicate and blank node ids, dangling and duplicate edges, as (problem, detail)."""
+    """Duplicate and blank node ids, dangling and duplicate edges, as (problem, detail).
+
+    Nodes, and edges looked for twice, are dealt by what they are counted by before they are counted: ids seldom repeat, so counts in advance only fill a task.
+    """
     key = F.concat_ws(":", "type", "id")
-    dup = nodes.groupBy("type", "id").count().filter("count > 1").select(F.lit("duplicate node").alias("problem"), key.alias("detail"))
+    dup = spread(nodes, "type", "id").groupBy("type", "id").count().filter("count > 1").select(F.lit("duplicate node").alias("problem"), key.alias("detail"))
     blank = nodes.filter("id is null or trim(id) = ''").select(F.lit("blank node").alias("problem"), F.col("type").alias("detail"))
     edge = F.concat_ws(":", "src_type", "src_id", "rel", "dst_type", "dst_id")
     out = dup.unionByName(blank)
     for side in ("src", "dst"):
-        ends = nodes.select(F.col("type").alias(f"{side}_type"), F.col("id").alias(f"{side}_id")).distinct()
-        out = out.unionByName(edges.join(ends, [f"{side}_type", f"{side}_id"], "left_anti").select(F.lit(f"dangling {side}").alias("problem"), edge.alias("detail")))
-    twice = edges.groupBy("src_type", "src_id", "rel", "dst_type", "dst_id").count().filter("count > 1")
+        at = [f"{side}_type", f"{side}_id"]
+        ends = spread(nodes.select(F.col("type").alias(at[0]), F.col("id").alias(at[1])), *at).distinct()
+        out = out.unionByName(edges.join(ends, at, "left_anti").select(F.lit(f"dangling {side}").alias("problem"), edge.alias("detail")))
+    whole = ["src_type", "src_id", "rel", "dst_type", "dst_id"]
+    twice = spread(edges.select(*whole), *whole).groupBy(*whole).count().filter("count > 1")
     return out.unionByName(twice.select(F.lit("duplicate edge").alias("problem"), edge.alias("detail")))
 
 

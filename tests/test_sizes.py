@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.operators import measurements as M
 from graphloom.operators import resolve as R
+from graphloom.plans import paths as P
 
 
 def plan(df):
@@ -34,3 +36,32 @@ def test_aliases_are_told_apart_by_id(spark, names):
     assert "Broadcast" not in plan(got) and sorted(map(tuple, got.collect())) == sorted(want)
     scan = plan(got).index("hashpartitioning(id#")
     assert plan(got).rindex("HashAggregate", 0, scan) > 0  # ids are dealt before they are grouped
+
+
+def test_counts_need_no_numbers(spark):
+    rows = spark.createDataFrame([(1, "x", 5), (1, "y", None), (2, "x", 5)], "a_id int, b_id string, b_v int")
+    found = P.facts(rows, ["a", "b"], ["b_v"], index=False)
+    told = P.summary(found, "b", only="measured")
+    assert "row_index" not in found.columns and "ranges-" not in plan(told)
+    assert {r["metric"]: r["n"] for r in told.collect()} == {"measured:b_v=5": 1, "measured:b_v=": 1}
+
+
+def test_only_the_joined_tables_are_stored(spark):
+    node, edge = spark.createDataFrame([(1,)], "id int"), spark.createDataFrame([(1, 1)], "src_id int, dst_id int")
+    g = P.Graph({k: node for k in "abcd"}, {("a", "b"): ("E", edge), ("b", "c"): ("F", edge), ("c", "d"): ("G", edge)})
+    s = P.stored_graph(g, 2, ["c", "a"])
+    assert {k for k, df in s.nodes.items() if df is not node} == set("abc") and set(s.backward) == {("a", "b"), ("b", "c")}
+    assert all(df is edge for _, df in s.edges.values()) and P.path_join(s, ["c", "a"], limit=None).count() == 1
+
+
+def test_edges_are_dealt_before_they_are_compared(spark):
+    edges = spark.range(10).select(F.col("id").cast("string").alias("src_id"), F.lit("x").alias("dst_id"))
+    both = plan(M.union_edges(edges, edges))
+    assert both.rindex("HashAggregate") < both.index("REPARTITION_BY_NUM")
+
+
+def test_labels_are_found_once(spark):
+    from graphloom.functions import clean as C
+
+    text = spark.createDataFrame([("S Kingdom: a, S Class: b",)], "t string").select(C.classification(F.col("t"), "S").alias("c")).select("c.*")
+    assert plan(text).count("split(") <= 3 and tuple(text.first()) == ("a", "", "b", "")
