@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphloom.functions.clean import clean
 from graphloom.functions.clean import let as _let
 from graphloom.sources.tables import stored
 
@@ -21,54 +24,74 @@ VALUE_KEYS = ("@value", "value")
 LABEL_KEYS = ("prefLabel", "preferredTerm", "label", "name")
 # Character entities; the ampersand comes last.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
-
-
-def cell_text(html: Column) -> Column:
-    """Text of a piece of HTML: tags become spaces, common entities characters."""
-    out = F.regexp_replace(html, "<[^>]*>", " ")
-    for entity, text in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(text))
-    return clean(out)
-
-
-def _cells(row: Column) -> Column:
-    """Cells of a row's HTML as (text, cols, rows): how many columns and rows each covers."""
-    found = F.regexp_extract_all(row, F.lit("(?is)<t[hd]\\b[^>]*>.*?(?=<t[hd]\\b|</t[hd]>|\\z)"), F.lit(0))
-    given = lambda tag, name: F.coalesce(F.regexp_extract(tag, f"(?is)\\s{name}\\s*=\\s*[\"']?\\s*(\\d{{1,9}})", 1).try_cast("int"), F.lit(1))
-    spans = lambda tag, span: F.when(F.contains(F.lower(tag), F.lit("span")), span).otherwise(1)
-    rows = lambda n: F.when(n == 0, MOST_ROWS).otherwise(F.least(F.lit(MOST_ROWS), n))
-    return F.transform(found, lambda c: _let(F.regexp_extract(c, "^<[^>]*>", 0), lambda tag: F.struct(
-        cell_text(F.substr(c, F.length(tag) + 1)).alias("text"),
-        spans(tag, F.greatest(F.lit(1), F.least(F.lit(MOST_COLS), given(tag, "colspan")))).alias("cols"),
-        spans(tag, _let(given(tag, "rowspan"), rows)).alias("rows"),
-    )))
-
-
-def _spread(rows: Column) -> Column:
-    """Rows of cells as rows of texts: a cell stands in each column and row that it covers, others take the next free columns.
-
-    Where each cell covers one place nothing moves, and the rows are taken as they are.
-    """
-
-    def laid(state: Column, cells: Column) -> Column:
-        hung = state["hung"]  # by column: the text of the last row's cell and how many rows it still covers
-        end = F.coalesce(F.array_max(F.transform(hung, lambda h, i: F.when(h["left"] > 0, i + 1))), F.lit(0))
-        own = F.flatten(F.transform(cells, lambda c: F.array_repeat(F.struct(c["text"].alias("text"), c["rows"].alias("left")), c["cols"])))
-        upto = lambda n: F.slice(F.sequence(F.lit(0), n), F.lit(1), n)
-        taken = lambda i: F.coalesce(F.get(hung, i)["left"], F.lit(0)) > 0
-        width = lambda own, free: F.greatest(end, F.coalesce(F.get(free, F.size(own) - 1) + 1, F.lit(0)))
-        cell = lambda own, free, i: F.when(taken(i), F.get(hung, i)).otherwise(F.get(own, (F.array_position(free, i) - 1).cast("int")))
-        after = lambda line: F.struct(
-            F.transform(line, lambda c: F.struct(c["text"].alias("text"), (F.coalesce(c["left"], F.lit(0)) - 1).alias("left"))).alias("hung"),
-            F.when(F.size(line) > 0, F.concat(state["grid"], F.array(F.transform(line, lambda c: c["text"])))).otherwise(state["grid"]).alias("grid"),
-        )
-        line = lambda own, free: F.transform(upto(width(own, free)), lambda i: cell(own, free, i))
-        return _let(own, lambda o: _let(F.filter(upto(F.size(hung) + F.size(o)), lambda i: ~taken(i)), lambda f: _let(line(o, f), after)))
-
-    zero = F.struct(F.array().cast("array<struct<text: string, left: int>>").alias("hung"), F.array().cast("array<array<string>>").alias("grid"))
-    spread = F.aggregate(rows, zero, laid, lambda s: s["grid"])
-    plain = F.filter(F.transform(rows, lambda cells: F.transform(cells, lambda c: c["text"])), lambda r: F.size(r) > 0)
-    return F.when(F.exists(rows, lambda cells: F.exists(cells, lambda c: (c["cols"] > 1) | (c["rows"] > 1))), spread).otherwise(plain)
+CELLS = 1 << 16  # cells of grids that a task holds before it passes them on
+SHORT = 100  # characters of a cell that is read once for all that are like it
+_TABLE = re.compile(r"(?i)</?table\b")
+# Tags of tables and rows lose what stands in them; one without an end is text up to the next of them.
+_BARE = re.compile(r"(?i)(?:^</?table|(<tr))\b[^<>]*(?:<(?!/?tr\b)[^<>]*)*>")
+_ROW = re.compile(r"(?i)<tr\b([^<]*(?:<(?!/?tr\b)[^<]*)*)")
+_CELL = re.compile(r"(?is)<t[hd]\b[^>]*>[^<]*(?:<(?!t[hd]\b|/t[hd]>)[^<]*)*")
+_TAG, _SPACE = re.compile("<[^>]*>"), re.compile(r"(?a:[\s\u00a0]+)")
+_SPANS = [re.compile(rf"(?ai:\s{name}\s*=\s*[\"']?\s*(\d{{1,9}}))") for name in ("colspan", "rowspan")]
+
+
+def cell_text(html: str) -> str:
+    """Text of a piece of HTML: tags become spaces, common entities characters, white space collapses."""
+    out = _TAG.sub(" ", html).strip(" ") if "<" in html else html
+    if out.isalnum():
+        return out
+    if "&" in out:
+        for entity, text in ENTITIES.items():
+            out = out.replace(entity, text)
+    return _SPACE.sub(" ", out).strip(" ")
+
+
+def _cell(html: str) -> tuple[str, int, int]:
+    """A cell's text and how many columns and rows it covers."""
+    tag, _, text = html.partition(">")
+    cols = rows = 1
+    if "span" in tag.lower():
+        cols, rows = (int(found[1]) if (found := span.search(tag)) else 1 for span in _SPANS)
+        cols, rows = max(1, min(MOST_COLS, cols)), min(MOST_ROWS, rows or MOST_ROWS)
+    return cell_text(text), cols, rows
+
+
+_short_cell = functools.lru_cache(1 << 14)(_cell)
+
+
+def _grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str | None]]:
+    """Rows of cells as rows of texts: a cell stands in each column and row that it covers, others take the next free columns."""
+    if all(cols == n == 1 for cells in rows for _, cols, n in cells):
+        return [[text for text, _, _ in cells] for cells in rows if cells]
+    grid, hung = [], []  # hung, by column: the text of the last row's cell and how many rows it still covers
+    for cells in rows:
+        own = [(text, n) for text, cols, n in cells for _ in range(cols)]
+        line, free = [], iter(own)
+        for above in hung:
+            line.append(above if above[1] > 0 else next(free, (None, 0)))
+        line += free
+        while line and line[-1][0] is None:
+            line.pop()
+        hung = [(text, left - 1) for text, left in line]
+        if line:
+            grid.append([text for text, _ in line])
+    return grid
+
+
+def _grids(page: str) -> list[list[list[str | None]]]:
+    """The grids of a page's tables in the order of their opening tags; of a table without cells an empty one."""
+    tables, opened = [], []  # the tables' pieces of text, without inner tables; the tables that are open
+    cuts = [tag.start() for tag in _TABLE.finditer(page)]
+    for i, j in zip(cuts, [*cuts[1:], len(page)], strict=True):
+        if page[i + 1] != "/":
+            opened.append([])
+            tables.append(opened[-1])
+        elif opened:
+            opened.pop()
+        if opened:
+            opened[-1].append(_BARE.sub(r"\1 ", page[i:j]))
+    cell = lambda c: _short_cell(c) if len(c) <= SHORT else _cell(c)
+    return [_grid([[cell(c) for c in _CELL.findall(row)] for row in _ROW.findall("".join(table))]) for table in tables]
 
 
 def html_grids(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -78,30 +101,33 @@ def html_grids(pages: DataFrame, key: str, html: str) -> DataFrame:
     of its page, an end without a start counts for nothing. A cell over several columns or rows has its text in each of them (a
     rowspan of 0 goes to the last row, spans end at the bounds of the HTML standard). Cells outside a row, rows outside a table and
     rows without cells are left out; tables in comments and scripts are none. Pages without a table, empty or null, give no rows; each of
-    several pages with one key gives its own. A page is cut at its tags and they are put in order by windows over one page.
+    several pages with one key gives its own. A page is taken apart where it lies: nothing is shuffled or stored.
     """
     page = F.regexp_replace(F.col(f"`{html}`"), "(?is)<!--.*?-->|<(script|style)\\b.*?</\\1>", " ")
     cut = pages.select(F.col(f"`{key}`").alias("key"), page.alias("page")).filter(F.rlike("page", F.lit("(?i)<table\\b")))
-    # stored, so that a page keeps its number when tasks are run again
-    cut = stored(cut.select("key", F.monotonically_increasing_id().alias("page_no"), F.split("page", "(?i)(?=</?(?:table|tr)\\b)").alias("parts")), "pages")
-    parts = cut.select("key", "page_no", F.posexplode("parts").alias("at", "part")).withColumn("tag", F.lower(F.regexp_extract("part", "(?i)^<(/?(?:table|tr))\\b", 1)))
-    is_tag = lambda *tags: F.col("tag").isin(*tags)
-    upto = lambda *of: Window.partitionBy("page_no", *of).orderBy("at")
-    depth = F.sum(F.when(is_tag("table"), 1).when(is_tag("/table"), -1).otherwise(0)).over(upto())
-    nested = parts.withColumns({"depth": depth, "table_no": F.count(F.when(is_tag("table"), 1)).over(upto()) - 1})
-    nested = nested.withColumn("depth", F.col("depth") - F.least(F.lit(0), F.min("depth").over(upto()))).filter("depth > 0")
-    # at a depth, the table opened last there is the one that is open
-    placed = nested.withColumn("table_no", F.last(F.when(is_tag("table"), F.col("table_no")), True).over(upto("depth")))
-    row = F.last(F.when(is_tag("tr"), F.col("at")).when(is_tag("table", "/tr"), -1), True).over(upto("table_no"))
-    text = F.when(F.col("tag") == "", F.col("part")).otherwise(F.regexp_replace("part", "(?is)^<[^>]*>", " "))
-    held = placed.select("key", "page_no", "table_no", "at", row.alias("row"), text.alias("text")).filter("row >= 0")
-    in_order = lambda by, value: F.transform(F.array_sort(F.collect_list(F.struct(by, value))), lambda x: x[value])
-    rows = held.groupBy("key", "page_no", "table_no", "row").agg(F.array_join(in_order("at", "text"), "").alias("text"))
-    rows = rows.select("key", "page_no", "table_no", "row", _cells(F.col("text")).alias("cells"))
-    grids = rows.groupBy("key", "page_no", "table_no").agg(in_order("row", "cells").alias("rows"))
-    # exploded, as a filter on the grid would be pushed down and make it twice
-    grids = grids.select("key", "table_no", F.explode(F.filter(F.array(_spread(F.col("rows"))), lambda g: F.size(g) > 0)).alias("grid"))
-    return grids.select(F.col("key").alias(key), "table_no", "grid")
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+
+        def out(keys: pa.Array) -> pa.RecordBatch:
+            at, table_no, grid = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(table_no, pa.int64()), pa.array(grid, pa.list_(pa.list_(pa.string())))], ["key", "table_no", "grid"])
+
+        for batch in batches:
+            for i, page in enumerate(batch.column("page")):
+                for n, grid in enumerate(_grids(page.as_py())):
+                    if grid:
+                        rows.append((i, n, grid))
+                        size += sum(map(len, grid))
+                if size >= CELLS:
+                    yield out(batch.column("key"))
+                    rows, size = [], 0
+            if rows:
+                yield out(batch.column("key"))
+                rows, size = [], 0
+
+    schema = T.StructType([cut.schema["key"], T.StructField("table_no", T.LongType()), T.StructField("grid", T.ArrayType(T.ArrayType(T.StringType())))])
+    return cut.mapInArrow(told, schema).withColumnRenamed("key", key)
 
 
 def html_rows(pages: DataFrame, key: str, html: str, required: str, columns: dict[str, list[str]]) -> DataFrame:
@@ -111,9 +137,9 @@ def html_rows(pages: DataFrame, key: str, html: str, required: str, columns: dic
     table's first rows with the required one. Gives the key, table_no, row_no and the columns; a
     column that a table lacks, and a cell that a row lacks, is null. Whole pages are read, tables as ``html_grids`` gives them.
     """
-    place = lambda row, names: F.coalesce(F.array_min(F.filter(F.array(*[F.array_position(F.transform(row, F.lower), n.lower()) for n in names]), lambda p: p > 0)), F.lit(0))
+    place = lambda low, names: F.coalesce(F.array_min(F.filter(F.array(*[F.array_position(low, n.lower()) for n in names]), lambda p: p > 0)), F.lit(0))
     grids = html_grids(pages, key, html).withColumnRenamed("grid", "_grid")
-    tops = F.transform(F.slice("_grid", 1, HEADER_ROWS), lambda r, i: F.struct((i + 1).alias("at"), *[place(r, names).alias(c) for c, names in columns.items()]))
+    tops = F.transform(F.slice("_grid", 1, HEADER_ROWS), lambda r, i: _let(F.transform(r, F.lower), lambda low: F.struct((i + 1).alias("at"), *[place(low, names).alias(c) for c, names in columns.items()])))
     head = F.try_element_at(F.filter(tops, lambda t: t[required] > 0), F.lit(1))
     found = grids.select(key, "table_no", "_grid", F.explode(F.filter(F.array(head), lambda h: h.isNotNull())).alias("_head"))
     below = found.select(key, "table_no", "_head", F.posexplode(F.slice("_grid", F.col("_head.at") + 1, F.size("_grid"))).alias("row_no", "_row"))

@@ -65,3 +65,12 @@ def test_labels_are_found_once(spark):
 
     text = spark.createDataFrame([("S Kingdom: a, S Class: b",)], "t string").select(C.classification(F.col("t"), "S").alias("c")).select("c.*")
     assert plan(text).count("split(") <= 3 and tuple(text.first()) == ("a", "", "b", "")
+
+
+def test_pages_are_taken_apart_where_they_lie(spark):
+    from graphloom.functions import markup as K
+
+    page = "<table><tr><th>Part<th>Of</tr><tr><td rowspan=2>a<table><tr><td>in</table></td><td> b&amp;<i>c</i></tr><tr><td>d</tr></table>"
+    got = K.html_rows(spark.createDataFrame([(1, page), (1, "<p>")], "id int, html string"), "id", "html", "part", {"part": ["part"], "of": ["of"]})
+    assert not any(step in plan(got) for step in ("Exchange", "Window", "Scan parquet"))
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 0, "a", "b& c"), (1, 0, 1, "a", "d")]
