@@ -7,7 +7,9 @@ is rewritten. Repeated and late rows add nothing.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
@@ -20,42 +22,88 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
+PART = 256  # raw ids that are told in one piece of state
+CHUNK = 4096  # rows of one identity that are held at once
+
+
 class _Identity(StatefulProcessor):
-    """The canonical id of one identity, the raw ids already told, and those that wait for the end of its first batch."""
+    """The canonical id of one identity, the raw ids already told, and those that wait for the end of its first batch.
+
+    Each call for a piece of state is a trip to the JVM, so told ids are kept in parts of about ``PART``, dealt by their checksum: the first part
+    stands beside the canonical id, the others in a map. When the parts are full, each is split in two.
+    """
 
-    def __init__(self, values: list[str]) -> None:
-        self.values = values
+    def __init__(self, values: list[str], part: int = PART, chunk: int = CHUNK) -> None:
+        self.values, self.part, self.chunk = values, part, chunk
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.canonical = handle.getValueState("canonical", "canonical_id string")
-        self.told = handle.getMapState("told", "raw_id string", "canonical_id string")
+        self.known = handle.getValueState("known", "canonical_id string, n long, parts int, raw_ids array<string>")
+        self.more = handle.getMapState("more", "part int", "raw_ids array<string>")
         self.waiting = handle.getListState("waiting", "raw_id string")
 
     def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
-        given = initialState["canonical_id"]
-        if not self.canonical.exists() or given < self.canonical.get()[0]:
-            self.canonical.update((given,))
-        self.told.updateValue((initialState["raw_id"],), (given,))
+        known = (initialState["canonical_id"], initialState["n"], initialState["parts"])
+        if initialState["part"] == 0:
+            self.known.update((*known, initialState["raw_ids"]))
+            return
+        self.more.updateValue((initialState["part"],), (initialState["raw_ids"],))
+        if not self.known.exists():
+            self.known.update((*known, []))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        known = self.canonical.get()[0] if self.canonical.exists() else None
-        first = None
-        for row in rows:
-            raw = row["raw_id"]
-            if known is None and (first is None or self._order(row) < self._order(first)):
-                first = row
-            if self.told.containsKey((raw,)):
-                continue
-            self.told.updateValue((raw,), (known or "",))
-            if known is None:
-                self.waiting.appendValue((raw,))
+        known, n, parts, told = self.known.get() or (None, 0, 1, [])
+        before, first, held, waits = n, None, [], False
+        while chunk := list(islice(rows, self.chunk)):
+            asked = {}
+            for row in chunk:
+                if known is None and (first is None or self._order(row) < self._order(first)):
+                    first = row
+                asked.setdefault(_part(row["raw_id"], parts), {})[row["raw_id"]] = None
+            new = []
+            for part, raws in asked.items():
+                have = told if part == 0 else self._more(part)
+                seen = set(have)
+                fresh = [raw for raw in raws if raw not in seen]
+                new += fresh
+                if part == 0:
+                    told = [*have, *fresh]
+                elif fresh:
+                    self.more.updateValue((part,), ([*have, *fresh],))
+            n += len(new)
+            while n > self.part * parts:
+                told, parts = self._split(told, parts), 2 * parts
+            if known is not None:
+                for raw in new:
+                    yield self._row(key, raw, known, None)
             else:
-                yield self._row(key, raw, known, None)
+                if held:
+                    self.waiting.appendList([(raw,) for raw in held])
+                    waits = True
+                held = new
+        if n > before or first is not None:
+            self.known.update((known if first is None else first["raw_id"], n, parts, told))
         if first is not None:
-            self.canonical.update((first["raw_id"],))
-            for (raw,) in self.waiting.get():
+            for raw in chain((raw for (raw,) in self.waiting.get()) if waits else (), held):
                 yield self._row(key, raw, first["raw_id"], first if raw == first["raw_id"] else None)
-            self.waiting.clear()
+            if waits:
+                self.waiting.clear()
+
+    def _more(self, part: int) -> list[str]:
+        found = self.more.getValue((part,))
+        return found[0] if found else []
+
+    def _split(self, told: list[str], parts: int) -> list[str]:
+        """Deal each part's ids to it and the one ``parts`` further; gives the first part."""
+        for part in range(parts):
+            have = told if part == 0 else self._more(part)
+            stay, go = ([raw for raw in have if _part(raw, 2 * parts) == at] for at in (part, part + parts))
+            if go:
+                self.more.updateValue((part + parts,), (go,))
+                if part:
+                    self.more.updateValue((part,), (stay,))
+            if part == 0:
+                first = stay
+        return first
 
     def _order(self, row: Row) -> tuple:
         return row["raw_id"], [(row[v] is not None, str(row[v])) for v in self.values]
@@ -64,6 +112,10 @@ class _Identity(StatefulProcessor):
         return Row(identity=key[0], raw_id=raw, canonical_id=canonical, added=node is not None, **{v: node[v] if node else None for v in self.values})
 
 
+def _part(raw: str | None, parts: int) -> int:
+    return 0 if parts == 1 else zlib.crc32((raw or "").encode()) % parts
+
+
 def canonical_stream(rows: DataFrame, published: DataFrame, key: str, identity: Column, values: list[str]) -> DataFrame:
     """New id pairs of a stream of nodes: identity, raw_id, canonical_id, and on the rows that ``added`` a node its values.
 
@@ -76,7 +128,12 @@ def canonical_stream(rows: DataFrame, published: DataFrame, key: str, identity:
     out = StructType().add("identity", "string").add("raw_id", "string").add("canonical_id", "string").add("added", "boolean")
     for v in values:
         out = out.add(v, kinds[v].dataType, True)
-    start = published.select(F.col("identity").cast("string"), F.col("raw_id").cast("string"), F.col("canonical_id").cast("string")).groupBy("identity")
+    given = published.select(F.col("identity").cast("string"), F.col("raw_id").cast("string"), F.col("canonical_id").cast("string"))
+    one = given.groupBy("identity").agg(F.min("canonical_id").alias("canonical_id"), F.count_distinct(F.struct("raw_id")).alias("n"))
+    one = one.withColumn("parts", F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / PART)))).cast("int"))
+    part = F.pmod(F.crc32(F.coalesce("raw_id", F.lit("")).cast("binary")), F.col("parts")).cast("int").alias("part")
+    dealt = given.select("identity", "raw_id").distinct().join(one, "identity").groupBy("identity", "canonical_id", "n", "parts", part)
+    start = dealt.agg(F.transform(F.collect_list(F.struct("raw_id")), lambda x: x["raw_id"]).alias("raw_ids")).groupBy("identity")
     return keyed.groupBy("identity").transformWithState(_Identity(values), out, "Append", "None", initialState=start)
 
 

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from graphloom.functions import clean as C
@@ -139,6 +140,55 @@ def test_stateful_merge_survives_a_new_checkpoint(spark, tmp_path):
         run(published, "c1")
 
 
+class Kept:
+    """State of one identity; counts the calls."""
+
+    def __init__(self, kind):
+        self.kind, self.held, self.calls = kind, {}, 0
+
+    def __getattr__(self, method):
+        held = self.held
+        does = {
+            "exists": lambda: "v" in held, "get": lambda: held.get("v") if self.kind == "value" else iter(list(held.get("v", []))), "update": lambda v: held.update(v=v), "clear": lambda: held.pop("v", None),
+            "getValue": lambda k: held.get(k), "updateValue": held.__setitem__, "containsKey": lambda k: k in held, "appendValue": lambda v: held.setdefault("v", []).append(v), "appendList": lambda v: held.setdefault("v", []).extend(v),
+        }[method]
+
+        def call(*args):
+            self.calls += 1
+            return does(*args)
+
+        return call
+
+
+def test_an_identity_asks_its_state_seldom():
+    def processor(**kw):
+        kept, one = {}, stateful._Identity([], **kw)
+        state = lambda kind: lambda name, *_: kept.setdefault(name, Kept(kind))
+        one.init(type("Handle", (), {"getValueState": staticmethod(state("value")), "getMapState": staticmethod(state("map")), "getListState": staticmethod(state("list"))}))
+        ask = lambda raws: [tuple(r) for r in one.handleInputRows(("i",), iter([Row(raw_id=r) for r in raws]), None)]
+        return ask, lambda: sum(k.calls for k in kept.values())
+
+    ask, calls = processor()
+    assert ask(["b", "a", "b"]) == [("i", "b", "a", False), ("i", "a", "a", True)]
+    assert ask([f"c{i}" for i in range(100)] * 2) == [("i", f"c{i}", "a", False) for i in range(100)] and calls() <= 6
+    ask, _ = processor(part=3, chunk=5)  # many parts and chunks, each id told once
+    ids = [f"r{i:03}" for i in range(200)]
+    told = ask(ids[50:120] + ids[60:90])
+    assert sorted(told) == [("i", r, "r050", r == "r050") for r in ids[50:120]]
+    for more in (ids[:80], ids[100:], ids):
+        told += ask(more)
+    assert sorted(told) == [("i", r, "r050", r == "r050") for r in ids]
+
+
+def test_published_ids_are_told_in_parts(spark, tmp_path):
+    rows = spark.range(2000).select(F.lit("x").alias("name"), F.format_string("r%04d", "id").alias("id"), F.lit(1).alias("value"))
+    rows.write.parquet(str(tmp_path / "src"))
+    published = rows.filter("id < 'r1500'").select(F.col("name").alias("identity"), F.col("id").alias("raw_id"), F.when(F.col("id") == "r0007", "b").otherwise("c").alias("canonical_id"))
+    pairs = stateful.canonical_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "src")), published, "id", F.col("name"), ["value"])
+    stateful.append_to_log(pairs, str(tmp_path / "log"), str(tmp_path / "c")).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "log")).collect())) == [("x", f"r{i:04}", "b", False, None) for i in range(1500, 2000)]
+
+
 def test_digests_see_what_moves(spark):
     frame = lambda rows: spark.createDataFrame(rows, "id int, a string, b string")
     base = [(i, "x", None) for i in range(300)]
