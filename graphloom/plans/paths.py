@@ -108,15 +108,19 @@ def stored_graph(graph: Graph, buckets: int = 64, terminals: list[str] | None =
     return Graph(nodes, edges, graph.filters, back)
 
 
-def overview(graph: Graph, root: str, where: Column) -> DataFrame:
+def overview(graph: Graph, root: str, where: Column, counted: bool = False) -> DataFrame:
     """The root and every edge downstream of it, one UNION ALL arm per edge type, multiplicity kept.
 
-    A frontier that several edges start from is stored, so its arms don't repeat the joins before it.
-    Columns: src_type, src_id, rel, dst_type, dst_id; the root's arm has no edge.
+    A frontier that edges start from is stored, so its arms don't repeat the joins before it.
+    Columns: src_type, src_id, rel, dst_type, dst_id; the root's arm has no edge. If ``counted``, a node goes on once however many
+    paths reach it, and a row stands for ``n`` rows: their sum is the multiplicity.
     """
     start = _node(graph, root, {root: where}).select(F.col(f"{root}_id").cast("string").alias("id"))
+    n = ["n"] if counted else []
+    once = lambda df: df.groupBy("id").agg(F.sum("n").alias("n")) if counted else df
+    start = once(start.withColumn("n", F.lit(1).cast("long"))) if counted else start
     null = F.lit(None).cast("string")
-    out = start.select(F.lit(root).alias("src_type"), F.col("id").alias("src_id"), null.alias("rel"), null.alias("dst_type"), null.alias("dst_id"))
+    out = start.select(F.lit(root).alias("src_type"), F.col("id").alias("src_id"), null.alias("rel"), null.alias("dst_type"), null.alias("dst_id"), *n)
     front, todo = {root: start}, [root]
     while todo:
         at = todo.pop(0)
@@ -124,9 +128,9 @@ def overview(graph: Graph, root: str, where: Column) -> DataFrame:
             if s == at:
                 cast = edge.select(F.col("src_id").cast("string").alias("id"), F.col("dst_id").cast("string").alias("to"))
                 hop = front[s].join(cast, "id")
-                hop = stored(hop, "frontier") if sum(d == at for at, _ in graph.edges) > 1 else hop
-                out = out.unionByName(hop.select(F.lit(s).alias("src_type"), F.col("id").alias("src_id"), F.lit(rel).alias("rel"), F.lit(d).alias("dst_type"), F.col("to").alias("dst_id")))
-                front[d] = hop.select(F.col("to").alias("id"))
+                hop = stored(hop, "frontier") if any(d == at for at, _ in graph.edges) else hop
+                out = out.unionByName(hop.select(F.lit(s).alias("src_type"), F.col("id").alias("src_id"), F.lit(rel).alias("rel"), F.lit(d).alias("dst_type"), F.col("to").alias("dst_id"), *n))
+                front[d] = once(hop.select(F.col("to").alias("id"), *n))
                 todo.append(d)
     return out
 

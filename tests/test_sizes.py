@@ -74,3 +74,13 @@ def test_pages_are_taken_apart_where_they_lie(spark):
     got = K.html_rows(spark.createDataFrame([(1, page), (1, "<p>")], "id int, html string"), "id", "html", "part", {"part": ["part"], "of": ["of"]})
     assert not any(step in plan(got) for step in ("Exchange", "Window", "Scan parquet"))
     assert sorted(map(tuple, got.collect())) == [(1, 0, 0, "a", "b& c"), (1, 0, 1, "a", "d")]
+
+
+def test_a_counted_overview_multiplies_no_rows(spark):
+    node = spark.createDataFrame([(1,)], "id int")
+    edge = lambda *rows: ("E", spark.createDataFrame(list(rows), "src_id int, dst_id int"))
+    g = P.Graph({k: node for k in "abcd"}, {("a", "b"): edge((1, 1), (1, 2), (1, 3)), ("b", "c"): edge((1, 7), (2, 7), (3, 7), (3, 8)), ("c", "d"): edge((7, 0), (7, 0), (8, 0))})
+    told = [tuple(r) for r in P.overview(g, "a", F.col("id") == 1).collect()]
+    counted = [tuple(r) for r in P.overview(g, "a", F.col("id") == 1, counted=True).collect()]
+    assert sorted([r[:5] for r in counted for _ in range(r[5])], key=str) == sorted(told, key=str) and len(told) == 1 + 3 + 4 + 7
+    assert sorted(r for r in counted if r[0] == "c") == [("c", "7", "E", "d", "0", 3)] * 2 + [("c", "8", "E", "d", "0", 1)]
