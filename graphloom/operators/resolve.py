@@ -95,6 +95,7 @@ def close_texts(asked: DataFrame, known: DataFrame, floor: float) -> DataFrame:
     keyed = n.withColumn("_s", F.explode(F.expr(f"transform(sequence(0, {edits}), i -> {segment})"))).select("_n", "_len", "_s.at", "_s.piece")
     t = asked.toDF("_t").filter("length(_t) >= 5").distinct().withColumn("_tl", F.length("_t"))
     t = t.withColumn("_len", F.explode(F.sequence(F.greatest(F.lit(5), F.col("_tl") - 2), F.col("_tl") + 2)))
+    t = t.join(F.broadcast(n.select("_len").distinct()), "_len", "left_semi")  # as many rows as there are lengths; others have no piece to meet
     width = f"({begin('(i + 1)')} - {begin('i')})"
     moved = f"filter(transform(sequence(-{edits}, {edits}), m -> struct(i as at, {begin('i')} + 1 + m as first, {width} as width)), x -> x.first >= 1 and x.first + x.width - 1 <= _tl)"
     probes = F.expr(f"array_distinct(flatten(transform(sequence(0, {edits}), i -> transform({moved}, x -> struct(x.at as at, substring(_t, x.first, x.width) as piece)))))")

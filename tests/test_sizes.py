@@ -84,3 +84,10 @@ def test_a_counted_overview_multiplies_no_rows(spark):
     counted = [tuple(r) for r in P.overview(g, "a", F.col("id") == 1, counted=True).collect()]
     assert sorted([r[:5] for r in counted for _ in range(r[5])], key=str) == sorted(told, key=str) and len(told) == 1 + 3 + 4 + 7
     assert sorted(r for r in counted if r[0] == "c") == [("c", "7", "E", "d", "0", 3)] * 2 + [("c", "8", "E", "d", "0", 1)]
+
+
+def test_texts_of_other_lengths_have_no_pieces(spark):
+    asked = spark.createDataFrame([("large ringg",), ("Customer#000000001",), ("large bolt",)], "t string")
+    got = R.close_texts(asked, spark.createDataFrame([("large ring",), ("hot",)], "n string"), 0.85)
+    told = plan(got)
+    assert told.index("LeftSemi") > 0 and sorted(map(tuple, got.collect())) == [("large ringg", "large ring")]
