@@ -73,12 +73,21 @@ def union_edges(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return spread(both, *both.columns).distinct()
 
 
+def last_number(id_col: str) -> Column:
+    """The highest number that ids end with, 0 where there is none."""
+    return F.coalesce(F.max(F.regexp_extract(id_col, "([0-9]+)$", 1).cast("long")), F.lit(0))
+
+
+def id_text(prefix: str, number: Column) -> Column:
+    """An id of a number, six digits or more: ids go on past 999,999 with seven."""
+    text = number.cast("string")
+    return F.concat(F.lit(prefix), F.lpad(text, F.greatest(F.length(text), F.lit(6)), "0"))
+
+
 def new_ids(current: DataFrame, added: DataFrame, id_col: str, prefix: str, order: list[Column]) -> DataFrame:
     """Added rows with ids in the given order that go on after the store's highest number, six digits or more."""
-    start = F.coalesce(F.max(F.regexp_extract(id_col, "([0-9]+)$", 1).cast("long")), F.lit(0)).alias("_start")
-    rows = numbered(added, order, "_k").crossJoin(F.broadcast(current.agg(start)))  # one row
-    number = (F.col("_start") + F.col("_k") + 1).cast("string")
-    return rows.withColumn(id_col, F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.length(number), F.lit(6)), "0"))).drop("_k", "_start")
+    rows = numbered(added, order, "_k").crossJoin(F.broadcast(current.agg(last_number(id_col).alias("_start"))))  # one row
+    return rows.withColumn(id_col, id_text(prefix, F.col("_start") + F.col("_k") + 1)).drop("_k", "_start")
 
 
 def normalize_measurements(bio: DataFrame, has: DataFrame, measured: DataFrame, reported: DataFrame, agree: list[str]) -> tuple[dict[str, DataFrame], DataFrame]:

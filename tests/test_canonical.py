@@ -112,6 +112,45 @@ def test_merge_graph_refuses(spark):
         N.merge_graph({}, {})
 
 
+SMALL = N.Spec({"part": ("p", N.identifier), "sup": ("s", C.normalized_text), "doc": ("d", N.identifier)}, {"HAS": ("part", "bio"), "ON": ("bio", "sup"), "IN": ("bio", "doc")}, N.Measured("bio", "b", ("t", "r", "v", "u"), "ON", "IN"))
+
+
+def small(spark, bio, has, on, reported, ends=(("p1", "p2"), ("A b",), ("d1", "d2"))):
+    frame = lambda rows, columns: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns.split()))
+    nodes = {name: frame([(i,) for i in ids], c) for (name, c), ids in zip((("part", "p"), ("sup", "s"), ("doc", "d")), ends, strict=True)}
+    return nodes | {"bio": frame(bio, "b t r v u"), "HAS": frame(has, "src_id dst_id"), "ON": frame(on, "src_id dst_id"), "IN": frame(reported, "src_id dst_id")}
+
+
+def test_measurements_may_tell_their_edges(spark):
+    store = small(spark, [("BA_999998", "Ki", "=", "1", "nM")], [("p1", "BA_999998")], [("BA_999998", "A b")], [("BA_999998", "d1")])
+    told = [("x1", "1.0", "P1", "d1"), ("x2", "2", "p1", "d1"), ("x2", "2.0", "p2", "D1"), ("x3", "2", "p1", "d1"), ("x4", "3", None, "d2"), ("X0", "4", "p2", "d2")]
+    bio, ends = [(b, "Ki", "=", v, "nM") for b, v, _, _ in told], (("P1", "p2", "p1"), ("A  B",), ("d1", "D1", "d2"))
+    extra = [("p2", "x4"), ("p2", "x3"), ("p1", "x1"), ("p2", "BA_999998")]
+    tables = small(spark, bio, [(p, b) for b, _, p, _ in told if p] + extra, [(b, "A  B") for b, *_ in told], [(b, d) for b, _, _, d in told], ends)
+    flat = small(spark, [], extra, [], [], ends)
+    flat["bio"] = spark.createDataFrame([(b, "Ki", "=", v, "nM", p, "A  B", d) for b, v, p, d in told], "b string, t string, r string, v string, u string, HAS string, ON string, IN string")
+    whole, same = N.merge_graph(store, tables, SMALL), N.merge_graph(store, flat, SMALL)
+    assert all(rows(whole.marked[n]) == rows(same.marked[n]) for n in whole.marked) and rows(whole.maps["bio"]) == rows(same.maps["bio"])
+    assert rows(same.maps["bio"]) == [("X0", "BA_999999"), ("x1", "BA_999998"), ("x2", "BA_1000000"), ("x3", "BA_1000000"), ("x4", "BA_1000001")]  # ids in the order of the raw ones, seven digits where six end
+    assert rows(same.tables["HAS"]) == [("p1", "BA_1000000"), ("p1", "BA_999998"), ("p2", "BA_1000000"), ("p2", "BA_1000001"), ("p2", "BA_999998"), ("p2", "BA_999999")]
+    assert same.n_incoming["HAS"] == whole.n_incoming["HAS"] == 9 and same.n_incoming["ON"] == 6
+    with pytest.raises(ValueError, match="exactly one target and document"):
+        N.merge_graph(store, flat | {"IN": spark.createDataFrame([("x1", "d2")], "src_id string, dst_id string")}, SMALL)
+    with pytest.raises(ValueError, match="without their nodes"):
+        N.merge_graph(store, flat | {"HAS": spark.createDataFrame([("p1", "BA_000001")], "src_id string, dst_id string")}, SMALL)
+
+
+def test_a_merge_stores_its_measurements_once(spark, tmp_path, monkeypatch):
+    n = 3000
+    bio = spark.range(n).select(F.format_string("x%05d", "id").alias("b"), F.lit("Ki").alias("t"), F.lit("=").alias("r"), F.col("id").cast("string").alias("v"), F.lit("nM").alias("u"))
+    edge = lambda a, b: bio.select(a.alias("src_id"), b.alias("dst_id"))
+    batch = small(spark, [], [], [], []) | {"bio": bio, "HAS": edge(F.lit("p1"), F.col("b")), "ON": edge(F.col("b"), F.lit("A b")), "IN": edge(F.col("b"), F.lit("d2"))}
+    monkeypatch.setattr(S, "shared_folder", lambda spark: str(tmp_path))
+    merged = N.merge_graph({}, batch, SMALL)
+    assert merged.tables["bio"].count() == n and all(merged.tables[e].distinct().count() == n for e in ("HAS", "ON", "IN"))
+    assert sum(spark.read.parquet(str(p)).count() for p in tmp_path.iterdir()) < 1.1 * n
+
+
 def test_stateful_merge_survives_a_new_checkpoint(spark, tmp_path):
     src, log = str(tmp_path / "src"), str(tmp_path / "log")
     batch = lambda rows: spark.createDataFrame(rows, "id string, name string, value int").write.mode("append").parquet(src)
