@@ -56,7 +56,7 @@ EVIDENCE = Spec(
 
 _ADDED = "_added"
 _SIGNED = ["_kind", "_relation", "_number", "_units", "_target", "_document"]
-_ROWS = 1_000_000  # rows a task, where a session has fewer tasks
+_ROWS = 250_000  # rows a task, where a session has fewer tasks
 _SENT = 500_000  # moved ids that go to every task
 _PLACE = 33  # bits of a row's place in its partition (monotonically_increasing_id)
 
@@ -291,7 +291,9 @@ def _measurements(have: dict[str, DataFrame], batch: dict[str, DataFrame], maps:
     for name in tied:  # a new measurement's only row has no equal
         marked[name] = _united(have[name], edges(others, name)).unionByName(edges(alone, name).withColumn(_ADDED, F.lit(1)))
     canonical = others.unionByName(alone).filter("_own is null").select(*[v.alias(c) for c, v in whole.items()], "_ba").distinct()
-    ids = _signed(batch[m.table], *ends(batch, True), m).join(canonical, _SIGNED).select(F.col("_raw").alias("raw_id"), F.col("_ba").alias("canonical_id")).distinct()
+    own = {e: batch[m.table].select(F.col(m.key).alias("src_id"), F.col(e).alias("dst_id")) for e in rules if e in batch[m.table].columns}
+    whole_edges = {e: batch[e].select("src_id", "dst_id").unionByName(own[e]) if e in own else batch[e] for e in rules}
+    ids = _signed(batch[m.table], *ends(whole_edges, True), m).join(canonical, _SIGNED).select(F.col("_raw").alias("raw_id"), F.col("_ba").alias("canonical_id")).distinct()
     return marked, ids, {name: found.select(F.trim(f"_{i}_to").alias("_key")) for name, i in slot.items()} | {m.table: found.select(F.col("_own").alias("_key"))}
 
 
